@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, decontam, mixing, quality, sharding, simhash
+from . import common, ctw, decontam, mixing, pii, quality, sharding, simhash, tiff, urlfilter, warc
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,6 +19,10 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.classes(common.table(spark, sf_dir, "documents"))
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(common.table(spark, sf_dir, "pages"))
+
+
 def op4_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.plan(common.table(spark, sf_dir, "documents"))
 
@@ -29,6 +33,22 @@ def op5_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op6_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tiff.digests(tiff.stored(common.table(spark, sf_dir, "documents")))
+
+
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.judge(common.table(spark, sf_dir, "pages"))
+
+
+def op8_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ctw.score(common.table(spark, sf_dir, "documents"))
+
+
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(common.table(spark, sf_dir, "documents"))
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
     net = quality.train(docs, common.table(spark, sf_dir, "labels"))
@@ -37,7 +57,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontaminate, op2_simhash, op4_mix, op5_shard, op10_quality)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_simhash, op3_warc, op4_mix, op5_shard, op6_tiff, op7_url_filter, op8_context_tree, op9_pii, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
