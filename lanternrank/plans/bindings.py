@@ -19,8 +19,14 @@ class Tables:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
 
+    def documents(self) -> DataFrame:
+        """The documents in at least as many partitions as there are cores: a small table is one file, and tokenising it is work for all."""
+        docs = self.table("documents")
+        cores = self.spark.sparkContext.defaultParallelism
+        return docs.repartition(cores) if docs.rdd.getNumPartitions() < cores else docs
+
     def passages(self) -> DataFrame:
-        lines = self.table("documents").select(F.col("doc_id").cast("string").alias("paper_id"), F.posexplode(F.split("text", "\n")).alias("pos", "text"))
+        lines = self.documents().select(F.col("doc_id").cast("string").alias("paper_id"), F.posexplode(F.split("text", "\n")).alias("pos", "text"))
         return lines.where(F.length(F.trim("text")) > 0).select("paper_id", F.concat_ws("_", "paper_id", F.col("pos").cast("string")).alias("docid"), "pos", (F.col("pos") == 0).alias("is_front"), "text")
 
     def topics(self) -> DataFrame:
