@@ -56,6 +56,9 @@ def _count(cells: DataFrame) -> list:
 
 def _probe(rows: DataFrame, cut: list[tuple[str, int, int, bool]], how: str) -> DataFrame:
     """rows with a finer _cell where it is cut; cut: (cell, lowest key, width of a probe, whether by doc_id)."""
+    if cut[0][0] == "":  # the one cell of all rows: nothing to look up
+        _, low, width, by_id = cut[0]
+        return rows.withColumn("_cell", F.lpad(F.lower(F.hex(F.expr(f"({'_d' if by_id else '_h'} - ({low}L)) div {width}L"))), 4, "0"))
     small = F.broadcast(rows.sparkSession.createDataFrame(cut, "_cell string, _low long, _width long, _by_id boolean"))
     step = F.lpad(F.lower(F.hex(F.expr("(CASE WHEN _by_id THEN _d ELSE _h END - _low) div _width"))), 4, "0")
     return rows.join(small, "_cell", how).withColumn("_cell", F.concat("_cell", F.coalesce(step, F.lit("")))).drop("_low", "_width", "_by_id")
