@@ -40,28 +40,35 @@ class Cell:
     high: int
     low_id: int
     high_id: int
+    low_end: int
+    high_end: int
+
+    def key(self) -> tuple[str, int, int] | None:
+        """The first key in which its rows differ, with its range."""
+        ranges = (("_h", self.low, self.high), ("_d", self.low_id, self.high_id), ("_e", self.low_end, self.high_end))
+        return next((r for r in ranges if r[1] != r[2]), None)
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """docs with _h (60 bits), _d (order of doc_id, cut to 62 bits), _size and _crc."""
+    """docs with _h (60 bits), _d and _e (order of doc_id: its upper 62 bits as a number from 0, null -1, and its lower two), _size and _crc."""
     text = F.coalesce("text", F.lit(""))
     half = F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
     order = F.coalesce(F.shiftrightunsigned(F.col("doc_id").cast("long").bitwiseXOR(F.lit(-(1 << 63))), 2), F.lit(-1))
-    return docs.select("*", half.alias("_h"), order.alias("_d"), (F.octet_length(text) + OVERHEAD).cast("long").alias("_size"), F.crc32(text).alias("_crc"))
+    return docs.select("*", half.alias("_h"), order.alias("_d"), F.coalesce(F.col("doc_id").cast("long").bitwiseAND(F.lit(3)), F.lit(0)).cast("long").alias("_e"), (F.octet_length(text) + OVERHEAD).cast("long").alias("_size"), F.crc32(text).alias("_crc"))
 
 
 def _count(cells: DataFrame) -> list:
-    return cells.groupBy("_cell").agg(F.sum("_size").alias("size"), F.count("*").alias("rows"), F.min("_h").alias("low"), F.max("_h").alias("high"), F.min("_d").alias("low_id"), F.max("_d").alias("high_id")).orderBy("_cell").collect()
+    return cells.groupBy("_cell").agg(F.sum("_size").alias("size"), F.count("*").alias("rows"), F.min("_h").alias("low"), F.max("_h").alias("high"), F.min("_d").alias("low_id"), F.max("_d").alias("high_id"), F.min("_e").alias("low_end"), F.max("_e").alias("high_end")).orderBy("_cell").collect()
 
 
-def _probe(rows: DataFrame, cut: list[tuple[str, int, int, bool]], how: str) -> DataFrame:
-    """rows with a finer _cell where it is cut; cut: (cell, lowest key, width of a probe, whether by doc_id)."""
+def _probe(rows: DataFrame, cut: list[tuple[str, int, int, str]], how: str) -> DataFrame:
+    """rows with a finer _cell where it is cut; cut: (cell, lowest key, width of a probe, which key)."""
     if cut[0][0] == "":  # the one cell of all rows: nothing to look up
-        _, low, width, by_id = cut[0]
-        return rows.withColumn("_cell", F.lpad(F.lower(F.hex(F.expr(f"({'_d' if by_id else '_h'} - ({low}L)) div {width}L"))), 4, "0"))
-    small = F.broadcast(rows.sparkSession.createDataFrame(cut, "_cell string, _low long, _width long, _by_id boolean"))
-    step = F.lpad(F.lower(F.hex(F.expr("(CASE WHEN _by_id THEN _d ELSE _h END - _low) div _width"))), 4, "0")
-    return rows.join(small, "_cell", how).withColumn("_cell", F.concat("_cell", F.coalesce(step, F.lit("")))).drop("_low", "_width", "_by_id")
+        _, low, width, key = cut[0]
+        return rows.withColumn("_cell", F.lpad(F.lower(F.hex(F.expr(f"({key} - ({low}L)) div {width}L"))), 4, "0"))
+    small = F.broadcast(rows.sparkSession.createDataFrame(cut, "_cell string, _low long, _width long, _key string"))
+    step = F.lpad(F.lower(F.hex(F.expr("(CASE _key WHEN '_h' THEN _h WHEN '_d' THEN _d ELSE _e END - _low) div _width"))), 4, "0")
+    return rows.join(small, "_cell", how).withColumn("_cell", F.concat("_cell", F.coalesce(step, F.lit("")))).drop("_low", "_width", "_key")
 
 
 def cells(keyed: DataFrame, shards: int, probes: int, most_rows: int) -> tuple[dict[str, Cell], list[list[tuple]]]:
@@ -80,10 +87,9 @@ def cells(keyed: DataFrame, shards: int, probes: int, most_rows: int) -> tuple[d
             # a splitter k * total / shards inside the cell, past its first byte
             splits = (below + c.size - 1) * shards // total > below * shards // total
             below += c.size
-            if name in open_ and (splits or c.rows > most_rows) and (c.low, c.low_id) != (c.high, c.high_id):
-                by_id = c.low == c.high
-                lo, hi = (c.low_id, c.high_id) if by_id else (c.low, c.high)
-                cut.append((name, lo, (hi - lo) // probes + 1, by_id))
+            if name in open_ and (splits or c.rows > most_rows) and (differ := c.key()):
+                key, lo, hi = differ
+                cut.append((name, lo, (hi - lo) // probes + 1, key))
         if not cut or len(cuts) == MOST_ROUNDS:
             return done, cuts
         cuts.append(cut)
@@ -102,7 +108,7 @@ def assign(docs: DataFrame, shards: int = 40, probes: int = 1024, most_rows: int
     names = ("shard", "slot", "size", "text_crc32")
     docs = docs.drop(*names)
     keyed = _keyed(docs)
-    keys = common.written(keyed.select("_h", "_d", "_size"), "keys")
+    keys = common.written(keyed.select("_h", "_d", "_e", "_size"), "keys")
     found, cuts = cells(keys, shards, probes, most_rows)
     total = sum(c.size for c in found.values())
     table, below, slots = [], 0, [0] * shards
