@@ -80,7 +80,9 @@ def _gradients(net: Net, texts: list[bytes], y: np.ndarray) -> list[np.ndarray]:
     g = ((1 / (1 + np.exp(-np.clip(logit, -30, 30))) - y) / len(y)).astype("f4")
     doc = np.repeat(np.arange(len(texts)), np.diff(first))
     g_out = np.hstack((mean, most)).T @ g
-    g_chunk = (g[:, None] * net.out[:FILTERS] / n)[doc] + (g[:, None] * net.out[FILTERS:])[doc] * (chunk == most[doc])
+    hit = (chunk == most[doc]).astype("f4")  # chunks of equal response share the maximum's gradient
+    hit /= np.add.reduceat(hit, first[:-1], axis=0)[doc]
+    g_chunk = (g[:, None] * net.out[:FILTERS] / n)[doc] + (g[:, None] * net.out[FILTERS:])[doc] * hit
     g_chunk = g_chunk * (1 - chunk**2)
     own = top >= after
     g_top = g_chunk * own
