@@ -128,10 +128,14 @@ def assign(docs: DataFrame, shards: int = 40, probes: int = 1024, most_rows: int
 
 
 SQL = r"""
-WITH keyed AS (
-  SELECT doc_id, (octet_length(encode(coalesce(text, ''))) + 16)::BIGINT AS size, ('0x' || substr(md5(coalesce(text, '')), 1, 15))::BIGINT AS h, text FROM documents
+WITH steps AS (
+  SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS step
+), keyed AS (
+  SELECT doc_id, (octet_length(encode(coalesce(text, ''))) + 16)::BIGINT AS size, ('0x' || substr(md5(coalesce(text, '')), 1, 15))::BIGINT AS h,
+    list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: ('0x' || x)::BIGINT) AS bytes FROM documents
 ), placed AS (
   SELECT *, sum(size) OVER (ORDER BY h, doc_id NULLS FIRST RANGE UNBOUNDED PRECEDING) - sum(size) OVER (PARTITION BY h, doc_id) AS below, sum(size) OVER () AS total FROM keyed
 ), dealt AS (SELECT *, (below * 40 // total)::INTEGER AS shard FROM placed)
-SELECT doc_id, size, 'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY h, doc_id NULLS FIRST) - 1 AS slot, NULL::INTEGER AS grown_shard FROM dealt
+SELECT doc_id, size, xor(list_reduce(list_prepend(4294967295, bytes), lambda c, b: xor(c >> 8, step[(xor(c, b) & 255) + 1])), 4294967295) AS text_crc32,
+  'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY h, doc_id NULLS FIRST) - 1 AS slot, NULL::INTEGER AS grown_shard FROM dealt, steps
 """
