@@ -129,11 +129,13 @@ def write(pages: DataFrame, archive_bytes: int = 32 << 20, zip64: bool = False,
     where, root = _opened(folder)
     where.create_dir(root)
     base = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html")).withColumn("sha1", F.sha1("html"))
-    keys = base.groupBy("page_id", "sha1").agg(F.count("*").alias("n"))
+    # one key without nulls, so that join and numbering use the same exchange
+    base = base.withColumn("key", F.concat_ws(":", "sha1", F.col("page_id").cast("string")))
+    keys = base.groupBy("key", "page_id", "sha1").agg(F.count("*").alias("n"))
     last = keys.groupBy("sha1").agg(F.max("page_id").alias("leads_to"))
-    roles = keys.join(last, "sha1").select(F.col("page_id").alias("_page"), F.col("sha1").alias("_sha1"), "leads_to")
-    first = F.row_number().over(Window.partitionBy("page_id", "sha1").orderBy("url"))
-    rows = base.join(roles, base["page_id"].eqNullSafe(roles["_page"]) & (base["sha1"] == roles["_sha1"])).withColumn("leads", F.col("page_id").eqNullSafe(F.col("leads_to")) & (first == 1))
+    roles = keys.join(last, "sha1").select("key", "leads_to")
+    first = F.row_number().over(Window.partitionBy("key").orderBy("url"))
+    rows = base.join(roles, "key").withColumn("leads", F.col("page_id").eqNullSafe(F.col("leads_to")) & (first == 1))
     return common.written(rows.select("page_id", "url", "html", "sha1", "leads_to", "leads").mapInArrow(_writer(folder, archive_bytes, zip64, date), "path string, n long"), "manifest")
 
 
