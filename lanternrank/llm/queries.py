@@ -61,4 +61,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontaminate": decontam.SQL, "op4_mix": mixing.SQL, "op5_shard": sharding.SQL}
+    return {"op1_decontaminate": decontam.SQL, "op3_warc": warc.SQL, "op4_mix": mixing.SQL, "op5_shard": sharding.SQL, "op7_url_filter": urlfilter.SQL}

@@ -86,3 +86,38 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, purity: f
     bad = counts.where((F.col("blocked") + 1) / (F.col("blocked") + F.col("allowed") + 2) >= purity).select("host", "template", F.lit("block").alias("found"))
     method = named.join(bad, ["host", "template"], "left")
     return split.join(method, ["host", "path"], "left").select("page_id", "host", "path", "rule", "template", F.coalesce("given", "found", F.lit("allow")).alias("verdict"))
+
+
+def _sql_case(rules: list[tuple[str, str, str]], result) -> str:
+    ordered = sorted(rules, key=lambda r: (-len(r[1] + r[2]), r[1], r[2]))
+    return "CASE " + " ".join(f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') THEN '{result(v, h, p)}'" for v, h, p in ordered) + " END"
+
+
+SQL = rf"""
+WITH parts AS (
+  SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 1), '{common.UPPER}', '{common.LOWER}') AS host, regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 2) AS path FROM pages
+), split AS (
+  SELECT *, {_sql_case(RULES, lambda v, h, p: h + p)} AS rule, {_sql_case(RULES, lambda v, h, p: v)} AS given FROM parts
+), labelled AS (
+  SELECT host, path, count(*) FILTER (given = 'block') AS blocked, count(*) FILTER (given = 'allow') AS allowed,
+    list_transform(list_filter(string_split(path, '/'), lambda s: s <> ''), lambda s: CASE
+      WHEN regexp_full_match(s, '[0-9]+(\.[A-Za-z]+)?') OR regexp_full_match(s, '[0-9a-fA-F-]*[0-9][0-9a-fA-F-]*(\.[A-Za-z]+)?') AND length(regexp_extract(s, '^[0-9a-fA-F-]*')) >= 8
+      THEN '*' || regexp_extract(s, '\.[A-Za-z]+$') ELSE s END) AS segments
+  FROM split GROUP BY host, path
+), shapes AS (SELECT host, segments, sum(blocked)::BIGINT AS blocked, sum(allowed)::BIGINT AS allowed FROM labelled GROUP BY ALL),
+steps AS (
+  SELECT host, segments, depth, coalesce(array_to_string(segments[1:depth], '/'), '') AS prefix, segments[depth + 1] AS segment, blocked, allowed
+  FROM (SELECT *, unnest(range(len(segments))) AS depth FROM shapes)
+), nodes AS (SELECT host, prefix, segment, sum(blocked)::BIGINT AS b, sum(allowed)::BIGINT AS a FROM steps GROUP BY ALL),
+families AS (
+  SELECT *, a + b AS n, (sum(a + b) OVER family)::BIGINT - a - b AS rest, (sum(b) OVER family)::BIGINT AS all_b, count(*) OVER family AS children
+  FROM nodes WINDOW family AS (PARTITION BY host, prefix)
+), named AS (
+  SELECT host, prefix, segment, CASE
+    WHEN children > 16 OR n > 0 AND rest > 0 AND abs(b / n - (all_b - b) / rest) <= sqrt((all_b / (n + rest)) * (1 - all_b / (n + rest)) * (1 / n + 1 / rest)) THEN '*' ELSE segment END AS name FROM families
+), shaped AS (SELECT host, segments, string_agg(name, '/' ORDER BY depth) AS template FROM steps JOIN named USING (host, prefix, segment) GROUP BY ALL),
+known AS (SELECT l.host, path, blocked, allowed, coalesce(template, '') AS template FROM labelled l LEFT JOIN shaped s ON s.host = l.host AND s.segments = l.segments),
+bad AS (SELECT host, template FROM known GROUP BY ALL HAVING (sum(blocked) + 1) / (sum(blocked) + sum(allowed) + 2) >= 0.8)
+SELECT page_id, s.host, s.path, rule, k.template, coalesce(given, CASE WHEN bad.host IS NOT NULL THEN 'block' END, 'allow') AS verdict
+FROM split s JOIN known k ON k.host = s.host AND k.path = s.path LEFT JOIN bad ON bad.host = k.host AND bad.template = k.template
+"""

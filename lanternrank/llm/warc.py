@@ -321,3 +321,16 @@ def round_trip(pages: DataFrame) -> DataFrame:
     found = records(ranges.repartition(tasks, "path", "offset"), payloads=False)
     number = lambda c: F.expr(f"try_cast(substring({c}, {len(NAME) + 1}) AS BIGINT)")
     return found.select(number("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", number("refers_to").alias("refers_to"))
+
+
+SQL = """
+WITH payloads AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+ranked AS (
+  SELECT page_id, octet_length(encode(h))::BIGINT AS payload_bytes, sha1(h) AS s, row_number() OVER newest AS k, first_value(page_id) OVER newest AS newest
+  FROM payloads WINDOW newest AS (PARTITION BY h ORDER BY page_id DESC NULLS LAST)
+)
+SELECT page_id, payload_bytes,
+  array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((('0x' || substr(s, (i // 4) * 5 + 1, 5))::BIGINT >> (15 - 5 * (i % 4))) & 31)::INTEGER, 1)), '') AS payload_digest,
+  CASE WHEN k = 1 THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN k > 1 THEN newest END AS refers_to
+FROM ranked
+"""
