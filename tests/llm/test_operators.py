@@ -282,6 +282,15 @@ def test_tree_is_context_tree_weighting():
         assert abs(exact - logp[state, byte]) < 1e-4
 
 
+def test_tree_keeps_rare_bytes_possible():
+    """Counts far past what a 32-bit fraction tells from one leave every other byte a finite price."""
+    for byte in (0, 127, 255):
+        keys = np.array([(7 << 8) | byte, (9 << 8) | byte])
+        step, logp = ctw.model([(np.array([byte]), np.array([3e12])), (keys, np.array([2e12, 1e12]))])
+        assert np.isfinite(logp).all() and np.allclose((10.0 ** logp.astype(float)).sum(axis=1), 1, atol=1e-5)
+        assert (np.delete(logp[1:], byte, axis=1) < -11).all()
+
+
 def test_scores(spark, messy, empty):
     docs = spark.read.parquet(f"{DIR}/documents.parquet").select("doc_id", "text").unionByName(messy.select("doc_id", "text"))
     rows = [(i, t.lower().split(), zlib.crc32(str(i if i is not None else "").encode()) % 7 == 2) for i, t in texts(docs)]
