@@ -3,7 +3,8 @@
 Generators with high recall propose spans, which may overlap: the strict forms
 of each kind, and loose ones (spelled-out e-mail addresses, phone numbers
 without a plus, dotted card numbers, IPv6).  Strict spans that pass their
-kind's check are kept as they are.  All others are judged by boosted trees over
+kind's check are kept as they are; strict spans that fail it are known not to be
+of their kind and are never added.  All others are judged by boosted trees over
 format and context features: digits, separators, length, the characters around
 and words before.  The trees learn from the strict candidates of all documents,
 with the check's outcome (which is no feature) as label; a kind's threshold is
@@ -193,7 +194,7 @@ def find(docs: DataFrame, precision: float = 0.9) -> DataFrame:
     base = F.transform(F.filter("candidates", lambda c: c["sure"]), bare)
     limit = lambda c: F.element_at(F.array(*[F.lit(x) for x in limits]), c["k"] + 1)
     total = lambda c: sum((_expr(t, c) for t in trees), F.lit(0.0))
-    scored = F.transform(F.filter("candidates", lambda c: ~c["sure"]), lambda c: F.struct((-total(c)).alias("cost"), (c["start"] - c["end"]).alias("short"), c["start"].alias("start"), c["k"].alias("k"), c["end"].alias("end"), limit(c).alias("limit")))
+    scored = F.transform(F.filter("candidates", lambda c: ~c["strict"]), lambda c: F.struct((-total(c)).alias("cost"), (c["start"] - c["end"]).alias("short"), c["start"].alias("start"), c["k"].alias("k"), c["end"].alias("end"), limit(c).alias("limit")))
     likely = F.array_sort(F.filter(scored, lambda c: -c["cost"] >= c["limit"]))
     apart = lambda a, c: ~F.exists(a, lambda o: (o["start"] < c["end"]) & (c["start"] < o["end"]))
     rows = found.select("doc_id", F.array_sort(base).alias("base"), likely.alias("likely"))

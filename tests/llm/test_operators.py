@@ -338,6 +338,9 @@ def test_personal_data(spark, messy, empty):
     assert got == want
     found = pii.find(df).collect()
     assert all({tuple(s) for s in x.base} <= {tuple(s) for s in x.spans} for x in found)
+    for x in pii.candidates(df).join(pii.find(df).select("doc_id", "spans"), "doc_id").where("doc_id < 400").collect():
+        failed = {(c.start, c.k, c.end) for c in x.candidates if c.strict and not c.sure}
+        assert not failed & {tuple(s) for s in x.spans}  # what failed its check is never added
     assert pii.report(empty).count() == 0
 
 
