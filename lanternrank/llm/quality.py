@@ -136,7 +136,7 @@ def fit(texts: list[bytes], y: np.ndarray, seed: int = 7, epochs: int = 8, batch
     return net
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "quality", sample_per_class: int = 1000, fold: int = 3, held: int = 1, seed: int = 7) -> Net | None:
+def train(docs: DataFrame, labels: DataFrame, label: str = "quality", sample_per_class: int = 2000, fold: int = 3, held: int = 1, seed: int = 7) -> Net | None:
     """Fit on at most `sample_per_class` labelled rows of each class, none of them held out.
 
     The rows are the lowest by a hash of their id.  Only that bounded sample,
