@@ -393,7 +393,7 @@ def _(t):
     return C.run_lines(t.runs())
 
 
-@query("run_roundtrip")
+@query("run_roundtrip", "SELECT run, qid::VARCHAR AS qid, docid, rank::INTEGER AS rank, printf('%.6f', score)::DOUBLE AS score FROM runs")
 def _(t):
     # a bounded set: queries times k
     lines = C.run_lines(t.runs())
