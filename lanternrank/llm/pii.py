@@ -93,6 +93,26 @@ def _spans(kind: str, strict: bool, pieces: str, starts: str) -> Column:
     return F.when(F.size(p) > 2, found).otherwise(F.slice(F.transform(F.array(F.lit(1)), one), 1, 0))
 
 
+def _running(values: Column) -> Column:
+    """0 and the running sums."""
+    return F.aggregate(values, F.array(F.lit(0)), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + x)))
+
+
+def _blocks(pieces: str) -> Column:
+    """Running sums of the pieces' lengths in blocks of about the square root of their number: n pieces cost n ** 1.5 steps."""
+    n = F.size(pieces)
+    width = F.ceil(F.sqrt(n)).cast("int")
+    block = lambda i: _running(F.transform(F.slice(pieces, i, width), F.length))
+    return F.when(n > 2, F.transform(F.sequence(F.lit(1), n, width), block)).otherwise(F.array(F.array(F.lit(0))))
+
+
+def _starts(blocks: str) -> Column:
+    """Where each piece starts, and where the last one ends."""
+    offsets = _running(F.transform(blocks, lambda x: F.element_at(x, -1)))
+    moved = F.zip_with(blocks, F.slice(offsets, 1, F.size(blocks)), lambda x, o: F.transform(F.slice(x, 1, F.size(x) - 1), lambda y: y + o))
+    return F.concat(F.flatten(moved), F.array(F.element_at(offsets, -1)))
+
+
 def candidates(docs: DataFrame) -> DataFrame:
     """doc_id and candidates, an array of the spans that the generators propose.
 
@@ -114,8 +134,8 @@ def candidates(docs: DataFrame) -> DataFrame:
         return F.when(may, marked).otherwise(F.array(F.lit("")))
 
     rows = rows.select("doc_id", *[split(kind, strict).alias(p) for kind, strict, p, _ in names])
-    ends = lambda p: F.when(F.size(p) > 2, F.aggregate(p, F.array(F.lit(0)), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + F.length(x))))).otherwise(F.array(F.lit(0)))
-    rows = rows.select("*", *[ends(p).alias(s) for _, _, p, s in names])
+    rows = rows.select("*", *[_blocks(p).alias(f"_b{s}") for _, _, p, s in names])
+    rows = rows.select("*", *[_starts(f"_b{s}").alias(s) for _, _, _, s in names])
     return rows.select("doc_id", F.concat(*[_spans(*n) for n in names]).alias("candidates"))
 
 
@@ -191,15 +211,36 @@ def find(docs: DataFrame, precision: float = 0.9) -> DataFrame:
     found = common.written(candidates(docs), "candidates")
     trees, limits = learn(found, precision)
     bare = lambda c: F.struct(c["start"].alias("start"), c["k"].alias("k"), c["end"].alias("end"))
-    base = F.transform(F.filter("candidates", lambda c: c["sure"]), bare)
     limit = lambda c: F.element_at(F.array(*[F.lit(x) for x in limits]), c["k"] + 1)
     total = lambda c: sum((_expr(t, c) for t in trees), F.lit(0.0))
     scored = F.transform(F.filter("candidates", lambda c: ~c["strict"]), lambda c: F.struct((-total(c)).alias("cost"), (c["start"] - c["end"]).alias("short"), c["start"].alias("start"), c["k"].alias("k"), c["end"].alias("end"), limit(c).alias("limit")))
-    likely = F.array_sort(F.filter(scored, lambda c: -c["cost"] >= c["limit"]))
+    likely = F.filter(scored, lambda c: -c["cost"] >= c["limit"])
+    kinds = range(len(KINDS))
+    sure = [F.transform(F.filter(F.filter("candidates", lambda c: c["sure"]), _of_kind(k)), bare).alias(f"b{k}") for k in kinds]
+    rows = found.select("doc_id", *sure, likely.alias("likely"))
+    clear = F.filter("likely", lambda c: ~reduce(lambda a, b: a | b, [_touches(f"b{k}", c) for k in kinds]))
+    rows = rows.select("doc_id", F.array_sort(F.concat(*[f"b{k}" for k in kinds])).alias("base"), clear.alias("clear"))
+    rows = rows.select("*", *[F.filter("clear", _of_kind(k)).alias(f"l{k}") for k in kinds])
+    # spans of one generator never overlap: only those that meet another kind's have to be weighed against each other
+    rivals = lambda c: reduce(lambda a, b: a | b, [(c["k"] != k) & _touches(f"l{k}", c) for k in kinds])
+    contested = F.array_sort(F.filter("clear", rivals))
+    rows = rows.select("doc_id", "base", F.transform(F.filter("clear", lambda c: ~rivals(c)), bare).alias("alone"), contested.alias("contested"))
     apart = lambda a, c: ~F.exists(a, lambda o: (o["start"] < c["end"]) & (c["start"] < o["end"]))
-    rows = found.select("doc_id", F.array_sort(base).alias("base"), likely.alias("likely"))
-    spans = F.aggregate("likely", F.col("base"), lambda a, c: F.when(apart(a, c), F.concat(a, F.array(bare(c)))).otherwise(a))
-    return rows.select("doc_id", "base", F.array_sort(spans).alias("spans"))
+    won = F.aggregate("contested", F.slice("base", 1, 0), lambda a, c: F.when(apart(a, c), F.concat(a, F.array(bare(c)))).otherwise(a))
+    return rows.select("doc_id", "base", F.array_sort(F.concat("base", "alone", won)).alias("spans"))
+
+
+def _touches(spans: str, c: Column) -> Column:
+    """Whether one of the spans, in order and without overlaps, overlaps c: a binary search for the last that starts before c ends."""
+    n = F.size(spans)
+
+    def halve(s, _):
+        middle = F.shiftright(s["low"] + s["high"], 1)
+        before = F.coalesce(F.get(spans, middle)["start"] < c["end"], F.lit(False))
+        return F.struct(F.when(before, middle + 1).otherwise(s["low"]).alias("low"), F.when(before, s["high"]).otherwise(middle).alias("high"))
+
+    found = F.aggregate(F.sequence(F.lit(0), F.ceil(F.log2(n + 1)).cast("int")), F.struct(F.lit(0).alias("low"), n.alias("high")), halve)
+    return F.when(n > 0, F.coalesce(F.get(spans, found["low"] - 1)["end"] > c["start"], F.lit(False))).otherwise(False)
 
 
 def _of_kind(k: int):
