@@ -209,7 +209,11 @@ def learn(found: DataFrame, precision: float = 0.9) -> tuple[list, list[float]]:
 def find(docs: DataFrame, precision: float = 0.9) -> DataFrame:
     """doc_id, base and spans: arrays of structs (start, k, end), sorted; spans holds base and what the trees add."""
     found = common.written(candidates(docs), "candidates")
-    trees, limits = learn(found, precision)
+    return choose(found, *learn(found, precision))
+
+
+def choose(found: DataFrame, trees: list, limits: list[float]) -> DataFrame:
+    """What `find` returns, from candidates: of loose spans that overlap, the likelier, then the longer, then the first stays."""
     bare = lambda c: F.struct(c["start"].alias("start"), c["k"].alias("k"), c["end"].alias("end"))
     limit = lambda c: F.element_at(F.array(*[F.lit(x) for x in limits]), c["k"] + 1)
     total = lambda c: sum((_expr(t, c) for t in trees), F.lit(0.0))
