@@ -139,15 +139,16 @@ def fit(texts: list[bytes], y: np.ndarray, seed: int = 7, epochs: int = 8, batch
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", sample_per_class: int = 2000, fold: int = 3, held: int = 1, seed: int = 7) -> Net | None:
     """Fit on at most `sample_per_class` labelled rows of each class, none of them held out.
 
-    The rows are the lowest by a hash of their id.  Only that bounded sample,
-    with its whole texts, reaches the driver.
+    The rows are the lowest by a hash of their id; of repeated ids, the smallest
+    text.  Only that bounded sample, with its whole texts, reaches the driver.
     """
     usable = labels.select("doc_id", F.col(label).cast("int").alias("y")).where(F.col("doc_id").isNotNull() & (common.doc_hash_mod("doc_id", fold) != held)).distinct()
     chosen = None
     for k in (0, 1):
         part = usable.where(F.col("y") == k).orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(sample_per_class)
         chosen = part if chosen is None else chosen.unionByName(part)
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "y").collect()
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    rows = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text")).collect()
     rows.sort(key=lambda r: (r.doc_id, r.text, r.y))
     return fit([r.text.encode() for r in rows], np.array([r.y for r in rows]), seed)
 
