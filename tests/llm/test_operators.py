@@ -344,6 +344,30 @@ def test_personal_data(spark, messy, empty):
     assert pii.report(empty).count() == 0
 
 
+def test_overlapping_candidates(spark):
+    r = random.Random(5)
+    parts = ["a@b.", "415-555-1234", "1234.1234.1234.1234", "ab:cd:12:34:56", " ", "x", "(at)", ".", "1.2.3.4", "+1 415 555 1234", "4111-1111-1111-1111", ":"]
+    df = spark.createDataFrame([(i, "".join(r.choice(parts) for _ in range(r.choice([3, 12, 60])))) for i in range(300)], "doc_id long, text string")
+    found = pii.candidates(df)
+    given = {x.doc_id: x.candidates for x in found.collect()}
+    added = 0
+    for x in pii.choose(found, [], [-1.0] * 4).collect():
+        want = sorted((c.start, c.k, c.end) for c in given[x.doc_id] if c.sure)
+        assert [tuple(s) for s in x.base] == want
+        for c in sorted((c for c in given[x.doc_id] if not c.strict), key=lambda c: (c.start - c.end, c.start, c.k)):
+            if not any(a < c.end and c.start < e for a, _, e in want):
+                want.append((c.start, c.k, c.end))
+                added += 1
+        assert [tuple(s) for s in x.spans] == sorted(want)
+    assert added > 200
+
+
+def test_many_spans_in_one_text(spark):
+    n = 30_000
+    row = pii.find(spark.createDataFrame([(1, "a@b.cd 415-555-1234 " * n)], "doc_id long, text string")).first()
+    assert [tuple(s) for s in row.base] == [(20 * i, 0, 20 * i + 6) for i in range(n)]
+
+
 def test_trees_learn_a_rule():
     x = np.array([[k, d, 0, 0, 0, 0, w] for k in range(4) for d in range(6) for w in range(3)])
     y = ((x[:, 1] > 3) & (x[:, 6] == 1)).astype(float)
@@ -363,6 +387,8 @@ def test_quality(spark, messy, empty):
     got = quality.classify(messy, net)
     assert sorted(got.columns) == sorted(messy.columns) and all(0 <= r.score <= 1 for r in got.collect())
     assert quality.classify(empty, net).count() == 0
+    again = quality.train(docs.unionByName(docs.where("doc_id % 2 = 0")), labels)
+    assert all(np.array_equal(getattr(net, k), getattr(again, k)) for k in ("emb", "conv", "out"))  # repeated ids count once
     none = quality.train(docs, labels.limit(0))
     assert none is None and {r.score for r in quality.classify(messy, none).collect()} == {0.5}
 
