@@ -241,6 +241,11 @@ def keep_one(docs: DataFrame, radius: int = 3, width: int = 3, seed: int = 42) -
     """docs with one row of each class left, of the smallest doc_id; all columns stay."""
     _, fps = _labelled(docs, radius, width, seed)
     best = fps.groupBy("label").agg(F.min("first").alias("b")).select(F.col("b.doc_id").alias("_id"), F.col("b.text_hash").alias("_hash"))
+    return only(docs, best)
+
+
+def only(docs: DataFrame, best: DataFrame) -> DataFrame:
+    """One row of docs for each _id and _hash (of the text) of best."""
     best = common.written(best, "survivors")
     hashed = docs.withColumn("_hash_of", F.xxhash64("text"))
     kept = hashed.join(best, hashed["doc_id"].eqNullSafe(best["_id"]) & (hashed["_hash_of"] == best["_hash"]), "left_semi")

@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lanternrank.llm import ctw, decontam, mixing, pii, quality, queries, sharding, simhash, tiff, urlfilter, warc
+from lanternrank.llm import ctw, decontam, mixing, neardup, pii, quality, queries, sharding, simhash, tiff, urlfilter, warc
 
 DIR = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -104,6 +104,64 @@ def test_components_of_a_long_chain(spark):
     assert {(r.node, r.label) for r in simhash.components(edges).collect()} == {(i, 0) for i in range(41)} | {(100, 100), (101, 100)}
 
 
+# ---- near copies by shingles
+
+def near_groups(rows):
+    """Brute force: the smallest id of each group of texts with a Jaccard similarity of 0.8 or more on five words."""
+    sets = {}
+    for i, t in rows:
+        w = t.lower().split()
+        k = min(5, len(w))
+        sets[i] = frozenset(tuple(w[j : j + k]) for j in range(len(w) - k + 1)) if w else frozenset()
+    label = {i: i for i in sets}
+    def root(i):
+        while label[i] != i:
+            i = label[i]
+        return i
+    ids = sorted(sets)
+    for n, a in enumerate(ids):
+        for b in ids[:n]:
+            x, y = sets[a], sets[b]
+            if min(len(x), len(y)) >= 0.8 * max(len(x), len(y)) and (x == y or len(x & y) >= 0.8 * len(x | y) - 1e-9) and root(a) != root(b):
+                label[max(root(a), root(b))] = min(root(a), root(b))
+    return {root(i) for i in ids}
+
+
+def test_pipeline_finds_near_copies_that_simhash_misses(spark, messy, empty):
+    import corpus_pipeline
+
+    r, rows = random.Random(11), []
+    for g in range(40):
+        words = [f"w{r.randrange(5000)}" for _ in range(r.choice([40, 120, 400]))]
+        for _ in range(4):
+            rows.append((len(rows), " ".join(words)))
+            words = list(words)
+            for _ in range(max(1, len(words) // r.choice([60, 80, 100]))):  # from one copy to the next about 0.8 to 0.9
+                words[r.randrange(len(words))] = f"x{r.randrange(10**6)}"
+    rows += [(1000, ""), (1001, " \t"), (1002, "one two"), (1003, "One  two")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = near_groups([(i, t.encode()) for i, t in rows])
+    got = [x.doc_id for x in corpus_pipeline.near_dedup(spark, docs, DIR).collect()]
+    assert len(want) < 80 and sorted(got) == sorted(want)
+    assert len({x.component_id for x in simhash.classes(docs).collect()}) > len(want)
+    kept = neardup.keep_one(messy)
+    assert kept.columns == messy.columns and sorted(x.doc_id for x in kept.collect()) == [1, 2, 4, 6, 7]
+    assert neardup.keep_one(empty).count() == 0
+
+
+def test_candidates_of_shards_are_whole():
+    r = np.random.default_rng(4)
+    shard = np.sort(r.integers(0, 6, 90))
+    label, fp = r.integers(0, 5, 90), r.integers(0, 1 << 63, 90, dtype=np.uint64)
+    order = np.lexsort((label, shard))
+    label = label[order]
+    near = lambda i, j: shard[i] == shard[j] and int(fp[i] ^ fp[j]).bit_count() <= 30
+    got = {(max(i, j), min(i, j)) for a, b in neardup.between(shard, fp, label, 30, most=7) for i, j in zip(a.tolist(), b.tolist())}
+    assert got == {(i, j) for i in range(90) for j in range(i) if near(i, j) and label[i] != label[j]}
+    a, b = neardup.stars(shard, fp, 30)
+    assert len(a) and all(near(i, j) and i != j for i, j in zip(a.tolist(), b.tolist()))
+
+
 # ---- WARC in ZIP
 
 def test_zip_directory():
