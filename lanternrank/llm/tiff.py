@@ -314,7 +314,7 @@ def encode(text: bytes) -> bytes:
     form = zlib.crc32(payload) % 8
     if form == 0:
         return write(image, PACKBITS, 1, None, 64)
-    if form == 1 and len(payload) <= 4096:
+    if form == 1:
         return write(image, LZW, 1, None, 8)
     if form == 2:
         return write(image, DEFLATE, 2, (64, 64), 0)

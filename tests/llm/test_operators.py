@@ -281,6 +281,19 @@ def test_tiff_columns(spark, messy, empty):
     assert tiff.digests(tiff.stored(empty)).count() == 0
 
 
+def test_form_does_not_depend_on_size():
+    seen = set()
+    for n in (10, 5_000, 300_000):
+        for k in range(40):
+            text = (f"{k} text of some length " * (n // 20 + 1)).encode()
+            payload = text + b" " * (-len(text) % 192)
+            found = list(tiff.pages(tiff.encode(text)))
+            kind = {0: 32773, 1: 5}.get(zlib.crc32(payload) % 8, 8)
+            assert {f["compression"] for f, _ in found} == {kind} and b"".join(i.tobytes() for _, i in found) == payload
+            seen.add((n, kind))
+    assert {(n, 5) for n in (10, 5_000, 300_000)} <= seen
+
+
 # ---- URL filter
 
 def test_url_filter(spark):
