@@ -415,6 +415,19 @@ def test_personal_data(spark, messy, empty):
     assert pii.report(empty).count() == 0
 
 
+def test_loose_forms_are_whole(spark):
+    cases = [
+        ("jane(at)mail.example.com", 0), ("x [at] aa [dot] bb [dot] com", 0), ("jo {at} a.bb.cc (dot) de", 0), ("jo @ mail . example . org", 0), ("jane(at)example.com", 0),
+        ("2001:db8::1", 1), ("::1", 1), ("fe80::", 1), ("2001:db8:0:1::a:b", 1), ("::ffff:a:b", 1), ("fe80:1:2:3:4:5:6:7", 1), ("12:34:56:78", 1),
+    ]
+    df = spark.createDataFrame([(i, f"{pre} {s}{post}") for i, (s, _) in enumerate(cases) for pre, post in (("to", ". Then"), ("of", " and"))], "doc_id long, text string")
+    for x in pii.candidates(df).join(df, "doc_id").collect():
+        s, k = cases[x.doc_id]
+        assert (s, k) in {(df_text[c.start : c.end], c.k) for df_text in (f"to {s}. Then", f"of {s} and") for c in x.candidates if not c.strict}
+    other = spark.createDataFrame([(1, "std::vector and abc::def::x9 at 12:30 a::")], "doc_id long, text string")
+    assert not [c for x in pii.candidates(other).collect() for c in x.candidates if not c.strict and c.end - c.start > 3]
+
+
 def test_overlapping_candidates(spark):
     r = random.Random(5)
     parts = ["a@b.", "415-555-1234", "1234.1234.1234.1234", "ab:cd:12:34:56", " ", "x", "(at)", ".", "1.2.3.4", "+1 415 555 1234", "4111-1111-1111-1111", ":"]
