@@ -3,9 +3,10 @@
 An archive is a ZIP file whose members are stored, not compressed: a `.warc.gz`
 member of one gzip member a record, and an index of offsets (`.cdxj`).
 `directory` reads a ZIP's end record, its ZIP64 records and its central
-directory, and locates each member's bytes; `spans` reads the index members and
-cuts the records into ranges; `records` reads those ranges only.  Nothing is
-extracted, and no task holds more than a range.
+directory, and locates each member's bytes; `spans` reads the index members,
+walks what they leave out and cuts the records into ranges; `records` reads
+those ranges only.  Nothing is extracted, and no task holds more than a range
+and an archive's index.
 
 Archives lie in a folder that all executors reach, and are opened by URI
 (file, hdfs, s3 or gs).  A task writes archives under new names and tells them
@@ -16,7 +17,8 @@ Defined cases: a null url has no target header, a null payload is empty; equal
 payloads (empty ones too) have one response, of the largest page_id, and
 repeated rows of that page beyond the first revisit it; null ids are the
 smallest; an empty table gives no archives and no rows; a truncated archive or
-record raises ValueError; extra columns are not looked at.
+record, a wrong index line or a WARC member that the ZIP compresses raises
+ValueError; extra columns are not looked at.
 """
 
 from __future__ import annotations
@@ -25,6 +27,7 @@ import base64
 import hashlib
 import io
 import json
+import re
 import struct
 import uuid
 import zlib
@@ -229,34 +232,76 @@ def members(archives: DataFrame) -> DataFrame:
     return archives.select("path").mapInArrow(_each(of), MEMBERS)
 
 
-def _gzip_lengths(f, offset: int, size: int, step: int = 1 << 16) -> Iterator[int]:
-    """Lengths of the gzip members in a range, for archives without an index."""
+def _lengths(f, offset: int, size: int, step: int = 1 << 16) -> Iterator[int]:
+    """Lengths of the records in a range, gzip members or plain, where no index lists them."""
     at, end = offset, offset + size
     while at < end:
-        gz, pos = zlib.decompressobj(31), at
-        while not gz.eof:
-            if pos >= end:
+        pos = at
+        if _range(f, at, min(2, end - at)) == b"\x1f\x8b":
+            gz = zlib.decompressobj(31)
+            while not gz.eof:
+                if pos >= end:
+                    raise ValueError("a record ends too early")
+                data = _range(f, pos, min(step, end - pos))
+                try:
+                    gz.decompress(data)
+                except zlib.error as e:
+                    raise ValueError(f"a record is damaged: {e}") from None
+                pos += len(data)
+            pos -= len(gz.unused_data)
+        else:
+            head = b""
+            while b"\r\n\r\n" not in head:
+                if pos >= end or len(head) > 1 << 20 or not head.startswith(b"WARC/"[: len(head)]):
+                    raise ValueError("not a WARC record")
+                data = _range(f, pos, min(step, end - pos))
+                head += data
+                pos += len(data)
+            head = head.partition(b"\r\n\r\n")[0]
+            found = re.search(rb"(?im)^content-length:\s*([0-9]+)\s*$", head)
+            if not head.startswith(b"WARC/") or not found:
+                raise ValueError("not a WARC record")
+            pos = at + len(head) + 4 + int(found[1]) + 4
+            if pos > end:
                 raise ValueError("a record ends too early")
-            data = _range(f, pos, min(step, end - pos))
-            gz.decompress(data)
-            pos += len(data)
-        pos -= len(gz.unused_data)
         yield pos - at
         at = pos
 
 
+def _listed(f, index: list, offset: int, size: int) -> Iterator[int]:
+    """Lengths of all records in a range: those that the index lists at its offsets, and the others as they are found between."""
+    known: dict[int, int] = {}
+    for m in index:
+        for line in _range(f, m[2], m[3]).splitlines():
+            if line.strip():
+                x = json.loads(line[max(0, line.find(b"{")) :])  # a key and a time may stand before
+                at, n = int(x["offset"]), int(x["length"])
+                if n <= 0 or known.setdefault(at, n) != n:
+                    raise ValueError("an index line is wrong")
+    at = 0
+    for start, n in sorted(known.items()):
+        if start < at or start + n > size:
+            raise ValueError("an index line is wrong")
+        yield from _lengths(f, offset + at, start - at)
+        yield n
+        at = start + n
+    yield from _lengths(f, offset + at, size - at)
+
+
 def spans(archives: DataFrame, span_bytes: int = 4 << 20) -> DataFrame:
     """Ranges of whole records: path, offset and the lengths of the records that follow one another there."""
 
     def of(f, row):
         found = list(directory(f))
-        data = [m for m in found if m[0].endswith((".warc.gz", ".warc")) and m[1] == 0]
+        data = [m for m in found if m[0].endswith((".warc.gz", ".warc"))]
+        if any(m[1] for m in data):
+            raise ValueError("a WARC member is compressed by the archive, so its records have no ranges")
         index = [m for m in found if m[0].endswith(".cdxj") and m[1] == 0]
         for name, _, offset, size, _ in data:
             if index and len(data) == 1:
-                lengths = (json.loads(line)["length"] for m in index for line in _range(f, m[2], m[3]).splitlines())
+                lengths = _listed(f, index, offset, size)
             else:
-                lengths = _gzip_lengths(f, offset, size)
+                lengths = _lengths(f, offset, size)
             at, held, total = offset, [], 0
             for n in lengths:
                 held.append(n)

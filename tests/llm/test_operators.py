@@ -201,6 +201,27 @@ def test_warc_round_trip(spark):
     assert warc.round_trip(pages.limit(0)).count() == 0
 
 
+def test_warc_index_with_gaps(spark, tmp_path):
+    raw = [warc.record("response", f"urn:page:{i}", b"text %d " % i * (i + 1), 0, warc.digest(hashlib.sha1(b"text %d " % i * (i + 1)).digest()), f"u{i}", None, "2020-01-01T00:00:00Z") for i in range(6)]
+
+    def read(name, parts, listed, method=0, line=lambda x: x):
+        ends = np.cumsum([0, *map(len, parts)]).tolist()
+        lines = [line(f'{{"offset": {ends[i]}, "length": {len(parts[i])}}}') for i in listed]
+        with zipfile.ZipFile(tmp_path / name, "w") as z:
+            z.writestr("archive/data.warc.gz", b"".join(parts), method)
+            z.writestr("indexes/index.cdxj", "\n".join(lines))
+        rows = warc.records(warc.spans(spark.createDataFrame([(f"file://{tmp_path / name}",)], "path string"), span_bytes=100)).collect()
+        return sorted(int(r.record_id.split(":")[-1]) for r in rows)
+
+    packed = [zlib.compress(r, 6, 31) for r in raw]
+    for k, listed in enumerate(([0, 1, 2, 3, 4, 5], [1, 3], [5, 0], [], [4, 2, 2, 1])):
+        assert read(f"gz{k}.wacz", packed, listed) == read(f"plain{k}.wacz", raw, listed) == list(range(6))
+    assert read("keyed.wacz", packed, [2, 3], line=lambda x: "org,a)/ 2020 " + x) == list(range(6))
+    for bad in (lambda: read("deflated.wacz", packed, [0], method=zipfile.ZIP_DEFLATED), lambda: read("wrong.wacz", packed, [1], line=lambda x: x.replace('"length": ', '"length": 99999'))):
+        with pytest.raises(Exception, match="compressed by the archive|index line is wrong"):
+            bad()
+
+
 # ---- mixing and sharding
 
 def test_mix(spark, messy, empty):
