@@ -1,17 +1,21 @@
 """URL filter by a path-template tree.
 
 Rules (a host with its subdomains, and a path prefix) decide first; their
-verdicts also label URLs.  For each host a tree of path segments is built:
-segments with a variable form become wildcards, so do the children of a node
-with more than `most_children` different ones, and branches whose share of
-blocked labels doesn't differ significantly from their siblings' are merged
-into the wildcard.  What remains are templates; a template is blocked if the
-smoothed share of blocked labels, (blocked + 1) / (labelled + 2), reaches
-`purity`.  Templates without labels so stay allowed.
-
-The tree is a table of nodes (host, prefix, segment), one row a distinct node;
-every step is an aggregation or a join by node, so a host that holds a third of
-all pages is spread over its paths, and a depth has no bound.
+verdicts also label URLs.  For each host a tree of path segments is built from
+the root down.  Segments with a variable form become wildcards.  Branches of a
+node are alike if most of their pages go on in the same form (the same number
+of segments, with wildcards and words at the same places): these are merged
+into a wildcard, unless a branch's share of blocked labels differs
+significantly from that of the others alike.  So a branch without labels,
+which nothing tells from its labelled siblings of its form, goes with them, and
+one of another form stays alone.  Deeper nodes are built on merged prefixes.
+What remains are templates; a template is blocked if the smoothed share of
+blocked labels, (blocked + 1) / (labelled + 2), reaches `purity`.  Templates
+without labels so stay allowed, and no number of branches is a switch.
+
+The tree is a table of nodes; every step is an aggregation or a join by node (a
+hash of its names), so a host that holds a third of all pages is spread over
+its paths, and long paths cost what they hold: no prefix is built as a string.
 
 Defined cases: a null url or one without `://` has an empty host and path and
 is allowed; the empty path is a template of its own; repeated rows are judged
@@ -52,40 +56,85 @@ def _segments(path: Column) -> Column:
     return F.transform(F.filter(F.split(path, "/"), lambda s: s != ""), stem)
 
 
-def templates(labelled: DataFrame, most_children: int = 16, z: float = 1.0) -> tuple[DataFrame, DataFrame]:
+def _shared(a: Column, b: Column) -> Column:
+    """How many first elements two arrays have in common."""
+    n = F.least(F.size(a), F.size(b))
+    same = F.zip_with(F.slice(a, F.lit(1), n), F.slice(b, F.lit(1), n), lambda x, y: x == y)
+    at = F.array_position(same, False)
+    return F.when(at > 0, at - 1).otherwise(n).cast("int")
+
+
+def _tail(a: Column, n: Column | int) -> Column:
+    """The array without its first n elements."""
+    n = F.lit(n) if isinstance(n, int) else n
+    return F.slice(a, n + 1, F.greatest(F.size(a) - n, F.lit(0)))
+
+
+def merges(shapes: DataFrame, z: float = 2.0) -> DataFrame:
+    """row, depth and name of each segment that becomes a wildcard because its branch is merged with siblings.
+
+    shapes: row, host, segments, pages, blocked, allowed; one row a distinct
+    host and segments.  A round takes each open node to the depth where its
+    paths part, names the branches there and opens the merged nodes; so the
+    rounds are as many as the branchings of a path, not its segments.
+    """
+    key = ["host", "node"]
+    form = lambda s: F.when(F.startswith(s, F.lit("*")), s).otherwise("w")
+    open_ = shapes.select("row", "host", F.lit(0).cast("long").alias("node"), F.lit(0).alias("depth"), F.col("segments").alias("rest"), F.transform("segments", form).alias("forms"), "pages", "blocked", "allowed")
+    found = None
+    while True:
+        parting = open_.groupBy(*key).agg(F.count("*").alias("n"), F.min("rest").alias("low"), F.max("rest").alias("high")).where("n > 1").select(*key, _shared(F.col("low"), F.col("high")).alias("same"))
+        at = open_.join(parting, key).withColumns({"rest": _tail(F.col("rest"), F.col("same")), "forms": _tail(F.col("forms"), F.col("same")), "depth": F.col("depth") + F.col("same")}).where("size(rest) > 0")
+        at = common.written(at.drop("same").withColumns({"segment": F.get("rest", F.lit(0)), "form": F.array_join(_tail(F.col("forms"), 1), "/")}), "branches")
+        if at.isEmpty():
+            break
+        by_form = at.groupBy(*key, "segment", "form").agg(*[F.sum(c).alias(c) for c in ("pages", "blocked", "allowed")])
+        child = by_form.groupBy(*key, "segment").agg(F.max(F.struct("pages", "form")).alias("mode"), F.sum("blocked").alias("b"), F.sum("allowed").alias("a")).withColumn("mode", F.col("mode.form"))
+        group = child.groupBy(*key, "mode").agg(F.count("*").alias("children"), F.sum("b").alias("all_b"), F.sum("a").alias("all_a"))
+        n, rest = F.col("a") + F.col("b"), F.col("all_a") + F.col("all_b") - F.col("a") - F.col("b")
+        pooled = F.col("all_b") / (n + rest)
+        apart = F.abs(F.col("b") / n - (F.col("all_b") - F.col("b")) / rest)
+        alike = F.when((n > 0) & (rest > 0), apart <= z * F.sqrt(pooled * (1 - pooled) * (1 / n + 1 / rest))).otherwise(True)
+        named = child.join(group, [*key, "mode"]).select(*key, "segment", F.when((F.col("children") > 1) & alike, "*").otherwise(F.col("segment")).alias("name"))
+        steps = common.written(at.join(named, [*key, "segment"]), "steps")
+        changed = steps.where("name <> segment").select("row", "depth", "name")
+        found = changed if found is None else found.unionByName(changed)
+        open_ = steps.select("row", "host", F.xxhash64("node", "depth", "name").alias("node"), (F.col("depth") + 1).alias("depth"), _tail(F.col("rest"), 1).alias("rest"), _tail(F.col("forms"), 1).alias("forms"), "pages", "blocked", "allowed")
+    return shapes.select("row", F.lit(0).alias("depth"), F.lit("").alias("name")).limit(0) if found is None else found
+
+
+def templates(labelled: DataFrame, z: float = 2.0) -> tuple[DataFrame, DataFrame]:
     """(host, path, template) of each distinct path, and (host, template, blocked, allowed).
 
-    labelled: host, path, blocked, allowed (counts of labels), one row a distinct path.
+    labelled: host, path, pages, blocked, allowed (counts), one row a distinct path.
     """
     paths = labelled.withColumn("segments", _segments(F.col("path")))
-    shapes = paths.groupBy("host", "segments").agg(F.sum("blocked").alias("blocked"), F.sum("allowed").alias("allowed"))
-    key = ("host", "prefix", "segment")
-    at = lambda df: df.select("*", F.posexplode("segments").alias("depth", "segment")).withColumn("prefix", F.array_join(F.slice("segments", F.lit(1), F.col("depth")), "/"))
-    nodes = at(shapes).groupBy(*key).agg(F.sum("blocked").alias("b"), F.sum("allowed").alias("a"))
-    family = nodes.groupBy("host", "prefix").agg(F.count("*").alias("children"), F.sum("b").alias("all_b"), F.sum("a").alias("all_a"))
-    n, rest = F.col("a") + F.col("b"), F.col("all_a") + F.col("all_b") - F.col("a") - F.col("b")
-    pooled = F.col("all_b") / (n + rest)
-    apart = F.abs(F.col("b") / n - (F.col("all_b") - F.col("b")) / rest)
-    similar = F.when((n > 0) & (rest > 0), apart <= z * F.sqrt(pooled * (1 - pooled) * (1 / n + 1 / rest))).otherwise(False)
-    named = nodes.join(family, ["host", "prefix"]).select(*key, F.when(similar | (F.col("children") > most_children), "*").otherwise(F.col("segment")).alias("name"))
-    steps = at(shapes.select("host", "segments")).join(named, list(key))
-    full = steps.groupBy("host", "segments").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("depth", "name"))), lambda x: x["name"]), "/").alias("template"))
-    known = paths.select("host", "path", "segments", "blocked", "allowed").join(full, ["host", "segments"], "left").withColumn("template", F.coalesce("template", F.lit("")))
+    counts = [F.sum(c).alias(c) for c in ("pages", "blocked", "allowed")]
+    shapes = common.written(paths.groupBy("host", "segments").agg(*counts).withColumn("row", F.monotonically_increasing_id()), "shapes")
+    stars = merges(shapes, z).groupBy("row").agg(F.collect_set("depth").alias("stars"))
+    star = lambda s, i: F.when(F.array_contains("stars", i), "*").otherwise(s)
+    full = shapes.join(stars, "row", "left").select("host", "segments", F.array_join(F.when(F.isnull("stars"), F.col("segments")).otherwise(F.transform("segments", star)), "/").alias("template"))
+    known = paths.select("host", "path", "segments", "blocked", "allowed").join(full, ["host", "segments"])
     known = common.written(known.drop("segments"), "templates")
     return known.select("host", "path", "template"), known.groupBy("host", "template").agg(F.sum("blocked").alias("blocked"), F.sum("allowed").alias("allowed"))
 
 
-def judge(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, purity: float = 0.8, most_children: int = 16) -> DataFrame:
-    """page_id, host, path, rule, template and verdict (allow or block) of every page."""
+def judge(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, purity: float = 0.8, z: float = 2.0, shown: Column | None = None) -> DataFrame:
+    """page_id, host, path, rule, template, purity (smoothed, of the template), method (its verdict) and verdict of every page.
+
+    shown: which pages' rule verdicts the tree may learn from; all by default.
+    """
     host, path = split_url(F.col("url"))
     rule, verdict = ruled(rules)
-    split = pages.select("page_id", host.alias("host"), path.alias("path")).withColumns({"rule": rule, "given": verdict})
-    tally = lambda v: F.count(F.when(F.col("given") == v, 1))
-    labelled = split.groupBy("host", "path").agg(tally("block").alias("blocked"), tally("allow").alias("allowed"))
-    named, counts = templates(labelled, most_children)
-    bad = counts.where((F.col("blocked") + 1) / (F.col("blocked") + F.col("allowed") + 2) >= purity).select("host", "template", F.lit("block").alias("found"))
-    method = named.join(bad, ["host", "template"], "left")
-    return split.join(method, ["host", "path"], "left").select("page_id", "host", "path", "rule", "template", F.coalesce("given", "found", F.lit("allow")).alias("verdict"))
+    label = F.lit(True) if shown is None else F.coalesce(shown, F.lit(False))
+    split = pages.select("page_id", host.alias("host"), path.alias("path"), label.alias("shown")).withColumns({"rule": rule, "given": verdict})
+    tally = lambda v: F.count(F.when((F.col("given") == v) & F.col("shown"), 1))
+    labelled = split.groupBy("host", "path").agg(F.count("*").alias("pages"), tally("block").alias("blocked"), tally("allow").alias("allowed"))
+    named, counts = templates(labelled, z)
+    share = (F.col("blocked") + 1) / (F.col("blocked") + F.col("allowed") + 2)
+    judged = counts.select("host", "template", share.alias("purity"), F.when(share >= purity, "block").otherwise("allow").alias("method"))
+    known = split.join(named.join(judged, ["host", "template"]), ["host", "path"])
+    return known.select("page_id", "host", "path", "rule", "template", "purity", "method", F.coalesce("given", "method").alias("verdict"))
 
 
 def _sql_case(rules: list[tuple[str, str, str]], result) -> str:
@@ -94,30 +143,38 @@ def _sql_case(rules: list[tuple[str, str, str]], result) -> str:
 
 
 SQL = rf"""
-WITH parts AS (
+WITH RECURSIVE parts AS (
   SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 1), '{common.UPPER}', '{common.LOWER}') AS host, regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 2) AS path FROM pages
 ), split AS (
   SELECT *, {_sql_case(RULES, lambda v, h, p: h + p)} AS rule, {_sql_case(RULES, lambda v, h, p: v)} AS given FROM parts
 ), labelled AS (
-  SELECT host, path, count(*) FILTER (given = 'block') AS blocked, count(*) FILTER (given = 'allow') AS allowed,
+  SELECT host, path, count(*) AS pages, count(*) FILTER (given = 'block') AS blocked, count(*) FILTER (given = 'allow') AS allowed,
     list_transform(list_filter(string_split(path, '/'), lambda s: s <> ''), lambda s: CASE
       WHEN regexp_full_match(s, '[0-9]+(\.[A-Za-z]+)?') OR regexp_full_match(s, '[0-9a-fA-F-]*[0-9][0-9a-fA-F-]*(\.[A-Za-z]+)?') AND length(regexp_extract(s, '^[0-9a-fA-F-]*')) >= 8
       THEN '*' || regexp_extract(s, '\.[A-Za-z]+$') ELSE s END) AS segments
   FROM split GROUP BY host, path
-), shapes AS (SELECT host, segments, sum(blocked)::BIGINT AS blocked, sum(allowed)::BIGINT AS allowed FROM labelled GROUP BY ALL),
-steps AS (
-  SELECT host, segments, depth, coalesce(array_to_string(segments[1:depth], '/'), '') AS prefix, segments[depth + 1] AS segment, blocked, allowed
-  FROM (SELECT *, unnest(range(len(segments))) AS depth FROM shapes)
-), nodes AS (SELECT host, prefix, segment, sum(blocked)::BIGINT AS b, sum(allowed)::BIGINT AS a FROM steps GROUP BY ALL),
-families AS (
-  SELECT *, a + b AS n, (sum(a + b) OVER family)::BIGINT - a - b AS rest, (sum(b) OVER family)::BIGINT AS all_b, count(*) OVER family AS children
-  FROM nodes WINDOW family AS (PARTITION BY host, prefix)
-), named AS (
-  SELECT host, prefix, segment, CASE
-    WHEN children > 16 OR n > 0 AND rest > 0 AND abs(b / n - (all_b - b) / rest) <= sqrt((all_b / (n + rest)) * (1 - all_b / (n + rest)) * (1 / n + 1 / rest)) THEN '*' ELSE segment END AS name FROM families
-), shaped AS (SELECT host, segments, string_agg(name, '/' ORDER BY depth) AS template FROM steps JOIN named USING (host, prefix, segment) GROUP BY ALL),
-known AS (SELECT l.host, path, blocked, allowed, coalesce(template, '') AS template FROM labelled l LEFT JOIN shaped s ON s.host = l.host AND s.segments = l.segments),
-bad AS (SELECT host, template FROM known GROUP BY ALL HAVING (sum(blocked) + 1) / (sum(blocked) + sum(allowed) + 2) >= 0.8)
-SELECT page_id, s.host, s.path, rule, k.template, coalesce(given, CASE WHEN bad.host IS NOT NULL THEN 'block' END, 'allow') AS verdict
-FROM split s JOIN known k ON k.host = s.host AND k.path = s.path LEFT JOIN bad ON bad.host = k.host AND bad.template = k.template
+), shapes AS (SELECT host, segments, sum(pages)::BIGINT AS pages, sum(blocked)::BIGINT AS blocked, sum(allowed)::BIGINT AS allowed FROM labelled GROUP BY ALL),
+walk(host, segments, pages, blocked, allowed, names) AS (
+  SELECT *, []::VARCHAR[] FROM shapes
+  UNION ALL
+  SELECT host, segments, pages, blocked, allowed, list_append(names, CASE
+    WHEN children > 1 AND (n = 0 OR rest = 0 OR abs(b / n - (all_b - b) / rest) <= 2 * sqrt((all_b / (n + rest)) * (1 - all_b / (n + rest)) * (1 / n + 1 / rest))) THEN '*' ELSE segment END)
+  FROM (
+    SELECT *, a + b AS n, all_a + all_b - a - b AS rest FROM (
+      SELECT *, sum(blocked) OVER alike AS all_b, sum(allowed) OVER alike AS all_a, count(DISTINCT segment) OVER alike AS children FROM (
+        SELECT *, max(struct_pack(p := form_pages, f := form)) OVER branch AS mode, sum(blocked) OVER branch AS b, sum(allowed) OVER branch AS a FROM (
+          SELECT *, sum(pages) OVER (PARTITION BY host, names, segment, form) AS form_pages FROM (
+            SELECT *, segments[len(names) + 1] AS segment, array_to_string(list_transform(segments[len(names) + 2:], lambda s: CASE WHEN starts_with(s, '*') THEN s ELSE 'w' END), '/') AS form
+            FROM walk WHERE len(names) < len(segments)
+          )
+        ) WINDOW branch AS (PARTITION BY host, names, segment)
+      ) WINDOW alike AS (PARTITION BY host, names, mode.f)
+    )
+  )
+), shaped AS (SELECT host, segments, array_to_string(names, '/') AS template FROM walk WHERE len(names) = len(segments)),
+known AS (SELECT l.host, path, blocked, allowed, template FROM labelled l JOIN shaped s ON s.host = l.host AND s.segments = l.segments),
+judged AS (SELECT host, template, (sum(blocked) + 1) / (sum(blocked) + sum(allowed) + 2) AS purity FROM known GROUP BY ALL)
+SELECT page_id, s.host, s.path, rule, k.template, purity, CASE WHEN purity >= 0.8 THEN 'block' ELSE 'allow' END AS method,
+  coalesce(given, CASE WHEN purity >= 0.8 THEN 'block' ELSE 'allow' END) AS verdict
+FROM split s JOIN known k ON k.host = s.host AND k.path = s.path JOIN judged j ON j.host = k.host AND j.template = k.template
 """
