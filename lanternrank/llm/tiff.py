@@ -6,8 +6,9 @@ horizontal and floating-point prediction.  `encode` writes the files that the
 query stores.
 
 Defined cases: a null or empty media value has no pages; a damaged file raises
-ValueError, or with `strict=False` has no pages; a directory chain that loops
-ends where it would repeat; repeated rows are read one by one; an empty table
+ValueError, whatever is damaged, or with `strict=False` has no pages; so does a
+page that declares more samples than its data could give, before any memory is
+taken for it; a directory chain that loops ends where it would repeat; repeated rows are read one by one; an empty table
 gives an empty result; columns named like the results are replaced.
 """
 
@@ -22,6 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import common
@@ -34,18 +36,21 @@ PAGE_ROWS, WIDTH = 1024, 192
 
 # ---- compression
 
-def packbits_decode(data: bytes) -> bytes:
-    out, i, n = [], 0, len(data)
-    while i < n:
+def packbits_decode(data: bytes, most: int | None = None) -> bytes:
+    out, i, n, held = [], 0, len(data), 0
+    while i < n and (most is None or held < most):
         c = data[i]
         if c < 128:
-            out.append(data[i + 1 : i + 2 + c])
+            part = data[i + 1 : i + 2 + c]
             i += c + 2
         elif c > 128:
-            out.append(data[i + 1 : i + 2] * (257 - c))
+            part = data[i + 1 : i + 2] * (257 - c)
             i += 2
         else:
+            part = b""
             i += 1
+        out.append(part)
+        held += len(part)
     return b"".join(out)
 
 
@@ -53,6 +58,7 @@ RUN = re.compile(rb"(.)\1{2,127}", re.DOTALL)
 
 
 def packbits_encode(data: bytes) -> bytes:
+    """One row: the format packs each row by itself."""
     out, at = [], 0
 
     def literal(a, b):
@@ -68,10 +74,10 @@ def packbits_encode(data: bytes) -> bytes:
     return b"".join(out)
 
 
-def lzw_decode(data: bytes) -> bytes:
+def lzw_decode(data: bytes, most: int | None = None) -> bytes:
     """Codes of 9 to 12 bits, high bit first, one code early; 256 clears and 257 ends."""
     base = [bytes([i]) for i in range(256)] + [b"", b""]
-    table, out, prior = base[:], [], b""
+    table, out, prior, made = base[:], [], b"", 0
     held, bits, width = 0, 0, 9
     for byte in data:
         held, bits = (held << 8) | byte, bits + 8
@@ -83,67 +89,83 @@ def lzw_decode(data: bytes) -> bytes:
         if code == 256:
             table, prior, width = base[:], b"", 9
             continue
-        if code == 257:
+        if code == 257 or most is not None and made >= most:
             break
-        if not prior:
-            word = table[code]
-        else:
-            if code > len(table):
-                raise ValueError("LZW code out of order")
-            word = table[code] if code < len(table) else prior + prior[:1]
+        size = len(table)
+        if code > size or code == size and not prior:
+            raise ValueError("LZW code out of order")
+        word = table[code] if code < size else prior + prior[:1]
+        if prior:
             table.append(prior + word[:1])
-            size = len(table)
+            size += 1
             width = 9 if size < 511 else 10 if size < 1023 else 11 if size < 2047 else 12
         out.append(word)
+        made += len(word)
         prior = word
     return b"".join(out)
 
 
 def lzw_encode(data: bytes) -> bytes:
-    bits, width = 0, 9
-    codes: list[tuple[int, int]] = [(256, 9)]
-    table, following, word = {bytes([i]): i for i in range(256)}, 258, b""
-    for i in range(len(data)):
-        longer = word + data[i : i + 1]
-        if longer in table:
-            word = longer
+    out, held, bits = bytearray(), 0, 0
+
+    def put(code):
+        nonlocal held, bits
+        held, bits = (held << width) | code, bits + width
+        while bits >= 8:
+            bits -= 8
+            out.append(held >> bits)
+            held &= (1 << bits) - 1
+
+    width = 9
+    put(256)
+    table: dict[int, int] = {}  # code of a string << 8 | its next byte -> the longer string's code
+    following, code = 258, -1
+    for byte in data:
+        if code < 0:
+            code = byte
+            continue
+        key = code << 8 | byte
+        longer = table.get(key)
+        if longer is not None:
+            code = longer
             continue
-        codes.append((table[word], width))
-        table[longer] = following
+        put(code)
+        table[key] = following
         following += 1
-        width = 9 if following < 512 else 10 if following < 1024 else 11 if following < 2048 else 12
+        code = byte
         if following == 4094:
-            codes.append((256, 12))
-            table, following, width = {bytes([k]): k for k in range(256)}, 258, 9
-        word = data[i : i + 1]
-    if word:
-        codes.append((table[word], width))
-        following += 1
-        width = 9 if following < 512 else 10 if following < 1024 else 11 if following < 2048 else 12
-    codes.append((257, width))
-    out = bytearray()
-    value = 0
-    for code, size in codes:
-        value, bits = (value << size) | code, bits + size
-        while bits >= 8:
-            bits -= 8
-            out.append(value >> bits)
-            value &= (1 << bits) - 1
+            width = 12
+            put(256)
+            table, following, width = {}, 258, 9
+        elif following in WIDER:
+            width += 1
+    if code >= 0:
+        put(code)
+        if following + 1 in WIDER:
+            width += 1
+    put(257)
     if bits:
-        out.append((value << (8 - bits)) & 255)
+        out.append((held << (8 - bits)) & 255)
     return bytes(out)
 
 
-def decompress(data: bytes, kind: int) -> bytes:
+#: Table sizes from which codes are one bit longer.
+WIDER = (512, 1024, 2048)
+#: Bytes that a byte of compressed data gives at most.
+EXPANDS = {NONE: 1, PACKBITS: 64, LZW: 4096, DEFLATE: 1040, OLD_DEFLATE: 1040}
+
+
+def decompress(data: bytes, kind: int, most: int) -> bytes:
+    """The first `most` bytes or a few more of what a block holds."""
     if kind == NONE:
         return data
     if kind == PACKBITS:
-        return packbits_decode(data)
+        return packbits_decode(data, most)
     if kind == LZW:
-        return lzw_decode(data)
+        return lzw_decode(data, most)
     if kind in (DEFLATE, OLD_DEFLATE):
         try:
-            return zlib.decompress(data)
+            return zlib.decompressobj().decompress(data, max(1, most))
         except zlib.error as e:
             raise ValueError(f"damaged deflate data: {e}") from None
     raise ValueError(f"compression {kind} is not read")
@@ -206,7 +228,14 @@ def _samples(raw: bytes, rows: int, width: int, spp: int, bits: int, fmt: int, p
 
 
 def pages(data: bytes) -> Iterator[tuple[dict[str, int], np.ndarray]]:
-    """(facts, samples as rows x columns x channels) of each page."""
+    """(facts, samples as rows x columns x channels) of each page; any damage raises ValueError."""
+    try:
+        yield from _pages(data)
+    except (struct.error, IndexError, KeyError, TypeError, ZeroDivisionError, OverflowError, MemoryError) as e:
+        raise ValueError(f"damaged file: {e}") from None
+
+
+def _pages(data: bytes) -> Iterator[tuple[dict[str, int], np.ndarray]]:
     for order, tags in directories(data):
         one = lambda tag, default: int(tags[tag][0]) if tag in tags and len(tags[tag]) else default  # noqa: B023, E731
         width, height, spp, bits = one(256, 0), one(257, 0), one(277, 1), one(258, 1)
@@ -218,14 +247,18 @@ def pages(data: bytes) -> Iterator[tuple[dict[str, int], np.ndarray]]:
         bw, bh = (one(322, width), one(323, height)) if tiled else (width, min(one(278, height), height))
         across, down = -(-width // bw), -(-height // bh)
         planes, deep = (spp, 1) if planar == 2 else (1, spp)
-        if len(offsets) < across * down * planes:
+        if min(len(offsets), len(lengths)) < across * down * planes:
             raise ValueError("a page lacks blocks")
+        if not 0 < bits <= 64 or spp < 1 or bw < 1 or bh < 1 or kind not in EXPANDS:
+            raise ValueError("a page's form is not read")
+        if -(-width * spp * bits // 8) * height > EXPANDS[kind] * sum(min(int(n), len(data)) for n in lengths[: across * down * planes]) + 64:
+            raise ValueError("a page declares more than its data can hold")
         image = None
         for k in range(across * down * planes):
             plane, (row, col) = k // (across * down), divmod(k % (across * down), across)
             a = int(offsets[k])
-            raw = decompress(data[a : a + int(lengths[k])], kind)
             rows = bh if tiled else min(bh, height - row * bh)
+            raw = decompress(data[a : a + int(lengths[k])], kind, -(-bw * deep * bits // 8) * rows)
             try:
                 block = _samples(raw, rows, bw, deep, bits, fmt, predictor, order)
             except ValueError as e:
@@ -238,28 +271,42 @@ def pages(data: bytes) -> Iterator[tuple[dict[str, int], np.ndarray]]:
         yield {"width": width, "height": height, "samples": spp, "bits": bits, "compression": kind, "predictor": predictor, "tiled": int(tiled)}, image
 
 
-def read(df: DataFrame, media: str = "media", pixels: bool = True, strict: bool = True) -> DataFrame:
-    """A row for each page of each file of df: its columns but media, page, facts and, if asked for, pixels (big-endian bytes)."""
+def read(df: DataFrame, media: str = "media", pixels: bool = True, strict: bool = True, batch_bytes: int = 4 << 20) -> DataFrame:
+    """A row for each page of each file of df, in order: its columns but media, page, pages (of the file), facts and, if asked for, pixels (big-endian bytes)."""
     facts = ("width", "height", "samples", "bits", "compression", "predictor", "tiled")
-    names = ["page", *facts, *(["pixels"] if pixels else [])]
+    names = ["page", "pages", *facts, *(["pixels"] if pixels else [])]
     keep = [c for c in df.columns if c not in (media, *names)]
     schema = T.StructType([*(df.schema[c] for c in keep), *(T.StructField(n, T.BinaryType() if n == "pixels" else T.LongType()) for n in names)])
 
+    def found(data):
+        """(number of pages, facts, samples) of each page."""
+        try:
+            n = sum(1 for _ in directories(data)) if data else 0
+            if not strict:
+                for _ in pages(data) if data else ():  # a damaged file has no pages at all
+                    pass
+            yield from ((n, f, image) for f, image in (pages(data) if data else ()))
+        except ValueError:
+            if strict:
+                raise
+
     def run(batches):
         for b in common.pieces(batches, column=media):
-            rows, where = [], []
-            for i, data in enumerate(b.column(media).to_pylist()):
-                try:
-                    found = list(pages(data)) if data else []
-                except ValueError:
-                    if strict:
-                        raise
-                    found = []
-                for k, (f, image) in enumerate(found):
+            rows, where, held = [], [], 0
+
+            def batch():
+                chosen = b.take(pa.array(where, pa.int64()))  # noqa: B023
+                return pa.RecordBatch.from_arrays([*(chosen.column(c) for c in keep), *(pa.array([r[n] for r in rows], pa.binary() if n == "pixels" else pa.int64()) for n in names)], names=schema.names)  # noqa: B023
+
+            for i in range(b.num_rows):
+                for k, (n, f, image) in enumerate(found(b.column(media)[i].as_py())):
                     where.append(i)
-                    rows.append({"page": k, **f} | ({"pixels": image.astype(image.dtype.newbyteorder(">")).tobytes()} if pixels else {}))
-            chosen = b.take(pa.array(where, pa.int64()))
-            yield pa.RecordBatch.from_arrays([*(chosen.column(c) for c in keep), *(pa.array([r[n] for r in rows], pa.binary() if n == "pixels" else pa.int64()) for n in names)], names=schema.names)
+                    rows.append({"page": k, "pages": n, **f} | ({"pixels": image.astype(image.dtype.newbyteorder(">")).tobytes()} if pixels else {}))
+                    held += image.nbytes
+                    if held > batch_bytes:
+                        yield batch()
+                        rows, where, held = [], [], 0
+            yield batch()
 
     return df.select(*keep, media).mapInArrow(run, schema)
 
@@ -275,7 +322,8 @@ def _predict(block: np.ndarray) -> np.ndarray:
 def write(image: list[np.ndarray], kind: int, predictor: int, tile: tuple[int, int] | None, strip_rows: int) -> bytes:
     """A little-endian file of 8-bit grey pages (rows x columns)."""
     out, link = bytearray(b"II*\0\0\0\0\0"), 4
-    packed = {NONE: bytes, PACKBITS: packbits_encode, LZW: lzw_encode, DEFLATE: lambda d: zlib.compress(d, 4)}[kind]
+    rowwise = lambda block: b"".join(packbits_encode(row.tobytes()) for row in block)
+    packed = {NONE: lambda x: x.tobytes(), PACKBITS: rowwise, LZW: lambda x: lzw_encode(x.tobytes()), DEFLATE: lambda x: zlib.compress(x.tobytes(), 4)}[kind]
     for page in image:
         height, width = page.shape
         bh, bw = tile or (strip_rows, width)
@@ -285,7 +333,7 @@ def write(image: list[np.ndarray], kind: int, predictor: int, tile: tuple[int, i
                 block = page[y : y + bh, x : x + bw]
                 if tile and block.shape != tile:
                     block = np.pad(block, ((0, bh - block.shape[0]), (0, bw - block.shape[1])))
-                data = packed((_predict(block) if predictor == 2 else block).tobytes())
+                data = packed(_predict(block) if predictor == 2 else block)
                 offsets.append(len(out))
                 lengths.append(len(data))
                 out += data + b"\0" * (len(data) & 1)
@@ -307,18 +355,18 @@ def write(image: list[np.ndarray], kind: int, predictor: int, tile: tuple[int, i
 
 
 def encode(text: bytes) -> bytes:
-    """The text's payload as a file; the form follows from the text, so that equal texts give equal files and all forms occur."""
+    """The text's payload as a file; the form follows from a hash of the payload, so that equal texts give equal files and all forms occur at every size.
+
+    Of the 32 forms a quarter is PackBits, a quarter LZW and a half deflate,
+    each half in strips and half in tiles; of LZW and deflate (the format
+    predicts for these) half is predicted.
+    """
     payload = text + b" " * (-len(text) % WIDTH or (0 if text else WIDTH))
     rows = np.frombuffer(payload, np.uint8).reshape(-1, WIDTH)
     image = [rows[i : i + PAGE_ROWS] for i in range(0, len(rows), PAGE_ROWS)]
-    form = zlib.crc32(payload) % 8
-    if form == 0:
-        return write(image, PACKBITS, 1, None, 64)
-    if form == 1:
-        return write(image, LZW, 1, None, 8)
-    if form == 2:
-        return write(image, DEFLATE, 2, (64, 64), 0)
-    return write(image, DEFLATE, 1, None, 256)
+    form = zlib.crc32(payload) % 32
+    kind = (PACKBITS, LZW, DEFLATE, DEFLATE)[form % 4]
+    return write(image, kind, 2 if form & 8 and kind != PACKBITS else 1, (64, 64) if form & 4 else None, 64)
 
 
 def stored(docs: DataFrame) -> DataFrame:
@@ -333,27 +381,40 @@ def stored(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
-def feature(samples: bytes, n_pages: int) -> str:
-    """Pages, distinct values, and the share per thousand of samples in eight equal ranges."""
-    counts = np.bincount(np.frombuffer(samples, np.uint8), minlength=256)
-    shares = counts.reshape(8, 32).sum(axis=1) * 1000 // max(1, len(samples))
+def feature(n_pages: int, counts: np.ndarray) -> str:
+    """Pages, distinct values, and the share per thousand of samples in eight equal ranges; counts by sample value."""
+    shares = counts.reshape(8, 32).sum(axis=1) * 1000 // max(1, int(counts.sum()))
     return f"{n_pages};{int((counts > 0).sum())};" + ",".join(map(str, shares))
 
 
 def digests(df: DataFrame) -> DataFrame:
-    """Columns of df but media, and what its pages in their order, read back, hold; one row a file, decoded page by page."""
+    """Columns of df but media, and what the pages of each file, as `read` gives them, hold; one row a file that has pages.
+
+    `read` gives a file's pages one after another and without an exchange, so a
+    task folds them as they come and holds one batch of pages.
+    """
     fields = [("payload_bytes", T.LongType()), ("payload_sha256", T.StringType()), ("tail_crc32", T.LongType()), ("media_bytes", T.LongType()), ("media_sha256", T.StringType()), ("feature", T.StringType())]
-    keep = [c for c in df.columns if c != "media" and c not in dict(fields)]
+    keep = [c for c in df.columns if c != "media" and c not in dict(fields) and c not in ("page", "pages", "pixels")]
     schema = T.StructType([*(df.schema[c] for c in keep), *(T.StructField(n, t) for n, t in fields)])
 
     def run(batches):
-        for b in common.pieces(batches, column="media"):
-            rows = []
-            for data in b.column("media").to_pylist():
-                parts = [image.tobytes() for _, image in pages(data)] if data else []
-                payload = b"".join(parts)
-                rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(data or b""), hashlib.sha256(data or b"").hexdigest(), feature(payload, len(parts))))
+        sha = counts = size = tail = None
+        for b in batches:
+            rows, where = [], []
+            columns = zip(*(b.column(c).to_pylist() for c in ("page", "pages", "pixels", "media_bytes", "media_sha256")))
+            for i, (page, n, pixels, media_bytes, media_sha256) in enumerate(columns):
+                if page == 0:
+                    sha, counts, size, tail = hashlib.sha256(), np.zeros(256, np.int64), 0, b""
+                sha.update(pixels)
+                counts += np.bincount(np.frombuffer(pixels, np.uint8), minlength=256)
+                size, tail = size + len(pixels), (tail + pixels[-16:])[-16:]
+                if page == n - 1:
+                    where.append(i)
+                    rows.append((size, sha.hexdigest(), zlib.crc32(tail), media_bytes, media_sha256, feature(n, counts)))
+            chosen = b.take(pa.array(where, pa.int64()))
             cols = zip(*rows) if rows else [[]] * 6
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), *(pa.array(list(c), pa.int64() if t == T.LongType() else pa.string()) for c, (_, t) in zip(cols, fields))], names=schema.names)
+            yield pa.RecordBatch.from_arrays([*(chosen.column(c) for c in keep), *(pa.array(list(c), pa.int64() if t == T.LongType() else pa.string()) for c, (_, t) in zip(cols, fields))], names=schema.names)
 
-    return df.select(*keep, "media").mapInArrow(run, schema)
+    form = df.select(*keep, "media", F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"))
+    pages_ = read(form).select(*keep, "page", "pages", "pixels", "media_bytes", "media_sha256")
+    return pages_.mapInArrow(run, schema)
