@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-INSTRUCTION = "Given a query, retrieve relevant passages that answer it"
+#: Fixed value: the instruction that the query embeddings were made with.
+INSTRUCTION = "Given a scientific research question, retrieve paragraphs from scientific papers that are relevant to answering the question."
 
 
 def strip(c: Column) -> Column:

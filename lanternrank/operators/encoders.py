@@ -14,6 +14,7 @@ from typing import Protocol
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lanternrank.functions.text import chunks, tokens
 
@@ -53,15 +54,22 @@ def mean_pool(weights: DataFrame, item: str = "docid") -> DataFrame:
     return sums.join(size, item).select(item, "term", (F.col("s") / F.col("total")).alias("weight"))
 
 
-def encode_batches(batches: Iterator[pd.Series], encode: Callable[[list[str]], list], most_parts: int = 10) -> Iterator[pd.Series]:
+def parts_of(text: str, n: int) -> list[str]:
+    """The text's words in n runs of nearly equal length; a text of fewer words is cut by characters."""
+    words = text.split()
+    units, glue = (words, " ") if len(words) >= n else (list(text), "")
+    step = max(1, -(-len(units) // n))
+    return [glue.join(units[i : i + step]) for i in range(0, len(units), step)]
+
+
+def encode_batches(batches: Iterator[pd.Series], encode: Callable[[list[str]], list], most_parts: int = 11) -> Iterator[pd.Series]:
     """Encodes batches; a failing batch is tried text by text, a failing text in 2 to `most_parts` parts whose mean is normalised.  What still fails is null."""
     import numpy as np
 
-    def parts_of(text: str):
+    def in_parts(text: str):
         for n in range(2, most_parts + 1):
-            step = -(-len(text) // n)
             try:
-                got = encode([text[i : i + step] for i in range(0, len(text), step)])
+                got = encode(parts_of(text, n))
             except Exception:  # noqa: BLE001  whatever a model raises
                 continue
             mean = np.mean(np.asarray(got, float), axis=0)
@@ -73,10 +81,25 @@ def encode_batches(batches: Iterator[pd.Series], encode: Callable[[list[str]], l
         try:
             return encode([text])[0]
         except Exception:  # noqa: BLE001
-            return parts_of(text)
+            return in_parts(text)
 
     for b in batches:
         try:
-            yield pd.Series(encode(b.tolist()), index=b.index)
+            yield pd.Series(encode(b.tolist()), index=b.index, dtype=object)
         except Exception:  # noqa: BLE001
-            yield pd.Series([alone(t) for t in b], index=b.index)
+            yield pd.Series([alone(t) for t in b], index=b.index, dtype=object)
+
+
+def encoded(rows: DataFrame, load: Callable[[], Callable[[list[str]], list]], text: str = "text", vector: str = "vector", batch: int = 16) -> DataFrame:
+    """rows with a column of vectors; `load` is called once a task and gives the encoder, null texts read as empty."""
+    kept = rows.drop(vector)
+    schema = T.StructType([*kept.schema.fields, T.StructField(vector, T.ArrayType(T.DoubleType()))])
+
+    def run(frames):
+        encode = load()
+        for f in frames:
+            pieces = (f[text].fillna("")[i : i + batch] for i in range(0, len(f), batch))
+            found = [None if v is None else [float(x) for x in v] for s in encode_batches(pieces, encode) for v in s]
+            yield f.assign(**{vector: pd.Series(found, index=f.index, dtype=object)})
+
+    return kept.mapInPandas(run, schema)

@@ -7,6 +7,8 @@ queries that a run lacks score zero.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,34 +25,46 @@ def judged(runs: DataFrame, qrels: DataFrame) -> DataFrame:
     return runs.join(asked, "qid", "left_semi").join(qrels, ["qid", "docid"], "left").withColumn("rel", F.coalesce("rel", F.lit(0)))
 
 
-def ideal(qrels: DataFrame, depth: int | None = None) -> DataFrame:
-    place = F.row_number().over(Window.partitionBy("qid").orderBy(F.col("rel").desc(), "docid"))
-    ranked = qrels.withColumn("place", place)
-    ranked = ranked.where(F.col("place") <= depth) if depth else ranked
-    return ranked.groupBy("qid").agg(F.sum(F.col("rel") / F.log2(F.col("place") + 1)).alias("ideal"))
+def ideal(graded: DataFrame, by: tuple[str, ...] = ("qid",)) -> DataFrame:
+    """by, and the best possible gain of all places (all) and of the first five (five)."""
+    place = F.row_number().over(Window.partitionBy(*by).orderBy(F.col("rel").desc(), "docid"))
+    gain = F.col("rel") / F.log2(F.col("place") + 1)
+    return graded.withColumn("place", place).groupBy(*by).agg(F.sum(gain).alias("all"), F.sum(F.when(F.col("place") <= 5, gain).otherwise(0.0)).alias("five"))
 
 
-def per_query(runs: DataFrame, qrels: DataFrame, level: int = 1, metrics: tuple[str, ...] = METRICS) -> DataFrame:
-    """run, qid, metric, value of each run and judged query; grades under `level` don't count."""
-    if unknown := set(metrics) - set(METRICS):
+def _values(runs: DataFrame, qrels: DataFrame, wanted: dict[int, tuple[str, ...]]) -> DataFrame:
+    """run, qid, metric, value, level: the metrics of each relevance level; grades under it don't count.
+
+    Runs meet the judgments once, whatever the number of levels.
+    """
+    if unknown := {m for ms in wanted.values() for m in ms} - set(METRICS):
         raise ValueError(f"unknown metrics: {sorted(unknown)}")
-    rel = F.when(F.col("rel") >= level, F.col("rel")).otherwise(0)
-    counted = judged(runs, qrels).withColumn("rel", rel)
+    if not any(wanted.values()):
+        raise ValueError("no metrics are asked for")
+    levels = F.explode(F.array(*[F.lit(level) for level, ms in wanted.items() if ms]))
+    rel = F.when(F.col("rel") >= F.col("level"), F.col("rel")).otherwise(0)
+    at_levels = lambda df: df.withColumn("level", levels).withColumn("rel", rel)
     gain, hit, at = F.col("rel") / F.log2(F.col("rank") + 1), F.col("rel") > 0, F.col("rank")
-    sums = counted.groupBy("run", "qid").agg(
+    sums = at_levels(judged(runs, qrels)).groupBy("level", "run", "qid").agg(
         F.sum(gain).alias("dcg"),
         F.sum(F.when(at <= 5, gain).otherwise(0.0)).alias("dcg5"),
         F.coalesce(1 / F.min(F.when(hit, at)), F.lit(0.0)).alias("mrr"),
         (F.sum(F.when(hit & (at <= 5), 1).otherwise(0)) / 5).alias("p5"),
         (F.sum(F.when(hit & (at <= 10), 1).otherwise(0)) / 10).alias("p10"),
     )
-    known = qrels.withColumn("rel", rel)
-    best = ideal(known).withColumnRenamed("ideal", "all").join(ideal(known, 5).withColumnRenamed("ideal", "five"), "qid")
+    best = ideal(at_levels(qrels), ("level", "qid"))
     every = runs.select("run").distinct().crossJoin(F.broadcast(best))
     ratio = lambda a, b: F.when(F.col(b) > 0, F.coalesce(F.col(a), F.lit(0.0)) / F.col(b)).otherwise(0.0)
     zero = lambda c: F.coalesce(c, F.lit(0.0))
-    wide = every.join(sums, ["run", "qid"], "left").select("run", "qid", ratio("dcg", "all").alias("ndcg"), ratio("dcg5", "five").alias("ndcg5"), *[zero(m).alias(m) for m in ("mrr", "p5", "p10")])
-    return wide.unpivot(["run", "qid"], list(metrics), "metric", "value")
+    wide = every.join(sums, ["level", "run", "qid"], "left").select("level", "run", "qid", ratio("dcg", "all").alias("ndcg"), ratio("dcg5", "five").alias("ndcg5"), *[zero(m).alias(m) for m in ("mrr", "p5", "p10")])
+    long = wide.unpivot(["level", "run", "qid"], list(METRICS), "metric", "value")
+    asked = [(F.col("level") == level) & F.col("metric").isin(*ms) for level, ms in wanted.items() if ms]
+    return long.where(reduce(lambda a, b: a | b, asked)).select("run", "qid", "metric", "value", "level")
+
+
+def per_query(runs: DataFrame, qrels: DataFrame, level: int = 1, metrics: tuple[str, ...] = METRICS) -> DataFrame:
+    """run, qid, metric, value of each run and judged query; grades under `level` don't count."""
+    return _values(runs, qrels, {level: tuple(metrics)}).drop("level")
 
 
 def means(values: DataFrame) -> DataFrame:
@@ -58,29 +72,27 @@ def means(values: DataFrame) -> DataFrame:
 
 
 def passes(runs: DataFrame, qrels: DataFrame, graded: tuple[str, ...] = METRICS, strict: tuple[str, ...] = ("mrr", "p5")) -> DataFrame:
-    """Both relevance passes: level 1 with `graded`, level 2 with `strict`; an empty list skips its pass."""
-    parts = [per_query(runs, qrels, level, m).withColumn("level", F.lit(level)) for level, m in ((1, graded), (2, strict)) if m]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    """Both relevance passes: level 1 with `graded`, level 2 with `strict`; an empty list skips its pass, two are an error."""
+    return _values(runs, qrels, {1: tuple(graded), 2: tuple(strict)})
 
 
-def pairs(values: DataFrame, by: tuple[str, ...] = ("metric",)) -> DataFrame:
-    """by, run_a, run_b, qid, a, b for each two runs in order of name."""
+def pairs(values: DataFrame, by: tuple[str, ...] = ("metric",), order: tuple[str, ...] = ()) -> DataFrame:
+    """by, run_a, run_b, qid, a, b for each two runs, the first of them first in `order`; runs that it doesn't name follow by name."""
+    known = F.array(*[F.lit(n) for n in order]) if order else F.array().cast("array<string>")
+    place = lambda c: F.struct(F.coalesce(F.nullif(F.array_position(known, c), F.lit(0)), F.lit(len(order) + 1)), c)
     a = values.select(*by, "qid", F.col("run").alias("run_a"), F.col("value").alias("a"))
     b = values.select(*by, "qid", F.col("run").alias("run_b"), F.col("value").alias("b"))
-    return a.join(b, [*by, "qid"]).where("run_a < run_b")
+    return a.join(b, [*by, "qid"]).where(place(F.col("run_a")) < place(F.col("run_b")))
 
 
-def compared(values: DataFrame, by: tuple[str, ...] = ("metric",), max_p: float = 0.05, digits: int = 12) -> DataFrame:
+def compared(values: DataFrame, by: tuple[str, ...] = ("metric",), max_p: float = 0.05, digits: int = 12, order: tuple[str, ...] = ()) -> DataFrame:
     """Means, wins, ties and losses of run_a, paired t with degrees of freedom, p and the better run.
 
     t is null without spread or with one pair; `better` uses the unrounded p,
     and the higher mean (run_b if they are equal).
     """
     d = F.round(F.col("a") - F.col("b"), digits)
-    s = pairs(values, by).withColumn("d", d).groupBy(*by, "run_a", "run_b").agg(
+    s = pairs(values, by, order).withColumn("d", d).groupBy(*by, "run_a", "run_b").agg(
         F.avg("a").alias("mean_a"), F.avg("b").alias("mean_b"), F.count("*").alias("n"), F.avg("d").alias("mean_d"), F.stddev_samp("d").alias("sd"),
         *[F.sum(F.when(c, 1).otherwise(0)).alias(n) for n, c in (("wins", F.col("d") > 0), ("ties", F.col("d") == 0), ("losses", F.col("d") < 0))],
     )

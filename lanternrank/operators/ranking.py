@@ -93,9 +93,7 @@ def dense_scores(queries: DataFrame, corpus: DataFrame, item: str = "docid", k:
                 if k is None or k >= b.num_rows:
                     rows, cols = np.divmod(np.arange(s.size), len(qids))
                 else:
-                    ids = np.argsort(np.argsort(np.array(b.column(item).to_pylist(), dtype=object)))
-                    order = np.stack([np.lexsort((ids, -np.round(s[:, j], 9)))[:k] for j in range(len(qids))])
-                    rows, cols = order.ravel(), np.repeat(np.arange(len(qids)), k)
+                    rows, cols = _best(np.round(s, 9), b.column(item), k)
                 for at in range(0, len(rows), 1 << 17):
                     r, c = rows[at : at + (1 << 17)], cols[at : at + (1 << 17)]
                     yield pa.RecordBatch.from_arrays([pa.array([qids[x] for x in c]), *(b.column(n).take(pa.array(r)) for n in names), pa.array(s[r, c])], names=["qid", *names, "score"])
@@ -119,6 +117,19 @@ def dense_scores(queries: DataFrame, corpus: DataFrame, item: str = "docid", k:
     return out if out is not None else spark.createDataFrame([], schema)
 
 
+def _best(scores: np.ndarray, ids: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of the k best of each column, ties by id: a partial selection, and an order only where ties stand at the edge."""
+    edge = np.partition(scores, len(scores) - k, axis=0)[len(scores) - k]
+    keep = scores >= edge
+    tied = np.flatnonzero(keep.sum(axis=0) > k)
+    if len(tied):
+        place = np.argsort(np.argsort(np.array(ids.to_pylist(), dtype=object)))
+        for j in tied:
+            keep[:, j] = False
+            keep[np.lexsort((place, -scores[:, j]))[:k], j] = True
+    return np.nonzero(keep)
+
+
 # ---- papers
 
 def maxp(scores: DataFrame) -> DataFrame:
@@ -133,8 +144,9 @@ def best_passage(scores: DataFrame) -> DataFrame:
 
 
 def rerank_input(candidates: DataFrame, queries: DataFrame, passages: DataFrame) -> DataFrame:
-    """Candidates with the query's and the passage's text."""
-    return candidates.join(passages.select("docid", "text"), "docid").join(small(queries.select("qid", "query")), "qid")
+    """Candidates with the query's and the passage's text; a candidate without a text is an error."""
+    paired = candidates.join(passages.select("docid", "text"), "docid", "left").join(small(queries.select("qid", "query")), "qid")
+    return paired.withColumn("text", F.coalesce("text", F.raise_error(F.concat(F.lit("no text for "), F.col("docid").cast("string"))).cast("string")))
 
 
 def rerank(candidates: DataFrame, queries: DataFrame, passages: DataFrame, scorer, item: str = "docid", k: int | None = None) -> DataFrame:

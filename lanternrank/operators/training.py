@@ -28,8 +28,9 @@ def _split(ids: DataFrame, size: Column, seed: int) -> DataFrame:
 
 
 def split_80_20(ids: DataFrame, seed: int = SEED) -> DataFrame:
-    """max(2, n div 5) for validation; at least four ids are needed."""
-    return _split(ids, F.greatest(F.lit(2), F.expr("n div 5")), seed)
+    """max(2, n div 5) for validation; fewer than four ids are an error."""
+    few = F.when(F.col("n") < 4, F.raise_error(F.lit("a split needs four ids at least")).cast("long"))
+    return _split(ids, F.coalesce(few, F.greatest(F.lit(2), F.expr("n div 5"))), seed)
 
 
 def split_90_10(ids: DataFrame, seed: int = SEED, share: float = 0.9) -> DataFrame:
@@ -65,7 +66,8 @@ def training_pairs(qrels: DataFrame, most: int = 100, seed: int = SEED) -> DataF
     """qid, pos, neg: up to `most` drawn pairs of a positive and a negative of each query.
 
     A query's pairs are joined on the query, never across; the limit is the
-    training recipe's own.
+    training recipe's own.  Judgments of one query are a bounded set, as people
+    make them: a query of p positives and n negatives costs p * n rows.
     """
     pos = qrels.where("rel >= 2").select("qid", F.col("docid").alias("pos"))
     neg = qrels.where("rel = 1").select("qid", F.col("docid").alias("neg"))
@@ -89,6 +91,12 @@ def missing_docs(qrels: DataFrame, passages: DataFrame) -> DataFrame:
     return qrels.select("docid").distinct().join(passages.select("docid"), "docid", "left_anti")
 
 
+def first_of(rows: DataFrame, key: str, order: str) -> DataFrame:
+    """rows with the first of each key in the given order left, in that order."""
+    first = rows.groupBy(key).agg(F.min(order).alias(order))
+    return rows.join(first, [key, order], "left_semi").dropDuplicates([key]).orderBy(order)
+
+
 # ---- batches
 
 def batches(picked: DataFrame, size: int = 8, seed: int = SEED) -> DataFrame:

@@ -5,9 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import json
+
 from lanternrank.functions.vectors import dot
 from lanternrank.operators.encoders import term_weights
 from lanternrank.operators.ranking import dense_scores, rank, small
+from lanternrank.sources import corpus as C
+from lanternrank.sources import workspace
+from lanternrank.sources.indexes import DenseIndex, SparseIndex, build_dense, build_sparse
 
 
 class Tables:
@@ -29,6 +34,54 @@ class Tables:
         lines = self.documents().select(F.col("doc_id").cast("string").alias("paper_id"), F.posexplode(F.split("text", "\n")).alias("pos", "text"))
         return lines.where(F.length(F.trim("text")) > 0).select("paper_id", F.concat_ws("_", "paper_id", F.col("pos").cast("string")).alias("docid"), "pos", (F.col("pos") == 0).alias("is_front"), "text")
 
+    # ---- files and indexes, made once in the shared folder
+
+    def _made(self, name: str, table: str, make, **settings) -> str:
+        signature = C.signature(C.files_of(self.spark, f"{self.dir}/{table}.parquet"), settings).first()[0]
+        return workspace.made(self.spark, name, signature, lambda path: make(path, signature))
+
+    def papers(self) -> DataFrame:
+        """The documents as papers, written as JSON and read back: title is the source, abstract the language."""
+        docs = self.documents().select(F.col("doc_id").cast("string").alias("paper_id"), F.col("source").alias("title"), F.col("lang").alias("abstract"), F.split(F.coalesce("text", F.lit("")), "\n").alias("l"))
+        entry = F.transform("l", lambda x, i: F.struct(F.concat_ws("_", "paper_id", i.cast("string")).alias("key"), x.alias("value")))
+        rows = docs.withColumn("paragraphs", F.map_from_entries(F.filter(entry, lambda e: F.length(F.trim(e["value"])) > 0)))
+        return C.papers(self.spark, self._made("papers", "documents", lambda path, _: C.write_papers(rows, path)), lines=True)
+
+    def topic_file(self) -> str:
+        """The topics (a bounded set) as a JSON list in order of their ids."""
+
+        def write(path, _):
+            rows = sorted(self.topics().collect(), key=lambda r: int(r.qid))
+            text = json.dumps([{"query_id": int(r.qid), "query": r.query} for r in rows])
+            self.spark.createDataFrame([(text,)], "value string").coalesce(1).write.text(path)
+
+        return self._made("topics", "benchmark", write)
+
+    def qrel_file(self) -> str:
+        return self._made("qrels", "embeddings", lambda path, _: C.write_qrels(self.qrels(), path))
+
+    def index(self) -> SparseIndex:
+        path = self._made("sparse", "documents", lambda path, signature: build_sparse(self.passages(), path, signature), encoder="ln(1 + count)")
+        return SparseIndex(self.spark, path)
+
+    def dense(self) -> DenseIndex:
+        path = self._made("dense", "embeddings", lambda path, signature: build_dense(self.vectors(), path, signature))
+        return DenseIndex(self.spark, path)
+
+    def _line(self, rows: DataFrame) -> DataFrame:
+        """rows (vec_id) with text: the line of the vector's document at its place among the document's vectors, all of it if that line is blank."""
+        docs = self.documents().select(F.col("doc_id").alias("_doc"), F.col("text").alias("_text"))
+        line = F.get(F.split("_text", "\n"), (F.col("vec_id") % 5).cast("int"))
+        text = F.when(F.length(F.trim(line)) > 0, line).otherwise(F.col("_text"))
+        found = rows.withColumn("_doc", F.expr("vec_id div 5")).join(docs, "_doc", "left")
+        return found.withColumn("text", F.coalesce(text, F.concat(F.lit("vector "), F.col("vec_id").cast("string")))).drop("_doc", "_text")
+
+    def dense_topics(self) -> DataFrame:
+        return self._line(self.queries().select("qid", F.col("qid").alias("vec_id"))).select("qid", F.col("text").alias("query"))
+
+    def dense_texts(self) -> DataFrame:
+        return self._line(self.vectors().select("docid", "vec_id")).select("docid", "text")
+
     def topics(self) -> DataFrame:
         return self.table("benchmark").select(F.col("item_id").cast("string").alias("qid"), F.col("text").alias("query"))
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -17,6 +18,7 @@ from lanternrank.operators import training as L
 from lanternrank.plans import evaluate as V
 from lanternrank.plans.bindings import Tables
 from lanternrank.sources import corpus as C
+from lanternrank.sources import workspace
 
 BUDGET = 64
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -98,18 +100,17 @@ def r6(c: str, name: str | None = None):
 
 @query("scan_papers", "SELECT doc_id::VARCHAR AS paper_id, len(list_filter(string_split(text, chr(10)), lambda x: length(trim(x, ' ')) > 0))::INTEGER AS n_passages FROM documents")
 def _(t):
-    lines = F.filter(F.split("text", "\n"), lambda x: F.length(F.trim(x)) > 0)
-    return t.table("documents").select(F.col("doc_id").cast("string").alias("paper_id"), F.size(lines).alias("n_passages"))
+    return t.papers().select("paper_id", F.size("paragraphs").alias("n_passages"))
 
 
 @query("explode_passages", "SELECT paper_id, docid, pos, text FROM passages")
 def _(t):
-    return t.passages().select("paper_id", "docid", "pos", "text")
+    return C.passages(t.papers()).select("paper_id", "docid", F.substring_index("docid", "_", -1).cast("int").alias("pos"), "text")
 
 
 @query("clean_passages", r"SELECT * FROM (SELECT docid, regexp_replace(regexp_replace(text, '^\s+', ''), '\s+$', '') AS text FROM passages) WHERE text <> ''")
 def _(t):
-    return t.passages().select("docid", X.strip(F.col("text")).alias("text")).where("text <> ''")
+    return C.passages(t.papers(), clean=True).select("docid", "text")
 
 
 @query("lookup_passage", "SELECT docid, text FROM passages WHERE docid IN ('1_1', '7_0', '42_2')")
@@ -119,17 +120,20 @@ def _(t):
 
 @query("topics_limit", "SELECT qid, query FROM (SELECT *, row_number() OVER (ORDER BY qid::BIGINT) AS n FROM topics) WHERE n <= 10")
 def _(t):
-    return t.topics().orderBy(F.col("qid").cast("long")).limit(10)
+    return C.topics(t.spark, t.topic_file(), limit=10)
 
 
 @query("qrels_positive", "SELECT qid, docid, rel FROM qrels WHERE rel > 0 AND qid IN (SELECT qid FROM queries)")
 def _(t):
-    return t.qrels().where("rel > 0").join(R.small(t.queries().select("qid")), "qid", "left_semi")
+    found = C.asked(C.qrels(t.spark, t.qrel_file(), positive_only=True), t.query_texts().withColumn("qid", F.col("qid").cast("string")))
+    return found.withColumn("qid", F.col("qid").cast("long"))
 
 
 @query("qrels_semi", "SELECT qid, docid, rel FROM qrels WHERE qid IN (SELECT qid FROM queries WHERE qid % 50 = 0)")
 def _(t):
-    return t.qrels().join(R.small(t.queries().where("qid % 50 = 0").select("qid")), "qid", "left_semi")
+    blank = t.query_texts().withColumn("query", F.when(F.col("qid") % 50 == 0, F.col("query")).otherwise(" "))
+    found = C.asked(C.qrels(t.spark, t.qrel_file(), tabs_only=True), blank.withColumn("qid", F.col("qid").cast("string")))
+    return found.withColumn("qid", F.col("qid").cast("long"))
 
 
 @query("missing_docs", "SELECT DISTINCT docid FROM qrels WHERE docid NOT IN (SELECT docid FROM vecs WHERE vec_id % 3 = 0)")
@@ -139,7 +143,7 @@ def _(t):
 
 @query("dense_scan", "SELECT docid, paper_id, len(v)::INTEGER AS dims FROM vecs")
 def _(t):
-    return t.vectors().select("docid", "paper_id", F.size("vector").alias("dims"))
+    return t.dense().vectors().select("docid", "paper_id", F.size("vector").alias("dims"))
 
 
 @query("front_passage", "SELECT doc_id::VARCHAR || '_0' AS docid, coalesce(source, '') || '. ' || coalesce(lang, '') AS text FROM documents")
@@ -149,8 +153,8 @@ def _(t):
 
 @query("all_passages", "SELECT docid, text FROM passages WHERE NOT is_front UNION ALL SELECT doc_id::VARCHAR || '_0', coalesce(source, '') || '. ' || coalesce(lang, '') FROM documents")
 def _(t):
-    front = t.table("documents").select(F.concat(F.col("doc_id").cast("string"), F.lit("_0")).alias("docid"), X.front_text(F.col("source"), F.col("lang")).alias("text"))
-    return t.passages().where(~F.col("is_front")).select("docid", "text").unionByName(front)
+    every = C.passages(t.papers(), front=True)
+    return every.where(F.col("is_front") | ~X.is_front(F.col("docid"))).select("docid", "text")
 
 
 @query("paper_id_last", "SELECT docid, regexp_replace(docid, '_[^_]*$', '') AS paper_id FROM (SELECT 'a_' || docid AS docid FROM passages)")
@@ -163,7 +167,7 @@ def _(t):
     return t.passages().select("docid", X.paper_id_first(F.col("docid")).alias("paper_id"))
 
 
-@query("instruct_query", f"SELECT qid, 'Instruct: {X.INSTRUCTION}' || chr(10) || 'Query: ' || query AS query FROM topics")
+@query("instruct_query", "SELECT qid, 'Instruct: Given a scientific research question, retrieve paragraphs from scientific papers that are relevant to answering the question.' || chr(10) || 'Query: ' || query AS query FROM topics")
 def _(t):
     return t.topics().select("qid", X.instruct(F.col("query")).alias("query"))
 
@@ -187,8 +191,7 @@ def _(t):
 
 @query("corpus_signature")
 def _(t):
-    files = t.table("documents").select(F.col("doc_id").cast("string").alias("name"), F.octet_length("text").alias("size"), F.lit(0).alias("changed"))
-    return C.signature(files, {"tokens": 256, "interval": 100})
+    return C.signature(C.files_of(t.spark, f"{t.dir}/documents.parquet"), {"tokens": 256, "interval": 100})
 
 
 # ---- chunks and encoders
@@ -231,6 +234,21 @@ def _(t):
     return t.table("embeddings").select("vec_id", F.transform(l2_normalize(F.col("embedding")), lambda x: F.round(x, 6)).alias("unit"))
 
 
+HEADS = """
+, parts AS (SELECT paper_id, v, label::VARCHAR AS text, CASE vec_id % 5 WHEN 3 THEN 'title' WHEN 4 THEN 'abstract' ELSE 'paragraph' END AS part FROM vecs),
+kept AS (SELECT paper_id, v FROM parts p WHERE part <> 'abstract' OR NOT EXISTS (FROM parts q WHERE q.paper_id = p.paper_id AND q.part = 'paragraph' AND q.text = p.text)),
+means AS (SELECT paper_id, list(x ORDER BY pos) AS m FROM (SELECT paper_id, pos, avg(x) AS x FROM (SELECT paper_id, unnest(v) AS x, generate_subscripts(v, 1) AS pos FROM kept) GROUP BY ALL) GROUP BY paper_id)
+SELECT paper_id, list_transform(m, lambda x: round(x / greatest(sqrt(list_dot_product(m, m)), 1e-12), 6)) AS unit FROM means WHERE sqrt(list_dot_product(m, m)) > 0"""
+
+
+@query("mean_pool_heads", HEADS)
+def _(t):
+    part = F.when(F.col("vec_id") % 5 == 3, "title").when(F.col("vec_id") % 5 == 4, "abstract").otherwise("paragraph")
+    rows = t.vectors().select("paper_id", part.alias("part"), F.col("label").cast("string").alias("text"), "vector")
+    every = P.with_heads(rows.where("part = 'paragraph'"), rows.where("part <> 'paragraph'"))
+    return P.mean_pool(every).select("paper_id", F.transform("vector", lambda x: F.round(x, 6)).alias("unit"))
+
+
 @query("mean_pool_paper", "SELECT paper_id, list_transform(v, lambda x: round(x, 6)) AS unit FROM paper_means")
 def _(t):
     return P.mean_pool(t.vectors()).select("paper_id", F.transform("vector", lambda x: F.round(x, 6)).alias("unit"))
@@ -244,12 +262,11 @@ def _postings(t: Tables) -> DataFrame:
 
 
 def _sparse(t: Tables) -> DataFrame:
-    return R.sparse_cosine(t.topic_terms(), E.term_weights(t.passages())).withColumn("paper_id", X.paper_id_last(F.col("docid")))
+    return t.index().scores(t.topic_terms(), "paragraph")
 
 
 def _body(t: Tables) -> DataFrame:
-    postings = E.term_weights(t.passages().where(~F.col("is_front")))
-    return R.sparse_cosine(t.topic_terms(), postings)
+    return t.index().scores(t.topic_terms(), "paragraph", body=True).select("qid", "docid", "score")
 
 
 RANKED = "row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, {0}) AS rank"
@@ -261,7 +278,7 @@ def _shown(df: DataFrame, item: str) -> DataFrame:
 
 @query("sparse_dot", "SELECT qid, docid, round(dot, 6) AS dot FROM dots")
 def _(t):
-    return R.sparse_dot(t.topic_terms(), E.term_weights(t.passages())).select("qid", "docid", r6("dot"))
+    return R.sparse_dot(t.topic_terms(), t.index().postings("paragraph")).select("qid", "docid", r6("dot"))
 
 
 @query("rank_run", "SELECT qid, docid, round(score, 6) AS score, rank::INTEGER AS rank FROM sparse_body")
@@ -270,12 +287,22 @@ def _(t):
 
 
 @query("topk_sparse", "SELECT qid, docid, round(score, 6) AS score, rank::INTEGER AS rank FROM sparse_body WHERE rank <= 20")
-@query("q_sparse_paragraph", "SELECT qid, docid, round(score, 6) AS score, rank::INTEGER AS rank FROM sparse_body WHERE rank <= 20")
 def _(t):
     return _shown(R.rank(_body(t), k=20), "docid")
 
 
-PAPERS = f"SELECT qid, paper_id, round(score, 6) AS score, rank::INTEGER AS rank FROM (SELECT *, {RANKED.format('paper_id')} FROM (SELECT qid, paper_id, max(score) AS score FROM sparse GROUP BY ALL)) WHERE rank <= {{0}}"
+def padded_sql(item: str, hits: str, items: str, k: int = 100) -> str:
+    """The k best of hits (qid, item, score), then other items in order of ids with score zero."""
+    return f"""
+, hits AS (SELECT *, {RANKED.format(item)} FROM ({hits})), every AS (SELECT t.qid, i.{item} FROM topics t, (SELECT DISTINCT {item} FROM {items}) i)
+SELECT qid, {item}, round(score, 6) AS score, rank::INTEGER AS rank FROM (
+  SELECT e.qid, e.{item}, coalesce(h.score, 0) AS score, row_number() OVER (PARTITION BY e.qid ORDER BY h.rank NULLS LAST, e.{item}) AS rank FROM every e LEFT JOIN hits h ON h.qid = e.qid AND h.{item} = e.{item}
+) WHERE rank <= {k}"""
+
+
+@query("q_sparse_paragraph", padded_sql("docid", "SELECT qid, docid, score FROM sparse WHERE NOT is_front", "(SELECT docid FROM passages WHERE NOT is_front)"))
+def _(t):
+    return _shown(t.index().search(t.topics(), t.topic_terms(), "paragraph"), "docid")
 
 
 @query("maxp", "SELECT qid, paper_id, round(max(score), 6) AS score FROM sparse GROUP BY ALL")
@@ -283,9 +310,9 @@ def _(t):
     return R.maxp(_sparse(t)).select("qid", "paper_id", r6("score"))
 
 
-@query("q_sparse_paper_maxp", PAPERS.format(100))
+@query("q_sparse_paper_maxp", padded_sql("paper_id", "SELECT qid, paper_id, max(score) AS score FROM sparse GROUP BY ALL", "passages"))
 def _(t):
-    return _shown(R.rank(R.maxp(_sparse(t)), "paper_id", k=100), "paper_id")
+    return _shown(t.index().search(t.topics(), t.topic_terms(), "paper"), "paper_id")
 
 
 @query("topk_padded", f"""
@@ -300,13 +327,13 @@ def _(t):
     return _shown(R.padded(ranked, t.topics(), papers, 900, "paper_id"), "paper_id")
 
 
-@query("q_sparse_paper_pool", f"""
-, pn AS (SELECT paper_id, greatest(sqrt(sum(weight * weight)), 1e-12) AS norm FROM paper_postings GROUP BY paper_id)
-SELECT qid, paper_id, round(score, 6) AS score, rank::INTEGER AS rank FROM (SELECT *, {RANKED.format('paper_id')} FROM (
-  SELECT qid, paper_id, dot / pn.norm / topic_norms.norm AS score FROM (SELECT q.qid, p.paper_id, sum(q.weight * p.weight) AS dot FROM paper_postings p JOIN topic_terms q USING (term) GROUP BY ALL) JOIN pn USING (paper_id) JOIN topic_norms USING (qid)
-)) WHERE rank <= 100""")
+POOLED = """SELECT qid, paper_id, dot / pn.norm / topic_norms.norm AS score FROM (SELECT q.qid, p.paper_id, sum(q.weight * p.weight) AS dot FROM paper_postings p JOIN topic_terms q USING (term) GROUP BY ALL)
+  JOIN (SELECT paper_id, greatest(sqrt(sum(weight * weight)), 1e-12) AS norm FROM paper_postings GROUP BY paper_id) pn USING (paper_id) JOIN topic_norms USING (qid)"""
+
+
+@query("q_sparse_paper_pool", padded_sql("paper_id", POOLED, "passages"))
 def _(t):
-    return _shown(R.rank(R.sparse_cosine(t.topic_terms(), P.paper_max_pool(_postings(t)), "paper_id"), "paper_id", k=100), "paper_id")
+    return _shown(t.index().search(t.topics(), t.topic_terms(), "paper", "pool"), "paper_id")
 
 
 # ---- dense search
@@ -317,11 +344,15 @@ def _(t):
 
 
 @query("topk_dense", "SELECT qid, docid, round(score, 6) AS score, rank::INTEGER AS rank FROM full_run")
-@query("q_dense_paragraph", "SELECT qid, docid, round(score, 6) AS score, rank::INTEGER AS rank FROM full_run")
 def _(t):
     return _shown(t.run_full(), "docid")
 
 
+@query("q_dense_paragraph", "SELECT qid, docid, round(score, 6) AS score, rank::INTEGER AS rank FROM full_run")
+def _(t):
+    return _shown(t.dense().search(t.queries(), "paragraph"), "docid")
+
+
 @query("query_similarity", "SELECT a.qid, b.qid AS other, round(list_dot_product(a.v, b.v), 6) AS similarity FROM queries a, queries b")
 def _(t):
     others = t.queries().select(F.col("qid").alias("other"), "vector")
@@ -347,12 +378,12 @@ def _(t):
 
 @query("q_dense_paper_maxp", f"SELECT qid, paper_id, round(score, 6) AS score, rank::INTEGER AS rank FROM (SELECT *, {RANKED.format('paper_id')} FROM ({BEST})) WHERE rank <= 100")
 def _(t):
-    return _shown(R.rank(_best(t), "paper_id", k=100), "paper_id")
+    return _shown(t.dense().search(t.queries(), "paper"), "paper_id")
 
 
 @query("q_dense_paper_mean", f"SELECT qid, paper_id, round(score, 6) AS score, rank::INTEGER AS rank FROM (SELECT *, {RANKED.format('paper_id')} FROM (SELECT qid, paper_id, list_dot_product(q.v, m.v) AS score FROM queries q, paper_means m)) WHERE rank <= 100")
 def _(t):
-    return _shown(R.rank(R.dense_scores(t.queries(), P.mean_pool(t.vectors()), "paper_id", k=100), "paper_id", k=100), "paper_id")
+    return _shown(t.dense().search(t.queries(), "paper", "mean"), "paper_id")
 
 
 # ---- reranking
@@ -367,18 +398,28 @@ def _(t):
 
 
 @query("rerank", f"SELECT qid, docid, round(score, 6) AS score, rank::INTEGER AS rank FROM (SELECT *, {RANKED.format('docid')} FROM (SELECT c.qid, c.docid, {OVERLAP} AS score FROM ({TOP}) c JOIN topic_toks q USING (qid) JOIN toks d USING (docid)))")
-@query("q_rerank_paragraph", f"SELECT qid, docid, round(score, 6) AS score, rank::INTEGER AS rank FROM (SELECT *, {RANKED.format('docid')} FROM (SELECT c.qid, c.docid, {OVERLAP} AS score FROM ({TOP}) c JOIN topic_toks q USING (qid) JOIN toks d USING (docid)))")
 def _(t):
     return _shown(R.rerank(R.rank(_body(t), k=20), t.topics(), t.passages(), R.overlap_scorer), "docid")
 
 
-@query("q_rerank_paper", f"""
-, best AS (SELECT qid, paper_id, arg_min(docid, (-round(score, 9), docid)) AS docid, max(score) AS score FROM sparse GROUP BY ALL),
-top AS (SELECT qid, paper_id, docid FROM (SELECT *, {RANKED.format('paper_id')} FROM best) WHERE rank <= 20)
-SELECT qid, paper_id, round(score, 6) AS score, rank::INTEGER AS rank FROM (SELECT *, {RANKED.format('paper_id')} FROM (SELECT c.qid, c.paper_id, {OVERLAP} AS score FROM top c JOIN topic_toks q USING (qid) JOIN toks d USING (docid)))""")
+#: The texts of vectors: a line of their document, or all of it.
+TEXTS = r"""
+, vec_texts AS (
+  SELECT e.vec_id, list_filter(string_split_regex(lower(CASE WHEN d.text IS NULL THEN 'vector ' || e.vec_id WHEN length(trim(string_split(d.text, chr(10))[e.vec_id % 5 + 1], ' ')) > 0 THEN string_split(d.text, chr(10))[e.vec_id % 5 + 1] ELSE d.text END), '\s+'), lambda t: t <> '') AS t
+  FROM embeddings e LEFT JOIN documents d ON d.doc_id = e.vec_id // 5
+)"""
+
+
+@query("q_rerank_paragraph", f"{TEXTS} SELECT qid, docid, round(score, 6) AS score, rank::INTEGER AS rank FROM (SELECT *, {RANKED.format('docid')} FROM (SELECT c.qid, c.docid, {OVERLAP} AS score FROM full_run c JOIN vec_texts q ON q.vec_id = c.qid JOIN vecs v USING (docid) JOIN vec_texts d ON d.vec_id = v.vec_id))")
+def _(t):
+    return _shown(t.dense().search(t.queries(), "paragraph", "crossencoder", 100, R.overlap_scorer, t.dense_texts(), t.dense_topics()), "docid")
+
+
+@query("q_rerank_paper", f"""{TEXTS}
+, top AS (SELECT qid, paper_id, docid FROM (SELECT *, {RANKED.format('paper_id')} FROM ({BEST})) WHERE rank <= 100)
+SELECT qid, paper_id, round(score, 6) AS score, rank::INTEGER AS rank FROM (SELECT *, {RANKED.format('paper_id')} FROM (SELECT c.qid, c.paper_id, {OVERLAP} AS score FROM top c JOIN vec_texts q ON q.vec_id = c.qid JOIN vecs v USING (docid) JOIN vec_texts d ON d.vec_id = v.vec_id))""")
 def _(t):
-    best = R.rank(R.best_passage(_sparse(t)), "paper_id", k=20)
-    return _shown(R.rerank(best, t.topics(), t.passages(), R.overlap_scorer, "paper_id"), "paper_id")
+    return _shown(t.dense().search(t.queries(), "paper", "crossencoder", 100, R.overlap_scorer, t.dense_texts(), t.dense_topics()), "paper_id")
 
 
 # ---- runs and metrics
@@ -395,10 +436,9 @@ def _(t):
 
 @query("run_roundtrip", "SELECT run, qid::VARCHAR AS qid, docid, rank::INTEGER AS rank, printf('%.6f', score)::DOUBLE AS score FROM runs")
 def _(t):
-    # a bounded set: queries times k
-    lines = C.run_lines(t.runs())
-    f = F.split("line", r"\s+")
-    return lines.select(F.get(f, F.lit(5)).alias("run"), F.get(f, F.lit(0)).alias("qid"), F.get(f, F.lit(2)).alias("docid"), F.get(f, F.lit(3)).cast("int").alias("rank"), F.get(f, F.lit(4)).cast("double").alias("score"))
+    path = f"{workspace.shared_dir(t.spark)}/run-{uuid.uuid4().hex}"
+    C.write_run(t.runs(), path)
+    return C.read_run(t.spark, path)
 
 
 def _metric(name: str, column: str, level: int = 1):
@@ -467,19 +507,64 @@ def _(t):
     return _compared(t).select("metric", "run_a", "run_b", "p", "p_shown", "better")
 
 
+def _evaluated(t: Tables) -> V.Outcome:
+    """Two systems on the vectors, at paragraph level: one that is measured, and one set that only the first is run on."""
+    systems = [
+        V.System("full", lambda topics, level, k: t.dense().search(t.queries().join(topics.select("qid"), "qid", "left_semi"), level, k=k), ("paragraph",), on_test=True, save="dense", check=lambda: t.dense().check()),
+        V.System("half", lambda topics, level, k: t.run_half(k).join(topics.select("qid"), "qid", "left_semi"), ("paragraph",)),
+    ]
+    sets = [V.QuerySet("study", t.query_texts(), {"paragraph": t.qrels()}), V.QuerySet("test", t.query_texts().where("qid % 50 = 0"))]
+    return V.run_evaluation(t.spark, systems, sets, V.Settings(levels=("paragraph",)))
+
+
 @query("q_evaluate", "SELECT run, level, metric, round(avg(value), 6) AS value FROM vals WHERE level = 1 OR metric IN ('mrr', 'p5') GROUP BY ALL")
 def _(t):
-    return V.evaluate(t.runs(), t.qrels()).means.select("run", "level", "metric", r6("value"))
+    return _evaluated(t).reports["study", "paragraph"].means.select("run", "level", "metric", r6("value"))
+
+
+@query("q_evaluate_runs", "SELECT 'study' AS set, run, qid::VARCHAR AS qid, docid, rank::INTEGER AS rank, round(score, 6) AS score FROM runs UNION ALL SELECT 'test', run, qid::VARCHAR, docid, rank::INTEGER, round(score, 6) FROM full_run WHERE qid % 50 = 0")
+def _(t):
+    return _evaluated(t).runs.select("set", "run", "qid", "docid", "rank", r6("score"))
 
 
-@query("report_json")
+@query("q_evaluate_latency", "SELECT 'study' AS set, run AS method, qid::VARCHAR AS qid, true AS timed FROM (SELECT DISTINCT run, qid FROM runs) UNION ALL SELECT 'test', 'full', qid::VARCHAR, true FROM queries WHERE qid % 50 = 0")
 def _(t):
-    return C.report_json(V.evaluate(t.runs(), t.qrels()).means)
+    return _evaluated(t).latency.select("set", "method", "qid", (F.col("ms") > 0).alias("timed"))
+
+
+MEANS = "SELECT run, level, metric, round(avg(value), 6) AS value FROM vals WHERE level = 1 OR metric IN ('mrr', 'p5') GROUP BY ALL"
+
+
+@query("report_json", f"SELECT run, level, to_json(MAP(list(metric ORDER BY metric), list(value ORDER BY metric)))::VARCHAR AS report FROM ({MEANS}) GROUP BY ALL")
+def _(t):
+    return C.report_json(V.evaluate(t.runs(), t.qrels()).means.withColumn("value", F.round("value", 6)))
+
+
+@query("summary_report", f"""
+, m AS (SELECT level, run, MAP(list(metric ORDER BY metric), list(value ORDER BY metric)) AS v FROM ({MEANS}) GROUP BY ALL),
+p AS (SELECT level, CASE level WHEN 1 THEN 'relevant_or_partial' ELSE 'relevant_only' END AS name, MAP(list(run ORDER BY run), list(v ORDER BY run)) AS metrics FROM m GROUP BY ALL)
+SELECT to_json(struct_pack("set" := 'study', level := 'paragraph', k := 100, relevance_passes := MAP(list(name ORDER BY name), list(struct_pack(relevance_level := level, metrics := metrics) ORDER BY name))))::VARCHAR AS report FROM p""")
+def _(t):
+    return C.summary_report(V.evaluate(t.runs(), t.qrels()).means.withColumn("value", F.round("value", 6)), {"set": "study", "level": "paragraph", "k": 100})
+
+
+@query("query_report", """
+, m AS (SELECT level, qid::VARCHAR AS qid, run, MAP(list(metric ORDER BY metric), list(round(value, 6) ORDER BY metric)) AS v FROM vals WHERE level = 1 OR metric IN ('mrr', 'p5') GROUP BY ALL),
+r AS (SELECT level, qid, MAP(list(run ORDER BY run), list(v ORDER BY run)) AS runs FROM m GROUP BY ALL),
+p AS (SELECT level, CASE level WHEN 1 THEN 'relevant_or_partial' ELSE 'relevant_only' END AS name, MAP(list(qid ORDER BY qid), list(runs ORDER BY qid)) AS queries FROM r GROUP BY ALL)
+SELECT to_json(struct_pack("set" := 'study', relevance_passes := MAP(list(name ORDER BY name), list(struct_pack(relevance_level := level, queries := queries) ORDER BY name))))::VARCHAR AS report FROM p""")
+def _(t):
+    return C.query_report(V.evaluate(t.runs(), t.qrels()).values.withColumn("value", F.round("value", 6)), {"set": "study"})
 
 
 @query("significance_report")
 def _(t):
-    return V.evaluate(t.runs(), t.qrels()).comparisons
+    return C.significance_report(V.evaluate(t.runs(), t.qrels(), order=("half", "full")).comparisons, {"set": "study", "stat_test": "student", "max_p": 0.05})
+
+
+@query("win_tie_loss_ordered", "SELECT level, metric, run_b AS run_a, run_a AS run_b, losses AS wins, ties, wins AS losses FROM tests WHERE level = 1 OR metric IN ('mrr', 'p5')")
+def _(t):
+    return V.evaluate(t.runs(), t.qrels(), order=("half", "full")).comparisons.select("level", "metric", "run_a", "run_b", "wins", "ties", "losses")
 
 
 # ---- training data
@@ -532,9 +617,10 @@ def _batched(t: Tables) -> DataFrame:
     return L.batches(L.pick_positive(t.qrels()).select("qid", F.col("drawn").alias("docid")))
 
 
-@query("usable_batches", "SELECT batch FROM batched GROUP BY batch HAVING count(DISTINCT docid) = 8")
+@query("usable_batches", "SELECT batch FROM (SELECT drawn AS docid, ((row_number() OVER (ORDER BY md5('42|' || qid), qid) - 1) // 4)::INTEGER AS batch FROM picks) GROUP BY batch HAVING count(DISTINCT docid) = 4")
 def _(t):
-    return L.usable(_batched(t))
+    drawn = L.pick_positive(t.qrels()).select("qid", F.col("drawn").alias("docid"))
+    return L.usable(L.batches(drawn, 4), size=4)
 
 
 @query("diverse_batches")
@@ -586,6 +672,34 @@ def _(t):
     return L.best_epoch(history)
 
 
+@query("dedup_in_order", "SELECT event_id, user_id FROM (SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events) WHERE n = 1")
+def _(t):
+    return L.first_of(t.table("events").select("event_id", "user_id"), "user_id", "event_id")
+
+
+@query("split_file", "SELECT qid, row_number() OVER (ORDER BY md5('42|' || qid), qid) <= n - greatest(1, floor(n * 0.9)) AS is_validation FROM (SELECT qid, count(*) OVER () AS n FROM (SELECT DISTINCT qid FROM qrels))")
+def _(t):
+    path = f"{workspace.shared_dir(t.spark)}/split-{uuid.uuid4().hex}"
+    C.write_split(L.split_90_10(t.qrels()), path)
+    return C.read_split(t.spark, path, "bigint")
+
+
+@query("history_file", "SELECT event_type AS model, event_id % 20 AS epoch, max(value) AS train_loss, min(value) AS val_loss FROM events WHERE value IS NOT NULL GROUP BY ALL")
+def _(t):
+    path = f"{workspace.shared_dir(t.spark)}/history-{uuid.uuid4().hex}"
+    history = t.table("events").where("value is not null").groupBy(F.col("event_type").alias("model"), (F.col("event_id") % 20).alias("epoch")).agg(F.max("value").alias("train_loss"), F.min("value").alias("val_loss"))
+    C.write_history(history, path)
+    return C.read_history(t.spark, path)
+
+
+@query("training_file", ROWS)
+def _(t):
+    path = f"{workspace.shared_dir(t.spark)}/training-{uuid.uuid4().hex}"
+    rows = L.training_rows(t.qrels(), t.query_texts(), t.vector_texts())
+    C.write_training(rows, path)
+    return t.spark.read.schema("query string, pos array<string>, neg array<string>").json(path).withColumn("qid", F.regexp_extract("query", "[0-9]+", 0).cast("long"))
+
+
 # ---- indexes and reports
 
 NUMBERED = "SELECT doc_id::VARCHAR AS paper_id, (row_number() OVER (ORDER BY doc_id::VARCHAR) - 1) // 100 + 1 AS shard FROM (SELECT DISTINCT doc_id FROM documents)"
@@ -604,8 +718,10 @@ def _(t):
 
 @query("index_complete", "SELECT (SELECT count(DISTINCT doc_id) FROM documents) AS files, (SELECT count(DISTINCT paper_id) FROM postings) AS indexed, (SELECT count(DISTINCT doc_id) FROM documents) = (SELECT count(DISTINCT paper_id) FROM postings) AS complete")
 def _(t):
+    index = t.index()
+    index.check("paragraph")
     files = t.table("documents").agg(F.countDistinct("doc_id").alias("files"))
-    indexed = _postings(t).agg(F.countDistinct("paper_id").alias("indexed"))
+    indexed = index.postings("paper").agg(F.countDistinct("docid").alias("indexed"))
     return files.crossJoin(indexed).select("files", "indexed", (F.col("files") == F.col("indexed")).alias("complete"))
 
 

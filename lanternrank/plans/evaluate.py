@@ -1,14 +1,19 @@
-"""A full evaluation: runs and judgments to means, per-query values and comparisons."""
+"""Evaluations: named systems over query sets and levels, their runs, latencies, metrics, comparisons and reports."""
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import time
+from collections.abc import Callable
+from dataclasses import dataclass, field
 
-from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lanternrank.operators import metrics as M
+from lanternrank.sources import corpus as C
+from lanternrank.sources import workspace
+
+LEVELS = ("paper", "paragraph")
 
 
 @dataclass(frozen=True)
@@ -17,12 +22,20 @@ class Settings:
     strict_metrics: tuple[str, ...] = ("mrr", "p5")
     max_p: float = 0.05
     k: int = 100
+    levels: tuple[str, ...] = LEVELS
+    team: str = "team"
+    stem: bool = True
+    limit: int | None = None
 
     def __post_init__(self):
         if self.k < 1:
             raise ValueError("k is 1 at least")
         if unknown := {*self.metrics, *self.strict_metrics} - set(M.METRICS):
             raise ValueError(f"unknown metrics: {sorted(unknown)}")
+        if not self.metrics and not self.strict_metrics:
+            raise ValueError("no metrics are asked for")
+        if not self.levels or set(self.levels) - set(LEVELS):
+            raise ValueError(f"levels are of {LEVELS}")
 
 
 @dataclass
@@ -32,11 +45,119 @@ class Report:
     comparisons: DataFrame  # level, metric, run_a, run_b, ...
 
 
-def evaluate(runs: DataFrame, qrels: DataFrame, settings: Settings = Settings()) -> Report:
+def evaluate(runs: DataFrame, qrels: DataFrame, settings: Settings = Settings(), order: tuple[str, ...] = ()) -> Report:
+    """Per-query values (a written table: queries times runs times metrics), means and comparisons; `order` tells which of two runs comes first."""
     kept = runs.where(F.col("rank") <= settings.k)
-    values = M.passes(kept, qrels, settings.metrics, settings.strict_metrics).persist(StorageLevel.MEMORY_AND_DISK)
+    values = workspace.written(M.passes(kept, qrels, settings.metrics, settings.strict_metrics), "values")
     means = values.groupBy("run", "level", "metric").agg(F.avg("value").alias("value"))
-    return Report(values, means, M.compared(values, ("level", "metric"), settings.max_p))
+    return Report(values, means, M.compared(values, ("level", "metric"), settings.max_p, order=order))
+
+
+@dataclass(frozen=True)
+class System:
+    """A named system: `search(topics, level, k)` gives qid, docid (papers: paper_id), score and rank.
+
+    on_test: whether sets that aren't measured are searched; save: whether its
+    runs are written; experimental systems are measured but never written.
+    check raises if its index isn't whole; size gives files and bytes of a level.
+    """
+
+    name: str
+    search: Callable[[DataFrame, str, int], DataFrame]
+    levels: tuple[str, ...] = LEVELS
+    on_test: bool = False
+    save: str | None = None
+    experimental: bool = False
+    check: Callable[[], None] | None = None
+    size: Callable[[str], DataFrame] | None = None
+
+
+@dataclass(frozen=True)
+class QuerySet:
+    """topics: qid and query; qrels by level for a set that is measured."""
+
+    name: str
+    topics: DataFrame
+    qrels: dict[str, DataFrame] | None = None
+
+
+@dataclass
+class Outcome:
+    runs: DataFrame  # set, level, run, qid, docid, score, rank
+    latency: DataFrame  # set, level, method, qid, ms
+    reports: dict[tuple[str, str], Report] = field(default_factory=dict)
+    texts: dict[tuple[str, str, str], DataFrame] = field(default_factory=dict)  # (set, level, summary or queries or significance): report
+
+
+def run_evaluation(spark: SparkSession, systems: list[System], sets: list[QuerySet], settings: Settings = Settings(), folder: str | None = None) -> Outcome:
+    """Searches every set at every level with every system that takes part, and measures the sets that have judgments.
+
+    Each search is one job over all topics of the set; a query's latency is its
+    share of that job.  Runs, their lines and the three reports of each set and
+    level are written under `folder`.
+    """
+    if not systems or not sets:
+        raise ValueError("an evaluation needs systems and query sets")
+    if len({s.name for s in systems}) < len(systems):
+        raise ValueError("two systems have one name")
+    for q in sets:
+        if q.qrels is not None and (missing := set(settings.levels) - set(q.qrels)):
+            raise ValueError(f"{q.name} lacks judgments of {sorted(missing)}")
+    for s in systems:
+        if wrong := set(s.levels) - set(LEVELS):
+            raise ValueError(f"{s.name}: unknown levels {sorted(wrong)}")
+        if s.check:
+            s.check()
+    folder = folder or f"{workspace.shared_dir(spark)}/evaluation-{time.time_ns()}"
+    times = []
+    for s in systems:
+        for q in sets:
+            if q.qrels is None and not s.on_test:
+                continue
+            topics = q.topics.orderBy("qid").limit(settings.limit) if settings.limit else q.topics
+            for level in (x for x in settings.levels if x in s.levels):
+                began = time.perf_counter()
+                found = s.search(topics, level, settings.k)
+                item = "docid" if "docid" in found.columns and level == "paragraph" else "paper_id"
+                found.select(F.lit(s.name).alias("run"), F.col("qid").cast("string").alias("qid"), F.col(item).alias("docid"), "score", "rank").write.mode("overwrite").parquet(f"{folder}/runs/set={q.name}/level={level}/method={s.name}")
+                qids = [str(r.qid) for r in topics.select("qid").distinct().collect()]
+                times += [(q.name, level, s.name, i, 1000 * (time.perf_counter() - began) / max(1, len(qids))) for i in qids]
+    schema = "run string, qid string, docid string, score double, rank int, set string, level string, method string"
+    runs = spark.read.schema(schema).parquet(f"{folder}/runs") if times else spark.createDataFrame([], schema)
+    latency = spark.createDataFrame(times, "set string, level string, method string, qid string, ms double")
+    out = Outcome(runs, latency)
+    order = tuple(s.name for s in systems)
+    for q in sets:
+        for level in settings.levels:
+            here = runs.where((F.col("set") == q.name) & (F.col("level") == level)).select("run", "qid", "docid", "score", "rank")
+            paths = {}
+            for s in systems:
+                if s.save and not s.experimental and level in s.levels and (q.qrels is not None or s.on_test):
+                    paths[s.name] = C.run_path(f"{folder}/trec", settings.team, level, s.save, q.name, settings.stem)
+                    C.write_run(here.where(F.col("run") == s.name), paths[s.name])
+            if q.qrels is not None:
+                judged = q.qrels[level].withColumn("qid", F.col("qid").cast("string"))
+                asked = q.topics.select(F.col("qid").cast("string").alias("qid"), "query")
+                report = evaluate(here, C.asked(judged, asked), settings, order)
+                out.reports[q.name, level] = report
+                _write_reports(out, systems, settings, q.name, level, paths, folder)
+    return out
+
+
+def _write_reports(out: Outcome, systems: list[System], settings: Settings, set_: str, level: str, paths: dict[str, str], folder: str) -> None:
+    report, context = out.reports[set_, level], {"set": set_, "level": level, "stem": settings.stem, "k": settings.k}
+    sizes = {s.name: s.size(level).first() for s in systems if s.size and level in s.levels}
+    steady = {r.method: r.mean_ms for r in steady_mean(out.latency.where((F.col("set") == set_) & (F.col("level") == level))).collect()}
+    means = report.means.withColumn("value", F.round("value", 6))
+    values = report.values.withColumn("value", F.round("value", 6))
+    more = {
+        "index_bytes": {name: r.bytes or 0 for name, r in sizes.items()}, "mean_latency_ms": steady, "trec_runs": paths,
+        "experimental_methods": [s.name for s in systems if s.experimental and level in s.levels],
+    }
+    texts = {"summary": C.summary_report(means, context | more), "queries": C.query_report(values, context), "significance": C.significance_report(report.comparisons, context | {"stat_test": "student", "max_p": settings.max_p})}
+    for name, text in texts.items():
+        out.texts[set_, level, name] = text
+        C.write_report(text, f"{folder}/reports/{set_}_{level}_{name}")
 
 
 def carried_forward(new: DataFrame, old: DataFrame, key: str = "method", value: str = "ms") -> DataFrame:

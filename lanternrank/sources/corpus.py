@@ -12,13 +12,16 @@ from lanternrank.functions.text import front_text, strip
 PAPER = "paper_id string, title string, abstract string, paragraphs map<string,string>"
 
 
-def papers(spark: SparkSession, path: str, strict: bool = False) -> DataFrame:
-    """Papers, one JSON file each.
+def papers(spark: SparkSession, path: str, strict: bool = False, lines: bool = False) -> DataFrame:
+    """Papers, one JSON file each, or with `lines` one a line of files of any size.
 
     strict: unreadable files, a missing id or paragraphs, an id unlike the file
-    name and an empty folder are errors.  Else such files are left out.
+    name and an empty folder are errors.  Else such files are left out; `skipped`
+    names them.
     """
-    reader = spark.read.option("multiLine", True).option("pathGlobFilter", "*.json")
+    if strict and lines:
+        raise ValueError("a strict scan takes a file a paper")
+    reader = spark.read.option("multiLine", not lines).option("pathGlobFilter", "*.json")
     if strict:
         rows = reader.schema(PAPER).option("mode", "FAILFAST").json(path)
         stem = F.regexp_replace("_metadata.file_name", r"\.json$", "")
@@ -31,6 +34,18 @@ def papers(spark: SparkSession, path: str, strict: bool = False) -> DataFrame:
     return rows.where("_corrupt_record is null and paper_id is not null and paragraphs is not null").drop("_corrupt_record")
 
 
+def skipped(spark: SparkSession, path: str) -> DataFrame:
+    """file and reason of each paper file that a lenient scan leaves out."""
+    rows = spark.read.option("multiLine", True).option("pathGlobFilter", "*.json").schema(PAPER + ", _corrupt_record string").option("columnNameOfCorruptRecord", "_corrupt_record").json(path)
+    reason = F.when(F.col("_corrupt_record").isNotNull(), "unreadable").when(F.col("paper_id").isNull(), "no id").when(F.col("paragraphs").isNull(), "no paragraphs")
+    return rows.select(F.col("_metadata.file_name").alias("file"), reason.alias("reason")).where("reason is not null")
+
+
+def write_papers(papers_: DataFrame, path: str) -> None:
+    """paper_id, title, abstract and paragraphs as JSON, a paper a line."""
+    papers_.select("paper_id", "title", "abstract", "paragraphs").write.mode("overwrite").json(path)
+
+
 def passages(papers_: DataFrame, front: bool = False, clean: bool = False) -> DataFrame:
     """paper_id, docid, text, is_front of each paragraph; a repeated key's last text wins.
 
@@ -75,6 +90,21 @@ def qrels(spark: SparkSession, path: str, positive_only: bool = False, tabs_only
     return out.where("rel > 0") if positive_only else out
 
 
+def asked(judgments: DataFrame, topics_: DataFrame) -> DataFrame:
+    """Judgments of topics (qid, query) that have a text."""
+    known = topics_.where(F.length(F.trim("query")) > 0).select("qid").distinct()
+    return judgments.join(known, "qid", "left_semi")
+
+
+def write_qrels(judgments: DataFrame, path: str) -> None:
+    """Four columns, tabs between: qid, 0, docid, rel."""
+    judgments.select(F.concat_ws("\t", F.col("qid").cast("string"), F.lit("0"), "docid", F.col("rel").cast("string")).alias("value")).write.mode("overwrite").text(path)
+
+
+def qrel_path(folder: str, set_: str, level: str) -> str:
+    return f"{folder}/{set_.capitalize()}_{level}_qrel.tsv"
+
+
 def run_path(folder: str, team: str, level: str, method: str, set_: str, stem: bool = True) -> str:
     return f"{folder}/{team}_{level}_{method}_{set_}{'' if stem or method not in ('bm25', 'tfidf') else '_no-stem'}.tsv"
 
@@ -100,10 +130,94 @@ def write_training(rows: DataFrame, path: str, reuse: bool = True) -> None:
     rows.select("query", "pos", "neg").write.mode("ignore" if reuse else "overwrite").json(path)
 
 
+def write_split(split: DataFrame, path: str) -> None:
+    """The ids of a split as JSON: a row for each part (train, validation), ids in order.  Splits are bounded sets of queries."""
+    part = F.when(F.col("is_validation"), "validation").otherwise("train")
+    split.groupBy(part.alias("part")).agg(F.array_sort(F.collect_list("qid")).alias("ids")).coalesce(1).write.mode("overwrite").json(path)
+
+
+def read_split(spark: SparkSession, path: str, kind: str = "string") -> DataFrame:
+    rows = spark.read.schema(f"part string, ids array<{kind}>").json(path)
+    return rows.select(F.explode("ids").alias("qid"), (F.col("part") == "validation").alias("is_validation"))
+
+
+def write_history(history: DataFrame, path: str) -> None:
+    """model, epoch, train_loss, val_loss as JSON, a file a model, in order of epochs."""
+    history.select("model", "epoch", "train_loss", "val_loss").repartition("model").sortWithinPartitions("epoch").write.mode("overwrite").partitionBy("model").json(path)
+
+
+def read_history(spark: SparkSession, path: str) -> DataFrame:
+    """model, epoch, train_loss, val_loss; a file may call the last validation_loss."""
+    rows = spark.read.schema("model string, epoch long, train_loss double, val_loss double, validation_loss double").json(path)
+    return rows.select("model", "epoch", "train_loss", F.coalesce("val_loss", "validation_loss").alias("val_loss"))
+
+
 def report_json(values: DataFrame) -> DataFrame:
     """One JSON text a run and level: metric to value (long tables stay the source of all reports)."""
-    entries = F.map_from_entries(F.array_sort(F.collect_list(F.struct("metric", "value"))))
-    return values.groupBy("run", "level").agg(F.to_json(entries).alias("report"))
+    return values.groupBy("run", "level").agg(F.to_json(_object("metric", "value")).alias("report"))
+
+
+def _object(key: str, value: str):
+    """An object of a group's rows, keys in order; a group's keys are a bounded set (metrics, runs, queries)."""
+    return F.map_from_entries(_by_key(F.collect_list(F.struct(F.col(key).alias("key"), F.col(value).alias("value")))))
+
+
+def _by_key(entries):
+    """Maps have no order, so entries are compared by their keys alone."""
+    return F.array_sort(entries, lambda a, b: F.when(a["key"] < b["key"], -1).when(a["key"] > b["key"], 1).otherwise(0))
+
+
+def summary_report(means: DataFrame, context: dict) -> DataFrame:
+    """report: one JSON text with the context, and for each relevance level the runs' means."""
+    runs = means.groupBy("level", "run").agg(_object("metric", "value").alias("metrics"))
+    return _report(runs.groupBy("level").agg(_object("run", "metrics").alias("metrics")), context)
+
+
+def query_report(values: DataFrame, context: dict) -> DataFrame:
+    """report: one JSON text with the context, and for each relevance level each query's values by run."""
+    runs = values.withColumn("qid", F.col("qid").cast("string")).groupBy("level", "qid", "run").agg(_object("metric", "value").alias("metrics"))
+    queries = runs.groupBy("level", "qid").agg(_object("run", "metrics").alias("runs"))
+    return _report(queries.groupBy("level").agg(_object("qid", "runs").alias("queries")), context)
+
+
+def significance_report(comparisons: DataFrame, context: dict) -> DataFrame:
+    """report: one JSON text with the context, and for each relevance level "a vs b": by metric p to three digits, the better run or null, and wins, ties and losses of a."""
+    counts = F.struct(F.col("wins").alias("W"), F.col("ties").alias("T"), F.col("losses").alias("L"))
+    entry = F.struct(F.col("p_shown").alias("p"), "better", counts.alias("win_tie_loss"))
+    named = comparisons.select("level", F.concat("run_a", F.lit(" vs "), "run_b").alias("pair"), "metric", entry.alias("entry"))
+    pairs = named.groupBy("level", "pair").agg(_object("metric", "entry").alias("metrics"))
+    return _report(pairs.groupBy("level").agg(_object("pair", "metrics").alias("comparisons")), context)
+
+
+#: Names of the relevance passes in reports, by level.
+PASSES = {1: "relevant_or_partial", 2: "relevant_only"}
+
+
+def _report(levels: DataFrame, context: dict) -> DataFrame:
+    name = F.element_at(F.create_map(*[F.lit(x) for kv in PASSES.items() for x in kv]), F.col("level"))
+    body = [c for c in levels.columns if c != "level"]
+    entries = _by_key(F.collect_list(F.struct(name.alias("key"), F.struct(F.col("level").alias("relevance_level"), *body).alias("value"))))
+    fixed = [_literal(v).alias(k) for k, v in context.items()]
+    whole = F.struct(*fixed, F.map_from_entries(F.col("passes")).alias("relevance_passes"))
+    return levels.agg(entries.alias("passes")).select(F.to_json(whole, {"ignoreNullFields": "false"}).alias("report"))
+
+
+def _literal(v):
+    if isinstance(v, dict):
+        return F.create_map(*[x for k, w in v.items() for x in (F.lit(k), _literal(w))]) if v else F.create_map().cast("map<string,string>")
+    if isinstance(v, (list, tuple)):
+        return F.array(*[F.lit(x) for x in v]) if v else F.array().cast("array<string>")
+    return F.lit(v)
+
+
+def write_report(report: DataFrame, path: str) -> None:
+    report.coalesce(1).write.mode("overwrite").text(path)
+
+
+def files_of(spark: SparkSession, path: str) -> DataFrame:
+    """name, size and changed of each file of a table, as `signature` takes them; no column is read."""
+    m = F.col("_metadata")
+    return spark.read.parquet(path).select(m["file_path"].alias("name"), m["file_size"].alias("size"), m["file_modification_time"].cast("long").alias("changed")).distinct()
 
 
 def index_bytes(spark: SparkSession, path: str) -> DataFrame:

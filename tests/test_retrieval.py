@@ -13,6 +13,7 @@ from lanternrank.operators import ranking as R
 from lanternrank.operators import training as L
 from lanternrank.plans import evaluate as V
 from lanternrank.sources import corpus as C
+from lanternrank.sources import indexes, workspace
 from lanternrank.streaming import indexing
 from pyspark.sql import functions as F
 
@@ -150,6 +151,9 @@ def test_batches(spark):
     assert sorted(r.qid for r in got) == list(range(11)) and sorted(map(len, L.farthest_first(v, 4, 1))) == [3, 4, 4]
     rows = spark.createDataFrame([(i, "same" if i < 2 else f"d{i}") for i in range(10)], "qid int, docid string")
     assert L.usable(L.batches(rows)).count() <= 1
+    batched = L.batches(rows, 3)
+    want = [b for b in range(4) if len({r.docid for r in batched.collect() if r.batch == b}) == 3]
+    assert want and [r.batch for r in L.usable(batched, size=3).orderBy("batch").collect()] == want
 
 
 def test_reports(spark):
@@ -176,6 +180,144 @@ def test_index_resumes(spark, tmp_path):
         indexing.build(spark, str(source), folder, "other", 2)
 
 
+def test_sparse_index(spark, tmp_path):
+    rows = spark.createDataFrame([("p_0", "front words"), ("p_1", "a b b"), ("p_2", " "), ("r_1", "a c"), ("s_1", "d")], "docid string, text string")
+    index = indexes.build_sparse(rows, f"{tmp_path}/i", "sig")
+    index.check("paragraph", papers=3)
+    assert index.counts == {"paragraph": (5, 7), "paper": (3, 7)}
+    norms = {r.docid: round(r.norm, 9) for r in index.postings("paragraph").collect()}
+    assert norms["p_1"] == round(math.hypot(math.log(2), math.log(3)), 9) and index.items("paragraph").where("docid = 'p_2'").count() == 1
+    topics = spark.createDataFrame([("1", "a"), ("2", "none")], "qid string, query string")
+    terms = E.term_weights(topics.withColumnRenamed("query", "text"), "qid")
+    found = lambda level, strategy, k: [(r.qid, r[1], round(r.score, 6), r["rank"]) for r in index.search(topics, terms, level, strategy, k).orderBy("qid", "rank").collect()]
+    a = round(math.log(2) / math.hypot(math.log(2), math.log(3)), 6)
+    r = round(math.sqrt(0.5), 6)
+    assert found("paragraph", "maxp", 3) == [("1", "r_1", r, 1), ("1", "p_1", a, 2), ("1", "p_2", 0, 3), ("2", "p_1", 0, 1), ("2", "p_2", 0, 2), ("2", "r_1", 0, 3)]
+    assert found("paper", "maxp", 2) == [("1", "r", r, 1), ("1", "p", a, 2), ("2", "p", 0, 1), ("2", "r", 0, 2)]
+    pooled = round(math.log(2) / math.sqrt(3 * math.log(2) ** 2 + math.log(3) ** 2), 6)
+    assert found("paper", "pool", 3)[:3] == [("1", "r", r, 1), ("1", "p", pooled, 2), ("1", "s", 0, 3)]
+    for wrong in (lambda: index.search(topics, terms, "chapter"), lambda: index.search(topics, terms, "paper", "sum"), lambda: indexes.SparseIndex(spark, f"{tmp_path}/i", "other"), lambda: index.check("paper", papers=4)):
+        with pytest.raises(ValueError):
+            wrong()
+    rows.limit(1).withColumns({"paper_id": F.lit("x"), "is_front": F.lit(True)}).select("docid", "paper_id", "is_front").write.mode("append").parquet(f"{tmp_path}/i/items/level=paragraph")
+    with pytest.raises(ValueError, match="manifest"):
+        index.check("paragraph")
+    assert index.size("paper").first().bytes > 0
+
+
+def test_dense_index(spark, tmp_path):
+    rows = spark.createDataFrame([("p_1", "p", [1.0, 0.0]), ("p_2", "p", [0.0, 1.0]), ("r_1", "r", [0.6, 0.8]), ("z", "z", [0.0, 0.0]), ("n", "n", None)], "docid string, paper_id string, vector array<double>")
+    index = indexes.build_dense(rows, f"{tmp_path}/d", "sig")
+    index.check()
+    q = spark.createDataFrame([(1, [0.8, 0.6])], "qid long, vector array<double>")
+    got = lambda level, *more: [(r[1], round(r.score, 6)) if level == "paragraph" or "docid" not in r.asDict() else (r.paper_id, round(r.score, 6)) for r in index.search(q, level, *more).orderBy("rank").collect()]
+    assert got("paragraph") == [("r_1", 0.96), ("p_1", 0.8), ("p_2", 0.6)] and got("paper") == [("r", 0.96), ("p", 0.8)]
+    assert got("paper", "mean") == [("p", round(1.4 / math.sqrt(2), 6)), ("r", 0.96)]
+    texts = spark.createDataFrame([("p_1", "x"), ("p_2", "x y"), ("r_1", "z")], "docid string, text string")
+    topics = spark.createDataFrame([(1, "x y")], "qid long, query string")
+    assert [x[0] for x in got("paragraph", "crossencoder", 3, R.overlap_scorer, texts, topics)] == ["p_2", "p_1", "r_1"]
+    assert [x[0] for x in got("paragraph", "crossencoder", 2, R.overlap_scorer, texts, topics)] == ["p_1", "r_1"]
+    with pytest.raises(Exception, match="no text for r_1"):
+        got("paragraph", "crossencoder", 3, R.overlap_scorer, texts.where("docid <> 'r_1'"), topics)
+    for wrong in (("chapter",), ("paragraph", "mean"), ("paragraph", "crossencoder")):
+        with pytest.raises(ValueError):
+            index.search(q, *wrong)
+
+
+def test_made_once(spark):
+    calls = []
+
+    def make(path):
+        calls.append(path)
+        spark.range(1).write.parquet(path)
+        if len(calls) == 1:
+            raise RuntimeError("lost")
+
+    with pytest.raises(RuntimeError):
+        workspace.made(spark, "thing", "abc", make)
+    first = workspace.made(spark, "thing", "abc", make)
+    assert workspace.made(spark, "thing", "abc", make) == first == calls[1]  # what a failed maker left is not used
+    workspace._made.clear()
+    assert workspace.made(spark, "thing", "abc", make) == first  # another process finds it too
+    assert workspace.made(spark, "thing", "other", make) != first and workspace.made(spark, "thing", "abc", make, force=True) != first and len(calls) == 4
+
+
+def test_evaluation(spark, judged, tmp_path):
+    runs, qrels = judged
+    scores = runs.select("qid", "docid", "score")
+    topics = spark.createDataFrame([("q1", "a"), ("q2", "b"), ("q3", "c"), ("q4", " ")], "qid string, query string")
+    search = lambda sign: lambda t, level, k: R.rank(scores.withColumn("score", F.col("score") * sign).join(t.select("qid"), "qid", "left_semi"), k=k)
+    systems = [V.System("up", search(1), ("paragraph",), on_test=True, save="sparse"), V.System("down", search(-1), ("paragraph",), experimental=True, save="never")]
+    sets = [V.QuerySet("study", topics, {"paragraph": qrels}), V.QuerySet("test", topics.where("qid = 'q1'"))]
+    settings = V.Settings(levels=("paragraph",), k=5)
+    out = V.run_evaluation(spark, systems, sets, settings, str(tmp_path / "e"))
+    assert {(r.set, r.run) for r in out.runs.select("set", "run").distinct().collect()} == {("study", "up"), ("study", "down"), ("test", "up")}
+    assert out.latency.where("ms > 0").count() == 4 + 4 + 1
+    means = {(r.run, r.level, r.metric): round(r.value, 6) for r in out.reports["study", "paragraph"].means.collect()}
+    assert (means["up", 1, "ndcg"], means["up", 1, "p5"], means["up", 2, "p5"]) == (0.487054, 0.266667, 0.133333) and ("up", 2, "ndcg") not in means
+    pair = {(r.run_a, r.run_b) for r in out.reports["study", "paragraph"].comparisons.collect()}
+    assert pair == {("up", "down")}  # in order of the systems, not of names
+    text = {k[2]: json.loads(v.first().report) for k, v in out.texts.items()}
+    assert text["summary"]["relevance_passes"]["relevant_or_partial"]["metrics"]["up"]["ndcg"] == 0.487054 and text["summary"]["k"] == 5
+    assert list(text["summary"]["trec_runs"]) == ["up"] and text["summary"]["experimental_methods"] == ["down"]
+    assert text["queries"]["relevance_passes"]["relevant_only"]["queries"]["q1"]["up"] == {"mrr": 0.5, "p5": 0.4}
+    entry = text["significance"]["relevance_passes"]["relevant_or_partial"]["comparisons"]["up vs down"]["mrr"]
+    assert set(entry) == {"p", "better", "win_tie_loss"} and set(entry["win_tie_loss"]) == {"W", "T", "L"} and entry["better"] is None
+    assert C.read_run(spark, C.run_path(f"{tmp_path}/e/trec", "team", "paragraph", "sparse", "test")).count() == 5
+    with pytest.raises(ValueError):
+        V.run_evaluation(spark, systems, [V.QuerySet("study", topics, {"paper": qrels})], settings)
+    with pytest.raises(ValueError):
+        V.Settings(metrics=(), strict_metrics=())
+    with pytest.raises(ValueError):
+        V.Settings(levels=("chapter",))
+
+
+def test_significance_of_twelve_queries(spark):
+    """Wins, ties and losses are the first run's, p has three digits, and without significance no run is better."""
+    rows = [(run, str(i), "ndcg", 1, v) for i, d in enumerate([0.2] * 6 + [0.0] * 5 + [-0.01]) for run, v in (("bm25", 0.5 + d), ("tfidf", 0.5))]
+    values = spark.createDataFrame(rows, "run string, qid string, metric string, level int, value double")
+    report = C.significance_report(M.compared(values, ("level", "metric"), order=("bm25", "tfidf")), {"set": "study"})
+    got = json.loads(report.first().report)["relevance_passes"]["relevant_or_partial"]["comparisons"]["bm25 vs tfidf"]["ndcg"]
+    assert got["better"] == "bm25" and got["win_tie_loss"] == {"W": 6, "T": 5, "L": 1} and 0 < got["p"] < 0.05 and len(f"{got['p']:.3g}") == len(str(got["p"]))
+
+
+def test_files(spark, mini, tmp_path, judged):
+    assert {(r.file, r.reason) for r in C.skipped(spark, mini).collect()} == {("nop.json", "no paragraphs"), ("bad.json", "unreadable")}
+    C.write_papers(C.papers(spark, mini), f"{tmp_path}/lines")
+    again = C.papers(spark, f"{tmp_path}/lines", lines=True)
+    assert sorted(map(str, again.collect())) == sorted(map(str, C.papers(spark, mini).collect()))
+    _, qrels = judged
+    C.write_qrels(qrels, f"{tmp_path}/qrels")
+    for tabs in (True, False):
+        assert sorted(map(tuple, C.qrels(spark, f"{tmp_path}/qrels", tabs_only=tabs).collect())) == sorted(map(tuple, qrels.collect()))
+    topics = spark.createDataFrame([("q1", "a"), ("q2", " ")], "qid string, query string")
+    assert {r.qid for r in C.asked(qrels, topics).collect()} == {"q1"}
+    assert C.qrel_path("d", "study", "paper") == "d/Study_paper_qrel.tsv"
+    assert C.run_path("d", "t", "paper", "bm25", "study", stem=False) == "d/t_paper_bm25_study_no-stem.tsv" and C.run_path("d", "t", "paper", "dense", "study", stem=False) == "d/t_paper_dense_study.tsv"
+    (tmp_path / "h.json").write_text('{"model": "m", "epoch": 1, "train_loss": 0.5, "validation_loss": 0.25}')
+    assert tuple(C.read_history(spark, f"{tmp_path}/h.json").first()) == ("m", 1, 0.5, 0.25)
+    with pytest.raises(Exception, match="four ids"):
+        L.split_80_20(spark.range(3).toDF("qid")).collect()
+
+
+def test_encoded_rows(spark):
+    """Ten attempts, of 2 to 11 parts, by words; a text that never fits is null, and a model is loaded once a task."""
+
+    def load():
+        def encode(texts):
+            if any(len(t.split()) > 3 for t in texts):
+                raise MemoryError
+            return [[float(len(t.split())), 1.0] for t in texts]
+
+        return encode
+
+    rows = spark.createDataFrame([(1, "a b"), (2, " ".join("x" * 33)), (3, " ".join("x" * 34)), (4, None), (5, " ".join("x" * 7))], "id int, text string").withColumn("vector", F.lit("clash"))
+    got = {r.id: r.vector for r in E.encoded(rows, load).collect()}
+    assert got[1] == [2.0, 1.0] and got[4] == [0.0, 1.0] and got[3] is None
+    assert [round(x, 6) for x in got[2]] == [round(x / math.sqrt(10), 6) for x in (3, 1)]
+    assert [round(x, 6) for x in got[5]] == [round(x / math.hypot(7 / 3, 1), 6) for x in (7 / 3, 1)]
+
+
 def test_encode_fallback():
     import pandas as pd
 
