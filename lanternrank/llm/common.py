@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401  pa.compute
@@ -44,14 +46,66 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The rows of df as a table in the shared folder: cuts the lineage, and survives lost executors."""
+def written(df: DataFrame, name: str, tasks_a_file: int = 0) -> DataFrame:
+    """The rows of df as a table in the shared folder: cuts the lineage, and survives lost executors.
+
+    tasks_a_file: for tables of a few short rows a task, so many tasks' rows go to one file.
+    """
     spark = df.sparkSession
     path = new_path(spark, name)
+    if _open:
+        _open[-1].append(path)
+    if tasks_a_file:
+        df = df.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")) // tasks_a_file + 1)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+_open: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes, at its end, the tables written within it, but for those that `kept` took out.
+
+    What is left must not read them any more: a caller leaves the block only
+    once all that it needs from them is itself a written table.
+    """
+    _open.append([])
+    try:
+        yield
+    finally:
+        for path in _open.pop():
+            _delete(spark, path)
+
+
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """`written` for a result that outlives the innermost `scratch`; an outer one takes it over."""
+    out = written(df, name)
+    if _open:
+        path = _open[-1].pop()
+        if len(_open) > 1:
+            _open[-2].append(path)
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Column names that df doesn't have, made from the given ones; Spark takes names without regard to case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def ascii_lower(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 

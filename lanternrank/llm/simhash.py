@@ -23,7 +23,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -97,10 +97,15 @@ def bk_build(shard: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return root, keys[order], kids[order]
 
 
-def bk_search(fp: np.ndarray, root: np.ndarray, keys: np.ndarray, kids: np.ndarray, radius: int, most: int = 1 << 19):
-    """Blocks of links (query row, found row), query > found, within the radius; at most about `most` open pairs at once."""
-    for lo in range(0, len(fp), most):
-        open_ = [(np.arange(lo, min(lo + most, len(fp))), root[lo : lo + most])]
+def bk_search(fp: np.ndarray, root: np.ndarray, keys: np.ndarray, kids: np.ndarray, radius: int, most: int = 1 << 19, queries: np.ndarray | None = None):
+    """Blocks of links (query row, found row) within the radius; at most about `most` open pairs at once.
+
+    Without `queries` (row numbers) all rows are queries, and query > found; with them, a query finds itself too.
+    """
+    every = queries is None
+    queries = np.arange(len(fp)) if every else queries
+    for lo in range(0, len(queries), most):
+        open_ = [(queries[lo : lo + most], root[queries[lo : lo + most]])]
         while open_:
             query, node = open_.pop()
             if len(query) > most:
@@ -108,7 +113,7 @@ def bk_search(fp: np.ndarray, root: np.ndarray, keys: np.ndarray, kids: np.ndarr
                 open_ += [(query[half:], node[half:]), (query[:half], node[:half])]
                 continue
             d = np.bitwise_count(fp[query] ^ fp[node]).astype(np.int64)
-            hit = (d <= radius) & (query > node)
+            hit = (d <= radius) & (query > node) if every else d <= radius
             if hit.any():
                 yield query[hit], node[hit]
             a = np.searchsorted(keys, node * 65 + np.maximum(d - radius, 0))
@@ -197,23 +202,24 @@ def components(edges: DataFrame) -> DataFrame:
     """node, label for every node with an edge: label is the smallest node of its component.
 
     Alternating large-star and small-star steps; each step's edges are written
-    to the shared folder, and nothing but two counts reaches the driver.
+    to the shared folder (and the ones before deleted), and nothing but two
+    counts reaches the driver.
     """
-    edges = common.written(edges, "edges")
-    before = None
-    while True:
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        down = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(down, "u")
-        out = small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(down.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        edges = common.written(out, "edges")
-        state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if state == before:
-            break
-        before = state
-    return edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("label")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
+    spark = edges.sparkSession
+    with common.scratch(spark):
+        edges, before = common.kept(edges, "edges"), None
+        while True:
+            state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+            if state == before or not state[0]:
+                return edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("label")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
+            before = state
+            both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+            least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+            large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+            down = large.groupBy("u").agg(F.min("v").alias("m"))
+            small = large.join(down, "u")
+            out = small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(down.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
+            edges = common.kept(out, "edges")
 
 
 def _labelled(docs: DataFrame, radius: int, width: int, seed: int) -> tuple[DataFrame, DataFrame]:
@@ -239,14 +245,22 @@ def classes(docs: DataFrame, radius: int = 3, width: int = 3, seed: int = 42) ->
 
 def keep_one(docs: DataFrame, radius: int = 3, width: int = 3, seed: int = 42) -> DataFrame:
     """docs with one row of each class left, of the smallest doc_id; all columns stay."""
-    _, fps = _labelled(docs, radius, width, seed)
-    best = fps.groupBy("label").agg(F.min("first").alias("b")).select(F.col("b.doc_id").alias("_id"), F.col("b.text_hash").alias("_hash"))
-    return only(docs, best)
+    with common.scratch(docs.sparkSession):
+        _, fps = _labelled(docs, radius, width, seed)
+        best = fps.groupBy("label").agg(F.min("first").alias("b")).select(F.col("b.doc_id").alias("_id"), F.col("b.text_hash").alias("_hash"))
+        return only(docs, best)
 
 
 def only(docs: DataFrame, best: DataFrame) -> DataFrame:
-    """One row of docs for each _id and _hash (of the text) of best."""
-    best = common.written(best, "survivors")
-    hashed = docs.withColumn("_hash_of", F.xxhash64("text"))
-    kept = hashed.join(best, hashed["doc_id"].eqNullSafe(best["_id"]) & (hashed["_hash_of"] == best["_hash"]), "left_semi")
-    return kept.dropDuplicates(["doc_id", "_hash_of"]).drop("_hash_of")
+    """One row of docs for each _id and _hash (of the text) of best, which is written first.
+
+    Join and deduplication share one key without nulls, so whole rows are exchanged once.
+    """
+    key, = common.unused(docs, "_key")
+    best = common.kept(best.select(row_key(F.col("_hash"), F.col("_id")).alias(key)), "survivors")
+    return docs.withColumn(key, row_key(F.xxhash64("text"), F.col("doc_id"))).join(best, key, "left_semi").dropDuplicates([key]).drop(key)
+
+
+def row_key(text_hash: Column, doc_id: Column) -> Column:
+    """What tells rows apart, without nulls: a null id is left out."""
+    return F.concat_ws(":", text_hash.cast("string"), doc_id.cast("string"))
