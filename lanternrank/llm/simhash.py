@@ -6,10 +6,11 @@ shard's BK-tree keys children by their integer distance to the parent, and a
 search follows only edges within the radius.  `components` joins the links.
 
 The shard trees are not broadcast whole: all fingerprints of a corpus have no
-size bound.  Shards come from the pigeonhole rule instead (two fingerprints
-within `radius` bits agree on one of radius + 1 blocks, and on one of as many
-parts of the rest), so each tree and its queries meet in one task, every link
-is found, and a hot fingerprint is one node however many rows have it.
+size bound.  Two fingerprints within `radius` bits agree on one of radius + 1
+blocks of bits; a shard holds those with the same first bits of a block, as
+many bits as give about `shard_size` fingerprints a shard (all bits of the block
+at most).  So each tree and its queries meet in one task, every link is found,
+and a hot fingerprint is one node however many rows have it.
 
 Defined cases: null and empty texts have no words and fingerprint zero, which
 links like any other; fewer words than a shingle give one shingle of all;
@@ -20,6 +21,8 @@ extra columns do not matter to `classes`, and `keep_one` passes them on.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -97,10 +100,11 @@ def bk_build(shard: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return root, keys[order], kids[order]
 
 
-def bk_search(fp: np.ndarray, root: np.ndarray, keys: np.ndarray, kids: np.ndarray, radius: int, most: int = 1 << 19, queries: np.ndarray | None = None):
+def bk_search(fp: np.ndarray, root: np.ndarray, keys: np.ndarray, kids: np.ndarray, radius: int, most: int = 1 << 19, queries: np.ndarray | None = None, visits: list[int] | None = None):
     """Blocks of links (query row, found row) within the radius; at most about `most` open pairs at once.
 
     Without `queries` (row numbers) all rows are queries, and query > found; with them, a query finds itself too.
+    `visits` takes the number of nodes met at each step.
     """
     every = queries is None
     queries = np.arange(len(fp)) if every else queries
@@ -112,6 +116,8 @@ def bk_search(fp: np.ndarray, root: np.ndarray, keys: np.ndarray, kids: np.ndarr
                 half = len(query) // 2
                 open_ += [(query[half:], node[half:]), (query[:half], node[:half])]
                 continue
+            if visits is not None:
+                visits.append(len(node))
             d = np.bitwise_count(fp[query] ^ fp[node]).astype(np.int64)
             hit = (d <= radius) & (query > node) if every else d <= radius
             if hit.any():
@@ -160,32 +166,27 @@ def shard_forest(shard: np.ndarray, fp: np.ndarray, radius: int) -> tuple[np.nda
     return fp[linked], fp[parent[linked]]
 
 
-def _routes(radius: int):
-    """Shard keys of a column fp: block i of 64 bits and its value, part j of the other bits and its value."""
-    k = radius + 1
-    cuts = lambda total: [total * i // k for i in range(k + 1)]
-    out = []
+def _routes(radius: int, bits: int):
+    """Shard keys of a column fp: the first `bits` bits of each of radius + 1 blocks, and which block it is."""
+    k, out = radius + 1, []
     for i in range(k):
-        lo, hi = cuts(64)[i : i + 2]
+        lo, hi = 64 * i // k, 64 * (i + 1) // k
+        lo = max(lo, hi - bits)
         block = F.shiftrightunsigned("fp", lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1))
-        left = 64 - (hi - lo)
-        low = F.col("fp").bitwiseAND(F.lit((1 << lo) - 1))
-        rest = (F.shiftleft(F.shiftrightunsigned("fp", hi), lo) if hi < 64 else F.lit(0).cast("long")).bitwiseOR(low)
-        for j in range(k):
-            a, b = cuts(left)[j : j + 2]
-            part = F.shiftrightunsigned(rest, a).bitwiseAND(F.lit((1 << (b - a)) - 1))
-            out.append(F.shiftleft(block, b - a).bitwiseOR(part) * F.lit(k * k) + F.lit(i * k + j))
+        out.append(block * F.lit(k) + F.lit(i))
     return F.explode(F.array(*out))
 
 
-def links(fps: DataFrame, radius: int = 3, rows_per_task: int = 4_000_000) -> DataFrame:
+def links(fps: DataFrame, radius: int = 3, shard_size: int = 1024, rows_per_task: int = 4_000_000) -> DataFrame:
     """Edges (u, v), u > v, that connect just the fingerprints which links within the radius connect.
 
     fps: distinct fp.  Rows travel as 16 bytes and each shard is one task's; the
     number of partitions follows the rows.
     """
     spark = fps.sparkSession
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), fps.count() * (radius + 1) ** 2 // rows_per_task + 1)
+    n = fps.count()
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n * (radius + 1) // rows_per_task + 1)
+    bits = max(0, math.ceil(math.log2(max(1, n) / shard_size)))
 
     def run(batches):
         got = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches if b.num_rows]
@@ -194,7 +195,7 @@ def links(fps: DataFrame, radius: int = 3, rows_per_task: int = 4_000_000) -> Da
             for at in range(0, len(u), 1 << 16):
                 yield pa.RecordBatch.from_arrays([pa.array(u[at : at + (1 << 16)]), pa.array(v[at : at + (1 << 16)])], names=["u", "v"])
 
-    routed = fps.select(_routes(radius).alias("shard"), "fp").repartition(tasks, "shard")
+    routed = fps.select(_routes(radius, bits).alias("shard"), "fp").repartition(tasks, "shard")
     return routed.mapInArrow(run, "u long, v long").distinct()
 
 
