@@ -12,7 +12,8 @@ has as many shingles as its smallest item needs.  Each candidate is then
 verified by exact containment of the shingles themselves, not of hashes.
 
 The items are a stated query set; they reach the tasks in blocks of at most
-`block_shingles` shingles each, so what is broadcast has a proven bound.
+`block_shingles` shingles each (or one item), one block after the other, so
+what is broadcast has a proven bound and no worker holds two blocks.
 
 Defined cases: shingles are `width` lower-cased (A-Z) words; an item of fewer
 words is one shingle of all of them, searched among the document's runs of as
@@ -24,6 +25,7 @@ no pairs; extra columns of `clean` pass through.
 from __future__ import annotations
 
 from collections import defaultdict
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -119,19 +121,17 @@ def search(index: tuple[list, list], text: bytes, known: dict[bytes, int], thres
     return out
 
 
-def _blocks(items: DataFrame, width: int, threshold: float, block_shingles: int) -> list:
-    """Broadcast indexes of the items, each over at most block_shingles shingles (or one item)."""
-    sc, out, held, n = items.sparkSession.sparkContext, [], [], 0
+def _blocks(items: DataFrame, width: int, threshold: float, block_shingles: int) -> Iterator[tuple[list, bool]]:
+    """(items, whether they are the last) of each block of at most block_shingles shingles, or one item; one without items if there are none."""
+    held, n = [], 0
     for r in items.select("item_id", F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("t")).toLocalIterator():
         size = len(r.t) // 2 + 1  # words at most
         if held and n + size > block_shingles:
-            out.append(sc.broadcast(build(held, width, threshold)))
+            yield held, False
             held, n = [], 0
         held.append((r.item_id, bytes(r.t)))
         n += size
-    if held or not out:
-        out.append(sc.broadcast(build(held, width, threshold)))
-    return out
+    yield held, True
 
 
 FOUND = "array<struct<item_id:bigint,item_shingles:bigint,shared:bigint>>"
@@ -150,7 +150,7 @@ def _lookup(index, threshold: float, of):
     return run
 
 
-def contained(docs: DataFrame, items: DataFrame, width: int = 5, threshold: float = 0.8, block_shingles: int = 2_000_000) -> DataFrame:
+def contained(docs: DataFrame, items: DataFrame, width: int = 5, threshold: float = 0.8, block_shingles: int = 500_000) -> DataFrame:
     """doc_id, item_id, item_shingles, shared and containment of each pair of a document and an item that it contains."""
     schema = T.StructType([docs.schema["doc_id"], T.StructField("found", T._parse_datatype_string(FOUND))])
     kind = pa.list_(pa.struct([(n, pa.int64()) for n in ("item_id", "item_shingles", "shared")]))
@@ -160,18 +160,27 @@ def contained(docs: DataFrame, items: DataFrame, width: int = 5, threshold: floa
         rows = [[dict(zip(("item_id", "item_shingles", "shared"), x)) for x in f] for f in found if f]
         return pa.RecordBatch.from_arrays([b.column("doc_id").filter(keep), pa.array(rows, kind)], names=["doc_id", "found"])
 
-    out = None
-    for index in _blocks(items, width, threshold, block_shingles):
+    sc, out = docs.sparkSession.sparkContext, None
+    for block, last in _blocks(items, width, threshold, block_shingles):
+        index = sc.broadcast(build(block, width, threshold))
         part = docs.select("doc_id", "text").mapInArrow(_lookup(index, threshold, pairs), schema)
+        if not last:
+            part = common.written(part, "found")
+            index.destroy()
         out = part if out is None else out.unionByName(part)
     x = F.col("found")
     return out.select("doc_id", F.explode("found").alias("found")).select("doc_id", x.item_id.alias("item_id"), x.item_shingles.alias("item_shingles"), x.shared.alias("shared"), (x.shared / x.item_shingles).alias("containment"))
 
 
-def clean(docs: DataFrame, items: DataFrame, width: int = 5, threshold: float = 0.8, block_shingles: int = 2_000_000) -> DataFrame:
+def clean(docs: DataFrame, items: DataFrame, width: int = 5, threshold: float = 0.8, block_shingles: int = 500_000) -> DataFrame:
     """docs without those that contain an item; one pass for each block of items, no shuffle."""
-    for index in _blocks(items, width, threshold, block_shingles):
+    sc = docs.sparkSession.sparkContext
+    for block, last in _blocks(items, width, threshold, block_shingles):
+        index = sc.broadcast(build(block, width, threshold))
         docs = docs.mapInArrow(_lookup(index, threshold, lambda b, found: b.filter(pa.array([not f for f in found], pa.bool_()))), docs.schema)
+        if not last:
+            docs = common.written(docs, "cleaned")
+            index.destroy()
     return docs
 
 
