@@ -61,6 +61,38 @@ def test_bk_forest_against_brute_force():
     assert found == {(i, j) for i in range(len(fp)) for j in range(i) if int(fp[i] ^ fp[j]).bit_count() <= 3}
 
 
+def test_edges_prune_the_search():
+    """Following only edges within the radius meets a fraction of the nodes, and still finds every link."""
+    r = np.random.default_rng(6)
+    fp = np.unique(r.integers(0, 1 << 63, 4000, dtype=np.uint64))
+    fp = np.unique(np.concatenate((fp, fp[::7] ^ np.uint64(5), fp[::11] ^ np.uint64(1 << 40))))
+    visits = []
+    found = sum(len(a) for a, _ in simhash.bk_search(fp, *simhash.bk_build(np.zeros(len(fp), np.int64), fp), 3, visits=visits))
+    near = sum(int((np.bitwise_count(fp[i + 1 :] ^ fp[i]) <= 3).sum()) for i in range(len(fp)))
+    assert found == near > 500 and sum(visits) < len(fp) ** 2 / 4
+
+
+def test_links_do_not_depend_on_shards(spark):
+    r = np.random.default_rng(7)
+    fp = r.integers(0, 1 << 63, 300, dtype=np.uint64)
+    for _ in range(3):
+        fp = np.concatenate((fp, fp[r.integers(0, len(fp), 150)] ^ (np.uint64(1) << r.integers(0, 64, 150, dtype=np.uint64)) ^ (np.uint64(1) << r.integers(0, 64, 150, dtype=np.uint64))))
+    fp = np.unique(fp)
+    label = np.arange(len(fp))
+    for i in range(len(fp)):
+        for j in np.flatnonzero(np.bitwise_count(fp[:i] ^ fp[i]) <= 3):
+            label[label == label[i]] = min(label[i], label[j]) if label[i] < label[j] else label[i]
+            low, high = sorted((label[i], label[j]))
+            label[label == high] = low
+    want = Counter(Counter(label.tolist()).values())
+    df = spark.createDataFrame([(int(x),) for x in fp.view(np.int64)], "fp long")
+    for size in (1 << 20, 64, 1):
+        got = Counter(x.label for x in simhash.components(simhash.links(df, shard_size=size)).collect())
+        sizes = Counter(got.values())
+        sizes[1] += len(fp) - sum(got.values())
+        assert +sizes == want
+
+
 def test_simhash_classes(spark, messy, empty):
     import xxhash
 
@@ -738,6 +770,53 @@ def test_quality(spark, messy, empty):
     assert none is None and {r.score for r in quality.classify(messy, none).collect()} == {0.5}
 
 
+def plain_probability(net, text):
+    """The network by its definition, a number at a time."""
+    data = text + b"\0" * (128 * -(-(len(text) + 4) // 128) - len(text))
+    n = len(data) // 4
+    at = lambda i: [float(v) for b in data[4 * i : 4 * i + 4] for v in net.emb[b]] if i < n else [float(v) for v in net.emb[0]] * 4
+    responses = []
+    blocks = [at(i) for i in range(n + 1)]
+    for i in range(n):
+        x = blocks[i] + blocks[i + 1]
+        responses.append([sum(a * float(w) for a, w in zip(x, net.conv[:, f])) for f in range(net.conv.shape[1])])
+    halves = [[max(r[f] for r in responses[32 * h : 32 * h + 32]) for f in range(len(responses[0]))] for h in range(n // 32)]
+    chunks = [[np.tanh(max(halves[h][f], halves[min(h + 1, len(halves) - 1)][f]) + float(net.bias[f])) for f in range(len(halves[0]))] for h in range(len(halves))]
+    pooled = [sum(c) / len(chunks) for c in zip(*chunks)] + [max(c) for c in zip(*chunks)]
+    return 1 / (1 + np.exp(-(sum(a * float(w) for a, w in zip(pooled, net.out)) + net.out_bias)))
+
+
+def test_network_against_its_definition():
+    r = random.Random(4)
+    net = quality.Net.fresh(3)
+    net.bias[:] = np.linspace(-0.2, 0.2, len(net.bias))
+    some = [b"", b"x", bytes(r.randrange(256) for _ in range(127)), bytes(r.randrange(256) for _ in range(128)), b"abc d" * 150, "é" .encode() * 300]
+    want = [plain_probability(net, t) for t in some]
+    assert np.allclose(quality.probabilities(net, some), want, atol=1e-5) and max(want) - min(want) > 0.01
+    assert np.allclose([quality.probabilities(net, [t])[0] for t in some], want, atol=1e-5)
+    data, first = quality._layout(some * 3)
+    assert all(np.allclose(quality._tops(net, data, first, step), quality._tops(net, data, first), atol=1e-5) for step in (1, 2, 5))
+
+
+def test_long_texts_take_little_memory():
+    import tracemalloc
+
+    text = b"some words of a very long text " * 270_000
+    tracemalloc.start()
+    quality.probabilities(quality.Net.fresh(1), [text])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 6 * len(text)
+
+
+def test_labels_of_two_values(spark):
+    """An id with both labels counts under each; without further labels both classes are there, and all texts score."""
+    docs = spark.createDataFrame([(i, f"text {i} " * (i + 1)) for i in range(6)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, k) for i in range(6) for k in (0, 1)] + [(None, 1), (3, None)], "doc_id long, quality int")
+    net = quality.train(docs, labels)
+    assert net is not None and quality.classify(docs, net).count() == 6
+
+
 def test_gradients():
     net, t, y = quality.Net.fresh(1), [b"some text here " * 30, b"x", b""], np.array([1, 0, 1], "f4")
     net = quality.Net(*(v.astype("f8") for v in (net.emb, net.conv, net.bias, net.out)), 0.1)
@@ -781,6 +860,49 @@ def test_pipeline(spark, messy):
         docs = out if name == "sharding" else spark.createDataFrame(rows, out.schema)
 
 
+def test_stages_against_brute_force(spark):
+    """Each stage by its definition, from the rows that it got."""
+    import corpus_pipeline
+
+    stages = dict(corpus_pipeline.STAGES)
+    docs = spark.read.parquet(f"{DIR}/documents.parquet")
+    rows = {r.doc_id: r for r in docs.collect()}
+    net = quality.train(docs, spark.read.parquet(f"{DIR}/labels.parquet"))
+    few = sorted(rows)[:60]
+    kept = {r.doc_id for r in stages["quality classifier"](spark, docs, DIR).collect()}
+    for i in few:
+        t = rows[i].text.encode()
+        if len(t) < 4000:
+            assert (plain_probability(net, t) >= 0.5) == (i in kept)
+    got = [r.doc_id for r in stages["SimHash near-dedup"](spark, docs, DIR).collect()]
+    assert sorted(got) == sorted(near_groups([(i, r.text.encode()) for i, r in rows.items()]))
+    grams = lambda w, k: {tuple(w[j : j + k]) for j in range(len(w) - k + 1)}
+    items = [r.text.encode().lower().split() for r in spark.read.parquet(f"{DIR}/benchmark.parquet").collect()]
+    holds = lambda w: any(len(g & grams(w, k)) >= 0.8 * len(g) - 1e-9 for it in items if it for k in [min(5, len(it))] for g in [grams(it, k)])
+    clean = {r.doc_id for r in stages["benchmark decontamination"](spark, docs, DIR).collect()}
+    assert clean == {i for i, r in rows.items() if not holds(r.text.encode().lower().split())} and len(clean) < len(rows)
+    size, words = Counter(), {i: len(re.findall(r"[^\x20\x09-\x0D]+", r.text)) for i, r in rows.items()}
+    for i, r in rows.items():
+        size[r.source] += words[i]
+    weight = {s: k % 3 + 1 for k, s in enumerate(sorted(size, key=lambda s: (s is None, s or "")))}
+    copies = Counter(r.doc_id for r in stages["mixing"](spark, docs, DIR).collect())
+    left, open_, goal = sum(size.values()), set(size), {}
+    while over := {s for s in open_ if left * weight[s] / sum(weight[x] for x in open_) >= 3 * size[s]}:
+        goal |= {s: 3 * size[s] for s in over}
+        left, open_ = left - sum(3 * size[s] for s in over), open_ - over
+    goal |= {s: left * weight[s] / sum(weight[x] for x in open_) for s in open_}
+    for i, r in rows.items():
+        rate = goal[r.source] / size[r.source]
+        u = int(hashlib.md5(f"{i}:1".encode()).hexdigest()[:13], 16) / 2**52
+        assert copies[i] == int(rate) + (u < rate - int(rate))
+    out = sorted(stages["sharding"](spark, docs, DIR).collect(), key=lambda r: (int(hashlib.md5(r.text.encode()).hexdigest()[:15], 16), r.doc_id))
+    total, below, slots = sum(len(r.text.encode()) + 16 for r in rows.values()), 0, Counter()
+    for r in out:
+        assert r.shard == below * 40 // total and r.slot == slots[r.shard]
+        below, slots[r.shard] = below + r.size, slots[r.shard] + 1
+    assert len(out) == len(rows)
+
+
 def test_registry():
     names = list(queries.queries())
     assert [n.split("_")[0] for n in names] == [f"op{k}" for k in range(1, 11)] and set(queries.oracle_sql()) <= set(names)
