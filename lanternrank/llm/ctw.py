@@ -5,14 +5,29 @@ its byte) has a context tree whose edges are the bytes before, youngest first.
 Every context holds a Krichevsky-Trofimov estimate, and the weighted
 probability of a context is half its own estimate plus half the product over
 its extensions; predictions so mix the estimates of all depths from 0 to
-`depth` by their posterior weights.  Scores are log10 probabilities of the
-lower-cased text and one end symbol (byte 0).
-
-All training bytes are counted.  The tree's size is a parameter that bounds
-the model and so its broadcast: a context stays a node of its own if it holds
-at least a `contexts`-th part of all training positions, so there are at most
-that many at a depth; what the other extensions of a node hold is pooled in
-one more child, so no count is lost.
+`DEPTH` by their posterior weights.  Scores are log10 probabilities of the
+lower-cased text and one end symbol, the byte 255, which no UTF-8 text holds.
+
+The tree grows with the corpus: every context of up to two bytes and every
+longer one seen `least` times in training is a node of its own (what the other
+extensions of a node hold is pooled in one more child, so no count is lost),
+and no task holds all of it:
+
+1. Each task cuts its texts into chunks and tells the distinct windows (five
+   bytes and the next) of each, with their training counts, by the two
+   youngest bytes of their context.
+2. Windows are exchanged by that pair of bytes, so a task has a whole subtree:
+   it counts, weighs it from the leaves up, and writes it.  Of corpora beyond
+   `salt_bytes` each pair's chunks are dealt to several tasks, which merge their
+   windows first, so that only distinct ones meet in the subtree's task.
+3. The two upper levels, of at most 257 contexts, are put together on the
+   driver from the subtrees' sums.
+4. Each subtree prices its windows, and the prices go back to the chunks.
+5. Texts are cut into the same chunks again, and their windows' prices added.
+
+So what is exchanged is distinct windows of chunks, not positions, and nothing
+but the two upper levels is broadcast.  A task's memory follows the windows of
+one pair of bytes, or of one chunk.
 
 The base score adds log10((c + 1) / (N + V + 1)) over words and one end token.
 Words with at least a `frequent`-th part of all tokens, at most that many, are
@@ -20,88 +35,125 @@ broadcast; all other words join the vocabulary by shuffle.
 
 Defined cases: null text reads as empty and has only its end; null ids count as
 the empty text when the fold is chosen; repeated rows are scored one by one;
-no training rows give uniform bytes and a base of zero; empty tables give empty
-results; extra columns are not looked at.
+texts of any length are cut within; no training rows give uniform bytes and a
+base of zero; empty tables give empty results; extra columns are not looked at.
 """
 
 from __future__ import annotations
 
 import math
 from collections import Counter
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.dataset as ds
+import pyarrow.fs as fs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from . import common
 
-DEPTH, CONTEXTS, FREQUENT = 5, 1 << 15, 1 << 17
+DEPTH, LEAST, FREQUENT, CHUNK = 5, 64, 1 << 17, 8 << 20
+END = b"\xff"
 SYM = np.arange(256)
 
 
-# ---- counts
+# ---- windows of chunks
+
+@dataclass
+class Segment:
+    row: int  # number of the text in its task
+    data: bytes  # DEPTH bytes of context, then the segment's own
+    last: bool
+
 
-def grams(texts: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct windows of depth + 1 bytes (youngest byte lowest) ending at each byte or end of a text, and how often."""
-    data = np.frombuffer(b"\0" * depth + b"".join(t.lower() + b"\0" * (depth + 1) for t in texts), np.uint8)
-    key = np.zeros(len(data) - depth, np.int64)
-    for k in range(depth + 1):
-        key |= data[depth - k : len(data) - k].astype(np.int64) << (8 * k)
-    return np.unique(key[_positions(texts, depth)], return_counts=True)
+def segments(texts: Iterable[bytes], most: int = CHUNK) -> Iterator[list[Segment]]:
+    """Chunks of `most` positions (bytes and ends) of the lower-cased texts in their order; long texts are cut anywhere."""
+    chunk, room = [], most
+    for row, text in enumerate(texts):
+        data, n, at = END * DEPTH + text.lower() + END, len(text) + 1, 0
+        while at < n:
+            take = min(room, n - at)
+            chunk.append(Segment(row, data[at : at + take + DEPTH], at + take == n))
+            at, room = at + take, room - take
+            if not room:
+                yield chunk
+                chunk, room = [], most
+    if chunk:
+        yield chunk
 
 
-def _positions(texts: list[bytes], depth: int) -> np.ndarray:
-    """Of all texts' bytes and ends, in data laid out as each text and depth + 1 zeros."""
-    size = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
-    start = np.concatenate(([0], np.cumsum(size + depth)[:-1]))
-    return np.repeat(start - np.concatenate(([0], np.cumsum(size)[:-1])), size) + np.arange(size.sum())
+def windows(chunk: list[Segment]) -> tuple[np.ndarray, np.ndarray]:
+    """The window of each position, its context's youngest byte first and its own byte last, and where each segment's begin."""
+    size = np.fromiter((len(s.data) for s in chunk), np.int64, len(chunk))
+    data = np.frombuffer(b"".join(s.data for s in chunk), np.uint8)
+    key = data[DEPTH:].astype(np.int64)
+    for k in range(1, DEPTH + 1):
+        key |= data[DEPTH - k : len(data) - k].astype(np.int64) << (8 * (DEPTH + 1 - k))
+    own = np.ones(len(key), bool)  # without the windows that start in one segment and end in the next
+    ends = np.cumsum(size)[:-1]
+    for k in range(DEPTH):
+        own[ends - DEPTH + k] = False
+    return key[own], np.concatenate(([0], np.cumsum(size - DEPTH)[:-1]))
 
 
-def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    keys, n = np.concatenate([k for k, _ in parts]), np.concatenate([n for _, n in parts])
-    found, where = np.unique(keys, return_inverse=True)
-    return found, np.bincount(where, n, len(found)).astype(np.int64)
+def _binaries(data: np.ndarray, cuts: np.ndarray) -> pa.Array:
+    """The bytes of data between cuts (numbers of elements) as a binary column."""
+    return pa.Array.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer((cuts * data.itemsize).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))])
 
 
-def _counter(depth: int):
-    """An Arrow map from texts to partial counts: words (end: null word and gram -1) and grams."""
+TOLD = "pair int, part int, chunk int, low binary, n binary"
 
-    def rows(words, keys, n):
-        w = pa.array(words, pa.binary()) if words is not None else pa.nulls(len(keys), pa.binary())
-        k = pa.array(keys) if keys is not None else pa.nulls(len(words), pa.int64())
-        return pa.RecordBatch.from_arrays([w, k, pa.array(n, pa.int64())], names=["word", "gram", "n"])
+
+def _tell(chunk_bytes: int):
+    """An Arrow map from texts to the windows of their chunks: those of one pair of youngest bytes a row, four bytes each."""
 
     def run(batches):
-        words, parts, held, ends = Counter(), [], 0, 0
-        for b in common.pieces(batches, 1 << 20):
-            texts = common.utf8(b.column("text"))
-            ends += len(texts)
-            for t in texts:
-                words.update(common.tokens(t))
-            parts.append(grams(texts, depth))
-            held += len(parts[-1][0])
-            if held > 1_500_000:
-                parts = [_merged(parts)]
-                held = len(parts[0][0])
-            if held > 1_000_000:
-                yield rows(None, *parts.pop()) if len(parts) == 1 else rows(None, *_merged(parts))
-                parts, held = [], 0
-            if len(words) > 300_000:
-                yield rows(list(words), None, list(words.values()))
-                words.clear()
-        if ends:
-            yield rows(None, np.array([-1]), [ends])
-        if words:
-            yield rows(list(words), None, list(words.values()))
-        if parts:
-            yield rows(None, *_merged(parts))
+        held: list[bool] = []
+
+        def texts():
+            for b in common.pieces(batches):
+                held.extend(b.column("held_out").to_pylist())
+                yield from common.utf8(b.column("text"))
+
+        part = TaskContext.get().partitionId()
+        for number, chunk in enumerate(segments(texts(), chunk_bytes)):
+            keys, first = windows(chunk)
+            found, where = np.unique(keys, return_inverse=True)
+            train = np.repeat([not held[s.row] for s in chunk], np.diff(np.append(first, len(keys))))
+            n = np.bincount(where[train], minlength=len(found)).astype(np.uint32)
+            pair = (found >> 32).astype(np.int32)
+            cuts = np.concatenate((np.flatnonzero(np.concatenate(([True], pair[1:] != pair[:-1]))), [len(pair)]))
+            rows = len(cuts) - 1
+            yield pa.RecordBatch.from_arrays([pa.array(pair[cuts[:-1]]), pa.array(np.full(rows, part, np.int32)), pa.array(np.full(rows, number, np.int32)), _binaries(found.astype(np.uint32), cuts), _binaries(n, cuts)], names=["pair", "part", "chunk", "low", "n"])
 
     return run
 
 
-# ---- the tree
+def _count_words(batches):
+    """An Arrow map from texts to partial counts of words; the end is a null word."""
+    words, ends = Counter(), 0
+
+    def rows(words, n):
+        return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(n, pa.int64())], names=["word", "n"])
+
+    for b in common.pieces(batches, 1 << 20):
+        ends += b.num_rows
+        for t in common.utf8(b.column("text")):
+            words.update(common.tokens(t))
+        if len(words) > 300_000:
+            yield rows(list(words), list(words.values()))
+            words.clear()
+    if ends:
+        yield rows([*words, None], [*words.values(), ends])
+
+
+# ---- estimates
 
 def lgamma(x: np.ndarray) -> np.ndarray:
     """Logarithm of the gamma function for x > 0: Stirling's series past ten, recurrence below."""
@@ -114,17 +166,31 @@ def lgamma(x: np.ndarray) -> np.ndarray:
     return (y - 0.5) * np.log(y) - y + 0.5 * np.log(2 * np.pi) + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - shift
 
 
+#: lgamma(n + 1/2) and lgamma(n + 1) of small counts, which most are.
+_TABLE = 1 << 14
+_HALF, _WHOLE = lgamma(np.arange(_TABLE) + 0.5), lgamma(np.arange(_TABLE) + 1.0)
+
+
+def _looked(table: np.ndarray, n: np.ndarray, shift: float) -> np.ndarray:
+    out = table[np.minimum(n, _TABLE - 1).astype(np.int64)]
+    big = n >= _TABLE
+    if big.any():
+        out[big] = lgamma(n[big] + shift)
+    return out
+
+
 def _bits(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Zeros and ones seen at each of the 255 nodes of a byte (node 1 is its first bit), for rows of byte counts."""
     n = np.zeros((len(counts), 512))
     n[:, 256:] = counts
-    for k in range(255, 0, -1):
-        n[:, k] = n[:, 2 * k] + n[:, 2 * k + 1]
+    for level in range(7, -1, -1):
+        a = 1 << level
+        n[:, a : 2 * a] = n[:, 2 * a : 4 * a].reshape(len(counts), a, 2).sum(axis=2)
     return n[:, 0:512:2][:, :256], n[:, 1:512:2][:, :256]
 
 
 def _kt(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return lgamma(a + 0.5) + lgamma(b + 0.5) - lgamma(a + b + 1) - np.log(np.pi)
+    return _looked(_HALF, a, 0.5) + _looked(_HALF, b, 0.5) - _looked(_WHOLE, a + b, 1.0) - np.log(np.pi)
 
 
 def _ones(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -138,12 +204,45 @@ def _sides(v: np.ndarray) -> np.ndarray:
     return np.stack((np.where(v > 0, 1 - v, -v), np.where(v > 0, v, 1 + v)))
 
 
-def model(entries: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    """(next state by state and older byte, log10 probability by state and byte) of a tree.
+def _prices(p: np.ndarray) -> np.ndarray:
+    """log10 probability of each byte, from those of its decisions (2 x rows x nodes)."""
+    out = np.zeros((p.shape[1], 256))
+    for level in range(8):
+        out += np.log10(p[(SYM >> (7 - level)) & 1, :, (1 << level) | (SYM >> (8 - level))].T)
+    return out
+
+
+# ---- trees
+
+@dataclass
+class Tree:
+    """Contexts by depth (0 is the tree's own root) as numbers, youngest byte lowest; arrays are rows of contexts by nodes."""
+
+    ctx: list
+    parent: list
+    first: np.ndarray  # number of each depth's first state
+    step: np.ndarray  # next state by state and older byte, or -1
+    own: list  # estimates of each context, of its pooled extensions, and the weight of stopping at it
+    rest: list
+    stop: list
+    weighted: np.ndarray  # log weighted probability of the root, by node
 
-    entries: for each depth the kept (context << 8 | byte) keys, sorted, and
-    counts.  State 0 is the root; a state's row of the first table leads to its
-    extensions, or to -1.
+
+def _sums(rows: np.ndarray, parent: np.ndarray, size: int) -> np.ndarray:
+    """Sums of rows by parent."""
+    out = np.zeros((size, rows.shape[1]))
+    if len(rows):
+        order = np.argsort(parent, kind="stable")
+        start = np.flatnonzero(np.concatenate(([True], np.diff(parent[order]) > 0)))
+        out[parent[order][start]] = np.add.reduceat(rows[order], start, axis=0)
+    return out
+
+
+def tree(entries: list[tuple[np.ndarray, np.ndarray]]) -> Tree:
+    """The tree of counts, weighed bottom up.
+
+    entries: for each depth the (context << 8 | byte) keys of its own contexts,
+    sorted, and counts; a context's shorter one is among those before.
     """
     depth = len(entries) - 1
     ctx = [np.zeros(1, np.int64)] + [np.unique(k >> 8) for k, _ in entries[1:]]
@@ -157,106 +256,241 @@ def model(entries: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.
     step = np.full((int(first[max(depth, 1)]), 256), -1, np.int32)  # the deepest have no extensions
     for d in range(1, depth + 1):
         step[first[d - 1] + parent[d], ctx[d] >> (8 * (d - 1))] = first[d] + np.arange(len(ctx[d]))
-    # bottom up: weight of stopping at each context, for each node of the byte
     stop, own, rest = [None] * (depth + 1), [None] * (depth + 1), [None] * (depth + 1)
-    below = None
+    below = above = weighted = None
     for d in range(depth, -1, -1):
         stop[d], own[d] = np.ones((len(ctx[d]), 256), np.float32), np.empty((len(ctx[d]), 256), np.float32)
-        weighted = np.empty((len(ctx[d]), 256)) if d else None
-        left = counts[d].copy()
+        weighted = np.empty((len(ctx[d]), 256))
         if d < depth:
-            np.subtract.at(left, parent[d + 1], counts[d + 1])
+            left = counts[d] - _sums(counts[d + 1], parent[d + 1], len(ctx[d]))
+            below, counts[d + 1] = _sums(above, parent[d + 1], len(ctx[d])), None
             rest[d] = np.empty((len(ctx[d]), 256), np.float32)
         for at in range(0, len(ctx[d]), 2048):
             s = slice(at, at + 2048)
             a, b = _bits(counts[d][s])
             mine = _kt(a, b)
             own[d][s] = _ones(a, b)
-            total = mine
+            weighted[s] = mine
             if d < depth:
                 a, b = _bits(left[s])
                 rest[d][s] = _ones(a, b)
                 both = np.logaddexp(mine, _kt(a, b) + below[s]) - np.log(2)
                 stop[d][s] = np.exp(mine - np.log(2) - both)
-                total = both
-            if d:
-                weighted[s] = total
-        if d:
-            below = np.zeros((len(ctx[d - 1]), 256))
-            np.add.at(below, parent[d], weighted)
-    # top down: what each state predicts
-    logp = np.empty((int(first[-1]), 256), np.float32)
+                weighted[s] = both
+        above = weighted
+    return Tree(ctx, parent, first, step, own, rest, stop, weighted[0])
+
+
+def _mixed(p: np.ndarray, above: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """Predictions mixed with those of shorter contexts: (estimate, weight of stopping) by node, the longest first."""
+    for own, stop in above:
+        p = stop * _sides(own)[:, None, :] + (1 - stop) * p
+    return p
+
+
+def prices(t: Tree, above: list[tuple[np.ndarray, np.ndarray]] = ()) -> np.ndarray:
+    """log10 probability of each byte in each state of a tree, whose root stands below the contexts `above`."""
+    depth, out = len(t.ctx) - 1, np.empty((int(t.first[-1]), 256), np.float32)
     for d in range(depth + 1):
-        for at in range(0, len(ctx[d]), 2048):
-            up = np.arange(at, min(at + 2048, len(ctx[d])))
-            p = _sides(own[d][up])
+        for at in range(0, len(t.ctx[d]), 2048):
+            up = np.arange(at, min(at + 2048, len(t.ctx[d])))
+            p = _sides(t.own[d][up])
             if d < depth:
-                w = stop[d][up]
-                p = w * p + (1 - w) * _sides(rest[d][up])
+                w = t.stop[d][up]
+                p = w * p + (1 - w) * _sides(t.rest[d][up])
             for e in range(d - 1, -1, -1):
-                up = parent[e + 1][up]
-                w = stop[e][up]
-                p = w * _sides(own[e][up]) + (1 - w) * p
-            out = np.zeros((len(up), 256))
-            for level in range(8):
-                out += np.log10(p[(SYM >> (7 - level)) & 1, :, (1 << level) | (SYM >> (8 - level))].T)
-            logp[first[d] + at : first[d] + at + len(up)] = out
-    return step, logp
-
-
-def scores(step: np.ndarray, logp: np.ndarray, texts: list[bytes], depth: int) -> np.ndarray:
-    """log10 probability of each text with its end."""
-    data = np.frombuffer(b"\0" * depth + b"".join(t.lower() + b"\0" * (depth + 1) for t in texts), np.uint8)
-    at = _positions(texts, depth) + depth
-    state = np.zeros(len(at), np.int32)
-    live = np.arange(len(at))
-    for k in range(1, depth + 1):
-        deeper = step[state[live], data[at[live] - k]]
+                up = t.parent[e + 1][up]
+                w = t.stop[e][up]
+                p = w * _sides(t.own[e][up]) + (1 - w) * p
+            out[t.first[d] + at : t.first[d] + at + p.shape[1]] = _prices(_mixed(p, above))
+    return out
+
+
+def entries(low: np.ndarray, n: np.ndarray, least: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """What `tree` takes, of one pair's windows: three older bytes, oldest last, and the byte itself; contexts of fewer than `least` are left to be pooled."""
+    out = [(SYM, np.bincount(low & 255, n, 256))]
+    for d in range(1, DEPTH - 1):
+        prefix = (low >> np.uint32(8 * (DEPTH - 1 - d))).astype(np.int64)
+        start = np.flatnonzero(np.concatenate(([True], prefix[1:] != prefix[:-1])))
+        total = np.add.reduceat(n, start)
+        kept = np.repeat(total >= least, np.diff(np.append(start, len(low))))
+        p, symbol, m = prefix[kept], (low[kept] & 255).astype(np.int64), n[kept]
+        context = np.zeros(len(p), np.int64)
+        for k in range(d):
+            context |= ((p >> (8 * (d - 1 - k))) & 255) << (8 * k)
+        keys, where = np.unique(context << 8 | symbol, return_inverse=True)
+        out.append((keys, np.bincount(where, m, len(keys))))
+    return out
+
+
+def states(t: Tree, low: np.ndarray) -> np.ndarray:
+    """The deepest state of each window."""
+    state, live = np.zeros(len(low), np.int64), np.arange(len(low))
+    for k in range(len(t.ctx) - 1):
+        deeper = t.step[state[live], (low[live] >> np.uint32(8 * (DEPTH - 2 - k))) & 255]
         found = deeper >= 0
         live = live[found]
         state[live] = deeper[found]
-    p = logp[state, data[at]].astype(np.float64)
-    size = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
-    return np.add.reduceat(p, np.concatenate(([0], np.cumsum(size)[:-1])))
+    return state
 
 
-# ---- the operator
+# ---- subtrees and upper levels
 
-def _tree(counts: DataFrame, positions: int, depth: int, contexts: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Entries of the contexts that hold a `contexts`-th part of all positions; at most contexts * 256 a depth.
+MERGED = "pair int, low binary, n binary, parts array<int>, chunks array<int>, sizes array<long>, places binary"
+SUBTREES = "pair int, low binary, n binary, counts binary, weighted binary"
+
+
+def _arrays(column: pa.ChunkedArray, kind) -> list[np.ndarray]:
+    return [np.frombuffer(x, kind) for x in column.to_pylist()]
+
+
+def _merge(told: pa.Table) -> pa.Table:
+    """One row of a pair's chunks: their distinct windows with training counts, and where each chunk's stand among them."""
+    lows = _arrays(told.column("low"), np.uint32)
+    low, where = np.unique(np.concatenate(lows), return_inverse=True)
+    n = np.bincount(where, np.concatenate(_arrays(told.column("n"), np.uint32)), len(low)).astype(np.int64)
+    values = (told.column("pair")[0].as_py(), low.tobytes(), n.tobytes(), told.column("part").to_pylist(), told.column("chunk").to_pylist(), [len(x) for x in lows], where.astype(np.uint32).tobytes())
+    kinds = (pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.binary())
+    return pa.table([pa.array([v], k) for v, k in zip(values, kinds)], names=["pair", "low", "n", "parts", "chunks", "sizes", "places"])
+
+
+def _weighed(least: int):
+    """One row of a pair's merged rows: all distinct windows with counts, and the subtree's byte counts and weight."""
+
+    def run(merged: pa.Table) -> pa.Table:
+        if merged.num_rows == 1:
+            low, n = (_arrays(merged.column(c), k)[0] for c, k in (("low", np.uint32), ("n", np.int64)))
+        else:
+            low, where = np.unique(np.concatenate(_arrays(merged.column("low"), np.uint32)), return_inverse=True)
+            n = np.bincount(where, np.concatenate(_arrays(merged.column("n"), np.int64)), len(low)).astype(np.int64)
+        counts = np.bincount(low & 255, n, 256)
+        weighted = tree(entries(low, n.astype(np.float64), least)).weighted if counts.any() else np.zeros(256)
+        values = (merged.column("pair")[0].as_py(), low.tobytes(), n.tobytes(), counts.astype(np.int64).tobytes(), weighted.tobytes())
+        return pa.table([pa.array([v], k) for v, k in zip(values, [pa.int32(), *[pa.binary()] * 4])], names=["pair", "low", "n", "counts", "weighted"])
+
+    return run
+
+
+def _weighed_alone(least: int):
+    """`_merge` and `_weighed` of a pair whose chunks one task has."""
+
+    def run(told: pa.Table) -> pa.Table:
+        merged = _merge(told)
+        whole = _weighed(least)(merged)
+        return merged.append_column("counts", whole.column("counts")).append_column("weighted", whole.column("weighted"))
+
+    return run
+
+
+def _summed(rows: pa.Table) -> pa.Table:
+    """Sums of the counts and weights of one youngest byte's subtrees."""
+    total = lambda c, kind: np.sum([np.frombuffer(x, kind) for x in rows.column(c).to_pylist()], axis=0)
+    return pa.table({"first": pa.array([rows.column("first")[0].as_py()], pa.int32()), "counts": pa.array([total("counts", np.int64).tobytes()], pa.binary()), "weighted": pa.array([total("weighted", np.float64).tobytes()], pa.binary())})
 
-    A context is kept only if the shorter one is, so each depth counts within
-    the kept contexts of the depth before.  These are at most `contexts` rows,
-    and so are broadcast: only sums within kept contexts are exchanged.
-    """
-    spark = counts.sparkSession
-    least, out, kept = max(1, -(-positions // contexts)), [], None
-    for d in range(depth + 1):
-        context = lambda n: F.shiftright("gram", 8).bitwiseAND(F.lit((1 << (8 * n)) - 1))
-        if d:
-            inside = counts if kept is None else counts.join(F.broadcast(kept), context(d - 1) == F.col("c"), "left_semi")
-            big = inside.groupBy(context(d).alias("c")).agg(F.sum("n").alias("m")).where(F.col("m") >= least)
-            kept = spark.createDataFrame(big.select("c").toArrow())
-        inside = counts if kept is None else counts.join(F.broadcast(kept), context(d) == F.col("c"), "left_semi")
-        got = inside.groupBy(F.col("gram").bitwiseAND(F.lit((1 << (8 * (d + 1))) - 1)).alias("k")).agg(F.sum("n").alias("n")).toArrow()
-        k, n = got.column("k").to_numpy(), got.column("n").to_numpy()
-        order = np.argsort(k)
-        out.append((k[order].astype(np.int64), n[order].astype(np.float64)))
-    return out
 
+@dataclass
+class Upper:
+    """Estimates and weights of stopping of the empty context (row 256) and of each single byte, by node; seen: which bytes are nodes."""
 
-def score(docs: DataFrame, fold: int = 7, held: int = 2, depth: int = DEPTH, contexts: int = CONTEXTS, frequent: int = FREQUENT) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every document."""
+    own: np.ndarray
+    stop: np.ndarray
+    seen: np.ndarray
+
+    def above(self, byte: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        return [(self.own[k], self.stop[k]) for k in ([byte] if self.seen[byte] else []) + [256]]
+
+
+def upper(rows: list[tuple[int, np.ndarray, np.ndarray]]) -> Upper:
+    """The two upper levels, of (youngest byte, its byte counts, sum of its subtrees' weights)."""
+    counts, total = np.zeros((257, 256)), np.zeros((257, 256))
+    for byte, n, w in rows:
+        counts[byte], total[byte] = n, w
+    counts[256] = counts[:256].sum(axis=0)
+    a, b = _bits(counts)
+    mine, both = _kt(a, b), np.empty((257, 256))
+    both[:256] = np.logaddexp(mine[:256], total[:256]) - np.log(2)
+    total[256] = both[:256][counts[:256].any(axis=1)].sum(axis=0)
+    both[256] = np.logaddexp(mine[256], total[256]) - np.log(2)
+    return Upper(_ones(a, b), np.exp(mine - np.log(2) - both), counts.any(axis=1))
+
+
+PRICED = "part int, chunk int, pair int, price binary"
+
+
+def _price(shared, least: int):
+    """An Arrow map from subtrees to the prices of each chunk's windows."""
+
+    def run(batches):
+        top: Upper = shared.value
+        for b in batches:
+            for row in range(b.num_rows):
+                pair, asked, low, n, parts, chunks, sizes, places = (b.column(c)[row].as_py() for c in ("pair", "asked", "low", "n", "parts", "chunks", "sizes", "places"))
+                low, n, places = np.frombuffer(low, np.uint32), np.frombuffer(n, np.int64), np.frombuffer(places, np.uint32)
+                asked, above = low if asked is None else np.frombuffer(asked, np.uint32), top.above(pair >> 8)
+                if n.any():
+                    t = tree(entries(low, n.astype(np.float64), least))
+                    price = prices(t, above)[states(t, asked), asked & 255]
+                else:  # nothing is known below the contexts above
+                    price = _prices(_mixed(np.full((2, 1, 256), 0.5), above))[0, asked & 255].astype(np.float32)
+                cuts = np.concatenate(([0], np.cumsum(sizes)))
+                yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array(chunks, pa.int32()), pa.array([pair] * len(parts), pa.int32()), _binaries(price[places], cuts)], names=["part", "chunk", "pair", "price"])
+
+    return run
+
+
+# ---- the operator
+
+def priced(docs: DataFrame, least: int = LEAST, chunk_bytes: int = CHUNK, salts: int = 1) -> str:
+    """Path of the prices of all windows, by task and chunk of docs (held_out, text)."""
+    spark = docs.sparkSession
+    told = docs.select("held_out", "text").mapInArrow(_tell(chunk_bytes), TOLD)
+    if salts == 1:
+        merged = subtrees = common.written(told.groupBy("pair").applyInArrow(_weighed_alone(least), f"{MERGED}, counts binary, weighted binary"), "subtrees")
+    else:
+        dealt = told.withColumn("salt", F.pmod("part", F.lit(salts)))
+        merged = common.written(dealt.groupBy("pair", "salt").applyInArrow(_merge, MERGED), "merged")
+        subtrees = common.written(merged.select("pair", "low", "n").groupBy("pair").applyInArrow(_weighed(least), SUBTREES), "subtrees")
+    sums = subtrees.select(F.shiftright("pair", 8).alias("first"), "counts", "weighted").groupBy("first").applyInArrow(_summed, "first int, counts binary, weighted binary")
+    rows = [(r["first"], np.frombuffer(r["counts"], np.int64), np.frombuffer(r["weighted"], np.float64)) for r in sums.collect()]
+    shared = spark.sparkContext.broadcast(upper([r for r in rows if r[1].any()]))
+    asks = merged.select("pair", "parts", "chunks", "sizes", "places", (F.lit(None).cast("binary") if salts == 1 else F.col("low")).alias("asked"), *(["low", "n"] if salts == 1 else []))
+    asks = asks if salts == 1 else asks.join(subtrees.select("pair", "low", "n"), "pair")
+    path = common.new_path(spark, "prices")
+    out = asks.mapInArrow(_price(shared, least), PRICED).repartition("part").sortWithinPartitions("part", "chunk", "pair")
+    out.write.option("parquet.block.size", 8 << 20).partitionBy("part").parquet(path)
+    return path
+
+
+def _chunk_prices(path: str, part: int):
+    """A function from a chunk's number to the prices of its distinct windows, in their order."""
+    where, root = fs.FileSystem.from_uri(f"{path}/part={part}")
+    found = ds.dataset(root, filesystem=where, format="parquet")
+
+    def of(chunk: int) -> np.ndarray:
+        rows = found.to_table(columns=["pair", "price"], filter=ds.field("chunk") == chunk).sort_by("pair")
+        return np.frombuffer(b"".join(rows.column("price").to_pylist()), np.float32)
+
+    return of
+
+
+def score(docs: DataFrame, fold: int = 7, held: int = 2, least: int = LEAST, frequent: int = FREQUENT, chunk_bytes: int = CHUNK, salt_bytes: int = 4 << 30, stable: bool = False) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every document.
+
+    docs is read twice and must give the same rows in the same order to the same
+    tasks, as a scan of files does: say so with `stable`; else it is written first.
+    A difference is an error, never a wrong score.
+    """
     sc = docs.sparkSession.sparkContext
     docs = docs.select("doc_id", "text", (common.doc_hash_mod("doc_id", fold) == held).alias("held_out"))
-    parts = common.written(docs.where(~F.col("held_out")).select("text").mapInArrow(_counter(depth), "word binary, gram long, n long"), "counts")
-    vocabulary = common.written(parts.where("word is not null").groupBy("word").agg(F.sum("n").alias("c")), "vocabulary")
-    counts = common.written(parts.where("gram >= 0").groupBy("gram").agg(F.sum("n").alias("n")), "grams")
-    ends = parts.where("gram = -1").agg(F.sum("n")).first()[0] or 0
+    docs = docs if stable else common.written(docs, "texts")
+    parts = docs.where(~F.col("held_out")).select("text").mapInArrow(_count_words, "word binary, n long")
+    words = common.written(parts.groupBy("word").agg(F.sum("n").alias("c")), "vocabulary")
+    vocabulary = words.where("word is not null")
+    ends = words.where("word is null").agg(F.sum("c")).first()[0] or 0
     kinds, tokens = vocabulary.agg(F.count("*"), F.sum("c")).first()
     total, kinds = (tokens or 0) + ends, kinds + (ends > 0)
-    positions = counts.agg(F.sum("n")).first()[0] or 0
-    tree = sc.broadcast(model(_tree(counts, positions, depth, contexts)))
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    path = priced(docs, least, chunk_bytes, size // salt_bytes + 1)
     often = max(1, -(-total // frequent))
     bottom = total + kinds + 1
     cost = lambda c: math.log10((c + 1) / bottom)
@@ -265,27 +499,45 @@ def score(docs: DataFrame, fold: int = 7, held: int = 2, depth: int = DEPTH, con
     schema = T.StructType([docs.schema["doc_id"], T.StructField("held_out", T.BooleanType()), *(T.StructField(n, t) for n, t in (("n_tokens", T.LongType()), ("known", T.LongType()), ("base", T.DoubleType()), ("score", T.DoubleType()), ("rare", T._parse_datatype_string("array<struct<word:binary,k:bigint>>"))))])
 
     def run(batches):
-        (step, logp), known = tree.value, common_words.value
-        for b in common.pieces(batches, 1 << 20):
-            texts = common.utf8(b.column("text"))
-            n_tokens, n_known, base, rare, times, first = [], [], [], [], [], [0]
-            for t in texts:
-                words = common.tokens(t)
-                hits, sum_ = int(ends > 0), end
-                for w, k in Counter(words).items():
-                    if (c := known.get(w)) is None:
-                        rare.append(w)
-                        times.append(k)
-                    else:
-                        hits += k
-                        sum_ += k * c
-                n_tokens.append(len(words) + 1)
-                n_known.append(hits)
-                base.append(sum_)
-                first.append(len(rare))
-            rest = pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.StructArray.from_arrays([pa.array(rare, pa.binary()), pa.array(times, pa.int64())], ["word", "k"]))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array(base), pa.array(scores(step, logp, texts, depth)), rest], names=schema.names)
-
+        known, open_ = common_words.value, {}
+
+        def judge(text: bytes):
+            """n_tokens, n_known and base score of the frequent words, and the other words."""
+            words, hits, sum_, rare = common.tokens(text), int(ends > 0), end, []
+            for w, k in Counter(words).items():
+                if (c := known.get(w)) is None:
+                    rare.append({"word": w, "k": k})
+                else:
+                    hits, sum_ = hits + k, sum_ + k * c
+            return len(words) + 1, hits, sum_, rare
+
+        def texts():
+            row = 0
+            for b in common.pieces(batches):
+                for i, h, t in zip(b.column("doc_id").to_pylist(), b.column("held_out").to_pylist(), common.utf8(b.column("text"))):
+                    open_[row] = [i, h, *judge(t), 0.0]
+                    row += 1
+                    yield t
+
+        part = TaskContext.get().partitionId()
+        of = None
+        for number, chunk in enumerate(segments(texts(), chunk_bytes)):
+            of = of or _chunk_prices(path, part)
+            keys, first = windows(chunk)
+            price, (found, where) = of(number), np.unique(keys, return_inverse=True)
+            if len(price) != len(found):
+                raise ValueError("a second reading of the documents gave other rows")
+            sums = np.add.reduceat(price.astype(np.float64)[where], first)
+            done = []
+            for s, v in zip(chunk, sums.tolist()):
+                open_[s.row][-1] += v
+                if s.last:
+                    done.append(open_.pop(s.row))
+            if done:
+                i, h, n, hits, base, rare, value = zip(*done)
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip((i, h, n, hits, base, value, rare), kinds_)], names=schema.names)
+
+    kinds_ = to_arrow_schema(schema).types
     # the written table fixes the row numbers
     rows = common.written(docs.select("doc_id", "held_out", "text").mapInArrow(run, schema).withColumn("row", F.monotonically_increasing_id()), "scored")
     left = rows.select("row", F.explode("rare").alias("r")).select("row", "r.word", "r.k")

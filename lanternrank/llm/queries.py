@@ -42,7 +42,7 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ctw.score(common.table(spark, sf_dir, "documents"))
+    return ctw.score(common.table(spark, sf_dir, "documents"), stable=True)
 
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

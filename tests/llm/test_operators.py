@@ -553,51 +553,103 @@ def test_long_urls(spark):
 
 # ---- context-tree weighting
 
-def test_tree_is_context_tree_weighting():
-    """Against the definition: log P_w by recursion over whole counts, and predictions that sum to one."""
-    data, depth = [b"abracadabra", b"abra", b"cad"] * 3, 2
-    keys, n = ctw.grams(data, depth)
-    entries = []
-    for d in range(depth + 1):
-        k, where = np.unique(keys & ((1 << (8 * (d + 1))) - 1), return_inverse=True)
-        entries.append((k, np.bincount(where, n)))
-    step, logp = ctw.model(entries)
-    assert np.allclose((10.0 ** logp.astype(float)).sum(axis=1), 1, atol=1e-5)
-
-    def log_pw(counts, suffix):
-        """Nodes 1..255 of one context; counts: {(context, byte): n}."""
-        mine = np.zeros((1, 256))
-        for (c, b), m in counts.items():
-            mine[0, b] += m
-        own = ctw._kt(*ctw._bits(mine))[0]
-        if suffix == depth:
-            return own
-        total = np.zeros(256)
-        for older in {c[-suffix - 1] for c, _ in counts}:
-            total += log_pw({k: m for k, m in counts.items() if k[0][-suffix - 1] == older}, suffix + 1)
-        return np.logaddexp(own, total) - np.log(2)
-
-    counts = {}
-    for key, m in zip(keys.tolist(), n.tolist()):
-        counts[bytes([key >> 16 & 255, key >> 8 & 255]), key & 255] = m
-    before = log_pw(counts, 0)
-    for context, byte in ((b"ra", ord("c")), (b"zz", ord("a")), (b"br", ord("a"))):
-        after = log_pw({**counts, (context, byte): counts.get((context, byte), 0) + 1}, 0)
-        nodes = [(1 << k) | (byte >> (8 - k)) for k in range(8)]
-        exact = sum((after - before)[k] for k in nodes) / np.log(10)
-        state = 0
-        for older in context[::-1]:
-            if (following := step[state, older]) < 0:
-                break
-            state = following
-        assert abs(exact - logp[state, byte]) < 1e-4
+def log_pw(counts, suffix, kept, depth=5):
+    """By definition: log weighted probability at nodes 1..255 of one context.
+
+    counts: {(context, youngest byte first, and byte): n}, all of one context of
+    `suffix` bytes; kept: the contexts that are nodes, all others are pooled.
+    """
+    mine = np.zeros((1, 256))
+    for (_, b), m in counts.items():
+        mine[0, b] += m
+    own = ctw._kt(*ctw._bits(mine))[0]
+    if suffix == depth:
+        return own
+    total, left = np.zeros(256), np.zeros((1, 256))
+    for older in {c[: suffix + 1] for c, _ in counts}:
+        part = {k: m for k, m in counts.items() if k[0][: suffix + 1] == older}
+        if older in kept:
+            total += log_pw(part, suffix + 1, kept, depth)
+        else:
+            for (_, b), m in part.items():
+                left[0, b] += m
+    return np.logaddexp(own, total + ctw._kt(*ctw._bits(left))[0]) - np.log(2)
+
+
+def plain_counts(train):
+    counts = Counter()
+    for t in train:
+        data = b"\xff" * 5 + t.lower() + b"\xff"
+        for i in range(5, len(data)):
+            counts[bytes(data[i - 5 : i][::-1]), data[i]] += 1
+    return counts
+
+
+def plain_kept(counts, least):
+    """Contexts of up to two bytes that were seen, and longer ones seen `least` times."""
+    total = Counter()
+    for (c, _), n in counts.items():
+        for k in range(1, 6):
+            total[c[:k]] += n
+    return {c for c, n in total.items() if len(c) <= 2 or n >= least}
+
+
+def plain_score(text, counts, kept):
+    """Each byte's probability is how much one more of it would raise the root's weighted probability."""
+    before, out = log_pw(counts, 0, kept), 0.0
+    data = b"\xff" * 5 + text.lower() + b"\xff"
+    for i in range(5, len(data)):
+        more = Counter(counts)
+        more[bytes(data[i - 5 : i][::-1]), data[i]] += 1
+        byte = data[i]
+        after = log_pw(more, 0, kept)
+        out += sum((after - before)[(1 << k) | (byte >> (8 - k))] for k in range(8)) / np.log(10)
+    return out
+
+
+def test_scores_are_context_tree_weighting(spark):
+    """The operator as the query runs it, with pooled contexts, against the definition; in chunks and salts of any size."""
+    rows = [(i, t) for i, t in enumerate(["abracadabra", "Abra cad", "cad abra abracadabra", "", "zz é", "abracadabra", "cab", "q", "brac", None, "dabra cad cab"])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    train = [(t or "").encode() for i, t in rows if zlib.crc32(str(i).encode()) % 7 != 2]
+    assert 0 < len(train) < len(rows)
+    counts = plain_counts(train)
+    for least in (1, 3):
+        kept = plain_kept(counts, least)
+        want = {i: plain_score((t or "").encode(), counts, kept) for i, t in rows}
+        for chunk, salt in ((8 << 20, 1 << 40), (3, 1 << 40), (7, 10)):
+            got = {r.doc_id: r.score for r in ctw.score(docs, least=least, chunk_bytes=chunk, salt_bytes=salt).collect()}
+            assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-3 for i in want), (least, chunk, salt)
+
+
+def test_windows_are_those_of_whole_texts():
+    texts = [b"", b"ab", b"x" * 50, b"some Words here"]
+    whole, first = ctw.windows(next(ctw.segments(texts)))
+    data = [b"\xff" * 5 + t.lower() + b"\xff" for t in texts]
+    assert whole.tolist() == [int.from_bytes(d[i - 5 : i][::-1] + d[i : i + 1], "big") for d in data for i in range(5, len(d))]
+    assert first.tolist() == [0, 1, 4, 55]
+    for most in (1, 2, 7, 64):
+        chunks = list(ctw.segments(texts, most))
+        assert np.array_equal(np.concatenate([ctw.windows(c)[0] for c in chunks]), whole)
+        assert [s.row for c in chunks for s in c if s.last] == [0, 1, 2, 3] and all(sum(len(s.data) - 5 for s in c) <= most for c in chunks)
+
+
+def test_model_grows_with_the_corpus():
+    """Contexts are kept by an absolute count: twice the corpus keeps at least as many, and new text adds its own."""
+    r = np.random.default_rng(9)
+    low = np.unique(r.integers(0, 1 << 20, 60_000, dtype=np.uint32))
+    n = r.integers(0, 200, len(low)).astype(float)
+    sizes = [len(k) for k, _ in ctw.entries(low, n, 64)]
+    assert all(a <= b for a, b in zip(sizes, [len(k) for k, _ in ctw.entries(low, 2 * n, 64)]))
+    more = np.concatenate((low, low + np.uint32(1 << 24)))
+    assert all(b == 2 * a for a, b in zip(sizes[1:], [len(k) for k, _ in ctw.entries(more, np.concatenate((n, n)), 64)][1:]))
 
 
 def test_tree_keeps_rare_bytes_possible():
     """Counts far past what a 32-bit fraction tells from one leave every other byte a finite price."""
     for byte in (0, 127, 255):
         keys = np.array([(7 << 8) | byte, (9 << 8) | byte])
-        step, logp = ctw.model([(np.array([byte]), np.array([3e12])), (keys, np.array([2e12, 1e12]))])
+        logp = ctw.prices(ctw.tree([(np.array([byte]), np.array([3e12])), (keys, np.array([2e12, 1e12]))]))
         assert np.isfinite(logp).all() and np.allclose((10.0 ** logp.astype(float)).sum(axis=1), 1, atol=1e-5)
         assert (np.delete(logp[1:], byte, axis=1) < -11).all()
 
@@ -615,6 +667,8 @@ def test_scores(spark, messy, empty):
     got = ctw.score(docs, frequent=50).collect()
     assert sorted((r.doc_id or 0, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 4)) for r in got) == want
     assert all(r.score < 0 for r in got)
+    again = {(r.doc_id, round(r.score, 6)) for r in ctw.score(docs, chunk_bytes=1000, salt_bytes=100_000).collect()}
+    assert again == {(r.doc_id, round(r.score, 6)) for r in got}
     assert ctw.score(empty).count() == 0
     alone = ctw.score(spark.createDataFrame([(2, "ab")], "doc_id long, text string").where("crc32(cast(doc_id as string)) % 7 = 2")).collect()
     assert all(abs(r.score + 3 * np.log10(256)) < 1e-4 and r.base_score == 0 for r in alone)
