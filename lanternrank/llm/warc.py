@@ -4,7 +4,7 @@ An archive is a ZIP file whose members are stored, not compressed: a `.warc.gz`
 member of one gzip member a record, and an index of offsets (`.cdxj`).
 `directory` reads a ZIP's end record, its ZIP64 records and its central
 directory, and locates each member's bytes; `spans` reads the index members,
-walks what they leave out and cuts the records into ranges; `records` reads
+walks what they leave out, in plain or gzip members, and cuts the records into ranges; `records` reads
 those ranges only.  Nothing is extracted, and no task holds more than a range
 and an archive's index.
 
@@ -25,7 +25,6 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import io
 import json
 import re
 import struct
@@ -68,26 +67,32 @@ def record(kind: str, record_id: str, payload: bytes, size: int, sha1: str, url:
     return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
-def zip_bytes(members: list[tuple[str, bytes]], zip64: bool = False) -> bytes:
-    """A ZIP file of stored members; ZIP64 records where sizes need them, or always."""
-    out, central = bytearray(), bytearray()
-    for name, data in members:
-        raw, at, crc, n = name.encode(), len(out), zlib.crc32(data), len(data)
+def zip_parts(members: list[tuple[str, list]], zip64: bool = False) -> Iterator:
+    """The parts of a ZIP file of stored members, each given as a list of buffers; ZIP64 records where sizes need them, or always."""
+    at, central = 0, bytearray()
+    for name, parts in members:
+        raw, n, crc = name.encode(), sum(map(len, parts)), 0
+        for part in parts:
+            crc = zlib.crc32(part, crc)
         large = zip64 or n >= FULL or at >= FULL
         extra = struct.pack("<HHQQ", 1, 16, n, n) if large else b""
-        out += struct.pack("<4s5HIIIHH", LOCAL, 45 if large else 20, 0x800, 0, 0, 33, crc, FULL if large else n, FULL if large else n, len(raw), len(extra)) + raw + extra
-        out += data
+        head = struct.pack("<4s5HIIIHH", LOCAL, 45 if large else 20, 0x800, 0, 0, 33, crc, FULL if large else n, FULL if large else n, len(raw), len(extra)) + raw + extra
+        yield head
+        yield from parts
         extra = struct.pack("<HHQQQ", 1, 24, n, n, at) if large else b""
         central += struct.pack("<4s6HIIIHHHHHII", CENTRAL, 45, 45 if large else 20, 0x800, 0, 0, 33, crc, FULL if large else n, FULL if large else n, len(raw), len(extra), 0, 0, 0, 0, FULL if large else at) + raw + extra
-    at, n = len(out), len(members)
-    out += central
+        at += len(head) + n
+    n = len(members)
+    yield bytes(central)
     large = zip64 or at >= FULL or n >= FULL2
     if large:
-        here = len(out)
-        out += struct.pack("<4sQHHIIQQQQ", END64, 44, 45, 45, 0, 0, n, n, len(central), at)
-        out += struct.pack("<4sIQI", LOCATOR, 0, here, 1)
-    out += struct.pack("<4sHHHHIIH", END, 0, 0, FULL2 if large else n, FULL2 if large else n, FULL if large else len(central), FULL if large else at, 0)
-    return bytes(out)
+        yield struct.pack("<4sQHHIIQQQQ", END64, 44, 45, 45, 0, 0, n, n, len(central), at)
+        yield struct.pack("<4sIQI", LOCATOR, 0, at + len(central), 1)
+    yield struct.pack("<4sHHHHIIH", END, 0, 0, FULL2 if large else n, FULL2 if large else n, FULL if large else len(central), FULL if large else at, 0)
+
+
+def zip_bytes(members: list[tuple[str, bytes]], zip64: bool = False) -> bytes:
+    return b"".join(zip_parts([(name, [data]) for name, data in members], zip64))
 
 
 def _opened(uri: str):
@@ -98,23 +103,25 @@ def _writer(folder: str, most: int, zip64: bool, date: str):
     def run(batches):
         where, root = _opened(folder)
 
-        def close(data: io.BytesIO, index: list[dict]):
+        def close(data: list[bytes], index: list[dict]):
             name = f"archive-{uuid.uuid4().hex}.wacz"
             lines = "".join(json.dumps(x) + "\n" for x in index).encode()
             with where.open_output_stream(f"{root}/{name}") as f:
-                f.write(zip_bytes([("archive/data.warc.gz", data.getvalue()), ("indexes/index.cdxj", lines)], zip64))
+                for part in zip_parts([("archive/data.warc.gz", data), ("indexes/index.cdxj", [lines])], zip64):
+                    f.write(part)
             return pa.RecordBatch.from_pydict({"path": [f"{folder}/{name}"], "n": pa.array([len(index)], pa.int64())})
 
-        data, index = io.BytesIO(), []
-        for b in common.pieces(batches, column="html"):
+        data, index, held = [], [], 0
+        for b in common.pieces(batches, 1 << 20, "html"):
             for page, url, html, sha1, first, leads in zip(*(b.column(c).to_pylist() for c in ("page_id", "url")), common.utf8(b.column("html")), *(b.column(c).to_pylist() for c in ("sha1", "leads_to", "leads"))):
                 kind = "response" if leads else "revisit"
                 raw = zlib.compress(record(kind, f"{NAME}{page}", html if leads else b"", len(html), digest(bytes.fromhex(sha1)), url, None if leads else f"{NAME}{first}", date), 6, 31)
-                index.append({"offset": data.tell(), "length": len(raw), "type": kind, "url": url})
-                data.write(raw)
-                if data.tell() >= most:
+                index.append({"offset": held, "length": len(raw), "type": kind, "url": url})
+                data.append(raw)
+                held += len(raw)
+                if held >= most:
                     yield close(data, index)
-                    data, index = io.BytesIO(), []
+                    data, index, held = [], [], 0
         if index:
             yield close(data, index)
 
@@ -139,7 +146,7 @@ def write(pages: DataFrame, archive_bytes: int = 32 << 20, zip64: bool = False,
     roles = keys.join(last, "sha1").select("key", "leads_to")
     first = F.row_number().over(Window.partitionBy("key").orderBy("url"))
     rows = base.join(roles, "key").withColumn("leads", F.col("page_id").eqNullSafe(F.col("leads_to")) & (first == 1))
-    return common.written(rows.select("page_id", "url", "html", "sha1", "leads_to", "leads").mapInArrow(_writer(folder, archive_bytes, zip64, date), "path string, n long"), "manifest")
+    return common.written(rows.select("page_id", "url", "html", "sha1", "leads_to", "leads").mapInArrow(_writer(folder, archive_bytes, zip64, date), "path string, n long"), "manifest", 64)
 
 
 # ---- reading
@@ -157,6 +164,13 @@ def directory(f) -> Iterator[tuple[str, int, int, int, int]]:
     f offers size() and read_at(n, offset).  A comment may stand at the end, and
     other data before the archive.
     """
+    try:
+        yield from _directory(f)
+    except (struct.error, IndexError, OverflowError, OSError) as e:
+        raise ValueError(f"the ZIP directory is damaged: {e}") from None
+
+
+def _directory(f) -> Iterator[tuple[str, int, int, int, int]]:
     size = f.size()
     tail_at = max(0, size - 65557)
     tail = _range(f, tail_at, size - tail_at)
@@ -268,16 +282,38 @@ def _lengths(f, offset: int, size: int, step: int = 1 << 16) -> Iterator[int]:
         at = pos
 
 
-def _listed(f, index: list, offset: int, size: int) -> Iterator[int]:
+def _lines(f, index: list) -> Iterator[tuple[str | None, int, int]]:
+    """(file, offset, length) of each line of the index members: JSON, after a key and a time or alone; numbers may be strings."""
+    for m in index:
+        data = _range(f, m[2], m[3])
+        while m[0].endswith(".gz") and data:
+            gz = zlib.decompressobj(31)
+            try:
+                part = gz.decompress(data)
+            except zlib.error as e:
+                raise ValueError(f"an index is damaged: {e}") from None
+            data = gz.unused_data
+            yield from _parsed(part)
+        if not m[0].endswith(".gz"):
+            yield from _parsed(data)
+
+
+def _parsed(data: bytes) -> Iterator[tuple[str | None, int, int]]:
+    for line in data.splitlines():
+        if line.strip() and not line.startswith(b"!"):
+            try:
+                x = json.loads(line[max(0, line.find(b"{")) :])
+                yield x.get("filename"), int(x["offset"]), int(x["length"])
+            except (ValueError, KeyError, TypeError, AttributeError) as e:
+                raise ValueError(f"an index line is wrong: {e}") from None
+
+
+def _listed(f, lines: list[tuple[int, int]], offset: int, size: int) -> Iterator[int]:
     """Lengths of all records in a range: those that the index lists at its offsets, and the others as they are found between."""
     known: dict[int, int] = {}
-    for m in index:
-        for line in _range(f, m[2], m[3]).splitlines():
-            if line.strip():
-                x = json.loads(line[max(0, line.find(b"{")) :])  # a key and a time may stand before
-                at, n = int(x["offset"]), int(x["length"])
-                if n <= 0 or known.setdefault(at, n) != n:
-                    raise ValueError("an index line is wrong")
+    for at, n in lines:
+        if n <= 0 or known.setdefault(at, n) != n:
+            raise ValueError("an index line is wrong")
     at = 0
     for start, n in sorted(known.items()):
         if start < at or start + n > size:
@@ -296,12 +332,13 @@ def spans(archives: DataFrame, span_bytes: int = 4 << 20) -> DataFrame:
         data = [m for m in found if m[0].endswith((".warc.gz", ".warc"))]
         if any(m[1] for m in data):
             raise ValueError("a WARC member is compressed by the archive, so its records have no ranges")
-        index = [m for m in found if m[0].endswith(".cdxj") and m[1] == 0]
+        listed: dict[str, list[tuple[int, int]]] = {}
+        for file, at, n in _lines(f, [m for m in found if m[0].endswith((".cdxj", ".cdx.gz", ".cdxj.gz")) and m[1] == 0]):
+            if file is None and len(data) > 1:
+                raise ValueError("an index line names no file, and there are several")
+            listed.setdefault((file or data[0][0]).rpartition("/")[2] if data else "", []).append((at, n))
         for name, _, offset, size, _ in data:
-            if index and len(data) == 1:
-                lengths = _listed(f, index, offset, size)
-            else:
-                lengths = _lengths(f, offset, size)
+            lengths = _listed(f, listed.get(name.rpartition("/")[2], []), offset, size)
             at, held, total = offset, [], 0
             for n in lengths:
                 held.append(n)
@@ -351,7 +388,8 @@ def records(ranges: DataFrame, payloads: bool = True) -> DataFrame:
                 text = zlib.decompress(part, 31) if part[:2] == b"\x1f\x8b" else part
             except zlib.error as e:
                 raise ValueError(f"a record is damaged: {e}") from None
-            rows.append({"path": row["path"], "offset": row["offset"] + at} | parse(text))
+            found = {"path": row["path"], "offset": row["offset"] + at} | parse(text)
+            rows.append({name: found[name] for name in schema.names})
             at += n
         kinds = {T.LongType(): pa.int64(), T.StringType(): pa.string(), T.BinaryType(): pa.binary()}
         yield pa.RecordBatch.from_arrays([pa.array([r[x.name] for r in rows], kinds[x.dataType]) for x in schema.fields], names=schema.names)
@@ -361,7 +399,7 @@ def records(ranges: DataFrame, payloads: bool = True) -> DataFrame:
 
 def round_trip(pages: DataFrame) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type and refers_to of each page, as read back from its archive."""
-    ranges = common.written(spans(write(pages)), "spans")
+    ranges = common.written(spans(write(pages)), "spans", 64)
     tasks = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     found = records(ranges.repartition(tasks, "path", "offset"), payloads=False)
     number = lambda c: F.expr(f"try_cast(substring({c}, {len(NAME) + 1}) AS BIGINT)")
