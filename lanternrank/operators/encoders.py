@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lanternrank.functions.text import chunks, tokens
+from lanternrank.functions.vectors import l2_normalize
 
 
 class SparseEncoder(Protocol):
@@ -36,6 +37,16 @@ def term_weights(rows: DataFrame, item: str = "docid") -> DataFrame:
     return rows.select(item, F.explode(tokens(F.col("text"))).alias("term")).groupBy(item, "term").agg(F.log1p(F.count("*")).alias("weight"))
 
 
+def hashed(rows: DataFrame, dims: int = 64, item: str = "docid") -> DataFrame:
+    """Stand-in dense encoder: item and the unit vector of its term weights, summed by a hash of the term; items without terms are left out."""
+    place = F.conv(F.substring(F.md5("term"), 1, 8), 16, 10).cast("long") % dims
+    sums = term_weights(rows, item).groupBy(item, place.alias("place")).agg(F.sum("weight").alias("w"))
+    entries = F.map_from_entries(F.collect_list(F.struct("place", "w")))
+    packed = sums.groupBy(item).agg(entries.alias("m"))
+    filled = F.transform(F.sequence(F.lit(0).cast("long"), F.lit(dims - 1).cast("long")), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0)))
+    return packed.select(item, l2_normalize(filled).alias("vector"))
+
+
 def chunk_weights(rows: DataFrame, budget: int, item: str = "docid") -> DataFrame:
     """The stand-in on chunks: item, chunk, n_tokens, term, weight."""
     parts = rows.select(item, F.posexplode(chunks(tokens(F.col("text")), budget)).alias("chunk", "toks"))

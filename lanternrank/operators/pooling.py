@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lanternrank.functions.vectors import l2_normalize, norm
@@ -24,6 +24,11 @@ def mean_pool(vectors: DataFrame, key: str = "paper_id", vector: str = "vector")
     return packed.where(norm(F.col(vector)) > 0).withColumn(vector, l2_normalize(F.col(vector)))
 
 
+def last_token(states: Column, n_tokens: Column) -> Column:
+    """The unit vector of the last token's state; null without tokens."""
+    return l2_normalize(F.when(n_tokens > 0, F.element_at(states, F.greatest(n_tokens, F.lit(1)))))
+
+
 def with_heads(paragraphs: DataFrame, heads: DataFrame) -> DataFrame:
     """What a paper's mean takes: its paragraph vectors and those of title and abstract, but no abstract that is a paragraph.
 

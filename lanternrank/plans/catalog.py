@@ -115,7 +115,7 @@ def _(t):
 
 @query("lookup_passage", "SELECT docid, text FROM passages WHERE docid IN ('1_1', '7_0', '42_2')")
 def _(t):
-    return t.passages().where(F.col("docid").isin("1_1", "7_0", "42_2")).select("docid", "text")
+    return C.lookup(t.papers(), ["1_1", "7_0", "42_2"])
 
 
 @query("topics_limit", "SELECT qid, query FROM (SELECT *, row_number() OVER (ORDER BY qid::BIGINT) AS n FROM topics) WHERE n <= 10")
@@ -229,6 +229,23 @@ def _(t):
     return P.paper_max_pool(_postings(t)).select("paper_id", "term", r6("weight"))
 
 
+@query("dense_encode", """
+, hashes AS (SELECT docid, ('0x' || substr(md5(term), 1, 8))::BIGINT % 64 AS place, sum(weight) AS w FROM postings GROUP BY ALL),
+filled AS (SELECT docid, list(coalesce(w, 0) ORDER BY i) AS m FROM (SELECT d.docid, i, w FROM (SELECT DISTINCT docid FROM hashes) d CROSS JOIN range(64) r(i) LEFT JOIN hashes s ON s.docid = d.docid AND s.place = i) GROUP BY docid)
+SELECT docid, list_transform(m, lambda x: round(x / greatest(sqrt(list_dot_product(m, m)), 1e-12), 6)) AS unit FROM filled""")
+def _(t):
+    return E.hashed(t.passages()).select("docid", F.transform("vector", lambda x: F.round(x, 6)).alias("unit"))
+
+
+@query("last_token_pool", """
+, states AS (SELECT vec_id, (embedding::DOUBLE[])[(vec_id % 4) * 16 + 1:(vec_id % 4) * 16 + 16] AS s FROM embeddings)
+SELECT vec_id, list_transform(s, lambda x: round(x / greatest(sqrt(list_dot_product(s, s)), 1e-12), 6)) AS unit FROM states""")
+def _(t):
+    states = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.slice("embedding", i * 16 + 1, F.lit(16)))
+    pooled = P.last_token(states, (F.col("vec_id") % 4 + 1).cast("int"))
+    return t.table("embeddings").select("vec_id", F.transform(pooled, lambda x: F.round(x, 6)).alias("unit"))
+
+
 @query("l2_normalize", "SELECT vec_id, list_transform(embedding::DOUBLE[], lambda x: round(x / greatest(sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])), 1e-12), 6)) AS unit FROM embeddings")
 def _(t):
     return t.table("embeddings").select("vec_id", F.transform(l2_normalize(F.col("embedding")), lambda x: F.round(x, 6)).alias("unit"))
@@ -548,6 +565,13 @@ def _(t):
     return C.summary_report(V.evaluate(t.runs(), t.qrels()).means.withColumn("value", F.round("value", 6)), {"set": "study", "level": "paragraph", "k": 100})
 
 
+@query("summary_file", f"SELECT 'study' AS set, 'paragraph' AS level_name, * FROM ({MEANS})")
+def _(t):
+    path = f"{workspace.shared_dir(t.spark)}/summary-{uuid.uuid4().hex}"
+    C.write_report(C.summary_report(V.evaluate(t.runs(), t.qrels()).means.withColumn("value", F.round("value", 6)), {"set": "study", "level": "paragraph"}), path)
+    return C.read_summary(t.spark, path)
+
+
 @query("query_report", """
 , m AS (SELECT level, qid::VARCHAR AS qid, run, MAP(list(metric ORDER BY metric), list(round(value, 6) ORDER BY metric)) AS v FROM vals WHERE level = 1 OR metric IN ('mrr', 'p5') GROUP BY ALL),
 r AS (SELECT level, qid, MAP(list(run ORDER BY run), list(v ORDER BY run)) AS runs FROM m GROUP BY ALL),
@@ -739,6 +763,17 @@ def _(t):
     return V.steady_mean(_latency(t)).select("method", r6("mean_ms"))
 
 
+@query("plot_latency", "SELECT method, round(mean_ms, 6) AS mean_ms, row_number() OVER (ORDER BY round(mean_ms, 9), method)::INTEGER AS place FROM (SELECT event_type AS method, avg(value) AS mean_ms FROM (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS n FROM events WHERE value IS NOT NULL) WHERE n > 1 GROUP BY event_type)")
+def _(t):
+    return V.steady_mean(_latency(t)).select("method", r6("mean_ms"), F.row_number().over(Window.orderBy(F.round("mean_ms", 9), "method")).alias("place"))
+
+
+@query("plot_loss", "SELECT event_type AS model, event_id % 20 AS epoch, part, round(loss, 6) AS loss FROM (UNPIVOT (SELECT event_type, event_id, value AS train_loss, value / 2 AS val_loss FROM events WHERE value IS NOT NULL AND event_id < 100) ON train_loss, val_loss INTO NAME part VALUE loss)")
+def _(t):
+    history = t.table("events").where("value is not null and event_id < 100").select(F.col("event_type").alias("model"), (F.col("event_id") % 20).alias("epoch"), F.col("value").alias("train_loss"), (F.col("value") / 2).alias("val_loss"))
+    return V.loss_curves(history).select("model", "epoch", "part", r6("loss"))
+
+
 @query("latency_carry_forward", """
 , o AS (SELECT user_id, max(value) AS ms FROM events WHERE event_id % 2 = 0 GROUP BY user_id), n AS (SELECT user_id, max(value) AS ms FROM events WHERE event_id % 3 = 0 GROUP BY user_id)
 SELECT coalesce(o.user_id, n.user_id) AS method, coalesce(n.ms, o.ms) AS ms FROM o FULL JOIN n ON o.user_id = n.user_id""")

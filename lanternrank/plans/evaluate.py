@@ -38,6 +38,21 @@ class Settings:
             raise ValueError(f"levels are of {LEVELS}")
 
 
+def settings_of(config: dict) -> tuple[Settings, list[tuple[str, bool]]]:
+    """Settings, and (name, whether it is measured) of each query set, from a configuration as a file of settings gives it."""
+    if not config.get("models") or not config.get("sets"):
+        raise ValueError("a configuration names models and query sets")
+    names = {"metrics": "metrics", "strict_metrics": "strict_metrics", "max_p": "max_p", "k": "k", "levels": "levels", "team_name": "team", "stem": "stem", "limit": "limit"}
+    given = {names[k]: tuple(v) if isinstance(v, list) else v for k, v in config.items() if k in names}
+    for name, model in config["models"].items():
+        kind = (model or {}).get("type", "sparse")
+        if kind not in ("sparse", "dense"):
+            raise ValueError(f"{name}: unknown model type {kind!r}")
+        if kind == "dense" and model.get("level") not in given.get("levels", LEVELS):
+            raise ValueError(f"{name}: a dense model names one of the levels")
+    return Settings(**given), [(s["name"], bool(s["metrics"])) for s in config["sets"]]
+
+
 @dataclass
 class Report:
     values: DataFrame  # run, qid, metric, value, level
@@ -171,6 +186,11 @@ def merged(reports: DataFrame, key: tuple[str, ...], order: str, value: str) ->
     return reports.groupBy(*key).agg(F.max_by(value, order).alias(value))
 
 
+def loss_curves(history: DataFrame) -> DataFrame:
+    """model, epoch, part (train_loss or val_loss) and loss: a row a point of the curves."""
+    return history.unpivot(["model", "epoch"], ["train_loss", "val_loss"], "part", "loss")
+
+
 def steady_mean(latency: DataFrame) -> DataFrame:
     """Mean latency of each method without its first query.
 

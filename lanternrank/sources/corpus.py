@@ -60,6 +60,14 @@ def passages(papers_: DataFrame, front: bool = False, clean: bool = False) -> Da
     return body.withColumn("text", strip(F.col("text"))).where("text <> ''") if clean else body
 
 
+def lookup(papers_: DataFrame, docids: list[str]) -> DataFrame:
+    """docid and text of the named paragraphs: only their papers are kept, and only their entries taken out."""
+    named = F.array(*[F.lit(d) for d in sorted(set(docids))])
+    mine = papers_.where(F.col("paper_id").isin(sorted({d.rpartition("_")[0] or d for d in docids})))
+    found = F.filter(F.transform(named, lambda d: F.struct(d.alias("docid"), F.element_at("paragraphs", d).alias("text"))), lambda x: F.isnotnull(x["text"]))
+    return mine.select(F.explode(found).alias("x")).select("x.docid", "x.text")
+
+
 def topics(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
     """qid and query of a JSON file in any of its forms, in file order up to `limit`.
 
@@ -210,6 +218,15 @@ def _literal(v):
     return F.lit(v)
 
 
+def read_summary(spark: SparkSession, path: str) -> DataFrame:
+    """set, level_name, run, level, metric, value of written summaries."""
+    schema = "set string, level string, relevance_passes map<string,struct<relevance_level:int,metrics:map<string,map<string,double>>>>"
+    rows = spark.read.text(path, wholetext=True).select(F.from_json("value", schema).alias("r"))
+    passes = rows.select(F.col("r.set").alias("set"), F.col("r.level").alias("level_name"), F.explode("r.relevance_passes").alias("_", "p"))
+    runs = passes.select("set", "level_name", F.col("p.relevance_level").alias("level"), F.explode("p.metrics").alias("run", "m"))
+    return runs.select("set", "level_name", "run", "level", F.explode("m").alias("metric", "value"))
+
+
 def write_report(report: DataFrame, path: str) -> None:
     report.coalesce(1).write.mode("overwrite").text(path)
 

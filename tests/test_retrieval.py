@@ -300,6 +300,23 @@ def test_files(spark, mini, tmp_path, judged):
         L.split_80_20(spark.range(3).toDF("qid")).collect()
 
 
+def test_settings_and_summaries(spark, tmp_path):
+    config = {"team_name": "t", "sets": [{"name": "study", "metrics": True}, {"name": "test", "metrics": False}], "levels": ["paper"], "k": 7, "models": {"a": {"type": "dense", "level": "paper"}, "b": None}}
+    settings, sets = V.settings_of(config)
+    assert (settings.k, settings.levels, settings.team, sets) == (7, ("paper",), "t", [("study", True), ("test", False)])
+    for wrong in ({"models": {}}, {"sets": []}, {"models": {"a": {"type": "other"}}}, {"models": {"a": {"type": "dense", "level": "paragraph"}}}, {"k": 0}, {"levels": ["chapter"]}):
+        with pytest.raises(ValueError):
+            V.settings_of(config | wrong)
+    means = spark.createDataFrame([("a", 1, "mrr", 0.5), ("a", 2, "mrr", 0.25), ("b", 1, "mrr", 1.0)], "run string, level int, metric string, value double")
+    C.write_report(C.summary_report(means, {"set": "s", "level": "paper"}), f"{tmp_path}/summary")
+    assert {(r.set, r.level_name, r.run, r.level, r.metric, r.value) for r in C.read_summary(spark, f"{tmp_path}/summary").collect()} == {("s", "paper", *r) for r in means.collect()}
+
+
+def test_lookup(spark, mini):
+    papers = C.papers(spark, mini)
+    assert {tuple(r) for r in C.lookup(papers, ["2301.1_2", "2301.2_1", "2301.2_9", "none"]).collect()} == {("2301.1_2", "b b"), ("2301.2_1", "a c")}
+
+
 def test_encoded_rows(spark):
     """Ten attempts, of 2 to 11 parts, by words; a text that never fits is null, and a model is loaded once a task."""
 
