@@ -35,7 +35,8 @@ def targets(sized: DataFrame, weights: int = 3, most: int = MAX_REPEATS) -> Data
     words would repeat over `most` times stops there and the excess goes to the
     others by weight.  Ordered by most * size / weight, the stopped sources come
     first, so running sums give the final level of the others in one step.
-    The table has a row a source: sums were taken before.
+    The table has a row a source: sums were taken before.  Its running sums are
+    one task's, which sorts and spills: some hundred bytes a source.
     """
     sums = sized.groupBy(F.col("source").alias("_mix_source")).agg(F.sum("size").alias("source_size"))
     # UTF-8 bytes are in code point order, as Spark compares strings
@@ -65,8 +66,8 @@ def draw(doc_id: str, seed: int) -> Column:
 
 
 def _planned(docs: DataFrame, seed: int, weights: int, most: int) -> DataFrame:
-    """docs with _mix_size, _mix_total, _mix_target and _mix_copies."""
-    sized = docs.withColumn("_mix_size", words(F.col("text")))
+    """docs with _mix_size, _mix_total, _mix_target and _mix_copies; a column _mix_size that is there is taken as it is."""
+    sized = docs if "_mix_size" in docs.columns else docs.withColumn("_mix_size", words(F.col("text")))
     small = common.written(targets(sized.select("source", F.col("_mix_size").alias("size")), weights, most).toDF("_mix_source", "_mix_total", "_mix_target"), "targets")
     if small.count() <= BROADCAST_ROWS:
         small = F.broadcast(small)
@@ -77,7 +78,8 @@ def _planned(docs: DataFrame, seed: int, weights: int, most: int) -> DataFrame:
 
 def plan(docs: DataFrame, seed: int = 1, weights: int = 3, most: int = MAX_REPEATS) -> DataFrame:
     """doc_id, size, source_size, target (of its source) and taken (words that the mix takes) of every document."""
-    p = _planned(docs.select("doc_id", "source", "text"), seed, weights, most)
+    sized = common.written(docs.select("doc_id", "source", words(F.col("text")).alias("_mix_size")), "sized")
+    p = _planned(sized, seed, weights, most)
     return p.select("doc_id", F.col("_mix_size").alias("size"), F.col("_mix_total").alias("source_size"), F.col("_mix_target").alias("target"), (F.col("_mix_size") * F.col("_mix_copies")).alias("taken"))
 
 
