@@ -16,40 +16,49 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its fingerprint and the smallest document that links of 3 bits reach; null and empty texts have fingerprint zero."""
     return simhash.classes(common.table(spark, sf_dir, "documents"))
 
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as its record reads back from the archives: sizes, digest, response or revisit; a null html is an empty payload."""
     return warc.round_trip(common.table(spark, sf_dir, "pages"))
 
 
 def op4_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its source's size and target and the words that the mix takes of it; a null source is the last, a null text has size 0."""
     return mixing.plan(common.table(spark, sf_dir, "documents"))
 
 
 def op5_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with one of 40 shards of nearly equal bytes and its slot there; null texts have 16 bytes."""
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
     out = sharding.assign(docs, shards=40)
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 def op6_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text as it reads back from the pages of its TIFF file, page by page; a null text is a payload of spaces."""
     return tiff.digests(tiff.stored(common.table(spark, sf_dir, "documents")))
 
 
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page with host, path, the longest rule that fits, its template and its verdict; null urls have neither host nor path and are allowed."""
     return urlfilter.judge(common.table(spark, sf_dir, "pages"))
 
 
 def op8_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its tokens, base score and log10 probability under the trees; a null text has only its end."""
     return ctw.score(common.table(spark, sf_dir, "documents"), stable=True)
 
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its base spans, counted and hashed, and all spans; null texts have none."""
     return pii.report(common.table(spark, sf_dir, "documents"))
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its probability of label 1; empty texts are scored like any other."""
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
     net = quality.train(docs, common.table(spark, sf_dir, "labels"))
     scored = quality.classify(docs, net)
