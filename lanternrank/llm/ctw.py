@@ -58,7 +58,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from . import common
 
-DEPTH, LEAST, FREQUENT, CHUNK = 5, 64, 1 << 17, 8 << 20
+DEPTH, LEAST, FREQUENT, CHUNK = 5, 64, 1 << 17, 4 << 20
 END = b"\xff"
 SYM = np.arange(256)
 
@@ -107,6 +107,18 @@ def _binaries(data: np.ndarray, cuts: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer((cuts * data.itemsize).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))])
 
 
+def told(chunk: list[Segment], held: list[bool]) -> tuple[np.ndarray, np.ndarray]:
+    """A chunk's distinct windows in order, and how often each stands in rows that aren't held out."""
+    keys, first = windows(chunk)
+    keys <<= 1
+    keys |= np.repeat(np.array([held[s.row] for s in chunk], np.int64), np.diff(np.append(first, len(keys))))
+    keys.sort()
+    out = keys & 1
+    keys >>= 1
+    start = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+    return keys[start], (np.diff(np.append(start, len(keys))) - np.add.reduceat(out, start)).astype(np.uint32)
+
+
 TOLD = "pair int, part int, chunk int, low binary, n binary"
 
 
@@ -123,10 +135,7 @@ def _tell(chunk_bytes: int):
 
         part = TaskContext.get().partitionId()
         for number, chunk in enumerate(segments(texts(), chunk_bytes)):
-            keys, first = windows(chunk)
-            found, where = np.unique(keys, return_inverse=True)
-            train = np.repeat([not held[s.row] for s in chunk], np.diff(np.append(first, len(keys))))
-            n = np.bincount(where[train], minlength=len(found)).astype(np.uint32)
+            found, n = told(chunk, held)
             pair = (found >> 32).astype(np.int32)
             cuts = np.concatenate((np.flatnonzero(np.concatenate(([True], pair[1:] != pair[:-1]))), [len(pair)]))
             rows = len(cuts) - 1
@@ -443,11 +452,11 @@ def _price(shared, least: int):
 def priced(docs: DataFrame, least: int = LEAST, chunk_bytes: int = CHUNK, salts: int = 1) -> str:
     """Path of the prices of all windows, by task and chunk of docs (held_out, text)."""
     spark = docs.sparkSession
-    told = docs.select("held_out", "text").mapInArrow(_tell(chunk_bytes), TOLD)
+    rows_ = docs.select("held_out", "text").mapInArrow(_tell(chunk_bytes), TOLD)
     if salts == 1:
-        merged = subtrees = common.written(told.groupBy("pair").applyInArrow(_weighed_alone(least), f"{MERGED}, counts binary, weighted binary"), "subtrees")
+        merged = subtrees = common.written(rows_.groupBy("pair").applyInArrow(_weighed_alone(least), f"{MERGED}, counts binary, weighted binary"), "subtrees")
     else:
-        dealt = told.withColumn("salt", F.pmod("part", F.lit(salts)))
+        dealt = rows_.withColumn("salt", F.pmod("part", F.lit(salts)))
         merged = common.written(dealt.groupBy("pair", "salt").applyInArrow(_merge, MERGED), "merged")
         subtrees = common.written(merged.select("pair", "low", "n").groupBy("pair").applyInArrow(_weighed(least), SUBTREES), "subtrees")
     sums = subtrees.select(F.shiftright("pair", 8).alias("first"), "counts", "weighted").groupBy("first").applyInArrow(_summed, "first int, counts binary, weighted binary")
@@ -502,14 +511,15 @@ def score(docs: DataFrame, fold: int = 7, held: int = 2, least: int = LEAST, fre
         known, open_ = common_words.value, {}
 
         def judge(text: bytes):
-            """n_tokens, n_known and base score of the frequent words, and the other words."""
-            words, hits, sum_, rare = common.tokens(text), int(ends > 0), end, []
+            """n_tokens, n_known and base score of the frequent words, and the other words with how often."""
+            words, hits, sum_, rare, times = common.tokens(text), int(ends > 0), end, [], []
             for w, k in Counter(words).items():
                 if (c := known.get(w)) is None:
-                    rare.append({"word": w, "k": k})
+                    rare.append(w)
+                    times.append(k)
                 else:
                     hits, sum_ = hits + k, sum_ + k * c
-            return len(words) + 1, hits, sum_, rare
+            return len(words) + 1, hits, sum_, rare, times
 
         def texts():
             row = 0
@@ -534,8 +544,10 @@ def score(docs: DataFrame, fold: int = 7, held: int = 2, least: int = LEAST, fre
                 if s.last:
                     done.append(open_.pop(s.row))
             if done:
-                i, h, n, hits, base, rare, value = zip(*done)
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip((i, h, n, hits, base, value, rare), kinds_)], names=schema.names)
+                i, h, n, hits, base, rare, times, value = zip(*done)
+                cuts = pa.array(np.concatenate(([0], np.cumsum([len(x) for x in rare]))), pa.int32())
+                words = pa.StructArray.from_arrays([pa.array([w for x in rare for w in x], pa.binary()), pa.array([k for x in times for k in x], pa.int64())], ["word", "k"])
+                yield pa.RecordBatch.from_arrays([*(pa.array(x, t) for x, t in zip((i, h, n, hits, base, value), kinds_)), pa.ListArray.from_arrays(cuts, words)], names=schema.names)
 
     kinds_ = to_arrow_schema(schema).types
     # the written table fixes the row numbers
