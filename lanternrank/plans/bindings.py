@@ -61,7 +61,7 @@ class Tables:
         return self._made("qrels", "embeddings", lambda path, _: C.write_qrels(self.qrels(), path))
 
     def index(self) -> SparseIndex:
-        path = self._made("sparse", "documents", lambda path, signature: build_sparse(self.passages(), path, signature), encoder="ln(1 + count)")
+        path = self._made("sparse", "documents", lambda path, signature: build_sparse(self.passages(), path, signature), encoder="ln(1 + count)", format=2)
         return SparseIndex(self.spark, path)
 
     def dense(self) -> DenseIndex:

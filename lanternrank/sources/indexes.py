@@ -1,9 +1,10 @@
 """Sparse and dense indexes: written once with norms and a signature, checked when they are opened, and searched.
 
-A sparse index holds, for each level, its items (also those without terms) and
-its postings, each with its item's norm and sorted by term, so that a search
-reads the postings once, needs no norms of its own and skips row groups of
-other terms.  A dense index holds ids and vectors.
+A sparse index holds, for each level, its items (also those without terms), its
+postings, each with its item's norm and sorted by term, and the same as a vector
+a passage, a paper's together: a search of many queries multiplies vectors where
+they are, and few terms are looked up among the postings, where row groups of
+other terms are skipped.  A dense index holds ids and vectors.
 """
 
 from __future__ import annotations
@@ -39,6 +40,13 @@ def _normed(postings: DataFrame) -> DataFrame:
     return postings.select("docid", "term", "weight", F.sqrt(total).alias("norm"))
 
 
+def _vectors(postings: DataFrame, path: str) -> None:
+    """A row a passage with its terms and weights (bounded by its text), a paper's rows together."""
+    entries = F.array_sort(F.collect_list(F.struct("term", "weight")))
+    rows = postings.repartition("paper_id").groupBy("paper_id", "docid", "is_front", "norm").agg(entries.alias("v"))
+    rows.select("paper_id", "docid", "is_front", "norm", F.col("v.term").alias("terms"), F.col("v.weight").alias("weights")).sortWithinPartitions("paper_id", "docid").write.parquet(path)
+
+
 def build_sparse(rows: DataFrame, folder: str, signature: str, encoder: SparseEncoder = term_weights) -> SparseIndex:
     """Indexes passages (docid, text; the paper's id is the docid up to its last underscore, `_0` is its front).
 
@@ -54,8 +62,10 @@ def build_sparse(rows: DataFrame, folder: str, signature: str, encoder: SparseEn
     paragraphs = spark.read.parquet(f"{folder}/postings/level=paragraph")
     items = spark.read.parquet(f"{folder}/items/level=paragraph")
     items.select(F.col("paper_id").alias("docid"), "paper_id").distinct().withColumn("is_front", F.lit(False)).write.parquet(f"{folder}/items/level=paper")
+    _vectors(paragraphs, f"{folder}/vectors/level=paragraph")
     pooled = max_pool(paragraphs.select(F.col("paper_id").alias("docid"), "term", "weight").repartition("docid"))
     sorted_(_normed(pooled).withColumns({"paper_id": F.col("docid"), "is_front": F.lit(False)})).write.parquet(f"{folder}/postings/level=paper")
+    _vectors(spark.read.parquet(f"{folder}/postings/level=paper"), f"{folder}/vectors/level=paper")
     count = lambda what, level: spark.read.parquet(f"{folder}/{what}/level={level}").count()
     spark.createDataFrame([("sparse", level, count("items", level), count("postings", level), signature) for level in LEVELS], MANIFEST).coalesce(1).write.parquet(f"{folder}/manifest")
     return SparseIndex(spark, folder, signature)
@@ -83,6 +93,10 @@ class SparseIndex:
         """docid, term, weight, norm, paper_id and is_front."""
         return self.spark.read.parquet(f"{self.folder}/postings/level={self._level(level)}")
 
+    def vectors(self, level: str) -> DataFrame:
+        """paper_id, docid, is_front, norm, terms and weights: a row a passage, a paper's together."""
+        return self.spark.read.parquet(f"{self.folder}/vectors/level={self._level(level)}")
+
     def check(self, level: str, papers: int | None = None) -> None:
         """Raises if a level has other numbers of rows than were written, or not as many papers as it should."""
         found = (self.items(level).count(), self.postings(level).count())
@@ -93,8 +107,8 @@ class SparseIndex:
 
     def size(self, level: str) -> DataFrame:
         """files and bytes of a level."""
-        parts = [index_bytes(self.spark, f"{self.folder}/{what}/level={self._level(level)}") for what in ("items", "postings")]
-        return parts[0].unionByName(parts[1]).agg(F.sum("files").alias("files"), F.sum("bytes").alias("bytes"))
+        parts = [index_bytes(self.spark, f"{self.folder}/{what}/level={self._level(level)}") for what in ("items", "postings", "vectors")]
+        return parts[0].unionByName(parts[1]).unionByName(parts[2]).agg(F.sum("files").alias("files"), F.sum("bytes").alias("bytes"))
 
     def scores(self, queries: DataFrame, level: str, body: bool = False) -> DataFrame:
         """qid, docid, paper_id, is_front and the cosine of each query (qid, term, weight) and item with a common term; body: without fronts."""
@@ -114,11 +128,13 @@ class SparseIndex:
         if strategy not in STRATEGIES:
             raise ValueError(f"strategy is one of {STRATEGIES}")
         if self._level(level) == "paragraph":
-            found, item, items = self.scores(queries, level, body=True), "docid", self.items(level).where(~F.col("is_front"))
+            item, items, rows = "docid", self.items(level).where(~F.col("is_front")), self.vectors(level).where(~F.col("is_front"))
         else:
-            item, items = "paper_id", self.items(level)
-            found = R.maxp(self.scores(queries, "paragraph")) if strategy == "maxp" else self.scores(queries, "paper")
-        return R.padded(R.rank(found.select("qid", item, "score"), item, k=k), topics, items, k, item)
+            item, items, rows = "paper_id", self.items(level), self.vectors("paragraph" if strategy == "maxp" else "paper")
+        unit = F.col("weight") / F.greatest(F.sqrt(F.sum(F.col("weight") * F.col("weight")).over(Window.partitionBy("qid"))), F.lit(FLOOR))
+        best = R.sparse_best(queries.select("qid", "term", unit.alias("weight")), rows, item, k)
+        found = best.groupBy("qid", item).agg(F.max("score").alias("score"))  # a paper's passages may stand in two batches
+        return R.padded(R.rank(found, item, k=k), topics, items, k, item)
 
 
 # ---- dense
