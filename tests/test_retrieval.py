@@ -1,5 +1,6 @@
 import json
 import math
+import uuid
 
 import numpy as np
 import pytest
@@ -225,7 +226,7 @@ def test_dense_index(spark, tmp_path):
 
 
 def test_made_once(spark):
-    calls = []
+    calls, name = [], f"thing-{uuid.uuid4().hex}"  # the shared folder may outlive the session
 
     def make(path):
         calls.append(path)
@@ -234,12 +235,12 @@ def test_made_once(spark):
             raise RuntimeError("lost")
 
     with pytest.raises(RuntimeError):
-        workspace.made(spark, "thing", "abc", make)
-    first = workspace.made(spark, "thing", "abc", make)
-    assert workspace.made(spark, "thing", "abc", make) == first == calls[1]  # what a failed maker left is not used
+        workspace.made(spark, name, "abc", make)
+    first = workspace.made(spark, name, "abc", make)
+    assert workspace.made(spark, name, "abc", make) == first == calls[1]  # what a failed maker left is not used
     workspace._made.clear()
-    assert workspace.made(spark, "thing", "abc", make) == first  # another process finds it too
-    assert workspace.made(spark, "thing", "other", make) != first and workspace.made(spark, "thing", "abc", make, force=True) != first and len(calls) == 4
+    assert workspace.made(spark, name, "abc", make) == first  # another process finds it too
+    assert workspace.made(spark, name, "other", make) != first and workspace.made(spark, name, "abc", make, force=True) != first and len(calls) == 4
 
 
 def test_evaluation(spark, judged, tmp_path):
