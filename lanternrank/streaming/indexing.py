@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from lanternrank.operators.encoders import SparseEncoder, max_pool, term_weights
 from lanternrank.sources.corpus import PAPER, passages
 
-MANIFEST = "shard long, count long, last_paper string, signature string, interval int"
+LEVELS = ("paragraphs", "papers")
+MANIFEST = "shard long, count long, last_paper string, signature string, interval int, paragraphs long, papers long"
 
 
 def manifest(spark: SparkSession, folder: str) -> DataFrame:
@@ -44,7 +45,8 @@ def build(spark: SparkSession, source: str, folder: str, signature: str, interva
             postings = encoder(passages(batch, front=True), "docid").withColumn("paper_id", F.regexp_replace("docid", "_[^_]*$", ""))
             postings.write.mode("overwrite").parquet(f"{folder}/paragraphs/shard={shard}")
             max_pool(postings.select(F.col("paper_id").alias("docid"), "term", "weight")).write.mode("overwrite").parquet(f"{folder}/papers/shard={shard}")
-            state = batch.agg(F.lit(shard).cast("long").alias("shard"), F.count("*").alias("count"), F.max("paper_id").alias("last_paper"), F.lit(signature).alias("signature"), F.lit(interval).alias("interval"))
+            rows = {level: spark.read.parquet(f"{folder}/{level}/shard={shard}").count() for level in LEVELS}
+            state = batch.agg(F.lit(shard).cast("long").alias("shard"), F.count("*").alias("count"), F.max("paper_id").alias("last_paper"), F.lit(signature).alias("signature"), F.lit(interval).alias("interval"), *[F.lit(n).cast("long").alias(level) for level, n in rows.items()])
             state.coalesce(1).write.mode("overwrite").parquet(f"{folder}/manifest/batch={shard}")
         finally:
             batch.unpersist()
@@ -55,10 +57,16 @@ def build(spark: SparkSession, source: str, folder: str, signature: str, interva
 
 
 def load(spark: SparkSession, folder: str, level: str) -> DataFrame:
-    """Postings of a level (paragraphs or papers) of all shards."""
-    if level not in ("paragraphs", "papers"):
+    """Postings of a level (paragraphs or papers) of all shards; other numbers than the manifest's are an error, shard by shard."""
+    if level not in LEVELS:
         raise ValueError("level is paragraphs or papers")
-    return spark.read.parquet(f"{folder}/{level}")
+    rows = spark.read.parquet(f"{folder}/{level}")
+    found = rows.groupBy(F.col("shard").cast("long").alias("shard")).agg(F.count("*").alias("found"))
+    told = manifest(spark, folder).select("shard", F.col(level).alias("told"))
+    wrong = found.join(told, "shard", "full_outer").where("coalesce(found, 0) <> coalesce(told, -1)").orderBy("shard").first()
+    if wrong:
+        raise ValueError(f"shard {wrong.shard} holds {wrong.found or 0} postings, its manifest says {wrong.told}")
+    return rows
 
 
 def complete(spark: SparkSession, folder: str, files: int) -> bool:

@@ -177,6 +177,10 @@ def test_index_resumes(spark, tmp_path):
     m = indexing.build(spark, str(source), folder, "s", 2)
     assert m.agg(F.sum("count")).first()[0] == 4 and indexing.complete(spark, folder, 4)
     assert indexing.load(spark, folder, "papers").where("term = 'common'").count() == 4
+    spark.createDataFrame([("p9", "more", 1.0)], "docid string, term string, weight double").write.mode("append").parquet(f"{folder}/papers/shard=0")
+    with pytest.raises(ValueError, match="shard 0 holds"):
+        indexing.load(spark, folder, "papers")
+    assert indexing.load(spark, folder, "paragraphs").count() > 0
     with pytest.raises(ValueError):
         indexing.build(spark, str(source), folder, "other", 2)
 
