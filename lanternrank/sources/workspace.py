@@ -17,7 +17,7 @@ def shared_dir(spark: SparkSession) -> str:
     conf = spark.sparkContext.getConf()
     if found := conf.get("spark.checkpoint.dir", None):
         return found.rstrip("/")
-    if not conf.get("spark.master", "").startswith("local["):
+    if (master := conf.get("spark.master", "")) != "local" and not master.startswith("local["):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     global _own
     if _own is None:
