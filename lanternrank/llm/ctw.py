@@ -94,7 +94,9 @@ def windows(chunk: list[Segment]) -> tuple[np.ndarray, np.ndarray]:
     data = np.frombuffer(b"".join(s.data for s in chunk), np.uint8)
     key = data[DEPTH:].astype(np.int64)
     for k in range(1, DEPTH + 1):
-        key |= data[DEPTH - k : len(data) - k].astype(np.int64) << (8 * (DEPTH + 1 - k))
+        part = data[DEPTH - k : len(data) - k].astype(np.int64)
+        part <<= 8 * (DEPTH + 1 - k)
+        key |= part
     own = np.ones(len(key), bool)  # without the windows that start in one segment and end in the next
     ends = np.cumsum(size)[:-1]
     for k in range(DEPTH):
@@ -111,12 +113,26 @@ def told(chunk: list[Segment], held: list[bool]) -> tuple[np.ndarray, np.ndarray
     """A chunk's distinct windows in order, and how often each stands in rows that aren't held out."""
     keys, first = windows(chunk)
     keys <<= 1
-    keys |= np.repeat(np.array([held[s.row] for s in chunk], np.int64), np.diff(np.append(first, len(keys))))
+    keys |= np.repeat(np.array([held[s.row] for s in chunk], np.uint8), np.diff(np.append(first, len(keys))))
     keys.sort()
-    out = keys & 1
+    out = (keys & 1).astype(np.uint8)
     keys >>= 1
     start = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
-    return keys[start], (np.diff(np.append(start, len(keys))) - np.add.reduceat(out, start)).astype(np.uint32)
+    return keys[start], (np.diff(np.append(start, len(keys))) - np.add.reduceat(out, start, dtype=np.int64)).astype(np.uint32)
+
+
+def priced_sums(chunk: list[Segment], price: np.ndarray) -> np.ndarray:
+    """Each segment's sum of the prices of its windows; price: of the chunk's distinct windows in order."""
+    keys, first = windows(chunk)
+    order = np.argsort(keys)
+    keys = keys[order]
+    place = np.cumsum(np.concatenate(([False], keys[1:] != keys[:-1])), dtype=np.int32)
+    del keys
+    if len(price) != place[-1] + 1:
+        raise ValueError("a second reading of the documents gave other rows")
+    each = np.empty(len(order), np.float32)
+    each[order] = price[place]
+    return np.add.reduceat(each, first, dtype=np.float64)
 
 
 TOLD = "pair int, part int, chunk int, low binary, n binary"
@@ -533,11 +549,7 @@ def score(docs: DataFrame, fold: int = 7, held: int = 2, least: int = LEAST, fre
         of = None
         for number, chunk in enumerate(segments(texts(), chunk_bytes)):
             of = of or _chunk_prices(path, part)
-            keys, first = windows(chunk)
-            price, (found, where) = of(number), np.unique(keys, return_inverse=True)
-            if len(price) != len(found):
-                raise ValueError("a second reading of the documents gave other rows")
-            sums = np.add.reduceat(price.astype(np.float64)[where], first)
+            sums = priced_sums(chunk, of(number))
             done = []
             for s, v in zip(chunk, sums.tolist()):
                 open_[s.row][-1] += v
