@@ -1,4 +1,4 @@
-"""Training-data operators: ten first-class components for corpus preparation.
+"""Training-data operators: thirteen first-class components for corpus preparation.
 
 Nothing outside this folder imports it.  Every operator takes and returns
 DataFrames; what must be shared between executors goes through

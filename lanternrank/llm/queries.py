@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, ctw, decontam, mixing, pii, quality, sharding, simhash, tiff, urlfilter, warc
+from . import chat, codes, common, ctw, decontam, mixing, pii, quality, sharding, simhash, tiff, turns, urlfilter, warc
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,9 +65,26 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (common.doc_hash_mod("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op11_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation with the faults of its damaged rows, the cheapest edits that repair it and the repaired text's digest."""
+    return turns.judged(common.table(spark, sf_dir, "conversations"))
+
+
+def op12_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation, and one that holds the template's marks, rebuilt from a log of events, formatted and read back."""
+    rows = chat.tried(common.table(spark, sf_dir, "conversations"))
+    return chat.digests(chat.rendered(chat.folded(chat.log(chat.numbered(rows)))))
+
+
+def op13_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector whose components are all numbers with its code, its error and that of its label, and the codebooks' digest."""
+    coded, books = codes.compressed(common.table(spark, sf_dir, "embeddings"))
+    return codes.with_label_error(coded).select("vec_id", F.lower(F.hex("code")).alias("code"), "error", "label_error", F.lit(codes.digest(books)).alias("codebooks_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontaminate, op2_simhash, op3_warc, op4_mix, op5_shard, op6_tiff, op7_url_filter, op8_context_tree, op9_pii, op10_quality)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_simhash, op3_warc, op4_mix, op5_shard, op6_tiff, op7_url_filter, op8_context_tree, op9_pii, op10_quality, op11_turns, op12_chat, op13_codes)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontaminate": decontam.SQL, "op3_warc": warc.SQL, "op4_mix": mixing.SQL, "op5_shard": sharding.SQL, "op7_url_filter": urlfilter.SQL}
+    return {"op1_decontaminate": decontam.SQL, "op3_warc": warc.SQL, "op4_mix": mixing.SQL, "op5_shard": sharding.SQL, "op7_url_filter": urlfilter.SQL, "op12_chat": chat.SQL, "op13_codes": codes.SQL}
