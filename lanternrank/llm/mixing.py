@@ -8,8 +8,7 @@ and the seed, so that reruns agree.
 Defined cases: null text has size 0; a null source is a source of its own, the
 last in order; sources without words have target and rate 0, as all have in an
 empty table; repeated rows share their draw; a null id draws as the empty
-text; extra columns pass through `mixed`, where internal names start with
-`_mix_`.
+text; extra columns of any name pass through `mixed`.
 """
 
 from __future__ import annotations
@@ -65,28 +64,29 @@ def draw(doc_id: str, seed: int) -> Column:
     return F.conv(F.substring(digest, 1, 13), 16, 10).cast("long") / F.lit(float(1 << 52))
 
 
-def _planned(docs: DataFrame, seed: int, weights: int, most: int) -> DataFrame:
-    """docs with _mix_size, _mix_total, _mix_target and _mix_copies; a column _mix_size that is there is taken as it is."""
-    sized = docs if "_mix_size" in docs.columns else docs.withColumn("_mix_size", words(F.col("text")))
-    small = common.written(targets(sized.select("source", F.col("_mix_size").alias("size")), weights, most).toDF("_mix_source", "_mix_total", "_mix_target"), "targets")
+def _planned(sized: DataFrame, names: list[str], seed: int, weights: int, most: int) -> DataFrame:
+    """sized, which has the first of the names (a document's words), with the others: words and target of its source, and its copies."""
+    size, total, target, copies, of = names
+    small = common.written(targets(sized.select("source", F.col(size).alias("size")), weights, most).toDF(of, total, target), "targets")
     if small.count() <= BROADCAST_ROWS:
         small = F.broadcast(small)
-    rate = F.when(F.col("_mix_total") > 0, F.least(F.col("_mix_target") / F.greatest("_mix_total", F.lit(1)), F.lit(float(most)))).otherwise(0.0)
-    copies = F.floor(rate) + F.when(draw("doc_id", seed) < rate - F.floor(rate), 1).otherwise(0)
-    return sized.join(small, sized["source"].eqNullSafe(small["_mix_source"])).drop("_mix_source").withColumn("_mix_copies", copies.cast("long"))
+    rate = F.when(F.col(total) > 0, F.least(F.col(target) / F.greatest(total, F.lit(1)), F.lit(float(most)))).otherwise(0.0)
+    taken = F.floor(rate) + F.when(draw("doc_id", seed) < rate - F.floor(rate), 1).otherwise(0)
+    return sized.join(small, sized["source"].eqNullSafe(small[of])).withColumn(copies, taken.cast("long"))
 
 
 def plan(docs: DataFrame, seed: int = 1, weights: int = 3, most: int = MAX_REPEATS) -> DataFrame:
     """doc_id, size, source_size, target (of its source) and taken (words that the mix takes) of every document."""
-    sized = common.written(docs.select("doc_id", "source", words(F.col("text")).alias("_mix_size")), "sized")
-    p = _planned(sized, seed, weights, most)
-    return p.select("doc_id", F.col("_mix_size").alias("size"), F.col("_mix_total").alias("source_size"), F.col("_mix_target").alias("target"), (F.col("_mix_size") * F.col("_mix_copies")).alias("taken"))
+    sized = common.written(docs.select("doc_id", "source", words(F.col("text")).alias("size")), "sized")
+    p = _planned(sized, ["size", "source_size", "target", "copies", "of"], seed, weights, most)
+    return p.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
 def mixed(docs: DataFrame, seed: int = 1, weights: int = 3, most: int = MAX_REPEATS) -> DataFrame:
     """The mix itself: each row of docs as often as it is taken."""
-    p = _planned(docs, seed, weights, most).where("_mix_copies > 0")
-    rows = p.withColumn("_mix_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_mix_copies"))))
+    *names, copy = common.unused(docs, "size", "total", "target", "copies", "of", "copy")
+    p = _planned(docs.withColumn(names[0], words(F.col("text"))), names, seed, weights, most).where(F.col(names[3]) > 0)
+    rows = p.withColumn(copy, F.explode(F.sequence(F.lit(1).cast("long"), F.col(names[3]))))
     return rows.select(*docs.columns)
 
 
