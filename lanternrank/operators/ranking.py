@@ -62,74 +62,13 @@ def padded(ranked: DataFrame, queries: DataFrame, items: DataFrame, k: int, item
     Only the first k items that a query has not found can be needed, and those
     are among the first 2k ids of all, so no query meets all items.
     """
-    have = ranked.groupBy("qid").agg(F.max("rank").alias("n"))
-    short = queries.select("qid").distinct().join(have, "qid", "left").select("qid", F.coalesce("n", F.lit(0)).alias("n")).where(F.col("n") < k)
     first = items.select(item).distinct().orderBy(item).limit(2 * k)
-    left = short.crossJoin(F.broadcast(first)).join(ranked.select("qid", item), ["qid", item], "left_anti")
-    w = Window.partitionBy("qid").orderBy(item)
-    more = left.withColumn("rank", F.col("n") + F.row_number().over(w)).where(F.col("rank") <= k)
-    return ranked.select("qid", item, "score", "rank").unionByName(more.select("qid", item, F.lit(0.0).alias("score"), "rank"))
-
-
-def sparse_best(queries: DataFrame, vectors: DataFrame, item: str, k: int) -> DataFrame:
-    """qid, item and score: of each batch of rows the k best of each query with a common term (ties by id), by matrix products.
-
-    queries: qid, term, weight (unit vectors); vectors: item, norm, terms and
-    weights, a row a passage; an item's passages stand together, and its score
-    in a batch is its best passage's there.  No pair of a query and an item that
-    isn't among a batch's best leaves its task.
-    """
-    spark = vectors.sparkSession
-    schema = f"qid {queries.schema['qid'].dataType.simpleString()}, {item} {vectors.schema[item].dataType.simpleString()}, score double"
-
-    def scorer(shared):
-        def run(batches):
-            qids, vocabulary, matrix = shared.value
-            known = pa.array(vocabulary, pa.string())
-            for b in (b for b in batches if b.num_rows):
-                place = pa.compute.index_in(b.column("terms").flatten(), value_set=known).to_numpy(zero_copy_only=False)
-                row = np.repeat(np.arange(b.num_rows), b.column("terms").value_lengths().to_numpy(zero_copy_only=False))
-                hit = ~np.isnan(place)
-                place, row = place[hit].astype(np.int64), row[hit]
-                weight = b.column("weights").flatten().to_numpy(zero_copy_only=False)[hit] / np.maximum(b.column("norm").to_numpy(zero_copy_only=False), FLOOR)[row]
-                scores = np.zeros((b.num_rows, len(qids)))
-                for at in range(0, len(row), 1 << 14):
-                    r = row[at : at + (1 << 14)]
-                    start = np.flatnonzero(np.concatenate(([True], r[1:] != r[:-1])))
-                    scores[r[start]] += np.add.reduceat(weight[at : at + (1 << 14), None] * matrix[place[at : at + (1 << 14)]], start, axis=0)
-                ids = b.column(item)
-                names = ids.to_numpy(zero_copy_only=False)
-                start = np.flatnonzero(np.concatenate(([True], names[1:] != names[:-1])))
-                if len(start) < len(names):
-                    scores, ids = np.maximum.reduceat(scores, start, axis=0), ids.take(pa.array(start))
-                rows, cols = _best(np.round(scores, 9), ids, k, 0.0)
-                yield pa.RecordBatch.from_arrays([pa.array([qids[c] for c in cols], kind), ids.take(pa.array(rows)), pa.array(scores[rows, cols])], names=["qid", item, "score"])
-
-        return run
-
-    kind, out = to_arrow_type(queries.schema["qid"].dataType), None
-    # a query's terms come together; its vector is bounded by its text
-    grouped = queries.groupBy("qid").agg(F.collect_list(F.struct("term", "weight")).alias("v"))
-    block: list = []
-
-    def flush():
-        nonlocal out, block
-        vocabulary = sorted({x.term for r in block for x in r.v})
-        at, matrix = {t: i for i, t in enumerate(vocabulary)}, np.zeros((len(vocabulary), len(block)))
-        for j, r in enumerate(block):
-            for x in r.v:
-                matrix[at[x.term], j] = x.weight
-        shared = spark.sparkContext.broadcast(([r.qid for r in block], vocabulary, matrix))
-        part = vectors.select(item, "norm", "terms", "weights").mapInArrow(scorer(shared), schema)
-        out, block = part if out is None else out.unionByName(part), []
-
-    for r in grouped.toLocalIterator():
-        block.append(r)
-        if len(block) == QUERY_BLOCK // 8:  # a block's matrix has a column a query and a row a term of the block
-            flush()
-    if block:
-        flush()
-    return out if out is not None else spark.createDataFrame([], schema)
+    more = queries.select("qid").distinct().crossJoin(F.broadcast(first)).select("qid", item, F.lit(0.0).alias("score"), F.lit(None).cast("int").alias("rank"))
+    # ranked is read once: what stands there has a rank, and comes before what only fills up
+    every = ranked.select("qid", item, F.col("score").cast("double").alias("score"), F.col("rank").cast("int").alias("rank")).unionByName(more)
+    once = every.groupBy("qid", item).agg(F.min("rank").alias("found"), F.max_by("score", F.when(F.col("rank").isNotNull(), 1).otherwise(0)).alias("score"))
+    w = Window.partitionBy("qid").orderBy(F.col("found").asc_nulls_last(), item)
+    return once.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("qid", item, "score", "rank")
 
 
 # ---- dense

@@ -12,7 +12,7 @@ from lanternrank.operators.encoders import term_weights
 from lanternrank.operators.ranking import dense_scores, rank, small
 from lanternrank.sources import corpus as C
 from lanternrank.sources import workspace
-from lanternrank.sources.indexes import DenseIndex, SparseIndex, build_dense, build_sparse
+from lanternrank.sources.indexes import DenseIndex, SparseIndex, build_dense, build_sparse, update_sparse
 
 
 class Tables:
@@ -61,11 +61,27 @@ class Tables:
         return self._made("qrels", "embeddings", lambda path, _: C.write_qrels(self.qrels(), path))
 
     def index(self) -> SparseIndex:
-        path = self._made("sparse", "documents", lambda path, signature: build_sparse(self.passages(), path, signature), encoder="ln(1 + count)", format=2)
+        path = self._made("sparse", "documents", lambda path, signature: build_sparse(self.passages(), path, signature), encoder="ln(1 + count)", format=3)
         return SparseIndex(self.spark, path)
 
+    def followed_index(self) -> SparseIndex:
+        """An index that was built from an earlier state of the documents and brought up to them as they are.
+
+        Then every seventh paper was missing, every fifth had another text, and
+        for every eleventh there was one more that is gone now.
+        """
+        def make(path, signature):
+            now = self.passages().select("docid", "text")
+            number = F.substring_index("docid", "_", 1).cast("long")
+            before = now.where(number % 7 != 0).withColumn("text", F.when(number % 5 == 0, F.concat("text", F.lit(" earlier draft"))).otherwise(F.col("text")))
+            gone = now.where(number % 11 == 0).withColumn("docid", F.concat(F.lit("gone"), "docid"))
+            update_sparse(before.unionByName(gone), path, signature)
+            update_sparse(now, path, signature, whole=True)
+
+        return SparseIndex(self.spark, self._made("followed", "documents", make, encoder="ln(1 + count)", format=3))
+
     def dense(self) -> DenseIndex:
-        path = self._made("dense", "embeddings", lambda path, signature: build_dense(self.vectors(), path, signature))
+        path = self._made("dense", "embeddings", lambda path, signature: build_dense(self.vectors(), path, signature), format=2)
         return DenseIndex(self.spark, path)
 
     def _line(self, rows: DataFrame) -> DataFrame:

@@ -322,6 +322,20 @@ def _(t):
     return _shown(t.index().search(t.topics(), t.topic_terms(), "paragraph"), "docid")
 
 
+@query("q_followed_paragraph", SQL["q_sparse_paragraph"].removeprefix(WITH))
+def _(t):
+    index = t.followed_index()
+    index.check("paragraph", papers=t.index().papers())
+    return _shown(index.search(t.topics(), t.topic_terms(), "paragraph"), "docid")
+
+
+@query("paper_prints", """
+, h AS (SELECT paper_id, ('0x' || substr(sha256(octet_length(encode(docid)) || ':' || docid || octet_length(encode(text)) || ':' || text), 1, 15))::BIGINT AS h FROM passages)
+SELECT paper_id, count(*) || ':' || sum(h) AS print FROM h GROUP BY paper_id""")
+def _(t):
+    return t.followed_index().prints().select("paper_id", "print")
+
+
 @query("maxp", "SELECT qid, paper_id, round(max(score), 6) AS score FROM sparse GROUP BY ALL")
 def _(t):
     return R.maxp(_sparse(t)).select("qid", "paper_id", r6("score"))

@@ -30,6 +30,8 @@ class Settings:
     def __post_init__(self):
         if self.k < 1:
             raise ValueError("k is 1 at least")
+        if self.limit is not None and self.limit < 1:
+            raise ValueError("limit is 1 at least")
         if unknown := {*self.metrics, *self.strict_metrics} - set(M.METRICS):
             raise ValueError(f"unknown metrics: {sorted(unknown)}")
         if not self.metrics and not self.strict_metrics:
@@ -89,12 +91,19 @@ class System:
 
 @dataclass(frozen=True)
 class QuerySet:
-    """topics: qid and query; qrels by level for a set that is measured."""
+    """topics: qid and query, and their ordinal where the file's order counts; qrels by level for a set that is measured."""
 
     name: str
     topics: DataFrame
     qrels: dict[str, DataFrame] | None = None
 
+    def first(self, limit: int | None) -> QuerySet:
+        """The first topics, by ordinal if there is one and else by id; judgments are asked of these alone."""
+        if limit is None:
+            return self
+        by = ["ordinal"] if "ordinal" in self.topics.columns else ["qid"]
+        return QuerySet(self.name, self.topics.orderBy(*by).limit(limit), self.qrels)
+
 
 @dataclass
 class Outcome:
@@ -123,19 +132,19 @@ def run_evaluation(spark: SparkSession, systems: list[System], sets: list[QueryS
             raise ValueError(f"{s.name}: unknown levels {sorted(wrong)}")
         if s.check:
             s.check()
+    sets = [q.first(settings.limit) for q in sets]
     folder = folder or f"{workspace.shared_dir(spark)}/evaluation-{time.time_ns()}"
     times = []
     for s in systems:
         for q in sets:
             if q.qrels is None and not s.on_test:
                 continue
-            topics = q.topics.orderBy("qid").limit(settings.limit) if settings.limit else q.topics
             for level in (x for x in settings.levels if x in s.levels):
                 began = time.perf_counter()
-                found = s.search(topics, level, settings.k)
+                found = s.search(q.topics, level, settings.k)
                 item = "docid" if "docid" in found.columns and level == "paragraph" else "paper_id"
                 found.select(F.lit(s.name).alias("run"), F.col("qid").cast("string").alias("qid"), F.col(item).alias("docid"), "score", "rank").write.mode("overwrite").parquet(f"{folder}/runs/set={q.name}/level={level}/method={s.name}")
-                qids = [str(r.qid) for r in topics.select("qid").distinct().collect()]
+                qids = [str(r.qid) for r in q.topics.select("qid").distinct().collect()]
                 times += [(q.name, level, s.name, i, 1000 * (time.perf_counter() - began) / max(1, len(qids))) for i in qids]
     schema = "run string, qid string, docid string, score double, rank int, set string, level string, method string"
     runs = spark.read.schema(schema).parquet(f"{folder}/runs") if times else spark.createDataFrame([], schema)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lanternrank.functions.text import front_text, strip
@@ -68,8 +68,8 @@ def lookup(papers_: DataFrame, docids: list[str]) -> DataFrame:
     return mine.select(F.explode(found).alias("x")).select("x.docid", "x.text")
 
 
-def topics(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
-    """qid and query of a JSON file in any of its forms, in file order up to `limit`.
+def topics(spark: SparkSession, path: str, limit: int | None = None, ordinal: bool = False) -> DataFrame:
+    """qid and query of a JSON file in any of its forms, in file order up to `limit`; ordinal: also their number in the file.
 
     Forms: a list of objects (qid, query_id or id; query, text or question),
     the same under "queries", or an object of ids to texts or objects.  Topic
@@ -83,7 +83,8 @@ def topics(spark: SparkSession, path: str, limit: int | None = None) -> DataFram
         data = [{"qid": k} | (v if isinstance(v, dict) else {"query": v}) for k, v in data.items()]
     first = lambda row, names: next((row[n] for n in names if n in row), None)
     rows = [(str(first(r, ("qid", "query_id", "id"))), first(r, ("query", "text", "question"))) for r in data]
-    return spark.createDataFrame(rows[:limit] if limit is not None else rows, "qid string, query string")
+    rows = [(*r, i) for i, r in enumerate(rows[:limit] if limit is not None else rows)]
+    return spark.createDataFrame(rows, "qid string, query string, ordinal int").select("qid", "query", *["ordinal"] * ordinal)
 
 
 def _fields(spark: SparkSession, path: str, separator: str) -> DataFrame:
@@ -243,12 +244,17 @@ def index_bytes(spark: SparkSession, path: str) -> DataFrame:
     return files.agg(F.count("*").alias("files"), F.sum("length").alias("bytes"))
 
 
+def content_print(*columns: Column) -> Column:
+    """60 bits of the SHA-256 of some columns (null as no text) with their lengths before them: sums of it tell sets of rows apart, in any order."""
+    parts = [p for c in columns for t in [F.coalesce(c.cast("string"), F.lit(""))] for p in (F.octet_length(t).cast("string"), F.lit(":"), t)]
+    return F.conv(F.left(F.sha2(F.concat(*parts), 256), F.lit(15)), 16, 10).cast("decimal(38,0)")
+
+
 def signature(files: DataFrame, settings: dict) -> DataFrame:
     """SHA-256 over a set of files (name, size, changed) and settings.
 
-    The set enters as count, sum and exclusive or of row hashes: order does not
-    matter, and rows aggregate where they are.
+    The set enters as count and sum of prints: order does not matter, and rows
+    aggregate where they are.
     """
-    h = F.xxhash64("name", "size", "changed")
-    folded = files.agg(F.count("*").alias("n"), F.bit_xor(h).alias("x"), F.sum(h.cast("decimal(38,0)")).alias("s"))
-    return folded.select(F.sha2(F.concat_ws("|", F.lit(json.dumps(settings, sort_keys=True)), F.col("n").cast("string"), F.col("x").cast("string"), F.col("s").cast("string")), 256).alias("signature"))
+    folded = files.agg(F.count("*").alias("n"), F.coalesce(F.sum(content_print(F.col("name"), F.col("size"), F.col("changed"))), F.lit(0)).cast("string").alias("s"))
+    return folded.select(F.sha2(F.concat_ws("|", F.lit(json.dumps(settings, sort_keys=True)), F.col("n").cast("string"), "s"), 256).alias("signature"))

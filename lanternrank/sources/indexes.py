@@ -1,121 +1,264 @@
-"""Sparse and dense indexes: written once with norms and a signature, checked when they are opened, and searched.
-
-A sparse index holds, for each level, its items (also those without terms), its
-postings, each with its item's norm and sorted by term, and the same as a vector
-a passage, a paper's together: a search of many queries multiplies vectors where
-they are, and few terms are looked up among the postings, where row groups of
-other terms are skipped.  A dense index holds ids and vectors.
+"""Sparse and dense indexes: made of segments, changed by commits, checked when they are opened, and searched.
+
+A sparse index has segments, each with the items of its papers (also those
+without terms), blocks of passages with the bounds that let a search skip them,
+the same for papers of pooled terms, and a print of each paper's content.  A
+commit names the live segments and the papers in them that count no more,
+because they were changed or deleted; an update compares prints, writes a
+segment of what is new and the next commit, and nothing else.  What a failed
+update leaves behind no commit names.  Beyond a stated number of segments or
+dead papers an update merges the segments, from their blocks, without encoding.
+
+A dense index has blocks of vectors, and of each paper the sum and the number of
+its vectors, which new vectors add to.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import uuid
+from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lanternrank.functions import text as X
-from lanternrank.functions.vectors import FLOOR, norm
+from lanternrank.functions.vectors import FLOOR, l2_normalize, norm
+from lanternrank.operators import blocks as B
 from lanternrank.operators import ranking as R
 from lanternrank.operators.encoders import SparseEncoder, max_pool, term_weights
-from lanternrank.sources.corpus import index_bytes
+from lanternrank.sources import workspace
+from lanternrank.sources.corpus import content_print, index_bytes
 
 LEVELS, STRATEGIES = ("paragraph", "paper"), ("maxp", "pool")
-MANIFEST = "kind string, level string, items long, postings long, signature string"
+COMMIT = "segment string, level string, items long, postings long, signature string, papers long"
+ITEMS, DEAD, PRINTS = "docid string, paper_id string, is_front boolean", "segment string, paper_id string", "paper_id string, print string"
+#: Beyond these an update merges all segments; the dead papers of a commit are broadcast to its searches.
+MOST_SEGMENTS, MOST_DEAD = 16, 100_000
 
 
-def _manifest(spark: SparkSession, folder: str, signature: str | None) -> dict[str, tuple[int, int]]:
-    """(items, postings) of each level; an index of another signature is refused."""
-    rows = spark.read.schema(MANIFEST).parquet(f"{folder}/manifest").collect()
-    if signature is not None and {r.signature for r in rows} != {signature}:
-        raise ValueError("the index was built from other files or settings")
-    return {r.level: (r.items, r.postings) for r in rows}
+# ---- sparse: writing
 
+def _path(folder: str, what: str, segment: str, level: str | None = None) -> str:
+    return f"{folder}/{what}{f'/level={level}' if level else ''}/segment={segment}"
 
-# ---- sparse
 
-def _normed(postings: DataFrame) -> DataFrame:
-    """docid, term, weight and the item's norm; the rows must be partitioned by docid."""
-    total = F.sum(F.col("weight") * F.col("weight")).over(Window.partitionBy("docid"))
-    return postings.select("docid", "term", "weight", F.sqrt(total).alias("norm"))
+def _vectors(postings: DataFrame) -> DataFrame:
+    """PASSAGE rows of postings (docid, term, weight), which are partitioned by docid; paper and front follow from the id."""
+    entries = F.array_sort(F.collect_list(F.struct("term", "weight")))
+    rows = postings.groupBy("docid").agg(entries.alias("v"))
+    total = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x["weight"] * x["weight"]))
+    return rows.select("docid", total.alias("norm"), F.col("v.term").alias("terms"), F.col("v.weight").alias("weights"))
 
 
-def _vectors(postings: DataFrame, path: str) -> None:
-    """A row a passage with its terms and weights (bounded by its text), a paper's rows together."""
-    entries = F.array_sort(F.collect_list(F.struct("term", "weight")))
-    rows = postings.repartition("paper_id").groupBy("paper_id", "docid", "is_front", "norm").agg(entries.alias("v"))
-    rows.select("paper_id", "docid", "is_front", "norm", F.col("v.term").alias("terms"), F.col("v.weight").alias("weights")).sortWithinPartitions("paper_id", "docid").write.parquet(path)
+def _named(rows: DataFrame) -> DataFrame:
+    return rows.withColumns({"paper_id": X.paper_id_last(F.col("docid")), "is_front": X.is_front(F.col("docid"))})
+
+
+def _opened(blocks: DataFrame) -> DataFrame:
+    """The rows in blocks: PASSAGE, and segment where blocks have it."""
+    more = [c for c in blocks.columns if c == "segment"]
+    rows = blocks.select(*more, "bound_terms", F.inline("passages"))
+    return rows.withColumn("terms", F.transform("terms", lambda i: F.get("bound_terms", i))).drop("bound_terms")
+
+
+def _pool(spark: SparkSession, folder: str, name: str) -> None:
+    """The paper level of a segment from its paragraphs."""
+    items = spark.read.schema(ITEMS).parquet(_path(folder, "items", name, "paragraph"))
+    items.select(F.col("paper_id").alias("docid"), "paper_id", F.lit(False).alias("is_front")).distinct().write.parquet(_path(folder, "items", name, "paper"))
+    rows = _opened(spark.read.schema(B.SPARSE).parquet(_path(folder, "blocks", name, "paragraph")))
+    terms = rows.select(F.col("paper_id").alias("docid"), F.explode(F.arrays_zip("terms", "weights")).alias("x")).select("docid", "x.terms", "x.weights").toDF("docid", "term", "weight")
+    pooled = _vectors(max_pool(terms).repartition("docid")).withColumns({"paper_id": F.col("docid"), "is_front": F.lit(False)})
+    B.pack_sparse(pooled).write.parquet(_path(folder, "blocks", name, "paper"))
+
+
+def _segment(rows: DataFrame, prints: DataFrame, folder: str, encoder: SparseEncoder) -> str:
+    """Writes passages (docid, text) as a segment; texts are exchanged once, by docid, for counts, norms and blocks."""
+    spark, name = rows.sparkSession, f"s{uuid.uuid4().hex}"
+    prints.write.parquet(_path(folder, "prints", name))
+    _named(rows.select("docid")).select("docid", "paper_id", "is_front").write.parquet(_path(folder, "items", name, "paragraph"))
+    B.pack_sparse(_named(_vectors(encoder(rows.select("docid", "text").repartition("docid"), "docid")))).write.parquet(_path(folder, "blocks", name, "paragraph"))
+    _pool(spark, folder, name)
+    return name
+
+
+def _counted(spark: SparkSession, folder: str, name: str, signature: str) -> list[tuple]:
+    """Commit rows of a segment."""
+    papers = spark.read.schema(PRINTS).parquet(_path(folder, "prints", name)).count()
+    out = []
+    for level in LEVELS:
+        items = spark.read.schema(ITEMS).parquet(_path(folder, "items", name, level)).count()
+        postings = spark.read.schema(B.SPARSE).parquet(_path(folder, "blocks", name, level)).select(F.aggregate("passages", F.lit(0), lambda s, p: s + F.size(p["terms"])).alias("n")).agg(F.sum("n")).first()[0] or 0
+        out.append((name, level, items, postings, signature, papers))
+    return out
+
+
+def _versions(spark: SparkSession, folder: str) -> list[int]:
+    """Numbers of whole commits, ascending."""
+    found = [n for n in workspace.children(spark, f"{folder}/commits") if n.isdigit()]
+    return sorted(int(n) for n in found if workspace.exists(spark, f"{folder}/commits/{n}/_SUCCESS"))
+
+
+def _commit(spark: SparkSession, folder: str, version: int, rows: list[tuple], dead: DataFrame | None) -> None:
+    """Makes a version known: its dead papers first, then its segments; a version that another writer has made is an error."""
+    if dead is not None:
+        dead.select("segment", "paper_id").write.mode("overwrite").parquet(f"{folder}/dead/{version}")
+    spark.createDataFrame(rows, COMMIT).coalesce(1).write.mode("errorifexists").parquet(f"{folder}/commits/{version}")
 
 
 def build_sparse(rows: DataFrame, folder: str, signature: str, encoder: SparseEncoder = term_weights) -> SparseIndex:
-    """Indexes passages (docid, text; the paper's id is the docid up to its last underscore, `_0` is its front).
+    """Indexes passages (docid, text; the paper's id is the docid up to its last underscore, `_0` is its front) in a new folder."""
+    return update_sparse(rows, folder, signature, encoder)
+
+
+def prints_of(rows: DataFrame) -> DataFrame:
+    """paper_id and a print of the content of each paper's passages (docid, text), in any order."""
+    return rows.select(X.paper_id_last(F.col("docid")).alias("paper_id"), content_print(F.col("docid"), F.col("text")).alias("h")).groupBy("paper_id").agg(F.concat_ws(":", F.count("*").cast("string"), F.sum("h").cast("string")).alias("print"))
+
+
+def update_sparse(rows: DataFrame, folder: str, signature: str, encoder: SparseEncoder = term_weights, whole: bool = False) -> SparseIndex:
+    """Brings an index up to passages (docid, text): papers that are new or whose content is another are indexed, others left alone.
 
-    Texts are exchanged once by docid, which serves the counts and the norms;
-    postings are exchanged once more to stand in order of terms.
+    whole: the rows are the whole corpus, so papers that they lack are deleted.
+    Run again after a failure it does what is left to do, and with nothing new
+    it makes no commit.  rows are read twice: give a table, not a long plan.
     """
     spark = rows.sparkSession
-    named = {"paper_id": X.paper_id_last(F.col("docid")), "is_front": X.is_front(F.col("docid"))}
-    sorted_ = lambda df: df.repartition("term").sortWithinPartitions("term")
-    rows.select("docid").withColumns(named).write.parquet(f"{folder}/items/level=paragraph")
-    posted = _normed(encoder(rows.select("docid", "text").repartition("docid"), "docid"))
-    sorted_(posted.withColumns(named)).write.parquet(f"{folder}/postings/level=paragraph")
-    paragraphs = spark.read.parquet(f"{folder}/postings/level=paragraph")
-    items = spark.read.parquet(f"{folder}/items/level=paragraph")
-    items.select(F.col("paper_id").alias("docid"), "paper_id").distinct().withColumn("is_front", F.lit(False)).write.parquet(f"{folder}/items/level=paper")
-    _vectors(paragraphs, f"{folder}/vectors/level=paragraph")
-    pooled = max_pool(paragraphs.select(F.col("paper_id").alias("docid"), "term", "weight").repartition("docid"))
-    sorted_(_normed(pooled).withColumns({"paper_id": F.col("docid"), "is_front": F.lit(False)})).write.parquet(f"{folder}/postings/level=paper")
-    _vectors(spark.read.parquet(f"{folder}/postings/level=paper"), f"{folder}/vectors/level=paper")
-    count = lambda what, level: spark.read.parquet(f"{folder}/{what}/level={level}").count()
-    spark.createDataFrame([("sparse", level, count("items", level), count("postings", level), signature) for level in LEVELS], MANIFEST).coalesce(1).write.parquet(f"{folder}/manifest")
+    versions = _versions(spark, folder)
+    if not versions:
+        fresh = prints_of(rows)
+        name = _segment(rows, fresh, folder, encoder)
+        _commit(spark, folder, 1, _counted(spark, folder, name, signature), None)
+        return SparseIndex(spark, folder, signature)
+    index = SparseIndex(spark, folder, signature)
+    told = index.prints().withColumnsRenamed({"paper_id": "old_id", "print": "old"})
+    joined = prints_of(rows).join(told, F.col("paper_id") == F.col("old_id"), "full_outer" if whole else "left")
+    path = workspace.new_path(spark, "changes")
+    joined.where(~F.col("print").eqNullSafe(F.col("old"))).write.parquet(path)
+    changes = spark.read.schema(joined.schema).parquet(path)
+    try:
+        stale = changes.where("old is not null").select("segment", F.col("old_id").alias("paper_id"))
+        fresh = changes.where("print is not null").select("paper_id", "print")
+        if changes.isEmpty():
+            return index
+        segments = [(s, level, *index.held[s, level], signature, index.papers_of[s]) for s in index.segments for level in LEVELS]
+        if not fresh.isEmpty():
+            mine = rows.withColumn("paper_id", X.paper_id_last(F.col("docid"))).join(fresh.select("paper_id"), "paper_id", "left_semi")
+            segments += _counted(spark, folder, _segment(mine, fresh, folder, encoder), signature)
+        _commit(spark, folder, versions[-1] + 1, segments, index.dead().unionByName(stale))
+    finally:
+        workspace.delete(spark, path)
+    index = SparseIndex(spark, folder, signature)
+    return merge_sparse(index) if len(index.segments) > MOST_SEGMENTS or index.dead_papers > MOST_DEAD else index
+
+
+def merge_sparse(index: SparseIndex) -> SparseIndex:
+    """One segment of all live papers, from the blocks that there are, as the next commit."""
+    spark, folder = index.spark, index.folder
+    name = f"s{uuid.uuid4().hex}"
+    index.prints().select("paper_id", "print").write.parquet(_path(folder, "prints", name))
+    index.items("paragraph").write.parquet(_path(folder, "items", name, "paragraph"))
+    B.pack_sparse(index.passages("paragraph").repartition("docid")).write.parquet(_path(folder, "blocks", name, "paragraph"))
+    _pool(spark, folder, name)
+    signature = index.signature or index.told
+    _commit(spark, folder, index.version + 1, _counted(spark, folder, name, signature), None)
     return SparseIndex(spark, folder, signature)
 
 
+# ---- sparse: reading
+
 @dataclass
 class SparseIndex:
+    """A commit of an index, the last one unless a version is named; an index of another signature is refused."""
+
     spark: SparkSession
     folder: str
     signature: str | None = None
+    version: int | None = None
+    met: B.Met | None = field(default=None, repr=False)
 
     def __post_init__(self):
-        self.counts = _manifest(self.spark, self.folder, self.signature)
+        versions = _versions(self.spark, self.folder)
+        if not versions or (self.version is not None and self.version not in versions):
+            raise ValueError(f"no such index or version: {self.folder}")
+        self.version = self.version or versions[-1]
+        rows = self.spark.read.schema(COMMIT).parquet(f"{self.folder}/commits/{self.version}").collect()  # a row a segment and level
+        self.told = rows[0].signature
+        if self.signature is not None and {r.signature for r in rows} != {self.signature}:
+            raise ValueError("the index was built from other files or settings")
+        self.segments = sorted({r.segment for r in rows})
+        self.held = {(r.segment, r.level): (r["items"], r.postings) for r in rows}
+        self.papers_of = {r.segment: r.papers for r in rows}
+        self.counts = {level: tuple(sum(self.held[s, level][i] for s in self.segments) for i in (0, 1)) for level in LEVELS}
+        self._has_dead = workspace.exists(self.spark, f"{self.folder}/dead/{self.version}")
+        self.dead_papers = self.dead().count()
 
     def _level(self, level: str) -> str:
         if level not in LEVELS:
             raise ValueError(f"level is one of {LEVELS}")
         return level
 
+    def _read(self, what: str, schema: str, level: str | None = None) -> DataFrame:
+        """The rows of all live segments, with segment."""
+        paths = [_path(self.folder, what, s, level) for s in self.segments]
+        return self.spark.read.schema(f"{schema}, segment string").option("basePath", paths[0].rpartition("/")[0]).parquet(*paths)
+
+    def dead(self) -> DataFrame:
+        """segment and paper_id of papers that this commit doesn't count any more."""
+        return self.spark.read.schema(DEAD).parquet(f"{self.folder}/dead/{self.version}") if self._has_dead else self.spark.createDataFrame([], DEAD)
+
+    def _live(self, rows: DataFrame) -> DataFrame:
+        return rows.join(R.small(self.dead()), ["segment", "paper_id"], "left_anti") if self.dead_papers else rows
+
+    def prints(self) -> DataFrame:
+        """segment, paper_id and print of every live paper."""
+        return self._live(self._read("prints", PRINTS))
+
     def items(self, level: str) -> DataFrame:
-        """docid (at paper level the paper's id), paper_id and is_front of every item, with or without terms."""
-        return self.spark.read.parquet(f"{self.folder}/items/level={self._level(level)}")
+        """docid (at paper level the paper's id), paper_id and is_front of every live item, with or without terms."""
+        return self._live(self._read("items", ITEMS, self._level(level))).select("docid", "paper_id", "is_front")
+
+    def blocks(self, level: str) -> DataFrame:
+        """segment and the columns of blocks.SPARSE, dead papers included."""
+        return self._read("blocks", B.SPARSE, self._level(level))
+
+    def passages(self, level: str) -> DataFrame:
+        """paper_id, docid, is_front, norm, terms and weights of every live item with terms."""
+        return self._live(_opened(self.blocks(level))).drop("segment")
 
     def postings(self, level: str) -> DataFrame:
         """docid, term, weight, norm, paper_id and is_front."""
-        return self.spark.read.parquet(f"{self.folder}/postings/level={self._level(level)}")
-
-    def vectors(self, level: str) -> DataFrame:
-        """paper_id, docid, is_front, norm, terms and weights: a row a passage, a paper's together."""
-        return self.spark.read.parquet(f"{self.folder}/vectors/level={self._level(level)}")
+        flat = self.passages(level).select("docid", F.explode(F.arrays_zip("terms", "weights")).alias("x"), "norm", "paper_id", "is_front")
+        return flat.select("docid", F.col("x.terms").alias("term"), F.col("x.weights").alias("weight"), "norm", "paper_id", "is_front")
 
     def check(self, level: str, papers: int | None = None) -> None:
-        """Raises if a level has other numbers of rows than were written, or not as many papers as it should."""
-        found = (self.items(level).count(), self.postings(level).count())
-        if found != self.counts[level]:
-            raise ValueError(f"the index holds {found} items and postings, its manifest says {self.counts[level]}")
-        if papers is not None and self.counts["paper"][0] != papers:
-            raise ValueError(f"incomplete index: {self.counts['paper'][0]} of {papers} papers")
+        """Raises if a segment has other numbers of rows than were written, or the index not as many live papers as it should."""
+        rows = lambda df, c: {r.segment: r.n for r in df.groupBy("segment").agg(c.alias("n")).collect()}  # noqa: E731  a row a segment
+        items = rows(self._read("items", ITEMS, self._level(level)), F.count("*"))
+        postings = rows(self.blocks(level).select("segment", F.aggregate("passages", F.lit(0), lambda s, p: s + F.size(p["terms"])).alias("p")), F.sum("p"))
+        for s in self.segments:
+            if (found := (items.get(s, 0), postings.get(s, 0))) != self.held[s, level]:
+                raise ValueError(f"the index holds {found} items and postings in {s}, its manifest says {self.held[s, level]}")
+        if papers is not None and (live := self.papers()) != papers:
+            raise ValueError(f"incomplete index: {live} of {papers} papers")
+
+    def papers(self) -> int:
+        """Live papers, by the commit."""
+        return sum(self.papers_of.values()) - self.dead_papers
 
     def size(self, level: str) -> DataFrame:
         """files and bytes of a level."""
-        parts = [index_bytes(self.spark, f"{self.folder}/{what}/level={self._level(level)}") for what in ("items", "postings", "vectors")]
-        return parts[0].unionByName(parts[1]).unionByName(parts[2]).agg(F.sum("files").alias("files"), F.sum("bytes").alias("bytes"))
+        parts = [index_bytes(self.spark, _path(self.folder, what, s, self._level(level))) for s in self.segments for what in ("items", "blocks")]
+        every = parts[0]
+        for p in parts[1:]:
+            every = every.unionByName(p)
+        return every.agg(F.sum("files").alias("files"), F.sum("bytes").alias("bytes"))
 
     def scores(self, queries: DataFrame, level: str, body: bool = False) -> DataFrame:
         """qid, docid, paper_id, is_front and the cosine of each query (qid, term, weight) and item with a common term; body: without fronts."""
         postings = self.postings(level)
         postings = postings.where(~F.col("is_front")) if body else postings
-        unit = F.col("weight") / F.greatest(F.sqrt(F.sum(F.col("weight") * F.col("weight")).over(Window.partitionBy("qid"))), F.lit(FLOOR))
-        q = R.small(queries.select("qid", "term", unit.alias("qw")))
+        q = R.small(queries.select("qid", "term", _unit().alias("qw")))
         part = F.sum(F.col("weight") / F.greatest("norm", F.lit(FLOOR)) * F.col("qw"))
         return postings.join(q, "term").groupBy("qid", "docid").agg(part.alias("score"), F.first("paper_id").alias("paper_id"), F.first("is_front").alias("is_front"))
 
@@ -127,25 +270,57 @@ class SparseIndex:
         """
         if strategy not in STRATEGIES:
             raise ValueError(f"strategy is one of {STRATEGIES}")
-        if self._level(level) == "paragraph":
-            item, items, rows = "docid", self.items(level).where(~F.col("is_front")), self.vectors(level).where(~F.col("is_front"))
-        else:
-            item, items, rows = "paper_id", self.items(level), self.vectors("paragraph" if strategy == "maxp" else "paper")
-        unit = F.col("weight") / F.greatest(F.sqrt(F.sum(F.col("weight") * F.col("weight")).over(Window.partitionBy("qid"))), F.lit(FLOOR))
-        best = R.sparse_best(queries.select("qid", "term", unit.alias("weight")), rows, item, k)
-        found = best.groupBy("qid", item).agg(F.max("score").alias("score"))  # a paper's passages may stand in two batches
+        body = self._level(level) == "paragraph"
+        item = "docid" if body else "paper_id"
+        rows = self.blocks("paragraph" if body or strategy == "maxp" else "paper")
+        items = self.items(level).where(~F.col("is_front")) if body else self.items(level)
+        best = B.sparse_search(rows, queries.select("qid", "term", _unit().alias("weight")), item, k, self._gone(), body, self.met)
+        found = best.groupBy("qid", item).agg(F.max("score").alias("score"))  # a paper's passages may stand in several blocks
         return R.padded(R.rank(found, item, k=k), topics, items, k, item)
 
+    def _gone(self):
+        """A broadcast of the dead papers by segment (MOST_DEAD and those of one update at most), or nothing."""
+        if not self.dead_papers:
+            return None
+        held: dict[str, list[str]] = {}
+        for r in self.dead().toLocalIterator():
+            held.setdefault(r.segment, []).append(r.paper_id)
+        return self.spark.sparkContext.broadcast({s: pa.array(v, pa.string()) for s, v in held.items()})
+
+
+def _unit() -> Column:
+    """A query term's weight over the query's norm."""
+    return F.col("weight") / F.greatest(F.sqrt(F.sum(F.col("weight") * F.col("weight")).over(Window.partitionBy("qid"))), F.lit(FLOOR))
+
 
 # ---- dense
 
+MANIFEST = "part string, level string, items long, signature string"
+STATE = "paper_id string, n long, total array<double>"
+
+
 def build_dense(vectors: DataFrame, folder: str, signature: str) -> DenseIndex:
-    """Writes docid, paper_id and vector of rows whose vectors are normalised by their encoder; null and zero vectors are left out."""
-    kept = vectors.where(F.col("vector").isNotNull()).where(norm(F.col("vector")) > 0)
-    kept.select("docid", "paper_id", "vector").write.parquet(f"{folder}/vectors")
-    spark = vectors.sparkSession
-    n = spark.read.parquet(f"{folder}/vectors").count()
-    spark.createDataFrame([("dense", "paragraph", n, n, signature)], MANIFEST).coalesce(1).write.parquet(f"{folder}/manifest")
+    """Indexes docid, paper_id and vector of rows whose vectors are normalised by their encoder; null and zero vectors are left out."""
+    return add_dense(vectors, folder, signature)
+
+
+def states(vectors: DataFrame) -> DataFrame:
+    """paper_id, and the number and sum of its vectors: positions are summed apart, so rows aggregate before they move."""
+    flat = vectors.select("paper_id", F.posexplode("vector").alias("pos", "x")).groupBy("paper_id", "pos").agg(F.sum(F.col("x").cast("double")).alias("x"), F.count("*").alias("n"))
+    return flat.groupBy("paper_id").agg(F.max("n").alias("n"), F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda s: s["x"]).alias("total"))
+
+
+def add_dense(vectors: DataFrame, folder: str, signature: str) -> DenseIndex:
+    """Adds new vectors: their blocks and their papers' sums become a part of the index; means follow from the sums of all parts."""
+    spark, part = vectors.sparkSession, f"p{uuid.uuid4().hex}"
+    if workspace.exists(spark, f"{folder}/manifest"):
+        DenseIndex(spark, folder, signature)  # refuses another signature
+    kept = vectors.where(F.col("vector").isNotNull()).where(norm(F.col("vector")) > 0).select("docid", "paper_id", "vector")
+    B.pack_dense(kept).write.parquet(f"{folder}/blocks/part={part}")
+    states(kept).write.parquet(f"{folder}/papers/part={part}")
+    n = spark.read.schema(B.DENSE).parquet(f"{folder}/blocks/part={part}").agg(F.sum(F.size("passages"))).first()[0] or 0
+    papers = spark.read.schema(STATE).parquet(f"{folder}/papers/part={part}").count()
+    spark.createDataFrame([(part, "paragraph", n, signature), (part, "paper", papers, signature)], MANIFEST).coalesce(1).write.mode("append").parquet(f"{folder}/manifest")
     return DenseIndex(spark, folder, signature)
 
 
@@ -154,17 +329,40 @@ class DenseIndex:
     spark: SparkSession
     folder: str
     signature: str | None = None
+    met: B.Met | None = field(default=None, repr=False)
 
     def __post_init__(self):
-        self.counts = _manifest(self.spark, self.folder, self.signature)
+        rows = self.spark.read.schema(MANIFEST).parquet(f"{self.folder}/manifest").collect()  # two rows a part
+        if self.signature is not None and {r.signature for r in rows} != {self.signature}:
+            raise ValueError("the index was built from other files or settings")
+        self.parts = sorted({r.part for r in rows})
+        self.counts = {level: sum(r["items"] for r in rows if r.level == level) for level in LEVELS}
+
+    def _read(self, what: str, schema: str) -> DataFrame:
+        return self.spark.read.schema(schema).parquet(*[f"{self.folder}/{what}/part={p}" for p in self.parts])
+
+    def blocks(self) -> DataFrame:
+        return self._read("blocks", B.DENSE)
 
     def vectors(self) -> DataFrame:
         """docid, paper_id, vector."""
-        return self.spark.read.parquet(f"{self.folder}/vectors")
-
-    def check(self) -> None:
-        if (found := self.vectors().count()) != self.counts["paragraph"][0]:
-            raise ValueError(f"the index holds {found} vectors, its manifest says {self.counts['paragraph'][0]}")
+        return self.blocks().select(F.inline("passages"))
+
+    def papers(self) -> DataFrame:
+        """paper_id and the normalised mean of its vectors; a zero mean is dropped."""
+        rows = self._read("papers", STATE)
+        if len(self.parts) > 1:  # a paper has a row a part at most
+            plus = lambda a, b: F.when(F.size(a) == 0, b).otherwise(F.zip_with(a, b, lambda x, y: x + y))
+            rows = rows.groupBy("paper_id").agg(F.sum("n").alias("n"), F.collect_list("total").alias("totals"))
+            rows = rows.select("paper_id", "n", F.aggregate("totals", F.array().cast("array<double>"), plus).alias("total"))
+        mean = rows.select("paper_id", F.transform("total", lambda x: x / F.col("n")).alias("vector"))
+        return mean.where(norm(F.col("vector")) > 0).withColumn("vector", l2_normalize(F.col("vector")))
+
+    def check(self, papers: int | None = None) -> None:
+        if (found := self.vectors().count()) != self.counts["paragraph"]:
+            raise ValueError(f"the index holds {found} vectors, its manifest says {self.counts['paragraph']}")
+        if papers is not None and (found := self._read("papers", STATE).select("paper_id").distinct().count()) != papers:
+            raise ValueError(f"incomplete index: {found} of {papers} papers")
 
     def search(self, queries: DataFrame, level: str, method: str = "cosine", k: int = 100, scorer=None, texts: DataFrame | None = None, topics: DataFrame | None = None) -> DataFrame:
         """qid, docid (at paper level paper_id), score and rank 1..k of queries (qid, vector).
@@ -173,8 +371,6 @@ class DenseIndex:
         the mean of their vectors; crossencoder: the k best by cosine, ranked
         anew by `scorer` on topics (qid, query) and texts (docid, text).
         """
-        from lanternrank.operators.pooling import mean_pool
-
         if level not in LEVELS:
             raise ValueError(f"level is one of {LEVELS}")
         methods = ("cosine", "crossencoder") if level == "paragraph" else ("cosine", "mean", "crossencoder")
@@ -183,9 +379,8 @@ class DenseIndex:
         if method == "crossencoder" and (scorer is None or texts is None or topics is None):
             raise ValueError("reranking needs a scorer, texts and topics")
         if method == "mean":
-            return R.rank(R.dense_scores(queries, mean_pool(self.vectors()), "paper_id", k=k), "paper_id", k=k)
-        if level == "paragraph":
-            found, item = R.rank(R.dense_scores(queries, self.vectors(), k=k), k=k), "docid"
-        else:
-            found, item = R.rank(R.best_passage(R.dense_scores(queries, self.vectors(), group="paper_id")), "paper_id", k=k), "paper_id"
+            return R.rank(R.dense_scores(queries, self.papers(), "paper_id", k=k), "paper_id", k=k)
+        item = "docid" if level == "paragraph" else "paper_id"
+        best = B.dense_search(self.blocks(), queries, item, k, self.met)
+        found = R.rank(best.drop("paper_id") if item == "docid" else R.best_passage(best), item, k=k)
         return R.rerank(found, topics, texts, scorer, item, k=k) if method == "crossencoder" else found

@@ -1,73 +1,73 @@
-"""Incremental, resumable indexing with Structured Streaming.
-
-Paper files are consumed in intervals; each micro-batch writes one shard of
-passages and postings and then the manifest.  The signature of settings is kept
-in the manifest, and a resume with other settings is refused.
+"""Incremental, resumable indexing: paper files go into the index that `SparseIndex` searches.
+
+`build` consumes new files in intervals (Structured Streaming); each micro-batch
+is one update of the index.  A batch that is run again after a failure finds its
+papers' prints there and leaves no doubled rows.  Streams don't see files that
+were changed or deleted, so `refresh` compares the content of all papers with
+the index.  Settings are part of the signature, and a resume with others is
+refused.
 """
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lanternrank.operators.encoders import SparseEncoder, max_pool, term_weights
-from lanternrank.sources.corpus import PAPER, passages
+from lanternrank.operators.encoders import SparseEncoder, term_weights
+from lanternrank.sources import workspace
+from lanternrank.sources.corpus import PAPER, papers, passages
+from lanternrank.sources.indexes import SparseIndex, _versions, update_sparse
 
-LEVELS = ("paragraphs", "papers")
-MANIFEST = "shard long, count long, last_paper string, signature string, interval int, paragraphs long, papers long"
+SEGMENTS = "segment string, items long, postings long, papers long"
 
 
-def manifest(spark: SparkSession, folder: str) -> DataFrame:
-    """A row a shard; empty if nothing was indexed."""
-    try:
-        return spark.read.schema(MANIFEST).parquet(f"{folder}/manifest")
-    except Exception as e:  # noqa: BLE001
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        return spark.createDataFrame([], MANIFEST)
+def _signed(signature: str, interval: int) -> str:
+    if interval < 1:
+        raise ValueError("an interval has a file at least")
+    return json.dumps({"signature": signature, "interval": interval}, sort_keys=True)
 
 
-def build(spark: SparkSession, source: str, folder: str, signature: str, interval: int = 100, encoder: SparseEncoder = term_weights) -> DataFrame:
-    """Indexes what is new under `source`; returns the manifest.
+def _texts(rows: DataFrame) -> DataFrame:
+    return passages(rows, front=True).select("docid", F.coalesce("text", F.lit("")).alias("text"))
 
-    A shard is overwritten as a whole, so a batch that is run again after a
-    failure leaves no doubled rows; its manifest row comes last.
-    """
-    if interval < 1:
-        raise ValueError("an interval has a file at least")
-    for r in manifest(spark, folder).select("signature", "interval").distinct().collect():
-        if (r.signature, r.interval) != (signature, interval):
-            raise ValueError("the index was built with other settings; start a new folder")
 
-    def index(batch: DataFrame, shard: int) -> None:
-        batch = batch.where("paper_id is not null and paragraphs is not null").persist()
+def open_index(spark: SparkSession, folder: str, signature: str, interval: int = 100) -> SparseIndex:
+    """The index as the last whole update left it; one of other settings is an error."""
+    return SparseIndex(spark, folder, _signed(signature, interval))
+
+
+def build(spark: SparkSession, source: str, folder: str, signature: str, interval: int = 100, encoder: SparseEncoder = term_weights) -> SparseIndex | None:
+    """Indexes the files that are new under `source`; nothing if there were none yet."""
+    signed = _signed(signature, interval)
+    if _versions(spark, folder):
+        SparseIndex(spark, folder, signed)  # refuses other settings before any file is consumed
+
+    def index(batch: DataFrame, _: int) -> None:
+        # cut from the stream's files, as an update reads its rows twice
+        path = workspace.new_path(spark, "batch")
+        _texts(batch.where("paper_id is not null and paragraphs is not null")).write.parquet(path)
         try:
-            postings = encoder(passages(batch, front=True), "docid").withColumn("paper_id", F.regexp_replace("docid", "_[^_]*$", ""))
-            postings.write.mode("overwrite").parquet(f"{folder}/paragraphs/shard={shard}")
-            max_pool(postings.select(F.col("paper_id").alias("docid"), "term", "weight")).write.mode("overwrite").parquet(f"{folder}/papers/shard={shard}")
-            rows = {level: spark.read.parquet(f"{folder}/{level}/shard={shard}").count() for level in LEVELS}
-            state = batch.agg(F.lit(shard).cast("long").alias("shard"), F.count("*").alias("count"), F.max("paper_id").alias("last_paper"), F.lit(signature).alias("signature"), F.lit(interval).alias("interval"), *[F.lit(n).cast("long").alias(level) for level, n in rows.items()])
-            state.coalesce(1).write.mode("overwrite").parquet(f"{folder}/manifest/batch={shard}")
+            update_sparse(spark.read.schema("docid string, text string").parquet(path), folder, signed, encoder)
         finally:
-            batch.unpersist()
+            workspace.delete(spark, path)
 
     rows = spark.readStream.schema(PAPER).option("multiLine", True).option("maxFilesPerTrigger", interval).option("pathGlobFilter", "*.json").json(source)
     rows.writeStream.foreachBatch(index).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    return manifest(spark, folder)
+    return SparseIndex(spark, folder, signed) if _versions(spark, folder) else None
+
+
+def refresh(spark: SparkSession, source: str, folder: str, signature: str, interval: int = 100, encoder: SparseEncoder = term_weights) -> SparseIndex:
+    """Brings the index up to the files as they are: new and changed papers are indexed, papers without a file deleted."""
+    return update_sparse(_texts(papers(spark, source)), folder, _signed(signature, interval), encoder, whole=True)
 
 
-def load(spark: SparkSession, folder: str, level: str) -> DataFrame:
-    """Postings of a level (paragraphs or papers) of all shards; other numbers than the manifest's are an error, shard by shard."""
-    if level not in LEVELS:
-        raise ValueError("level is paragraphs or papers")
-    rows = spark.read.parquet(f"{folder}/{level}")
-    found = rows.groupBy(F.col("shard").cast("long").alias("shard")).agg(F.count("*").alias("found"))
-    told = manifest(spark, folder).select("shard", F.col(level).alias("told"))
-    wrong = found.join(told, "shard", "full_outer").where("coalesce(found, 0) <> coalesce(told, -1)").orderBy("shard").first()
-    if wrong:
-        raise ValueError(f"shard {wrong.shard} holds {wrong.found or 0} postings, its manifest says {wrong.told}")
-    return rows
+def manifest(index: SparseIndex) -> DataFrame:
+    """A row a live segment: items and postings at paragraph level, and papers, dead ones included."""
+    rows = [(s, *index.held[s, "paragraph"], index.papers_of[s]) for s in index.segments]
+    return index.spark.createDataFrame(rows, SEGMENTS)
 
 
-def complete(spark: SparkSession, folder: str, files: int) -> bool:
-    return (manifest(spark, folder).agg(F.sum("count")).first()[0] or 0) == files
+def complete(index: SparseIndex, files: int) -> bool:
+    return index.papers() == files

@@ -166,23 +166,156 @@ def test_reports(spark):
         V.Settings(k=0)
 
 
+def _paper(folder, i, text, **more):
+    (folder / f"p{i}.json").write_text(json.dumps({"paper_id": f"p{i}", "title": "t", "abstract": "a", "paragraphs": {f"p{i}_1": text, f"p{i}_2": "second common"}} | more))
+
+
+def _same_search(spark, index, source, tmp_path):
+    """The index finds what one that was built from nothing finds, and holds what it holds."""
+    new = indexes.build_sparse(indexing._texts(C.papers(spark, str(source))), str(tmp_path / uuid.uuid4().hex), "new")
+    topics = spark.createDataFrame([("1", "common w2"), ("2", "changed t"), ("3", "w1 w3 second"), ("4", "none")], "qid string, query string")
+    terms = E.term_weights(topics.withColumnRenamed("query", "text"), "qid")
+    for level, strategy in (("paragraph", "maxp"), ("paper", "maxp"), ("paper", "pool")):
+        got, want = (sorted(map(tuple, x.search(topics, terms, level, strategy, 5).collect())) for x in (index, new))
+        assert got == want and got
+    for level in indexes.LEVELS:
+        index.check(level, papers=new.papers())
+        for what in ("items", "postings"):
+            got, want = (sorted(map(repr, getattr(x, what)(level).collect())) for x in (index, new))
+            assert got == want
+
+
 def test_index_resumes(spark, tmp_path):
     source, folder = tmp_path / "papers", str(tmp_path / "index")
     source.mkdir()
-    put = lambda i: (source / f"p{i}.json").write_text(json.dumps({"paper_id": f"p{i}", "title": "t", "abstract": "a", "paragraphs": {f"p{i}_1": f"w{i} common"}}))
+    assert indexing.build(spark, str(source), folder, "s", 2) is None
     for i in range(3):
-        put(i)
-    assert indexing.build(spark, str(source), folder, "s", 2).agg(F.sum("count")).first()[0] == 3
-    put(3)
-    m = indexing.build(spark, str(source), folder, "s", 2)
-    assert m.agg(F.sum("count")).first()[0] == 4 and indexing.complete(spark, folder, 4)
-    assert indexing.load(spark, folder, "papers").where("term = 'common'").count() == 4
-    spark.createDataFrame([("p9", "more", 1.0)], "docid string, term string, weight double").write.mode("append").parquet(f"{folder}/papers/shard=0")
-    with pytest.raises(ValueError, match="shard 0 holds"):
-        indexing.load(spark, folder, "papers")
-    assert indexing.load(spark, folder, "paragraphs").count() > 0
+        _paper(source, i, f"w{i} common")
+    index = indexing.build(spark, str(source), folder, "s", 2)
+    assert index.papers() == 3 and indexing.manifest(index).agg(F.sum("papers")).first()[0] == 3
+    _paper(source, 3, "w3 common")
+    index = indexing.build(spark, str(source), folder, "s", 2)
+    assert indexing.complete(index, 4) and len(index.segments) == 3
     with pytest.raises(ValueError):
         indexing.build(spark, str(source), folder, "other", 2)
+    with pytest.raises(ValueError):
+        indexing.build(spark, str(source), folder, "s", 3)
+
+
+def test_index_follows_changes(spark, tmp_path, monkeypatch):
+    """Papers are added, changed, deleted and put back; each time search equals that of a new index."""
+    source, folder = tmp_path / "papers", str(tmp_path / "index")
+    source.mkdir()
+    for i in range(6):
+        _paper(source, i, f"w{i} common")
+    index = indexing.refresh(spark, str(source), folder, "s")
+    first = index.version
+    assert indexing.refresh(spark, str(source), folder, "s").version == first  # nothing new, no commit
+    _paper(source, 2, "changed w2 w2")
+    _paper(source, 6, "added common common")
+    (source / "p4.json").unlink()
+    index = indexing.refresh(spark, str(source), folder, "s")
+    assert (index.version, index.papers(), index.dead_papers, len(index.segments)) == (first + 1, 6, 2, 2)
+    old = indexes.SparseIndex(spark, folder, version=first)
+    assert old.papers() == 6 and old.items("paper").where("docid = 'p4'").count() == 1  # earlier commits stay readable
+    _paper(source, 2, "w2 common")
+    _paper(source, 4, "w4 common", title="other")
+    (source / "p0.json").unlink()
+    index = indexing.refresh(spark, str(source), folder, "s")
+    assert index.dead_papers == 4 and index.papers() == 6
+    (source / "p1.json").unlink()  # only deletions: no new segment
+    index = indexing.refresh(spark, str(source), folder, "s")
+    assert len(index.segments) == 3 and index.papers() == 5
+    _same_search(spark, index, source, tmp_path)
+    merged = indexes.merge_sparse(index)
+    assert (len(merged.segments), merged.dead_papers, merged.papers(), merged.version) == (1, 0, 5, index.version + 1)
+    _same_search(spark, merged, source, tmp_path)
+    monkeypatch.setattr(indexes, "MOST_DEAD", 0)
+    _paper(source, 3, "changed again")
+    index = indexing.refresh(spark, str(source), folder, "s")
+    assert len(index.segments) == 1 and index.dead_papers == 0 and index.postings("paper").where("term = 'again'").count() == 1
+
+
+def test_lost_update_leaves_no_trace(spark, tmp_path, monkeypatch):
+    source, folder = tmp_path / "papers", str(tmp_path / "index")
+    source.mkdir()
+    for i in range(3):
+        _paper(source, i, f"w{i} common")
+    indexing.build(spark, str(source), folder, "s", 2)
+    _paper(source, 7, "w7 common")
+    _paper(source, 1, "changed")
+
+    def lost(*args):
+        raise RuntimeError("lost")
+
+    commit = indexes._commit
+    monkeypatch.setattr(indexes, "_commit", lost)
+    with pytest.raises(Exception, match="lost"):
+        indexing.refresh(spark, str(source), folder, "s", 2)
+    monkeypatch.setattr(indexes, "_commit", commit)
+    assert indexing.open_index(spark, folder, "s", 2).papers() == 3
+    index = indexing.refresh(spark, str(source), folder, "s", 2)
+    assert index.papers() == 4 and indexing.build(spark, str(source), folder, "s", 2).version == index.version
+
+
+def test_bounds_skip_and_lose_nothing(spark, tmp_path):
+    """Search over blocks finds what scoring everything finds, ties included, and scores a part of the passages."""
+    import random
+
+    r = random.Random(3)
+    words = [f"w{int(r.paretovariate(0.6)) % 3000}" for _ in range(60_000)]
+    rows = [(f"p{i // 4}_{i % 4}", " ".join(r.choice(words) for _ in range(r.randint(0, 12)))) for i in range(9000)] + [(f"q{i}_1", "w1 w2 w5") for i in range(90)]
+    index = indexes.build_sparse(spark.createDataFrame(rows, "docid string, text string").repartition(4), f"{tmp_path}/i", "s")
+    topics = spark.createDataFrame([(str(i), " ".join(r.choice(words) for _ in range(r.randint(1, 9)))) for i in range(40)] + [("tie", "w1 w2 w5"), ("rare", "nothing"), ("empty", "")], "qid string, query string")
+    terms = E.term_weights(topics.withColumnRenamed("query", "text"), "qid")
+    index.met = indexes.B.Met(spark)
+    for k in (1, 20):
+        got = index.search(topics, terms, "paragraph", k=k)
+        want = R.padded(R.rank(index.scores(terms, "paragraph", body=True), k=k), topics, index.items("paragraph").where("not is_front"), k)
+        shown = lambda df, item: sorted((x.qid, x[item], round(x.score, 6), x["rank"]) for x in df.collect())
+        assert shown(got, "docid") == shown(want, "docid")
+        for strategy, scores in (("maxp", R.maxp(index.scores(terms, "paragraph"))), ("pool", index.scores(terms, "paper").drop("paper_id").withColumnRenamed("docid", "paper_id"))):
+            want = R.padded(R.rank(scores, "paper_id", k=k), topics, index.items("paper"), k, "paper_id")
+            assert shown(index.search(topics, terms, "paper", strategy, k), "paper_id") == shown(want, "paper_id")
+    assert 0 < index.met.share < 0.7
+
+
+def test_dense_blocks_skip_and_lose_nothing(spark, tmp_path):
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(30, 16))
+    v = centres[rng.integers(30, size=12000)] + 0.1 * rng.normal(size=(12000, 16))
+    v = (v / np.linalg.norm(v, axis=1)[:, None]).round(2)
+    rows = [(f"p{i // 5}_{i % 5}", f"p{i // 5}", x.tolist()) for i, x in enumerate(v)] + [(f"s{i}_1", f"s{i}", v[0].tolist()) for i in range(70)]
+    corpus = spark.createDataFrame(rows, "docid string, paper_id string, vector array<double>")
+    queries = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(np.concatenate([v[:25], rng.normal(size=(3, 16))]))], "qid long, vector array<double>")
+    index = indexes.build_dense(corpus.repartition(4), f"{tmp_path}/d", "s")
+    index.met = indexes.B.Met(spark)
+    shown = lambda df, *c: sorted(tuple(round(x, 6) if isinstance(x, float) else x for x in r) for r in df.select("qid", *c, "score", "rank").collect())
+    for k in (1, 50):
+        assert shown(index.search(queries, "paragraph", k=k), "docid") == shown(R.rank(R.dense_scores(queries, corpus), k=k), "docid")
+        want = R.rank(R.best_passage(R.dense_scores(queries, corpus, group="paper_id")), "paper_id", k=k)
+        assert shown(index.search(queries, "paper", k=k), "paper_id", "docid") == shown(want, "paper_id", "docid")
+    assert 0 < index.met.share < 0.6
+    assert index.search(queries.limit(0), "paper").count() == 0
+
+
+def test_paper_means_are_added_to(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    v = rng.normal(size=(120, 6))
+    rows = [(f"p{i % 40}_{i}", f"p{i % 40}", x.tolist()) for i, x in enumerate(v)] + [("z_1", "z", v[0].tolist()), ("z_2", "z", (-v[0]).tolist())]
+    every = spark.createDataFrame(rows, "docid string, paper_id string, vector array<double>")
+    folder = f"{tmp_path}/d"
+    for part in (every.where("docid like 'z%' or docid < 'p2'"), every.where("not (docid like 'z%' or docid < 'p2') and docid < 'p3'"), every.where("docid like 'p%' and docid >= 'p3'")):
+        index = indexes.add_dense(part, folder, "s")
+    assert len(index.parts) == 3 and index.counts["paragraph"] == 122
+    index.check(papers=41)
+    got, want = ({r.paper_id: [round(x, 9) for x in r.vector] for r in df.collect()} for df in (index.papers(), P.mean_pool(every)))
+    assert got == want and "z" not in got
+    q = spark.createDataFrame([(1, v[3].tolist())], "qid long, vector array<double>")
+    shown = lambda df: [(r.paper_id, round(r.score, 9), r["rank"]) for r in df.orderBy("rank").collect()]
+    assert shown(index.search(q, "paper", "mean", 7)) == shown(R.rank(R.dense_scores(q, P.mean_pool(every), "paper_id"), "paper_id", k=7))
+    with pytest.raises(ValueError):
+        indexes.add_dense(every, folder, "other")
 
 
 def test_sparse_index(spark, tmp_path):
@@ -204,7 +337,7 @@ def test_sparse_index(spark, tmp_path):
     for wrong in (lambda: index.search(topics, terms, "chapter"), lambda: index.search(topics, terms, "paper", "sum"), lambda: indexes.SparseIndex(spark, f"{tmp_path}/i", "other"), lambda: index.check("paper", papers=4)):
         with pytest.raises(ValueError):
             wrong()
-    rows.limit(1).withColumns({"paper_id": F.lit("x"), "is_front": F.lit(True)}).select("docid", "paper_id", "is_front").write.mode("append").parquet(f"{tmp_path}/i/items/level=paragraph")
+    rows.limit(1).withColumns({"paper_id": F.lit("x"), "is_front": F.lit(True)}).select("docid", "paper_id", "is_front").write.mode("append").parquet(f"{tmp_path}/i/items/level=paragraph/segment={index.segments[0]}")
     with pytest.raises(ValueError, match="manifest"):
         index.check("paragraph")
     assert index.size("paper").first().bytes > 0
@@ -277,6 +410,19 @@ def test_evaluation(spark, judged, tmp_path):
         V.Settings(levels=("chapter",))
 
 
+def test_limited_evaluation(spark, tmp_path):
+    """The first topics of the file are searched, and judgments of the others don't count as zeros."""
+    (tmp_path / "t.json").write_text(json.dumps([{"qid": q, "query": "x"} for q in ("30", "4", "100", "2")]))
+    topics = C.topics(spark, f"{tmp_path}/t.json", ordinal=True)
+    qrels = spark.createDataFrame([(q, f"d{q}", 2) for q in ("30", "4", "100", "2")], "qid string, docid string, rel int")
+    search = lambda t, level, k: t.select("qid", F.concat(F.lit("d"), "qid").alias("docid"), F.lit(1.0).alias("score"), F.lit(1).alias("rank"))
+    out = V.run_evaluation(spark, [V.System("s", search, ("paragraph",))], [V.QuerySet("study", topics, {"paragraph": qrels})], V.Settings(levels=("paragraph",), limit=2), str(tmp_path / "e"))
+    assert {r.qid for r in out.runs.collect()} == {"30", "4"} == {r.qid for r in out.latency.collect()}
+    assert {r.value for r in out.reports["study", "paragraph"].means.where("metric = 'mrr'").collect()} == {1.0}
+    with pytest.raises(ValueError):
+        V.Settings(limit=0)
+
+
 def test_significance_of_twelve_queries(spark):
     """Wins, ties and losses are the first run's, p has three digits, and without significance no run is better."""
     rows = [(run, str(i), "ndcg", 1, v) for i, d in enumerate([0.2] * 6 + [0.0] * 5 + [-0.01]) for run, v in (("bm25", 0.5 + d), ("tfidf", 0.5))]
