@@ -5,13 +5,16 @@ verdicts also label URLs.  For each host a tree of path segments is built from
 the root down.  Segments with a variable form become wildcards.  Branches of a
 node are alike if most of their pages go on in the same form (the same number
 of segments, with wildcards and words at the same places): these are merged
-into a wildcard, unless a branch's share of blocked labels differs
-significantly from that of the others alike.  So a branch without labels,
-which nothing tells from its labelled siblings of its form, goes with them, and
-one of another form stays alone.  Deeper nodes are built on merged prefixes.
-What remains are templates; a template is blocked if the smoothed share of
-blocked labels, (blocked + 1) / (labelled + 2), reaches `purity`.  Templates
-without labels so stay allowed, and no number of branches is a switch.
+into a wildcard ``*``, unless a branch's share of blocked labels differs
+significantly from that of the others alike.  Branches without labels go into a
+wildcard of their own, ``?``: nothing is known of them, and a section's labels
+say nothing of its neighbours.  Only where enough labelled siblings of their
+form agree with each other, and none stands apart, do they go with these: three
+if the form has several segments, eight if it is a bare word or number (smoothed
+shares of agreeing branches of 4/5 and 9/10).  Deeper nodes are built on merged
+prefixes.  What remains are templates; a template is blocked if the smoothed
+share of blocked labels, (blocked + 1) / (labelled + 2), reaches `purity`.
+Templates without labels so stay allowed, and no number of pages is a switch.
 
 The tree is a table of nodes; every step is an aggregation or a join by node (a
 hash of its names), so a host that holds a third of all pages is spread over
@@ -31,6 +34,8 @@ from . import common
 
 #: (verdict, host, path): the rules of the query.
 RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
+#: Agreeing labelled branches that unlabelled siblings go with, by whether their form has several segments.
+AGREE, AGREE_BARE = 3, 8
 VARIABLE = r"[0-9]+|(?=[A-Za-z0-9_-]{8})[0-9a-fA-F-]*[0-9][0-9a-fA-F-]*"
 
 
@@ -90,12 +95,16 @@ def merges(shapes: DataFrame, z: float = 2.0) -> DataFrame:
             break
         by_form = at.groupBy(*key, "segment", "form").agg(*[F.sum(c).alias(c) for c in ("pages", "blocked", "allowed")])
         child = by_form.groupBy(*key, "segment").agg(F.max(F.struct("pages", "form")).alias("mode"), F.sum("blocked").alias("b"), F.sum("allowed").alias("a")).withColumn("mode", F.col("mode.form"))
-        group = child.groupBy(*key, "mode").agg(F.count("*").alias("children"), F.sum("b").alias("all_b"), F.sum("a").alias("all_a"))
+        group = child.groupBy(*key, "mode").agg(F.sum("b").alias("all_b"), F.sum("a").alias("all_a"))
         n, rest = F.col("a") + F.col("b"), F.col("all_a") + F.col("all_b") - F.col("a") - F.col("b")
         pooled = F.col("all_b") / (n + rest)
         apart = F.abs(F.col("b") / n - (F.col("all_b") - F.col("b")) / rest)
-        alike = F.when((n > 0) & (rest > 0), apart <= z * F.sqrt(pooled * (1 - pooled) * (1 / n + 1 / rest))).otherwise(True)
-        named = child.join(group, [*key, "mode"]).select(*key, "segment", F.when((F.col("children") > 1) & alike, "*").otherwise(F.col("segment")).alias("name"))
+        alike = F.when(n == 0, None).when(rest > 0, apart <= z * F.sqrt(pooled * (1 - pooled) * (1 / n + 1 / rest))).otherwise(True)
+        tested = child.join(group, [*key, "mode"]).withColumn("alike", alike)
+        told = tested.groupBy(*key, "mode").agg(F.count_if("alike").alias("told"), F.count_if(~F.col("alike")).alias("odd"), F.count_if(F.isnull("alike")).alias("silent"))
+        joins = (F.col("odd") == 0) & (F.col("told") >= F.when(F.contains("mode", F.lit("/")), AGREE).otherwise(AGREE_BARE))
+        merged = F.when(F.col("alike") & (F.col("told") > 1) | F.isnull("alike") & joins, "*").when(F.isnull("alike") & (F.col("silent") > 1), "?").otherwise(F.col("segment"))
+        named = tested.join(told, [*key, "mode"]).select(*key, "segment", merged.alias("name"))
         steps = common.written(at.join(named, [*key, "segment"]), "steps")
         changed = steps.where("name <> segment").select("row", "depth", "name")
         found = changed if found is None else found.unionByName(changed)
@@ -111,8 +120,8 @@ def templates(labelled: DataFrame, z: float = 2.0) -> tuple[DataFrame, DataFrame
     paths = labelled.withColumn("segments", _segments(F.col("path")))
     counts = [F.sum(c).alias(c) for c in ("pages", "blocked", "allowed")]
     shapes = common.written(paths.groupBy("host", "segments").agg(*counts).withColumn("row", F.monotonically_increasing_id()), "shapes")
-    stars = merges(shapes, z).groupBy("row").agg(F.collect_set("depth").alias("stars"))
-    star = lambda s, i: F.when(F.array_contains("stars", i), "*").otherwise(s)
+    stars = merges(shapes, z).groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("depth", "name"))).alias("stars"))
+    star = lambda s, i: F.coalesce(F.try_element_at("stars", i), s)
     full = shapes.join(stars, "row", "left").select("host", "segments", F.array_join(F.when(F.isnull("stars"), F.col("segments")).otherwise(F.transform("segments", star)), "/").alias("template"))
     known = paths.select("host", "path", "segments", "blocked", "allowed").join(full, ["host", "segments"])
     known = common.written(known.drop("segments"), "templates")
@@ -158,18 +167,24 @@ walk(host, segments, pages, blocked, allowed, names) AS (
   SELECT *, []::VARCHAR[] FROM shapes
   UNION ALL
   SELECT host, segments, pages, blocked, allowed, list_append(names, CASE
-    WHEN children > 1 AND (n = 0 OR rest = 0 OR abs(b / n - (all_b - b) / rest) <= 2 * sqrt((all_b / (n + rest)) * (1 - all_b / (n + rest)) * (1 / n + 1 / rest))) THEN '*' ELSE segment END)
+    WHEN alike AND told > 1 OR alike IS NULL AND odd = 0 AND told >= CASE WHEN contains(form_of, '/') THEN 3 ELSE 8 END THEN '*' WHEN alike IS NULL AND silent > 1 THEN '?' ELSE segment END)
   FROM (
-    SELECT *, a + b AS n, all_a + all_b - a - b AS rest FROM (
-      SELECT *, sum(blocked) OVER alike AS all_b, sum(allowed) OVER alike AS all_a, count(DISTINCT segment) OVER alike AS children FROM (
-        SELECT *, max(struct_pack(p := form_pages, f := form)) OVER branch AS mode, sum(blocked) OVER branch AS b, sum(allowed) OVER branch AS a FROM (
-          SELECT *, sum(pages) OVER (PARTITION BY host, names, segment, form) AS form_pages FROM (
-            SELECT *, segments[len(names) + 1] AS segment, array_to_string(list_transform(segments[len(names) + 2:], lambda s: CASE WHEN starts_with(s, '*') THEN s ELSE 'w' END), '/') AS form
-            FROM walk WHERE len(names) < len(segments)
-          )
-        ) WINDOW branch AS (PARTITION BY host, names, segment)
-      ) WINDOW alike AS (PARTITION BY host, names, mode.f)
-    )
+    SELECT *, count(DISTINCT CASE WHEN alike THEN segment END) OVER same AS told, count(DISTINCT CASE WHEN NOT alike THEN segment END) OVER same AS odd, count(DISTINCT CASE WHEN alike IS NULL THEN segment END) OVER same AS silent FROM (
+      SELECT *, CASE WHEN n = 0 THEN NULL WHEN rest = 0 THEN true ELSE abs(b / n - (all_b - b) / rest) <= 2 * sqrt((all_b / (n + rest)) * (1 - all_b / (n + rest)) * (1 / n + 1 / rest)) END AS alike FROM (
+        SELECT *, a + b AS n, all_a + all_b - a - b AS rest FROM (
+          SELECT *, sum(blocked) OVER alike AS all_b, sum(allowed) OVER alike AS all_a FROM (
+            SELECT *, mode.f AS form_of FROM (
+              SELECT *, max(struct_pack(p := form_pages, f := form)) OVER branch AS mode, sum(blocked) OVER branch AS b, sum(allowed) OVER branch AS a FROM (
+                SELECT *, sum(pages) OVER (PARTITION BY host, names, segment, form) AS form_pages FROM (
+                  SELECT *, segments[len(names) + 1] AS segment, array_to_string(list_transform(segments[len(names) + 2:], lambda s: CASE WHEN starts_with(s, '*') THEN s ELSE 'w' END), '/') AS form
+                  FROM walk WHERE len(names) < len(segments)
+                )
+              ) WINDOW branch AS (PARTITION BY host, names, segment)
+            )
+          ) WINDOW alike AS (PARTITION BY host, names, form_of)
+        )
+      )
+    ) WINDOW same AS (PARTITION BY host, names, form_of)
   )
 ), shaped AS (SELECT host, segments, array_to_string(names, '/') AS template FROM walk WHERE len(names) = len(segments)),
 known AS (SELECT l.host, path, blocked, allowed, template FROM labelled l JOIN shaped s ON s.host = l.host AND s.segments = l.segments),
