@@ -14,6 +14,7 @@ without bounds.  Queries go in groups whose matrix is of bounded size.
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -260,13 +261,18 @@ def _scorer(step: Callable, qids: list, shared, kind, by: str, k: int, seeds: in
     shared: matrix of queries and their thresholds; seeds: of so many blocks the
     one with the best bound is scored, whatever the threshold; by: docid, or
     paper_id for papers by their best passage; dead: papers left out, by segment;
-    met: counts passages and those scored, by query.
+    met: takes what was met, by query.
     """
+    sums = _Sums()
+
     def run(batches):
+        began, told = time.perf_counter(), {}
         args, least = shared.value
         gone = dead.value if dead is not None else {}
+        cold = True
         for batch in batches:
             for at in range(0, batch.num_rows, STEP):
+                began = began if cold else time.perf_counter()
                 b = batch.slice(at, STEP)
                 bounds, cuts, held, score, floor = step(b, *args)
                 if seeds:
@@ -275,58 +281,76 @@ def _scorer(step: Callable, qids: list, shared, kind, by: str, k: int, seeds: in
                 else:
                     wanted = (bounds >= least - SLACK) & (bounds > floor)
                 rows = np.diff(cuts)
-                met.add(np.array([rows.sum() * len(qids), (rows[:, None] * wanted).sum()], np.int64))
+                work = (rows[:, None] * wanted).sum(axis=0)
+                sums.addInPlace(told, {"every": int(rows.sum()) * len(qids), "scored": int(work.sum())})
+                work = work + len(rows)
                 some = np.flatnonzero(wanted.any(axis=1))
-                if not len(some):
-                    continue
-                at_rows = np.concatenate([np.arange(cuts[i], cuts[i + 1]) for i in some])
-                scores = np.full((len(at_rows), len(qids)), -np.inf)
-                n = 0
-                for i in some:
-                    chosen = np.flatnonzero(wanted[i])
-                    scores[n : n + rows[i], chosen] = score(i, chosen)
-                    n += rows[i]
-                scores[scores <= floor] = -np.inf
-                if not seeds:
-                    scores[scores < least - SLACK] = -np.inf
-                names = {c: held[c].take(pa.array(at_rows)) for c in ("docid", "paper_id")}
-                if fronts:
-                    scores[held["is_front"].take(pa.array(at_rows)).to_numpy(zero_copy_only=False)] = -np.inf
-                if gone:
-                    segment = np.repeat(b.column("segment").to_pylist(), rows)[at_rows]
-                    for s in set(segment) & set(gone):
-                        lost = pa.compute.is_in(names["paper_id"], value_set=gone[s]).to_numpy(zero_copy_only=False)
-                        scores[lost & (segment == s)] = -np.inf
-                place, shown = _places(names["docid"]), np.round(scores, 9)
-                if by == "paper_id":
-                    best, row, owners = _folded(shown, _places(names["paper_id"]), place)
-                    r, c = _best(best, owners, k)
-                    passage = row[r, c]
-                else:
-                    passage, c = _best(shown, place, k)
-                found = scores[passage, c]
-                take = pa.array(passage)
-                yield pa.RecordBatch.from_arrays([pa.array([qids[x] for x in c], kind), names["paper_id"].take(take), names["docid"].take(take), pa.array(found)], names=["qid", "paper_id", "docid", "score"])
+                out = best_of(b, some, wanted, cuts, rows, held, score, floor, least, gone) if len(some) else None
+                spent = (time.perf_counter() - began) * work / work.sum()
+                sums.addInPlace(told, {("cold" if cold else "warm", q): x for q, x in zip(qids, spent.tolist())} | ({("warm", q): 0.0 for q in qids} if cold else {}))
+                cold = False
+                if out is not None:
+                    yield out
+        met.add(told)
+
+    def best_of(b, some, wanted, cuts, rows, held, score, floor, least, gone):
+        at_rows = np.concatenate([np.arange(cuts[i], cuts[i + 1]) for i in some])
+        scores = np.full((len(at_rows), len(qids)), -np.inf)
+        n = 0
+        for i in some:
+            chosen = np.flatnonzero(wanted[i])
+            scores[n : n + rows[i], chosen] = score(i, chosen)
+            n += rows[i]
+        scores[scores <= floor] = -np.inf
+        if not seeds:
+            scores[scores < least - SLACK] = -np.inf
+        names = {c: held[c].take(pa.array(at_rows)) for c in ("docid", "paper_id")}
+        if fronts:
+            scores[held["is_front"].take(pa.array(at_rows)).to_numpy(zero_copy_only=False)] = -np.inf
+        if gone:
+            segment = np.repeat(b.column("segment").to_pylist(), rows)[at_rows]
+            for s in set(segment) & set(gone):
+                lost = pa.compute.is_in(names["paper_id"], value_set=gone[s]).to_numpy(zero_copy_only=False)
+                scores[lost & (segment == s)] = -np.inf
+        place, shown = _places(names["docid"]), np.round(scores, 9)
+        if by == "paper_id":
+            best, row, owners = _folded(shown, _places(names["paper_id"]), place)
+            r, c = _best(best, owners, k)
+            passage = row[r, c]
+        else:
+            passage, c = _best(shown, place, k)
+        found = scores[passage, c]
+        take = pa.array(passage)
+        return pa.RecordBatch.from_arrays([pa.array([qids[x] for x in c], kind), names["paper_id"].take(take), names["docid"].take(take), pa.array(found)], names=["qid", "paper_id", "docid", "score"])
 
     return run
 
 
-class _Pair(AccumulatorParam):
+class _Sums(AccumulatorParam):
+    """Sums by key."""
+
     def zero(self, value):
-        return np.zeros(2, np.int64)
+        return {}
 
     def addInPlace(self, a, b):
-        return a + b
+        for k, v in b.items():
+            a[k] = a.get(k, 0) + v
+        return a
 
 
 class Met:
-    """Passages of all queries, and how many of them were scored, over both passes of the searches that it was given to."""
+    """What the searches that it was given to have met: passages of all queries, those scored, and the seconds of each query.
+
+    A step's seconds are split by what it did for each query: passages scored,
+    and a bound a block.  The first step of a task, which fetches the queries and
+    finds nothing in caches, counts as cold.  A task that runs twice counts twice.
+    """
 
     def __init__(self, spark: SparkSession):
-        self._held = spark.sparkContext.accumulator(np.zeros(2, np.int64), _Pair())
+        self._held = spark.sparkContext.accumulator({}, _Sums())
 
-    def add(self, pair):
-        self._held.add(pair)
+    def add(self, found: dict):
+        self._held.add(found)
 
     def __getstate__(self):
         return self._held
@@ -336,8 +360,13 @@ class Met:
 
     @property
     def share(self) -> float:
-        every, scored = self._held.value
-        return float(scored / every) if every else 0.0
+        held = self._held.value
+        return held.get("scored", 0) / held["every"] if held.get("every") else 0.0
+
+    def seconds(self) -> dict:
+        """(all seconds, those of cold steps) by query id."""
+        held = self._held.value
+        return {k[1]: (v + held.get(("cold", k[1]), 0.0), held.get(("cold", k[1]), 0.0)) for k, v in held.items() if k[0] == "warm"}
 
 
 def _searched(blocks: DataFrame, groups, step: Callable, qid: str, by: str, k: int, dead, fronts: bool, met: Met | None) -> DataFrame:

@@ -92,6 +92,15 @@ class Tables:
         found = rows.withColumn("_doc", F.expr("vec_id div 5")).join(docs, "_doc", "left")
         return found.withColumn("text", F.coalesce(text, F.concat(F.lit("vector "), F.col("vec_id").cast("string")))).drop("_doc", "_text")
 
+    def text_index(self) -> SparseIndex:
+        """A sparse index of the vectors' texts, so that both kinds of systems answer the same topics."""
+        path = self._made("texts", "embeddings", lambda path, signature: build_sparse(self.dense_texts(), path, signature), documents=C.signature(C.files_of(self.spark, f"{self.dir}/documents.parquet"), {}).first()[0], format=3)
+        return SparseIndex(self.spark, path)
+
+    def paper_qrels(self) -> DataFrame:
+        """A paper's grade is the best of its passages."""
+        return self.qrels().groupBy("qid", F.substring_index("docid", "_", 1).alias("docid")).agg(F.max("rel").alias("rel"))
+
     def dense_topics(self) -> DataFrame:
         return self._line(self.queries().select("qid", F.col("qid").alias("vec_id"))).select("qid", F.col("text").alias("query"))
 

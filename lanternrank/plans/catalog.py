@@ -563,6 +563,76 @@ def _(t):
     return _evaluated(t).latency.select("set", "method", "qid", (F.col("ms") > 0).alias("timed"))
 
 
+#: An evaluation as a settings file gives it: every kind of system, at both levels.
+CONFIG = {
+    "team_name": "team", "levels": ["paper", "paragraph"], "k": 100, "sets": [{"name": "study", "metrics": True}, {"name": "test", "metrics": False}],
+    "models": {
+        "words": {"type": "sparse", "save_id": "sparse", "do_test": True},
+        "near": {"type": "dense", "level": "paragraph", "paragraph_method": "cosine_similarity", "save_id": "dense", "do_test": True},
+        "near-papers": {"type": "dense", "level": "paper", "paper_method": "from_paragraphs"},
+        "near-means": {"type": "dense", "level": "paper", "paper_method": "mean_pooling"},
+        "reread": {"type": "dense", "level": "paragraph", "paragraph_method": "crossencoder"},
+        "reread-papers": {"type": "dense", "level": "paper", "paper_method": "crossencoder"},
+    },
+}
+
+
+def _all_systems(t: Tables) -> V.Outcome:
+    settings, names = V.settings_of(CONFIG)
+    index, dense = t.text_index(), t.dense()
+    words = V.Model(index, lambda topics: E.term_weights(topics.withColumnRenamed("query", "text"), "qid"), papers=t.vectors().select("paper_id").distinct().count())
+    near = V.Model(dense, lambda topics: t.queries().join(topics.select("qid"), "qid", "left_semi"), scorer=R.overlap_scorer, texts=t.dense_texts())
+    systems = V.systems_of(CONFIG, {name: words if name == "words" else near for name in CONFIG["models"]})
+    topics = t.dense_topics()
+    sets = [V.QuerySet(name, topics, {"paragraph": t.qrels(), "paper": t.paper_qrels()} if measured else None) for name, measured in names]
+    return V.run_evaluation(t.spark, systems, sets, settings)
+
+
+def _depth(run: str, level: str, hits: str, item: str = "docid") -> str:
+    return f"SELECT '{level}' AS side, '{run}' AS run, qid, {item} AS item, rank FROM (SELECT *, {RANKED.format(item)} FROM ({hits})) WHERE rank <= 100"
+
+
+ALL_SYSTEMS = TEXTS + f"""
+, vpost AS (SELECT docid, paper_id, term, ln(1 + count(*)) AS weight FROM (SELECT v.docid, v.paper_id, unnest(x.t) AS term FROM vecs v JOIN vec_texts x USING (vec_id)) GROUP BY ALL),
+vterm AS (SELECT qid, term, ln(1 + count(*)) AS weight FROM (SELECT q.qid, unnest(x.t) AS term FROM queries q JOIN vec_texts x ON x.vec_id = q.qid) GROUP BY ALL),
+vqn AS (SELECT qid, sqrt(sum(weight * weight)) AS n FROM vterm GROUP BY qid), vpn AS (SELECT docid, sqrt(sum(weight * weight)) AS n FROM vpost GROUP BY docid),
+vpaper AS (SELECT paper_id, term, max(weight) AS weight FROM vpost GROUP BY ALL), vppn AS (SELECT paper_id, sqrt(sum(weight * weight)) AS n FROM vpaper GROUP BY paper_id),
+vscore AS (SELECT qid, docid, paper_id, sum(q.weight * p.weight) / any_value(vpn.n) / any_value(vqn.n) AS score FROM vpost p JOIN vterm q USING (term) JOIN vpn USING (docid) JOIN vqn USING (qid) GROUP BY ALL),
+vpool AS (SELECT qid, paper_id, sum(q.weight * p.weight) / any_value(vppn.n) / any_value(vqn.n) AS score FROM vpaper p JOIN vterm q USING (term) JOIN vppn USING (paper_id) JOIN vqn USING (qid) GROUP BY ALL),
+zero_par AS (SELECT q.qid, v.docid, coalesce(s.score, 0) AS score FROM queries q CROSS JOIN vecs v LEFT JOIN vscore s ON s.qid = q.qid AND s.docid = v.docid WHERE NOT regexp_matches(v.docid, '_0$')),
+vbest AS (SELECT qid, paper_id, max(score) AS score FROM vscore GROUP BY ALL), vids AS (SELECT DISTINCT paper_id FROM vecs),
+zero_maxp AS (SELECT q.qid, v.paper_id, coalesce(s.score, 0) AS score FROM queries q CROSS JOIN vids v LEFT JOIN vbest s ON s.qid = q.qid AND s.paper_id = v.paper_id),
+zero_pool AS (SELECT q.qid, v.paper_id, coalesce(s.score, 0) AS score FROM queries q CROSS JOIN vids v LEFT JOIN vpool s ON s.qid = q.qid AND s.paper_id = v.paper_id),
+best_of AS ({BEST}), top_papers AS (SELECT qid, paper_id, docid FROM (SELECT *, {RANKED.format('paper_id')} FROM best_of) WHERE rank <= 100),
+every_run AS (
+  {_depth('words', 'paragraph', 'SELECT * FROM zero_par')} UNION ALL {_depth('words', 'paper', 'SELECT * FROM zero_maxp', 'paper_id')} UNION ALL {_depth('words-pool', 'paper', 'SELECT * FROM zero_pool', 'paper_id')}
+  UNION ALL {_depth('near', 'paragraph', 'SELECT * FROM dense')} UNION ALL {_depth('near-papers', 'paper', 'SELECT * FROM best_of', 'paper_id')}
+  UNION ALL {_depth('near-means', 'paper', 'SELECT qid, paper_id, list_dot_product(q.v, m.v) AS score FROM queries q, paper_means m', 'paper_id')}
+  UNION ALL {_depth('reread', 'paragraph', f'SELECT c.qid, c.docid, {OVERLAP} AS score FROM full_run c JOIN vec_texts q ON q.vec_id = c.qid JOIN vecs v USING (docid) JOIN vec_texts d ON d.vec_id = v.vec_id')}
+  UNION ALL {_depth('reread-papers', 'paper', f'SELECT c.qid, c.paper_id, {OVERLAP} AS score FROM top_papers c JOIN vec_texts q ON q.vec_id = c.qid JOIN vecs v USING (docid) JOIN vec_texts d ON d.vec_id = v.vec_id', 'paper_id')}
+), every_rel AS (
+  SELECT 'paragraph' AS side, qid, docid AS item, rel FROM qrels UNION ALL SELECT 'paper', qid, split_part(docid, '_', 1), max(rel) FROM qrels GROUP BY ALL
+), every_ideal AS (
+  SELECT side, level, qid, sum(g / log2(place + 1)) AS best, sum(CASE WHEN place <= 5 THEN g / log2(place + 1) ELSE 0 END) AS best5
+  FROM (SELECT side, level, qid, g, row_number() OVER (PARTITION BY side, level, qid ORDER BY g DESC, item) AS place FROM (SELECT side, level, qid, item, CASE WHEN rel >= level THEN rel ELSE 0 END AS g FROM every_rel, levels)) GROUP BY ALL
+), every_sum AS (
+  SELECT side, level, run, qid, sum(g / log2(rank + 1)) AS dcg, sum(CASE WHEN rank <= 5 THEN g / log2(rank + 1) ELSE 0 END) AS dcg5, coalesce(1 / min(CASE WHEN g > 0 THEN rank END), 0) AS mrr,
+    sum(CASE WHEN g > 0 AND rank <= 5 THEN 1 ELSE 0 END) / 5 AS p5, sum(CASE WHEN g > 0 AND rank <= 10 THEN 1 ELSE 0 END) / 10 AS p10
+  FROM (SELECT r.side, level, run, r.qid, rank, CASE WHEN coalesce(j.rel, 0) >= level THEN coalesce(j.rel, 0) ELSE 0 END AS g FROM every_run r LEFT JOIN every_rel j ON j.side = r.side AND j.qid = r.qid AND j.item = r.item, levels) GROUP BY ALL
+), every_wide AS (
+  SELECT i.side, i.level, r.run, CASE WHEN best > 0 THEN coalesce(dcg, 0) / best ELSE 0 END AS ndcg, CASE WHEN best5 > 0 THEN coalesce(dcg5, 0) / best5 ELSE 0 END AS ndcg5, coalesce(mrr, 0) AS mrr, coalesce(p5, 0) AS p5, coalesce(p10, 0) AS p10
+  FROM every_ideal i JOIN (SELECT DISTINCT side, run FROM every_run) r ON r.side = i.side LEFT JOIN every_sum s ON s.side = i.side AND s.level = i.level AND s.run = r.run AND s.qid = i.qid
+)
+SELECT side AS searched, run, level, metric, round(avg(value), 6) AS value FROM (UNPIVOT every_wide ON ndcg, ndcg5, mrr, p5, p10 INTO NAME metric VALUE value) WHERE level = 1 OR metric IN ('mrr', 'p5') GROUP BY ALL"""
+
+
+@query("q_evaluate_systems", ALL_SYSTEMS)
+def _(t):
+    out = _all_systems(t)
+    parts = [out.reports["study", level].means.select(F.lit(level).alias("searched"), "run", "level", "metric", r6("value")) for level in V.LEVELS]
+    return parts[0].unionByName(parts[1])
+
+
 MEANS = "SELECT run, level, metric, round(avg(value), 6) AS value FROM vals WHERE level = 1 OR metric IN ('mrr', 'p5') GROUP BY ALL"
 
 

@@ -9,6 +9,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lanternrank.operators import blocks as B
 from lanternrank.operators import metrics as M
 from lanternrank.sources import corpus as C
 from lanternrank.sources import workspace
@@ -76,7 +77,8 @@ class System:
 
     on_test: whether sets that aren't measured are searched; save: whether its
     runs are written; experimental systems are measured but never written.
-    check raises if its index isn't whole; size gives files and bytes of a level.
+    check raises if its index isn't whole; size gives files and bytes of a level;
+    index is what tells the time of each query, if it searches one.
     """
 
     name: str
@@ -87,6 +89,78 @@ class System:
     experimental: bool = False
     check: Callable[[], None] | None = None
     size: Callable[[str], DataFrame] | None = None
+    index: object | None = None
+
+
+def finished_run(name: str, run: DataFrame, level: str, save: str | None = None) -> System:
+    """A system whose ranking (qid, docid, score, rank) was made elsewhere, such as a baseline's file."""
+    def search(topics, _, k):
+        asked = topics.select(F.col("qid").cast("string").alias("qid")).distinct()
+        return run.where(F.col("rank") <= k).withColumn("qid", F.col("qid").cast("string")).join(asked, "qid", "left_semi").select("qid", "docid", "score", "rank")
+
+    return System(name, search, (level,), on_test=True, save=save)
+
+
+@dataclass(frozen=True)
+class Model:
+    """What a configured model searches with.
+
+    index: a SparseIndex or a DenseIndex; encode: topics to the queries that it
+    searches (sparse: qid, term, weight; dense: qid, vector); papers: how many
+    the corpus has, against which a sparse index is checked; scorer and texts: what reranking takes.
+    """
+
+    index: object
+    encode: Callable[[DataFrame], DataFrame]
+    papers: int | None = None
+    scorer: Callable | None = None
+    texts: DataFrame | None = None
+
+
+#: Names of dense methods in configurations, by level.
+METHODS = {
+    "paragraph": {"cosine_similarity": "cosine", "crossencoder": "crossencoder"},
+    "paper": {"from_paragraphs": "cosine", "mean_pooling": "mean", "crossencoder": "crossencoder"},
+}
+
+
+def systems_of(config: dict, models: dict[str, Model]) -> list[System]:
+    """The systems of a configuration's models.
+
+    A sparse model searches paragraphs, and papers by their best passage; its
+    pooled papers are an experimental system of their own.  A dense model
+    searches its level by its method.
+    """
+    settings, _ = settings_of(config)
+    out = []
+    for name, spec in config["models"].items():
+        spec = spec or {}
+        if name not in models:
+            raise ValueError(f"{name}: no such model")
+        m, more = models[name], {"on_test": bool(spec.get("do_test")), "save": spec.get("save_id")}
+        more["index"] = m.index
+        if spec.get("type", "sparse") == "sparse":
+            more["size"] = m.index.size
+
+            def check(m=m):
+                m.index.check("paragraph", papers=m.papers)
+
+            def words(topics, level, k, m=m, strategy="maxp"):
+                return m.index.search(topics, m.encode(topics), level, strategy, k)
+
+            out.append(System(name, words, settings.levels, check=check, **more))
+            if "paper" in settings.levels:
+                out.append(System(f"{name}-pool", lambda topics, level, k, f=words: f(topics, level, k, strategy="pool"), ("paper",), experimental=True, size=m.index.size, index=m.index))
+            continue
+        level = spec["level"]
+        if (said := spec.get(f"{level}_method", "cosine_similarity" if level == "paragraph" else "from_paragraphs")) not in METHODS[level]:
+            raise ValueError(f"{name}: unknown {level} method {said!r}")
+
+        def near(topics, level, k, m=m, method=METHODS[level][said]):
+            return m.index.search(m.encode(topics), level, method, k, m.scorer, m.texts, topics)
+
+        out.append(System(name, near, (level,), check=m.index.check, **more))
+    return out
 
 
 @dataclass(frozen=True)
@@ -108,17 +182,31 @@ class QuerySet:
 @dataclass
 class Outcome:
     runs: DataFrame  # set, level, run, qid, docid, score, rank
-    latency: DataFrame  # set, level, method, qid, ms
+    latency: DataFrame  # set, level, method, qid, ms, cold_ms
     reports: dict[tuple[str, str], Report] = field(default_factory=dict)
     texts: dict[tuple[str, str, str], DataFrame] = field(default_factory=dict)  # (set, level, summary or queries or significance): report
 
 
-def run_evaluation(spark: SparkSession, systems: list[System], sets: list[QuerySet], settings: Settings = Settings(), folder: str | None = None) -> Outcome:
+LATENCY = "set string, level string, method string, qid string, ms double, cold_ms double"
+
+
+def _times(seconds: dict, qids: list, wall: float) -> list[tuple]:
+    """(id, ms, cold ms) of each query: the job's time, split by the seconds that its tasks took for each; in equal shares if they didn't tell."""
+    every = sum(s for s, _ in seconds.values())
+    if not every:
+        return [(str(q), wall / max(1, len(qids)), 0.0) for q in qids]
+    return [(str(q), wall * s / every, wall * cold / every) for q in qids for s, cold in [seconds.get(q, (0.0, 0.0))]]
+
+
+def run_evaluation(spark: SparkSession, systems: list[System], sets: list[QuerySet], settings: Settings = Settings(), folder: str | None = None, prior: str | None = None) -> Outcome:
     """Searches every set at every level with every system that takes part, and measures the sets that have judgments.
 
-    Each search is one job over all topics of the set; a query's latency is its
-    share of that job.  Runs, their lines and the three reports of each set and
-    level are written under `folder`.
+    Each search is one job over all topics of the set.  A query's latency is the
+    part of the job's time that its tasks took for it, and of that what their
+    cold first steps took; where a system's index doesn't tell, an equal share.
+    Runs, their lines, latencies and the three reports of each set and level are
+    written under `folder`.  prior: the folder of an earlier evaluation, whose
+    latencies stand for the methods that this one doesn't run.
     """
     if not systems or not sets:
         raise ValueError("an evaluation needs systems and query sets")
@@ -141,15 +229,23 @@ def run_evaluation(spark: SparkSession, systems: list[System], sets: list[QueryS
                 continue
             for level in (x for x in settings.levels if x in s.levels):
                 began = time.perf_counter()
+                met = B.Met(spark) if s.index is not None else None
+                if met:
+                    s.index.met = met
                 found = s.search(q.topics, level, settings.k)
                 item = "docid" if "docid" in found.columns and level == "paragraph" else "paper_id"
                 found.select(F.lit(s.name).alias("run"), F.col("qid").cast("string").alias("qid"), F.col(item).alias("docid"), "score", "rank").write.mode("overwrite").parquet(f"{folder}/runs/set={q.name}/level={level}/method={s.name}")
-                qids = [str(r.qid) for r in q.topics.select("qid").distinct().collect()]
-                times += [(q.name, level, s.name, i, 1000 * (time.perf_counter() - began) / max(1, len(qids))) for i in qids]
+                wall = 1000 * (time.perf_counter() - began)
+                qids = [r.qid for r in q.topics.select("qid").distinct().collect()]  # a bounded set
+                times += [(q.name, level, s.name, *t) for t in _times(met.seconds() if met else {}, qids, wall)]
     schema = "run string, qid string, docid string, score double, rank int, set string, level string, method string"
     runs = spark.read.schema(schema).parquet(f"{folder}/runs") if times else spark.createDataFrame([], schema)
-    latency = spark.createDataFrame(times, "set string, level string, method string, qid string, ms double")
-    out = Outcome(runs, latency)
+    latency = spark.createDataFrame(times, LATENCY)
+    if prior:
+        old = spark.read.schema(LATENCY).parquet(f"{prior}/latency")
+        latency = latency.unionByName(old.join(latency.select("set", "level", "method").distinct(), ["set", "level", "method"], "left_anti"))
+    latency.coalesce(1).write.mode("overwrite").parquet(f"{folder}/latency")
+    out = Outcome(runs, spark.read.schema(LATENCY).parquet(f"{folder}/latency"))
     order = tuple(s.name for s in systems)
     for q in sets:
         for level in settings.levels:
@@ -172,13 +268,14 @@ def _write_reports(out: Outcome, systems: list[System], settings: Settings, set_
     report, context = out.reports[set_, level], {"set": set_, "level": level, "stem": settings.stem, "k": settings.k}
     sizes = {s.name: s.size(level).first() for s in systems if s.size and level in s.levels}
     steady = {r.method: r.mean_ms for r in steady_mean(out.latency.where((F.col("set") == set_) & (F.col("level") == level))).collect()}
-    means = report.means.withColumn("value", F.round("value", 6))
-    values = report.values.withColumn("value", F.round("value", 6))
+    means, values = report.means, report.values
     more = {
         "index_bytes": {name: r.bytes or 0 for name, r in sizes.items()}, "mean_latency_ms": steady, "trec_runs": paths,
         "experimental_methods": [s.name for s in systems if s.experimental and level in s.levels],
     }
-    texts = {"summary": C.summary_report(means, context | more), "queries": C.query_report(values, context), "significance": C.significance_report(report.comparisons, context | {"stat_test": "student", "max_p": settings.max_p})}
+    texts = {"summary": C.summary_report(means, context | more), "queries": C.query_report(values, context)}
+    if len([s for s in systems if level in s.levels]) > 1:  # nothing to compare a single run with
+        texts["significance"] = C.significance_report(report.comparisons, context | {"stat_test": "student", "max_p": settings.max_p})
     for name, text in texts.items():
         out.texts[set_, level, name] = text
         C.write_report(text, f"{folder}/reports/{set_}_{level}_{name}")

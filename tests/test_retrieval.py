@@ -396,7 +396,7 @@ def test_evaluation(spark, judged, tmp_path):
     pair = {(r.run_a, r.run_b) for r in out.reports["study", "paragraph"].comparisons.collect()}
     assert pair == {("up", "down")}  # in order of the systems, not of names
     text = {k[2]: json.loads(v.first().report) for k, v in out.texts.items()}
-    assert text["summary"]["relevance_passes"]["relevant_or_partial"]["metrics"]["up"]["ndcg"] == 0.487054 and text["summary"]["k"] == 5
+    assert text["summary"]["relevance_passes"]["relevant_or_partial"]["metrics"]["up"]["ndcg"] == pytest.approx(0.487054, abs=1e-6) and text["summary"]["k"] == 5
     assert list(text["summary"]["trec_runs"]) == ["up"] and text["summary"]["experimental_methods"] == ["down"]
     assert text["queries"]["relevance_passes"]["relevant_only"]["queries"]["q1"]["up"] == {"mrr": 0.5, "p5": 0.4}
     entry = text["significance"]["relevance_passes"]["relevant_or_partial"]["comparisons"]["up vs down"]["mrr"]
@@ -410,6 +410,41 @@ def test_evaluation(spark, judged, tmp_path):
         V.Settings(levels=("chapter",))
 
 
+def test_configured_systems(spark, tmp_path):
+    """A configuration's systems search at their levels, a finished run stands beside them, each query has a time of its own, and a prior one is carried on."""
+    rows = spark.createDataFrame([(f"p{i}_{j}", f"w{i} w{j} " * (1 + 40 * (i == 3))) for i in range(12) for j in range(1, 4)], "docid string, text string")
+    vectors = rows.select("docid", X.paper_id_last(F.col("docid")).alias("paper_id"), F.transform(F.sequence(F.lit(1), F.lit(4)), lambda k: (F.pmod(F.xxhash64("docid", k), F.lit(97)) + 1).cast("double")).alias("vector"))
+    sparse, dense = indexes.build_sparse(rows, f"{tmp_path}/s", "s"), indexes.build_dense(vectors, f"{tmp_path}/d", "s")
+    topics = spark.createDataFrame([(str(i), " ".join(f"w{j}" for j in range(i, i + 1 + 5 * i))) for i in range(3)], "qid string, query string")
+    config = {"sets": [{"name": "study", "metrics": True}, {"name": "test", "metrics": False}], "models": {"a": {"save_id": "sparse", "do_test": True}, "b": {"type": "dense", "level": "paper", "paper_method": "mean_pooling"}, "c": {"type": "dense", "level": "paragraph", "paragraph_method": "crossencoder"}}}
+    near = V.Model(dense, lambda t: t.select("qid", F.array(*[F.lit(0.5)] * 4).alias("vector")), scorer=R.overlap_scorer, texts=rows)
+    models = {"a": V.Model(sparse, lambda t: E.term_weights(t.withColumnRenamed("query", "text"), "qid"), papers=12), "b": near, "c": near}
+    systems = V.systems_of(config, models)
+    assert [(s.name, s.levels, s.on_test, s.experimental) for s in systems] == [("a", ("paper", "paragraph"), True, False), ("a-pool", ("paper",), False, True), ("b", ("paper",), False, False), ("c", ("paragraph",), False, False)]
+    C.write_run(spark.createDataFrame([("bm25", "0", "p1_1", 1, 2.0), ("bm25", "9", "p1_1", 1, 2.0)], "run string, qid string, docid string, rank int, score double"), f"{tmp_path}/bm25")
+    systems.append(V.finished_run("bm25", C.read_run(spark, f"{tmp_path}/bm25"), "paragraph"))
+    qrels = spark.createDataFrame([("0", "p1_1", 2), ("1", "p2_1", 1)], "qid string, docid string, rel int")
+    sets = [V.QuerySet("study", topics, {"paragraph": qrels, "paper": qrels.withColumn("docid", X.paper_id_last(F.col("docid")))}), V.QuerySet("test", topics)]
+    settings, _ = V.settings_of(config)
+    out = V.run_evaluation(spark, systems, sets, settings, f"{tmp_path}/e")
+    found = {(r.set, r.level, r.run) for r in out.runs.select("set", "level", "run").distinct().collect()}
+    assert found == {("study", "paper", "a"), ("study", "paragraph", "a"), ("study", "paper", "a-pool"), ("study", "paper", "b"), ("study", "paragraph", "c"), ("test", "paper", "a"), ("test", "paragraph", "a"), ("study", "paragraph", "bm25"), ("test", "paragraph", "bm25")}
+    assert out.runs.where("run = 'bm25'").count() == 2  # topics that aren't asked have no rows
+    times = {(r.set, r.level, r.method, r.qid): (r.ms, r.cold_ms) for r in out.latency.collect()}
+    one = [times["study", "paper", "a", q][0] for q in "012"]
+    assert len(set(one)) == 3 and all(0 <= cold <= ms and ms > 0 for ms, cold in times.values()) and any(cold > 0 for _, cold in times.values())
+    assert json.loads(out.texts["study", "paper", "summary"].first().report)["experimental_methods"] == ["a-pool"]
+    again = V.run_evaluation(spark, systems[2:3], sets[:1], V.Settings(levels=("paper",)), f"{tmp_path}/f", prior=f"{tmp_path}/e")
+    assert {r.method for r in again.latency.collect()} == {"a", "a-pool", "b", "c", "bm25"} and ("study", "paper", "significance") not in again.texts
+    assert again.latency.where("method = 'a'").count() == out.latency.where("method = 'a'").count()
+    incomplete = V.systems_of(config, models | {"a": V.Model(sparse, models["a"].encode, papers=13)})
+    with pytest.raises(ValueError, match="incomplete index"):
+        V.run_evaluation(spark, incomplete, sets, settings, f"{tmp_path}/g")
+    for wrong in ({"b": {"type": "dense", "level": "paper", "paper_method": "cosine_similarity"}}, {"x": {}}):
+        with pytest.raises(ValueError):
+            V.systems_of(config | {"models": wrong}, models)
+
+
 def test_limited_evaluation(spark, tmp_path):
     """The first topics of the file are searched, and judgments of the others don't count as zeros."""
     (tmp_path / "t.json").write_text(json.dumps([{"qid": q, "query": "x"} for q in ("30", "4", "100", "2")]))
