@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lanternrank.operators.numbering import numbered
+
 SEED = 42
 
 
@@ -17,14 +19,12 @@ def draw(*cols: Column, seed: int = SEED) -> Column:
     return F.md5(F.concat_ws("|", F.lit(str(seed)), *[c.cast("string") for c in cols]))
 
 
-# ---- splits: bounded sets of query ids
+# ---- splits
 
 def _split(ids: DataFrame, size: Column, seed: int) -> DataFrame:
     """qid and is_validation for the first `size` of n ids in drawn order."""
-    ids = ids.select("qid").distinct()
-    n = F.count("*").over(Window.partitionBy(F.lit(1)))
-    place = F.row_number().over(Window.orderBy(draw(F.col("qid"), seed=seed), "qid"))
-    return ids.withColumns({"n": n, "place": place}).select("qid", (F.col("place") <= size).alias("is_validation"))
+    ids = numbered(ids.select("qid").distinct(), draw(F.col("qid"), seed=seed), "qid", count="n")
+    return ids.select("qid", (F.col("place") <= size).alias("is_validation"))
 
 
 def split_80_20(ids: DataFrame, seed: int = SEED) -> DataFrame:
@@ -62,17 +62,30 @@ def pick_positive(qrels: DataFrame, epoch: int = 0, seed: int = SEED) -> DataFra
     return qrels.where("rel > 0").groupBy("qid").agg(F.min_by("docid", by).alias("drawn"), F.min("docid").alias("first"))
 
 
+def _shift(key: Column, turn: int, x: Column, size: Column, seed: int) -> Column:
+    """A number under size: 60 bits of an MD5, so nearly uniform."""
+    return F.conv(F.substring(draw(key, F.lit(turn), x, seed=seed), 1, 15), 16, 10).cast("long") % size
+
+
 def training_pairs(qrels: DataFrame, most: int = 100, seed: int = SEED) -> DataFrame:
     """qid, pos, neg: up to `most` drawn pairs of a positive and a negative of each query.
 
-    A query's pairs are joined on the query, never across; the limit is the
-    training recipe's own.  Judgments of one query are a bounded set, as people
-    make them: a query of p positives and n negatives costs p * n rows.
+    The cells of a query's grid of p positives and n negatives are permuted by
+    four turns, in which rows and columns move each other by a hash, and the
+    first cells are taken: a query costs its judgments and its pairs, not p * n.
     """
-    pos = qrels.where("rel >= 2").select("qid", F.col("docid").alias("pos"))
-    neg = qrels.where("rel = 1").select("qid", F.col("docid").alias("neg"))
-    place = F.row_number().over(Window.partitionBy("qid").orderBy(draw(F.col("pos"), F.col("neg"), seed=seed), "pos", "neg"))
-    return pos.join(neg, "qid").withColumn("place", place).where(F.col("place") <= most).drop("place")
+    number = lambda df: df.withColumn("at", (F.row_number().over(Window.partitionBy("qid").orderBy("docid")) - 1).cast("long"))
+    pos = number(qrels.where("rel >= 2").select("qid", "docid").distinct())
+    neg = number(qrels.where("rel = 1").select("qid", "docid").distinct())
+    size = lambda df, name: df.groupBy("qid").agg(F.count("*").alias(name))
+    grid = size(pos, "p").join(size(neg, "n"), "qid")
+    cells = grid.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.least(F.lit(most), F.col("p") * F.col("n")) - 1)).alias("cell"))
+    cells = cells.withColumns({"i": F.expr("cell div n"), "j": F.col("cell") % F.col("n")})
+    for turn in (1, 3):
+        cells = cells.withColumn("i", (F.col("i") + _shift(F.col("qid"), turn, F.col("j"), F.col("p"), seed)) % F.col("p"))
+        cells = cells.withColumn("j", (F.col("j") + _shift(F.col("qid"), turn + 1, F.col("i"), F.col("n"), seed)) % F.col("n"))
+    named = lambda df, at, name: df.select("qid", F.col("at").alias(at), F.col("docid").alias(name))
+    return cells.join(named(pos, "i", "pos"), ["qid", "i"]).join(named(neg, "j", "neg"), ["qid", "j"]).select("qid", "pos", "neg")
 
 
 def training_rows(qrels: DataFrame, queries: DataFrame, passages: DataFrame) -> DataFrame:
@@ -101,8 +114,8 @@ def first_of(rows: DataFrame, key: str, order: str) -> DataFrame:
 
 def batches(picked: DataFrame, size: int = 8, seed: int = SEED) -> DataFrame:
     """picked (one row a query) with batch, consecutive in drawn order."""
-    place = F.row_number().over(Window.orderBy(draw(F.col("qid"), seed=seed), "qid"))
-    return picked.withColumn("batch", F.floor((place - 1) / size).cast("int"))
+    placed = numbered(picked, draw(F.col("qid"), seed=seed), "qid", name="_place")
+    return placed.withColumn("batch", F.floor((F.col("_place") - 1) / size).cast("int")).drop("_place")
 
 
 def usable(batched: DataFrame, item: str = "docid", size: int = 8) -> DataFrame:

@@ -11,7 +11,7 @@ from lanternrank.functions.vectors import dot
 from lanternrank.operators.encoders import term_weights
 from lanternrank.operators.ranking import dense_scores, rank, small
 from lanternrank.sources import corpus as C
-from lanternrank.sources import workspace
+from lanternrank.sources import store, workspace
 from lanternrank.sources.indexes import DenseIndex, SparseIndex, build_dense, build_sparse, update_sparse
 
 
@@ -64,6 +64,9 @@ class Tables:
         path = self._made("sparse", "documents", lambda path, signature: build_sparse(self.passages(), path, signature), encoder="ln(1 + count)", format=3)
         return SparseIndex(self.spark, path)
 
+    def passage_store(self) -> str:
+        return self._made("store", "documents", lambda path, _: store.write_passages(C.passages(self.papers()), path), buckets=store.BUCKETS)
+
     def followed_index(self) -> SparseIndex:
         """An index that was built from an earlier state of the documents and brought up to them as they are.
 

@@ -15,9 +15,11 @@ from lanternrank.operators import metrics as M
 from lanternrank.operators import pooling as P
 from lanternrank.operators import ranking as R
 from lanternrank.operators import training as L
+from lanternrank.operators.numbering import numbered
 from lanternrank.plans import evaluate as V
 from lanternrank.plans.bindings import Tables
 from lanternrank.sources import corpus as C
+from lanternrank.sources import store as S
 from lanternrank.sources import workspace
 
 BUDGET = 64
@@ -71,8 +73,15 @@ batched AS (SELECT qid, drawn AS docid, ((row_number() OVER (ORDER BY md5('42|'
 cands AS (
   SELECT a.qid, a.docid = b.docid AS own, b.docid, list_dot_product(q.v, d.v) / 0.05 AS s, j.rel IS NOT NULL AS positive
   FROM batched a JOIN (SELECT DISTINCT batch, docid FROM batched) b ON a.batch = b.batch JOIN queries q ON q.qid = a.qid JOIN vecs d ON d.docid = b.docid LEFT JOIN qrels j ON j.qid = a.qid AND j.docid = b.docid
-), pairs AS (
-  SELECT qid, pos, neg FROM (SELECT p.qid, p.docid AS pos, n.docid AS neg, row_number() OVER (PARTITION BY p.qid ORDER BY md5('42|' || p.docid || '|' || n.docid), p.docid, n.docid) AS place FROM qrels p JOIN qrels n ON p.qid = n.qid AND p.rel >= 2 AND n.rel = 1) WHERE place <= 100
+), poss AS (SELECT qid, docid, row_number() OVER (PARTITION BY qid ORDER BY docid) - 1 AS at FROM qrels WHERE rel >= 2),
+negs AS (SELECT qid, docid, row_number() OVER (PARTITION BY qid ORDER BY docid) - 1 AS at FROM qrels WHERE rel = 1),
+grid AS (SELECT qid, p, n, unnest(range(least(100, p * n))) AS cell FROM (SELECT qid, count(*) AS p FROM poss GROUP BY qid) JOIN (SELECT qid, count(*) AS n FROM negs GROUP BY qid) USING (qid)),
+turn1 AS (SELECT qid, p, n, (cell // n + ('0x' || substr(md5('42|' || qid || '|1|' || cell % n), 1, 15))::BIGINT % p) % p AS i, cell % n AS j FROM grid),
+turn2 AS (SELECT qid, p, n, i, (j + ('0x' || substr(md5('42|' || qid || '|2|' || i), 1, 15))::BIGINT % n) % n AS j FROM turn1),
+turn3 AS (SELECT qid, p, n, (i + ('0x' || substr(md5('42|' || qid || '|3|' || j), 1, 15))::BIGINT % p) % p AS i, j FROM turn2),
+turn4 AS (SELECT qid, i, (j + ('0x' || substr(md5('42|' || qid || '|4|' || i), 1, 15))::BIGINT % n) % n AS j FROM turn3),
+pairs AS (
+  SELECT t.qid, p.docid AS pos, n.docid AS neg FROM turn4 t JOIN poss p ON p.qid = t.qid AND p.at = t.i JOIN negs n ON n.qid = t.qid AND n.at = t.j
 ), chunked AS (SELECT docid, c AS chunk, len(k) AS n_tokens, unnest(k) AS term FROM (SELECT docid, c, t[c * 64 + 1:c * 64 + 64] AS k FROM (SELECT docid, t, unnest(range(0, (len(t) + 63) // 64)) AS c FROM toks))),
 chunk_weights AS (SELECT docid, chunk, n_tokens, term, ln(1 + count(*)) AS weight FROM chunked GROUP BY ALL),
 paper_means AS (
@@ -115,7 +124,7 @@ def _(t):
 
 @query("lookup_passage", "SELECT docid, text FROM passages WHERE docid IN ('1_1', '7_0', '42_2')")
 def _(t):
-    return C.lookup(t.papers(), ["1_1", "7_0", "42_2"])
+    return S.find(t.spark, t.passage_store(), ["1_1", "7_0", "42_2"])
 
 
 @query("topics_limit", "SELECT qid, query FROM (SELECT *, row_number() OVER (ORDER BY qid::BIGINT) AS n FROM topics) WHERE n <= 10")
@@ -533,9 +542,20 @@ def _(t):
     return _compared(t).select("metric", "run_a", "run_b", r6("t"), "df")
 
 
-@query("paired_p")
+#: p from the finite series for whole degrees of freedom; the library folds a continued fraction.
+PAIRED_P = """
+, angles AS (SELECT *, atan(abs(t) / sqrt(df)) AS a FROM tests WHERE level = 1),
+series AS (
+  SELECT *, CASE WHEN t IS NULL THEN NULL WHEN df % 2 = 1 THEN 1 - 2 / pi() * (a + sin(a) * cos(a) * coalesce(list_sum(list_transform(range((df - 1) // 2), lambda k: exp(lgamma(k + 1) + lgamma(1.5) - lgamma(k + 1.5)) * pow(cos(a), 2 * k))), 0))
+    ELSE 1 - sin(a) * list_sum(list_transform(range(df // 2), lambda k: exp(lgamma(k + 0.5) - lgamma(0.5) - lgamma(k + 1)) * pow(cos(a), 2 * k))) END AS p FROM angles
+)
+SELECT metric, run_a, run_b, round(p, 6) AS p, CASE WHEN p = 0 THEN 0.0 ELSE round(p * pow(10.0, 2 - floor(log10(abs(p))))) / pow(10.0, 2 - floor(log10(abs(p)))) END AS p_shown,
+  CASE WHEN p < 0.05 THEN CASE WHEN mean_a > mean_b THEN run_a ELSE run_b END END AS better FROM series"""
+
+
+@query("paired_p", PAIRED_P)
 def _(t):
-    return _compared(t).select("metric", "run_a", "run_b", "p", "p_shown", "better")
+    return _compared(t).select("metric", "run_a", "run_b", r6("p"), "p_shown", "better")
 
 
 def _evaluated(t: Tables) -> V.Outcome:
@@ -814,9 +834,8 @@ NUMBERED = "SELECT doc_id::VARCHAR AS paper_id, (row_number() OVER (ORDER BY doc
 
 
 def _shards(t: Tables) -> DataFrame:
-    # a name a file, in one order: ids only
     names = t.table("documents").select(F.col("doc_id").cast("string").alias("paper_id")).distinct()
-    return names.withColumn("shard", F.expr("(row_number() over (order by paper_id) - 1) div 100 + 1"))
+    return numbered(names, "paper_id").withColumn("shard", F.expr("(place - 1) div 100 + 1")).drop("place")
 
 
 @query("index_shards", f"SELECT shard, count(*) AS papers, min(paper_id) AS first_paper, max(paper_id) AS last_paper FROM ({NUMBERED}) GROUP BY shard")
