@@ -73,11 +73,11 @@ def parts_of(text: str, n: int) -> list[str]:
     return [glue.join(units[i : i + step]) for i in range(0, len(units), step)]
 
 
-def encode_batches(batches: Iterator[pd.Series], encode: Callable[[list[str]], list], most_parts: int = 11) -> Iterator[pd.Series]:
-    """Encodes batches; a failing batch is tried text by text, a failing text in 2 to `most_parts` parts whose mean is normalised.  What still fails is null."""
+def attempts(batches: Iterator[pd.Series], encode: Callable[[list[str]], list], most_parts: int = 11) -> Iterator[list[tuple]]:
+    """(vector, error) of each text of each batch; a failing batch is tried text by text, a failing text in 2 to `most_parts` parts whose mean is normalised.  What still fails has no vector, but the first error."""
     import numpy as np
 
-    def in_parts(text: str):
+    def in_parts(text: str, error: str):
         for n in range(2, most_parts + 1):
             try:
                 got = encode(parts_of(text, n))
@@ -85,32 +85,71 @@ def encode_batches(batches: Iterator[pd.Series], encode: Callable[[list[str]], l
                 continue
             mean = np.mean(np.asarray(got, float), axis=0)
             length = float(np.linalg.norm(mean))
-            return (mean / length).tolist() if length > 0 else None
-        return None
+            return ((mean / length).tolist(), None) if length > 0 else (None, "the mean of its parts is zero")
+        return None, error
 
     def alone(text: str):
         try:
-            return encode([text])[0]
-        except Exception:  # noqa: BLE001
-            return in_parts(text)
+            return encode([text])[0], None
+        except Exception as e:  # noqa: BLE001
+            return in_parts(text, f"{type(e).__name__}: {e}")
 
     for b in batches:
         try:
-            yield pd.Series(encode(b.tolist()), index=b.index, dtype=object)
+            yield [(v, None) for v in encode(b.tolist())]
         except Exception:  # noqa: BLE001
-            yield pd.Series([alone(t) for t in b], index=b.index, dtype=object)
+            yield [alone(t) for t in b]
+
+
+def encode_batches(batches: Iterator[pd.Series], encode: Callable[[list[str]], list], most_parts: int = 11) -> Iterator[pd.Series]:
+    """The vectors of `attempts`."""
+    def index(held):
+        for b in batches:
+            held.append(b.index)
+            yield b
+
+    held: list = []
+    for found in attempts(index(held), encode, most_parts):
+        yield pd.Series([v for v, _ in found], index=held.pop(), dtype=object)
+
+
+def hashed_loader(dims: int = 64) -> Callable[[], Callable[[list[str]], list]]:
+    """`hashed` as a model that is loaded once a task; a text without terms has a zero vector."""
+
+    def load():
+        import hashlib
+        import math
+
+        def encode(texts):
+            out = []
+            for t in texts:
+                v, counts = [0.0] * dims, {}
+                for term in t.lower().split():
+                    counts[term] = counts.get(term, 0) + 1
+                for term, n in counts.items():
+                    v[int(hashlib.md5(term.encode()).hexdigest()[:8], 16) % dims] += math.log1p(n)
+                length = math.sqrt(sum(x * x for x in v)) or 1.0
+                out.append([x / length for x in v])
+            return out
+
+        return encode
+
+    return load
 
 
-def encoded(rows: DataFrame, load: Callable[[], Callable[[list[str]], list]], text: str = "text", vector: str = "vector", batch: int = 16) -> DataFrame:
-    """rows with a column of vectors; `load` is called once a task and gives the encoder, null texts read as empty."""
-    kept = rows.drop(vector)
-    schema = T.StructType([*kept.schema.fields, T.StructField(vector, T.ArrayType(T.DoubleType()))])
+def encoded(rows: DataFrame, load: Callable[[], Callable[[list[str]], list]], text: str = "text", vector: str = "vector", batch: int = 16, error: str | None = None) -> DataFrame:
+    """rows with a column of vectors, and one of errors if `error` names it; `load` is called once a task and gives the encoder, null texts read as empty."""
+    names = [vector, *([error] if error else [])]
+    kept = rows.drop(*names)
+    schema = T.StructType([*kept.schema.fields, T.StructField(vector, T.ArrayType(T.DoubleType())), *([T.StructField(error, T.StringType())] if error else [])])
 
     def run(frames):
         encode = load()
         for f in frames:
             pieces = (f[text].fillna("")[i : i + batch] for i in range(0, len(f), batch))
-            found = [None if v is None else [float(x) for x in v] for s in encode_batches(pieces, encode) for v in s]
-            yield f.assign(**{vector: pd.Series(found, index=f.index, dtype=object)})
+            found = [x for part in attempts(pieces, encode) for x in part]
+            vectors = [None if v is None else [float(x) for x in v] for v, _ in found]
+            columns = dict(zip(names, (vectors, [e for _, e in found])))
+            yield f.assign(**{n: pd.Series(c, index=f.index, dtype=object) for n, c in columns.items()})
 
     return kept.mapInPandas(run, schema)

@@ -96,8 +96,12 @@ def training_rows(qrels: DataFrame, queries: DataFrame, passages: DataFrame) ->
     return rows.where((F.size("pos") > 0) & (F.size("neg") > 0)).join(queries.select("qid", "query"), "qid").where(F.length(F.trim("query")) > 0).select("qid", "query", "pos", "neg")
 
 
-def training_stats(rows: DataFrame) -> DataFrame:
-    return rows.agg(F.count("*").alias("rows"), F.sum(F.size("pos")).alias("positives"), F.sum(F.size("neg")).alias("negatives"))
+def training_stats(rows: DataFrame, qrels: DataFrame, passages: DataFrame) -> DataFrame:
+    """Rows, positives and negatives; judged queries that gave no row (skipped), and relevant documents without a text (missing)."""
+    made = rows.agg(F.count("*").alias("rows"), F.sum(F.size("pos")).alias("positives"), F.sum(F.size("neg")).alias("negatives"))
+    asked = qrels.agg(F.countDistinct("qid").alias("asked"))
+    missing = missing_docs(qrels.where("rel > 0"), passages).agg(F.count("*").alias("missing"))
+    return made.crossJoin(asked).crossJoin(missing).select("rows", "positives", "negatives", (F.col("asked") - F.col("rows")).alias("skipped"), "missing")  # a row each
 
 
 def missing_docs(qrels: DataFrame, passages: DataFrame) -> DataFrame:

@@ -8,11 +8,11 @@ from pyspark.sql import functions as F
 import json
 
 from lanternrank.functions.vectors import dot
-from lanternrank.operators.encoders import term_weights
+from lanternrank.operators.encoders import hashed_loader, term_weights
 from lanternrank.operators.ranking import dense_scores, rank, small
 from lanternrank.sources import corpus as C
 from lanternrank.sources import store, workspace
-from lanternrank.sources.indexes import DenseIndex, SparseIndex, build_dense, build_sparse, update_sparse
+from lanternrank.sources.indexes import DenseIndex, SparseIndex, build_dense, build_sparse, encode_dense, update_sparse
 
 
 class Tables:
@@ -87,6 +87,11 @@ class Tables:
         path = self._made("dense", "embeddings", lambda path, signature: build_dense(self.vectors(), path, signature), format=2)
         return DenseIndex(self.spark, path)
 
+    def encoded_index(self) -> DenseIndex:
+        """A dense index of the passages' texts by the stand-in encoder."""
+        path = self._made("encoded", "documents", lambda path, signature: encode_dense(self.passages(), path, signature, hashed_loader()), encoder="hashed 64")
+        return DenseIndex(self.spark, path)
+
     def _line(self, rows: DataFrame) -> DataFrame:
         """rows (vec_id) with text: the line of the vector's document at its place among the document's vectors, all of it if that line is blank."""
         docs = self.documents().select(F.col("doc_id").alias("_doc"), F.col("text").alias("_text"))

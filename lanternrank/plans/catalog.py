@@ -238,10 +238,23 @@ def _(t):
     return P.paper_max_pool(_postings(t)).select("paper_id", "term", r6("weight"))
 
 
-@query("dense_encode", """
+FILLED = """
 , hashes AS (SELECT docid, ('0x' || substr(md5(term), 1, 8))::BIGINT % 64 AS place, sum(weight) AS w FROM postings GROUP BY ALL),
 filled AS (SELECT docid, list(coalesce(w, 0) ORDER BY i) AS m FROM (SELECT d.docid, i, w FROM (SELECT DISTINCT docid FROM hashes) d CROSS JOIN range(64) r(i) LEFT JOIN hashes s ON s.docid = d.docid AND s.place = i) GROUP BY docid)
-SELECT docid, list_transform(m, lambda x: round(x / greatest(sqrt(list_dot_product(m, m)), 1e-12), 6)) AS unit FROM filled""")
+SELECT docid, list_transform(m, lambda x: round(x / greatest(sqrt(list_dot_product(m, m)), 1e-12), 6)) AS unit FROM filled"""
+
+
+@query("dense_from_texts", FILLED)
+def _(t):
+    return t.encoded_index().vectors().select("docid", F.transform("vector", lambda x: F.round(x, 6)).alias("unit"))
+
+
+@query("dense_dropped", r"SELECT docid, 'zero vector' AS reason FROM toks WHERE len(t) = 0")
+def _(t):
+    return t.encoded_index().dropped()
+
+
+@query("dense_encode", FILLED)
 def _(t):
     return E.hashed(t.passages()).select("docid", F.transform("vector", lambda x: F.round(x, 6)).alias("unit"))
 
@@ -312,9 +325,9 @@ def _(t):
     return _shown(R.rank(_body(t)), "docid")
 
 
-@query("topk_sparse", "SELECT qid, docid, round(score, 6) AS score, rank::INTEGER AS rank FROM sparse_body WHERE rank <= 20")
+@query("topk_sparse", "SELECT qid, docid, round(score, 6) AS score, rank::INTEGER AS rank FROM sparse_body WHERE rank <= 100")
 def _(t):
-    return _shown(R.rank(_body(t), k=20), "docid")
+    return _shown(R.rank(_body(t), k=100), "docid")
 
 
 def padded_sql(item: str, hits: str, items: str, k: int = 100) -> str:
@@ -411,9 +424,9 @@ def _(t):
     return _best(t).select("qid", "paper_id", "docid", r6("score"))
 
 
-@query("papers_from_paragraphs", f"SELECT qid, paper_id, docid, round(score, 6) AS score, rank::INTEGER AS rank FROM (SELECT *, {RANKED.format('paper_id')} FROM ({BEST})) WHERE rank <= 20")
+@query("papers_from_paragraphs", f"SELECT qid, paper_id, docid, round(score, 6) AS score, rank::INTEGER AS rank FROM (SELECT *, {RANKED.format('paper_id')} FROM ({BEST})) WHERE rank <= 100")
 def _(t):
-    return R.rank(_best(t), "paper_id", k=20).select("qid", "paper_id", "docid", r6("score"), "rank")
+    return R.rank(_best(t), "paper_id", k=100).select("qid", "paper_id", "docid", r6("score"), "rank")
 
 
 @query("q_dense_paper_maxp", f"SELECT qid, paper_id, round(score, 6) AS score, rank::INTEGER AS rank FROM (SELECT *, {RANKED.format('paper_id')} FROM ({BEST})) WHERE rank <= 100")
@@ -428,18 +441,18 @@ def _(t):
 
 # ---- reranking
 
-TOP = "SELECT qid, docid FROM sparse_body WHERE rank <= 20"
+TOP = "SELECT qid, docid FROM sparse_body WHERE rank <= 100"
 OVERLAP = "len(list_intersect(list_distinct(q.t), d.t)) / greatest(len(list_distinct(q.t)), 1)"
 
 
 @query("rerank_input", f"SELECT c.qid, c.docid, q.query, p.text FROM ({TOP}) c JOIN topics q USING (qid) JOIN passages p USING (docid)")
 def _(t):
-    return R.rerank_input(R.rank(_body(t), k=20).select("qid", "docid"), t.topics(), t.passages()).select("qid", "docid", "query", "text")
+    return R.rerank_input(R.rank(_body(t), k=100).select("qid", "docid"), t.topics(), t.passages()).select("qid", "docid", "query", "text")
 
 
 @query("rerank", f"SELECT qid, docid, round(score, 6) AS score, rank::INTEGER AS rank FROM (SELECT *, {RANKED.format('docid')} FROM (SELECT c.qid, c.docid, {OVERLAP} AS score FROM ({TOP}) c JOIN topic_toks q USING (qid) JOIN toks d USING (docid)))")
 def _(t):
-    return _shown(R.rerank(R.rank(_body(t), k=20), t.topics(), t.passages(), R.overlap_scorer), "docid")
+    return _shown(R.rerank(R.rank(_body(t), k=100), t.topics(), t.passages(), R.overlap_scorer), "docid")
 
 
 #: The texts of vectors: a line of their document, or all of it.
@@ -725,9 +738,16 @@ def _(t):
     return L.training_rows(t.qrels(), t.query_texts(), t.vector_texts())
 
 
-@query("training_stats", f"SELECT count(*) AS rows, sum(len(pos))::BIGINT AS positives, sum(len(neg))::BIGINT AS negatives FROM ({ROWS})")
+STATS = ROWS.replace("FROM qrels GROUP", "FROM qrels WHERE docid IN (SELECT docid FROM vecs WHERE vec_id % 3 <> 0) GROUP")
+
+
+@query("training_stats", f"""
+, kept AS ({STATS}), judged_docs AS (SELECT DISTINCT docid FROM qrels WHERE rel > 0)
+SELECT count(*) AS rows, sum(len(pos))::BIGINT AS positives, sum(len(neg))::BIGINT AS negatives, (SELECT count(DISTINCT qid) FROM qrels) - count(*) AS skipped,
+  (SELECT count(*) FROM judged_docs WHERE docid NOT IN (SELECT docid FROM vecs WHERE vec_id % 3 <> 0)) AS missing FROM kept""")
 def _(t):
-    return L.training_stats(L.training_rows(t.qrels(), t.query_texts(), t.vector_texts()))
+    texts = t.vector_texts().join(t.vectors().where("vec_id % 3 <> 0").select("docid"), "docid", "left_semi")  # a third of the judged passages have no text
+    return L.training_stats(L.training_rows(t.qrels(), t.query_texts(), texts), t.qrels(), texts)
 
 
 def _split(name: str, f, size: str):
@@ -871,9 +891,9 @@ def _(t):
     return V.steady_mean(_latency(t)).select("method", r6("mean_ms"), F.row_number().over(Window.orderBy(F.round("mean_ms", 9), "method")).alias("place"))
 
 
-@query("plot_loss", "SELECT event_type AS model, event_id % 20 AS epoch, part, round(loss, 6) AS loss FROM (UNPIVOT (SELECT event_type, event_id, value AS train_loss, value / 2 AS val_loss FROM events WHERE value IS NOT NULL AND event_id < 100) ON train_loss, val_loss INTO NAME part VALUE loss)")
+@query("plot_loss", "SELECT model, epoch, part, round(loss, 6) AS loss FROM (UNPIVOT (SELECT event_type AS model, event_id % 20 AS epoch, max(value) AS train_loss, min(value) AS val_loss FROM events WHERE value IS NOT NULL GROUP BY ALL) ON train_loss, val_loss INTO NAME part VALUE loss)")
 def _(t):
-    history = t.table("events").where("value is not null and event_id < 100").select(F.col("event_type").alias("model"), (F.col("event_id") % 20).alias("epoch"), F.col("value").alias("train_loss"), (F.col("value") / 2).alias("val_loss"))
+    history = t.table("events").where("value is not null").groupBy(F.col("event_type").alias("model"), (F.col("event_id") % 20).alias("epoch")).agg(F.max("value").alias("train_loss"), F.min("value").alias("val_loss"))
     return V.loss_curves(history).select("model", "epoch", "part", r6("loss"))
 
 

@@ -26,7 +26,7 @@ from lanternrank.functions import text as X
 from lanternrank.functions.vectors import FLOOR, l2_normalize, norm
 from lanternrank.operators import blocks as B
 from lanternrank.operators import ranking as R
-from lanternrank.operators.encoders import SparseEncoder, max_pool, term_weights
+from lanternrank.operators.encoders import SparseEncoder, encoded, max_pool, term_weights
 from lanternrank.sources import workspace
 from lanternrank.sources.corpus import content_print, index_bytes
 
@@ -324,6 +324,27 @@ def add_dense(vectors: DataFrame, folder: str, signature: str) -> DenseIndex:
     return DenseIndex(spark, folder, signature)
 
 
+def encode_dense(passages: DataFrame, folder: str, signature: str, load, batch: int = 16) -> DenseIndex:
+    """Encodes passages (docid, text) and adds them; `dropped` keeps those that got no vector, with what went wrong.
+
+    load gives an encoder, once a task.  Texts of like length stand together,
+    so a batch isn't padded to one long text.
+    """
+    spark = passages.sparkSession
+    rows = passages.select("docid", "text").repartition("docid").sortWithinPartitions(F.length("text"))
+    path = workspace.new_path(spark, "encoded")
+    encoded(rows, load, batch=batch, error="error").select("docid", "vector", "error").write.parquet(path)
+    held = spark.read.schema("docid string, vector array<double>, error string").parquet(path)
+    try:
+        wild = F.exists("vector", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+        why = F.when(F.col("vector").isNull(), F.coalesce("error", F.lit("no vector"))).when(wild, "not a number").when(norm(F.col("vector")) == 0, "zero vector")
+        told = held.withColumns({"reason": why, "paper_id": X.paper_id_last(F.col("docid"))})
+        told.where("reason is not null").select("docid", "reason").write.mode("append").parquet(f"{folder}/dropped")
+        return add_dense(told.where("reason is null"), folder, signature)
+    finally:
+        workspace.delete(spark, path)
+
+
 @dataclass
 class DenseIndex:
     spark: SparkSession
@@ -348,6 +369,12 @@ class DenseIndex:
         """docid, paper_id, vector."""
         return self.blocks().select(F.inline("passages"))
 
+    def dropped(self) -> DataFrame:
+        """docid and reason of passages that got no vector."""
+        schema = "docid string, reason string"
+        path = f"{self.folder}/dropped"
+        return self.spark.read.schema(schema).parquet(path) if workspace.exists(self.spark, path) else self.spark.createDataFrame([], schema)
+
     def papers(self) -> DataFrame:
         """paper_id and the normalised mean of its vectors; a zero mean is dropped."""
         rows = self._read("papers", STATE)

@@ -566,6 +566,28 @@ def test_encoded_rows(spark):
     assert [round(x, 6) for x in got[5]] == [round(x / math.hypot(7 / 3, 1), 6) for x in (7 / 3, 1)]
 
 
+def test_encoding_builds_the_index(spark, tmp_path):
+    """Texts become vectors of an index; what fails in every way is told with its error, and a later build adds to the index."""
+
+    def load():
+        inner = E.hashed_loader(8)()
+
+        def encode(texts):
+            if any("Z" in t for t in texts):
+                raise MemoryError("too long")
+            return inner(texts)
+
+        return encode
+
+    rows = spark.createDataFrame([("p_1", "a b c"), ("p_2", "Z" * 40), ("q_1", ""), ("q_2", None), ("q_3", "b b")], "docid string, text string")
+    index = indexes.encode_dense(rows, f"{tmp_path}/d", "s", load, batch=2)
+    assert {tuple(r) for r in index.dropped().collect()} == {("p_2", "MemoryError: too long"), ("q_1", "zero vector"), ("q_2", "zero vector")}
+    want = {r.docid: [round(x, 9) for x in r.vector] for r in E.hashed(rows.where("docid in ('p_1', 'q_3')"), 8).collect()}
+    assert {r.docid: [round(x, 9) for x in r.vector] for r in index.vectors().collect()} == want
+    index = indexes.encode_dense(spark.createDataFrame([("q_4", "c")], "docid string, text string"), f"{tmp_path}/d", "s", load)
+    assert index.counts["paragraph"] == 3 and index.papers().count() == 2
+
+
 def test_encode_fallback():
     import pandas as pd
 
