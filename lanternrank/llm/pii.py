@@ -18,7 +18,7 @@ that a kind's learning rows never had are hidden when they are judged.
 Documents of one fold in five are kept from the trees: on these the
 lower confidence bound of a kind's precision reaches `precision` from its
 threshold on, which lies halfway to the next lower score, where it doesn't; a
-kind without such a score adds nothing.
+kind without such a score, or without counterexamples among them, adds nothing.
 
 Features are small integers, so the training set is a table of counts by
 feature vector, bounded by the product of their ranges whatever the corpus
@@ -266,7 +266,7 @@ def learn(counts: list[tuple], precision: float = 0.9) -> tuple[list, list[float
     for k in range(len(KINDS)):
         mine = np.flatnonzero(kept & (x[:, 0] == k))
         limit = float("inf")
-        found = sorted(set(score[mine]), reverse=True)
+        found = sorted(set(score[mine]), reverse=True) if (y[mine] == 0).any() else []  # without a counterexample nothing is measured
         for t, below in zip(found, [*found[1:], None]):
             at = mine[score[mine] >= t - 1e-9]
             if bound((n[at] * y[at]).sum(), n[at].sum()) >= precision:  # halfway to what would fail; a half, where nothing does

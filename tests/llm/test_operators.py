@@ -830,6 +830,8 @@ def test_thresholds_are_calibrated():
     bad = [row(1, 9, 1, True, 20), row(1, 9, 0, True, 20)]
     few = [row(2, 9, 1, True, 5)]
     trees, limits, seen = pii.learn(sorted(learning + good + bad + few))
+    sure = pii.learn(sorted(learning + good + [row(3, 9, 1, True, 500)]))[1]  # no counterexample in the kept fold, however many rows it has
+    assert sure[3] == float("inf") and sure[0] < float("inf")
     x = np.array([row(0, d, 0, False, 0)[:9] for d in (4, 9)])
     low, high = sum(pii.apply(t, x) for t in trees)
     assert low < limits[0] < high and limits[1:] == [float("inf")] * 3 and seen == [{0}] * 4
