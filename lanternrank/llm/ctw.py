@@ -104,6 +104,52 @@ def windows(chunk: list[Segment]) -> tuple[np.ndarray, np.ndarray]:
     return key[own], np.concatenate(([0], np.cumsum(size - DEPTH)[:-1]))
 
 
+def ranks(keys: np.ndarray) -> np.ndarray:
+    """Each key's place among the distinct ones in order.
+
+    Keys are packed with their positions where the bytes that occur leave room for it, for numbers sort much faster than places do.
+    """
+    n, pairs = len(keys), np.zeros(1 << 16, bool)
+    for k in (0, 16, 32):
+        pairs[(keys >> k) & 0xFFFF] = True
+    pairs = pairs.reshape(256, 256)
+    own = pairs.any(axis=0) | pairs.any(axis=1)
+    width, free = max(1, (int(own.sum()) - 1).bit_length()), max(1, (n - 1).bit_length())
+    if width * (DEPTH + 1) + free > 64:
+        order = np.argsort(keys)
+        keys = keys[order]
+    else:
+        small = np.where(own, np.cumsum(own) - 1, 0).astype(np.uint64)
+        small = (small[:, None] << np.uint64(width) | small).ravel()
+        packed = small[keys >> 32]
+        for k in (16, 0):
+            packed <<= np.uint64(2 * width)
+            packed |= small[(keys >> k) & 0xFFFF]
+        packed <<= np.uint64(free)
+        packed |= np.arange(n, dtype=np.uint64)
+        packed.sort()
+        order = (packed & np.uint64((1 << free) - 1)).astype(np.int64)
+        packed >>= np.uint64(free)
+        keys = packed
+    new = np.ones(n, np.int32)
+    new[0] = 0
+    new[1:] = keys[1:] != keys[:-1]
+    out = np.empty(n, np.int32)
+    out[order] = np.cumsum(new, dtype=np.int32)
+    return out
+
+
+def _planes(a: np.ndarray) -> bytes:
+    """Numbers with their bytes side by side by significance: the high ones, mostly alike, then take little room in files."""
+    return np.ascontiguousarray(a.view(np.uint8).reshape(-1, a.itemsize).T).tobytes()
+
+
+def _numbers(data: bytes, kind) -> np.ndarray:
+    """What `_planes` took."""
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, -1).T).view(kind).ravel()
+
+
 def _binaries(data: np.ndarray, cuts: np.ndarray) -> pa.Array:
     """The bytes of data between cuts (numbers of elements) as a binary column."""
     return pa.Array.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer((cuts * data.itemsize).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))])
@@ -124,14 +170,11 @@ def told(chunk: list[Segment], held: list[bool]) -> tuple[np.ndarray, np.ndarray
 def priced_sums(chunk: list[Segment], price: np.ndarray) -> np.ndarray:
     """Each segment's sum of the prices of its windows; price: of the chunk's distinct windows in order."""
     keys, first = windows(chunk)
-    order = np.argsort(keys)
-    keys = keys[order]
-    place = np.cumsum(np.concatenate(([False], keys[1:] != keys[:-1])), dtype=np.int32)
+    place = ranks(keys)
     del keys
-    if len(price) != place[-1] + 1:
+    if len(price) != place.max() + 1:
         raise ValueError("a second reading of the documents gave other rows")
-    each = np.empty(len(order), np.float32)
-    each[order] = price[place]
+    each = price[place]
     return np.add.reduceat(each, first, dtype=np.float64)
 
 
@@ -155,7 +198,7 @@ def _tell(chunk_bytes: int):
             pair = (found >> 32).astype(np.int32)
             cuts = np.concatenate((np.flatnonzero(np.concatenate(([True], pair[1:] != pair[:-1]))), [len(pair)]))
             rows = len(cuts) - 1
-            yield pa.RecordBatch.from_arrays([pa.array(pair[cuts[:-1]]), pa.array(np.full(rows, part, np.int32)), pa.array(np.full(rows, number, np.int32)), _binaries(found.astype(np.uint32), cuts), _binaries(n, cuts)], names=["pair", "part", "chunk", "low", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(pair[cuts[:-1]]), pa.array(np.full(rows, part, np.int32)), pa.array(np.full(rows, number, np.int32)), *(pa.array([_planes(x[a:b]) for a, b in zip(cuts, cuts[1:])], pa.binary()) for x in (found.astype(np.uint32), n))], names=["pair", "part", "chunk", "low", "n"])
 
     return run
 
@@ -214,6 +257,24 @@ def _bits(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return n[:, 0:512:2][:, :256], n[:, 1:512:2][:, :256]
 
 
+def decisions(alphabet: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Nodes on the paths of some bytes (in order), and where the bytes under each begin, divide and end."""
+    node, cuts = [], []
+    for level in range(8):
+        prefix = np.unique(alphabet >> (8 - level))
+        node.append(1 << level | prefix)
+        cuts.append(np.searchsorted(alphabet, np.stack([(2 * prefix + k) << (7 - level) for k in range(3)])))
+    return np.concatenate(node), np.concatenate(cuts, axis=1)
+
+
+def _at_nodes(counts: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Zeros and ones seen at each node of `decisions`, for rows of its bytes' counts."""
+    n = np.zeros((len(counts), counts.shape[1] + 1))
+    np.cumsum(counts, axis=1, out=n[:, 1:])
+    low, middle, high = (n[:, c] for c in cuts)
+    return middle - low, high - middle
+
+
 def _kt(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return _looked(_HALF, a, 0.5) + _looked(_HALF, b, 0.5) - _looked(_WHOLE, a + b, 1.0) - np.log(np.pi)
 
@@ -241,7 +302,10 @@ def _prices(p: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Tree:
-    """Contexts by depth (0 is the tree's own root) as numbers, youngest byte lowest; arrays are rows of contexts by nodes."""
+    """Contexts by depth (0 is the tree's own root) as numbers, youngest byte lowest; arrays are rows of contexts by the nodes that the tree's bytes pass.
+
+    No count reaches any other node, so its weight is one everywhere.
+    """
 
     ctx: list
     parent: list
@@ -250,7 +314,9 @@ class Tree:
     own: list  # estimates of each context, of its pooled extensions, and the weight of stopping at it
     rest: list
     stop: list
-    weighted: np.ndarray  # log weighted probability of the root, by node
+    weighted: np.ndarray  # log weighted probability of the root, by number of the node
+    alphabet: np.ndarray  # bytes that it may price, in order
+    node: np.ndarray  # numbers of the nodes
 
 
 def _sums(rows: np.ndarray, parent: np.ndarray, size: int) -> np.ndarray:
@@ -263,8 +329,8 @@ def _sums(rows: np.ndarray, parent: np.ndarray, size: int) -> np.ndarray:
     return out
 
 
-def tree(entries: list[tuple[np.ndarray, np.ndarray]]) -> Tree:
-    """The tree of counts, weighed bottom up.
+def tree(entries: list[tuple[np.ndarray, np.ndarray]], alphabet: np.ndarray = SYM) -> Tree:
+    """The tree of counts, weighed bottom up; alphabet: the bytes that are counted or will be priced, in order.
 
     entries: for each depth the (context << 8 | byte) keys of its own contexts,
     sorted, and counts; a context's shorter one is among those before.
@@ -272,10 +338,10 @@ def tree(entries: list[tuple[np.ndarray, np.ndarray]]) -> Tree:
     depth = len(entries) - 1
     ctx = [np.zeros(1, np.int64)] + [np.unique(k >> 8) for k, _ in entries[1:]]
     first = np.concatenate(([0], np.cumsum([len(c) for c in ctx])))
-    counts = []
+    counts, (node, cuts) = [], decisions(alphabet)
     for d, (k, n) in enumerate(entries):
-        c = np.zeros((len(ctx[d]), 256))
-        c[np.searchsorted(ctx[d], k >> 8), k & 255] = n
+        c = np.zeros((len(ctx[d]), len(alphabet)))
+        c[np.searchsorted(ctx[d], k >> 8), np.searchsorted(alphabet, k & 255)] = n
         counts.append(c)
     parent = [None] + [np.searchsorted(ctx[d - 1], ctx[d] & ((1 << (8 * (d - 1))) - 1)) for d in range(1, depth + 1)]
     step = np.full((int(first[max(depth, 1)]), 256), -1, np.int32)  # the deepest have no extensions
@@ -284,26 +350,28 @@ def tree(entries: list[tuple[np.ndarray, np.ndarray]]) -> Tree:
     stop, own, rest = [None] * (depth + 1), [None] * (depth + 1), [None] * (depth + 1)
     below = above = weighted = None
     for d in range(depth, -1, -1):
-        stop[d], own[d] = np.ones((len(ctx[d]), 256), np.float32), np.empty((len(ctx[d]), 256), np.float32)
-        weighted = np.empty((len(ctx[d]), 256))
+        stop[d], own[d] = np.ones((len(ctx[d]), len(node)), np.float32), np.empty((len(ctx[d]), len(node)), np.float32)
+        weighted = np.empty((len(ctx[d]), len(node)))
         if d < depth:
             left = counts[d] - _sums(counts[d + 1], parent[d + 1], len(ctx[d]))
             below, counts[d + 1] = _sums(above, parent[d + 1], len(ctx[d])), None
-            rest[d] = np.empty((len(ctx[d]), 256), np.float32)
+            rest[d] = np.empty((len(ctx[d]), len(node)), np.float32)
         for at in range(0, len(ctx[d]), 2048):
             s = slice(at, at + 2048)
-            a, b = _bits(counts[d][s])
+            a, b = _at_nodes(counts[d][s], cuts)
             mine = _kt(a, b)
             own[d][s] = _ones(a, b)
             weighted[s] = mine
             if d < depth:
-                a, b = _bits(left[s])
+                a, b = _at_nodes(left[s], cuts)
                 rest[d][s] = _ones(a, b)
                 both = np.logaddexp(mine, _kt(a, b) + below[s]) - np.log(2)
                 stop[d][s] = np.exp(mine - np.log(2) - both)
                 weighted[s] = both
         above = weighted
-    return Tree(ctx, parent, first, step, own, rest, stop, weighted[0])
+    root = np.zeros(256)
+    root[node] = weighted[0]
+    return Tree(ctx, parent, first, step, own, rest, stop, root, alphabet, node)
 
 
 def _mixed(p: np.ndarray, above: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
@@ -313,27 +381,38 @@ def _mixed(p: np.ndarray, above: list[tuple[np.ndarray, np.ndarray]]) -> np.ndar
     return p
 
 
-def prices(t: Tree, above: list[tuple[np.ndarray, np.ndarray]] = ()) -> np.ndarray:
-    """log10 probability of each byte in each state of a tree, whose root stands below the contexts `above`."""
-    depth, out = len(t.ctx) - 1, np.empty((int(t.first[-1]), 256), np.float32)
-    for d in range(depth + 1):
-        for at in range(0, len(t.ctx[d]), 2048):
-            up = np.arange(at, min(at + 2048, len(t.ctx[d])))
+def prices(t: Tree, state: np.ndarray, symbol: np.ndarray, above: list[tuple[np.ndarray, np.ndarray]] = ()) -> np.ndarray:
+    """log10 probability of each symbol in its state of a tree, whose root stands below the contexts `above`."""
+    order = np.argsort(state, kind="stable")
+    state, symbol, out = state[order], symbol[order].astype(np.int64), np.empty(len(order), np.float32)
+    above = [(own[t.node], stop[t.node]) for own, stop in above]
+    level = np.arange(8)
+    path = np.searchsorted(t.node, (1 << level) | (t.alphabet[:, None] >> (8 - level)))  # of each byte of the alphabet
+    bit = (t.alphabet[:, None] >> (7 - level)) & 1
+    for d in range(len(t.ctx)):
+        asked = np.unique(state[slice(*np.searchsorted(state, t.first[d : d + 2]))])
+        for at in range(0, len(asked), 2048):
+            part = asked[at : at + 2048]
+            up = part - t.first[d]
             p = _sides(t.own[d][up])
-            if d < depth:
+            if d < len(t.ctx) - 1:
                 w = t.stop[d][up]
                 p = w * p + (1 - w) * _sides(t.rest[d][up])
             for e in range(d - 1, -1, -1):
                 up = t.parent[e + 1][up]
                 w = t.stop[e][up]
                 p = w * _sides(t.own[e][up]) + (1 - w) * p
-            out[t.first[d] + at : t.first[d] + at + p.shape[1]] = _prices(_mixed(p, above))
+            logs = np.log10(_mixed(p, above))
+            mine = slice(np.searchsorted(state, part[0]), np.searchsorted(state, part[-1], side="right"))
+            row, x = np.searchsorted(part, state[mine]), np.searchsorted(t.alphabet, symbol[mine])
+            out[order[mine]] = sum(logs[bit[x, k], row, path[x, k]] for k in level)
     return out
 
 
 def entries(low: np.ndarray, n: np.ndarray, least: int) -> list[tuple[np.ndarray, np.ndarray]]:
     """What `tree` takes, of one pair's windows: three older bytes, oldest last, and the byte itself; contexts of fewer than `least` are left to be pooled."""
-    out = [(SYM, np.bincount(low & 255, n, 256))]
+    seen = np.bincount(low & 255, n, 256)
+    out = [(np.flatnonzero(seen), seen[seen > 0])]
     for d in range(1, DEPTH - 1):
         prefix = (low >> np.uint32(8 * (DEPTH - 1 - d))).astype(np.int64)
         start = np.flatnonzero(np.concatenate(([True], prefix[1:] != prefix[:-1])))
@@ -348,6 +427,11 @@ def entries(low: np.ndarray, n: np.ndarray, least: int) -> list[tuple[np.ndarray
     return out
 
 
+def bytes_of(low: np.ndarray) -> np.ndarray:
+    """The bytes that end some windows, in order."""
+    return np.flatnonzero(np.bincount(low & 255, minlength=256))
+
+
 def states(t: Tree, low: np.ndarray) -> np.ndarray:
     """The deepest state of each window."""
     state, live = np.zeros(len(low), np.int64), np.arange(len(low))
@@ -366,7 +450,7 @@ SUBTREES = "pair int, low binary, n binary, counts binary, weighted binary"
 
 
 def _arrays(column: pa.ChunkedArray, kind) -> list[np.ndarray]:
-    return [np.frombuffer(x, kind) for x in column.to_pylist()]
+    return [_numbers(x, kind) for x in column.to_pylist()]
 
 
 def _merge(told: pa.Table) -> pa.Table:
@@ -374,7 +458,7 @@ def _merge(told: pa.Table) -> pa.Table:
     lows = _arrays(told.column("low"), np.uint32)
     low, where = np.unique(np.concatenate(lows), return_inverse=True)
     n = np.bincount(where, np.concatenate(_arrays(told.column("n"), np.uint32)), len(low)).astype(np.int64)
-    values = (told.column("pair")[0].as_py(), low.tobytes(), n.tobytes(), told.column("part").to_pylist(), told.column("chunk").to_pylist(), [len(x) for x in lows], where.astype(np.uint32).tobytes())
+    values = (told.column("pair")[0].as_py(), _planes(low), _planes(n), told.column("part").to_pylist(), told.column("chunk").to_pylist(), [len(x) for x in lows], _planes(where.astype(np.uint32)))
     kinds = (pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.binary())
     return pa.table([pa.array([v], k) for v, k in zip(values, kinds)], names=["pair", "low", "n", "parts", "chunks", "sizes", "places"])
 
@@ -389,8 +473,8 @@ def _weighed(least: int):
             low, where = np.unique(np.concatenate(_arrays(merged.column("low"), np.uint32)), return_inverse=True)
             n = np.bincount(where, np.concatenate(_arrays(merged.column("n"), np.int64)), len(low)).astype(np.int64)
         counts = np.bincount(low & 255, n, 256)
-        weighted = tree(entries(low, n.astype(np.float64), least)).weighted if counts.any() else np.zeros(256)
-        values = (merged.column("pair")[0].as_py(), low.tobytes(), n.tobytes(), counts.astype(np.int64).tobytes(), weighted.tobytes())
+        weighted = tree(entries(low, n.astype(np.float64), least), bytes_of(low)).weighted if counts.any() else np.zeros(256)
+        values = (merged.column("pair")[0].as_py(), _planes(low), _planes(n), counts.astype(np.int64).tobytes(), weighted.tobytes())
         return pa.table([pa.array([v], k) for v, k in zip(values, [pa.int32(), *[pa.binary()] * 4])], names=["pair", "low", "n", "counts", "weighted"])
 
     return run
@@ -450,11 +534,11 @@ def _price(shared, least: int):
         for b in batches:
             for row in range(b.num_rows):
                 pair, asked, low, n, parts, chunks, sizes, places = (b.column(c)[row].as_py() for c in ("pair", "asked", "low", "n", "parts", "chunks", "sizes", "places"))
-                low, n, places = np.frombuffer(low, np.uint32), np.frombuffer(n, np.int64), np.frombuffer(places, np.uint32)
-                asked, above = low if asked is None else np.frombuffer(asked, np.uint32), top.above(pair >> 8)
+                low, n, places = _numbers(low, np.uint32), _numbers(n, np.int64), _numbers(places, np.uint32)
+                asked, above = low if asked is None else _numbers(asked, np.uint32), top.above(pair >> 8)
                 if n.any():
-                    t = tree(entries(low, n.astype(np.float64), least))
-                    price = prices(t, above)[states(t, asked), asked & 255]
+                    t = tree(entries(low, n.astype(np.float64), least), bytes_of(low))
+                    price = prices(t, states(t, asked), asked & 255, above)
                 else:  # nothing is known below the contexts above
                     price = _prices(_mixed(np.full((2, 1, 256), 0.5), above))[0, asked & 255].astype(np.float32)
                 cuts = np.concatenate(([0], np.cumsum(sizes)))

@@ -674,11 +674,33 @@ def test_model_grows_with_the_corpus():
     assert all(b == 2 * a for a, b in zip(sizes[1:], [len(k) for k, _ in ctw.entries(more, np.concatenate((n, n)), 64)][1:]))
 
 
+def test_places_and_files_of_windows():
+    """Packed sorts, and those of places where bytes leave no room, give each window's rank; numbers come back from their planes."""
+    r = np.random.default_rng(5)
+    for kinds, n in ((3, 1), (3, 5000), (100, 70_000), (256, 70_000)):
+        letters = r.choice(256, kinds, replace=False)
+        keys = sum(letters[r.integers(0, kinds, n)].astype(np.int64) << (8 * k) for k in range(ctw.DEPTH + 1))
+        assert np.array_equal(ctw.ranks(keys), np.unique(keys, return_inverse=True)[1])
+        assert np.array_equal(ctw._numbers(ctw._planes(keys), np.int64), keys)
+    assert len(ctw._numbers(b"", np.uint32)) == 0
+
+
+def test_tree_over_fewer_bytes_is_the_same():
+    """Nodes that no byte passes change no price and no weight."""
+    r = np.random.default_rng(6)
+    low = np.unique(sum(r.choice([32, 101, 115, 116, 200], 4000).astype(np.uint32) << np.uint32(8 * k) for k in range(4)))
+    n = r.integers(0, 90, len(low)).astype(float)
+    own, every = (ctw.tree(ctw.entries(low, n, 64), a) for a in (ctw.bytes_of(low), ctw.SYM))
+    assert np.allclose(own.weighted, every.weighted) and len(own.node) < 30
+    assert np.allclose(*(ctw.prices(t, ctw.states(t, low), low & 255) for t in (own, every)))
+
+
 def test_tree_keeps_rare_bytes_possible():
     """Counts far past what a 32-bit fraction tells from one leave every other byte a finite price."""
     for byte in (0, 127, 255):
         keys = np.array([(7 << 8) | byte, (9 << 8) | byte])
-        logp = ctw.prices(ctw.tree([(np.array([byte]), np.array([3e12])), (keys, np.array([2e12, 1e12]))]))
+        t = ctw.tree([(np.array([byte]), np.array([3e12])), (keys, np.array([2e12, 1e12]))])
+        logp = ctw.prices(t, np.repeat(np.arange(3), 256), np.tile(np.arange(256), 3)).reshape(3, 256)
         assert np.isfinite(logp).all() and np.allclose((10.0 ** logp.astype(float)).sum(axis=1), 1, atol=1e-5)
         assert (np.delete(logp[1:], byte, axis=1) < -11).all()
 
