@@ -4,7 +4,8 @@ Bytes are embedded, four to a block; filters look at two neighbouring blocks
 (eight bytes, a step of four), and each is max-pooled over chunks of 256 bytes
 that overlap by half and cover the whole document.  Mean and maximum of the
 chunks' responses give one probability.  The network is fitted on a bounded
-sample of labelled rows (`sample_per_class`), chosen by hash.
+sample of labelled rows (`sample_per_class`), chosen by hash; long ones teach
+by a passage.
 
 Defined cases: null text reads as empty and an empty text is one chunk of
 padding, so it gets a score too; null or repeated ids score like any row;
@@ -169,16 +170,19 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", sample_per
     """Fit on at most `sample_per_class` labelled rows of each class, none of them held out.
 
     The rows are the lowest by a hash of their id; of repeated ids, the smallest
-    text.  Only that sample, with whole texts, reaches the driver: at most
-    2 * sample_per_class * most_bytes bytes, for rows of longer texts teach
-    nothing.  An id with several labels counts under each, if it is drawn.
+    text.  Only that sample reaches the driver, at most 2 * sample_per_class *
+    most_bytes bytes: a text of more than most_bytes bytes teaches by a passage
+    of most_bytes // 4 code points, at a place drawn by the hash of its id.  An
+    id with several labels counts under each, if it is drawn.
     """
     usable = labels.select("doc_id", F.col(label).cast("int").alias("y")).where(F.col("doc_id").isNotNull() & (common.doc_hash_mod("doc_id", fold) != held)).distinct()
     chosen = None
     for k in (0, 1):
         part = usable.where(F.col("y") == k).orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(sample_per_class)
         chosen = part if chosen is None else chosen.unionByName(part)
-    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).where(F.octet_length("text") <= most_bytes)
+    whole, take = F.coalesce("text", F.lit("")), most_bytes // 4  # a code point has four bytes at most
+    start = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.greatest(F.length(whole) - take + 1, F.lit(1))).cast("int") + 1
+    texts = docs.select("doc_id", F.when(F.octet_length(whole) <= most_bytes, whole).otherwise(F.substring(whole, start, F.lit(take))).alias("text"))
     rows = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text")).collect()
     rows.sort(key=lambda r: (r.doc_id, r.text, r.y))
     return fit([r.text.encode() for r in rows], np.array([r.y for r in rows]), seed)

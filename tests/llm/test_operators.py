@@ -862,6 +862,18 @@ def test_thresholds_are_calibrated():
 
 # ---- quality
 
+def test_long_texts_teach(spark):
+    """Where every labelled text is longer than the bound, passages of them still tell the classes apart."""
+    r = np.random.default_rng(3)
+    words = [["river", "stone", "evening", "walked", "because", "garden"], ["zx9", "$$$", "qq", "click", "!!1", "000"]]
+    rows = [(i, " ".join(r.choice(words[i % 2], 20_000)) + ("\u00e9" * 50 if i % 3 else "")) for i in range(24)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1 - i % 2) for i, _ in rows], "doc_id long, quality int")
+    assert min(len(t.encode()) for _, t in rows) > 4 * 8192
+    net = quality.train(docs, labels, most_bytes=8192)
+    assert {(x.doc_id, x.score >= 0.5) for x in quality.classify(docs, net).collect()} == {(i, i % 2 == 0) for i, _ in rows}
+
+
 def test_quality(spark, messy, empty):
     sf = "/root/testdata/sf0.1"
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text"), spark.read.parquet(f"{sf}/labels.parquet")
