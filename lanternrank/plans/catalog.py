@@ -203,6 +203,13 @@ def _(t):
     return C.signature(C.files_of(t.spark, f"{t.dir}/documents.parquet"), {"tokens": 256, "interval": 100})
 
 
+@query("corpus_content", """SELECT sha256('{"interval": 100, "tokens": 256}|' || count(*)::VARCHAR || '|' || coalesce(sum(h), 0)::VARCHAR) AS signature FROM (
+  SELECT ('0x' || left(sha256(strlen(i)::VARCHAR || ':' || i || strlen(t)::VARCHAR || ':' || t), 15))::BIGINT AS h
+  FROM (SELECT coalesce(doc_id::VARCHAR, '') AS i, coalesce(text, '') AS t FROM documents))""")
+def _(t):
+    return C.content_signature(t.table("documents"), ["doc_id", "text"], {"tokens": 256, "interval": 100})
+
+
 # ---- chunks and encoders
 
 @query("chunk_tokens", "SELECT docid, c::INTEGER AS chunk, len(k)::INTEGER AS n_tokens, array_to_string(k, ' ') AS text FROM (SELECT docid, c, t[c * 64 + 1:c * 64 + 64] AS k FROM (SELECT docid, t, unnest(range(0, (len(t) + 63) // 64)) AS c FROM toks))")
@@ -703,6 +710,16 @@ def _(t):
     return C.significance_report(V.evaluate(t.runs(), t.qrels(), order=("half", "full")).comparisons, {"set": "study", "stat_test": "student", "max_p": 0.05})
 
 
+_SERIES = PAIRED_P.replace("level = 1)", "level = 1 OR metric IN ('mrr', 'p5'))").partition("SELECT metric, run_a, run_b, round(p, 6) AS p, ")
+
+
+@query("significance_file", f"{_SERIES[0]}SELECT 'study' AS set, level, run_a, run_b, metric, wins, ties, losses, {_SERIES[2].replace('AS p_shown', 'AS p')}")
+def _(t):
+    path = f"{workspace.shared_dir(t.spark)}/significance-{uuid.uuid4().hex}"
+    C.write_report(C.significance_report(V.evaluate(t.runs(), t.qrels()).comparisons, {"set": "study", "stat_test": "student", "max_p": 0.05}), path)
+    return C.read_significance(t.spark, path)
+
+
 @query("win_tie_loss_ordered", "SELECT level, metric, run_b AS run_a, run_a AS run_b, losses AS wins, ties, wins AS losses FROM tests WHERE level = 1 OR metric IN ('mrr', 'p5')")
 def _(t):
     return V.evaluate(t.runs(), t.qrels(), order=("half", "full")).comparisons.select("level", "metric", "run_a", "run_b", "wins", "ties", "losses")

@@ -228,6 +228,19 @@ def read_summary(spark: SparkSession, path: str) -> DataFrame:
     return runs.select("set", "level_name", "run", "level", F.explode("m").alias("metric", "value"))
 
 
+def read_significance(spark: SparkSession, path: str) -> DataFrame:
+    """set, level, run_a, run_b, metric, p, better, wins, ties, losses of written significance reports; runs' names hold no " vs "."""
+    entry = "struct<p:double,better:string,win_tie_loss:struct<W:long,T:long,L:long>>"
+    schema = f"set string, relevance_passes map<string,struct<relevance_level:int,comparisons:map<string,map<string,{entry}>>>>"
+    rows = spark.read.text(path, wholetext=True).select(F.from_json("value", schema).alias("r"))
+    passes = rows.select(F.col("r.set").alias("set"), F.explode("r.relevance_passes").alias("_", "p"))
+    pairs = passes.select("set", F.col("p.relevance_level").alias("level"), F.explode("p.comparisons").alias("pair", "m"))
+    names = F.split("pair", " vs ")
+    found = pairs.select("set", "level", names[0].alias("run_a"), names[1].alias("run_b"), F.explode("m").alias("metric", "e"))
+    counts = [F.col(f"e.win_tie_loss.{k}").alias(n) for k, n in (("W", "wins"), ("T", "ties"), ("L", "losses"))]
+    return found.select("set", "level", "run_a", "run_b", "metric", "e.p", "e.better", *counts)
+
+
 def write_report(report: DataFrame, path: str) -> None:
     report.coalesce(1).write.mode("overwrite").text(path)
 
@@ -250,11 +263,20 @@ def content_print(*columns: Column) -> Column:
     return F.conv(F.left(F.sha2(F.concat(*parts), 256), F.lit(15)), 16, 10).cast("decimal(38,0)")
 
 
+def content_signature(rows: DataFrame, columns: list[str], settings: dict) -> DataFrame:
+    """SHA-256 over a table's rows, by the given columns, and settings: the same wherever the table lies and however it is cut into files."""
+    return _signed(rows, [F.col(c) for c in columns], settings)
+
+
 def signature(files: DataFrame, settings: dict) -> DataFrame:
     """SHA-256 over a set of files (name, size, changed) and settings.
 
     The set enters as count and sum of prints: order does not matter, and rows
     aggregate where they are.
     """
-    folded = files.agg(F.count("*").alias("n"), F.coalesce(F.sum(content_print(F.col("name"), F.col("size"), F.col("changed"))), F.lit(0)).cast("string").alias("s"))
+    return _signed(files, [F.col(c) for c in ("name", "size", "changed")], settings)
+
+
+def _signed(rows: DataFrame, columns: list[Column], settings: dict) -> DataFrame:
+    folded = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum(content_print(*columns)), F.lit(0)).cast("string").alias("s"))
     return folded.select(F.sha2(F.concat_ws("|", F.lit(json.dumps(settings, sort_keys=True)), F.col("n").cast("string"), "s"), 256).alias("signature"))

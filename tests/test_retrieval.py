@@ -512,6 +512,29 @@ def test_significance_of_twelve_queries(spark):
     assert got["better"] == "bm25" and got["win_tie_loss"] == {"W": 6, "T": 5, "L": 1} and 0 < got["p"] < 0.05 and len(f"{got['p']:.3g}") == len(str(got["p"]))
 
 
+def test_significance_read_back(spark, tmp_path):
+    """A written report gives the same comparisons; null p and better stay null, and a report without pairs has no rows."""
+    values = spark.createDataFrame([(run, str(i), "mrr", level, v) for level in (1, 2) for i in range(9) for run, v in (("a", 0.1 * i), ("b", 0.1 * i), ("c", 0.1 * i - 0.3 - 0.01 * (i % 2)))], "run string, qid string, metric string, level int, value double")
+    found = M.compared(values, ("level", "metric"))
+    C.write_report(C.significance_report(found, {"set": "s"}), f"{tmp_path}/r")
+    names = ["level", "run_a", "run_b", "metric", "p", "better", "wins", "ties", "losses"]
+    got = C.read_significance(spark, f"{tmp_path}/r")
+    assert {tuple(r) for r in got.select(*names).collect()} == {tuple(r) for r in found.drop("p").withColumnRenamed("p_shown", "p").select(*names).collect()}
+    assert got.where("run_b = 'b' and p is null and better is null and ties = 9").count() == 2 and got.where("better = 'a' and run_b = 'c'").count() == 2
+    C.write_report(C.significance_report(found.limit(0), {"set": "s"}), f"{tmp_path}/none")
+    assert C.read_significance(spark, f"{tmp_path}/none").count() == 0
+
+
+def test_content_signature(spark):
+    """Order and cuts don't matter; a changed, repeated, missing or moved value and other settings do."""
+    rows = [(1, "a"), (2, None), (3, "b" * 1000), (3, "")]
+    sign = lambda r, **s: C.content_signature(spark.createDataFrame(r, "doc_id long, text string").repartition(len(r) or 1), ["doc_id", "text"], s).first().signature
+    base = sign(rows, k=1)
+    assert base == sign(rows[::-1], k=1)
+    others = [sign(rows, k=2), sign(rows[1:], k=1), sign([*rows, rows[0]], k=1), sign([(1, "b"), *rows[1:]], k=1), sign([(2, "a"), (1, None), *rows[2:]], k=1), sign([], k=1)]
+    assert len({base, *others}) == 7
+
+
 def test_files(spark, mini, tmp_path, judged):
     assert {(r.file, r.reason) for r in C.skipped(spark, mini).collect()} == {("nop.json", "no paragraphs"), ("bad.json", "unreadable")}
     C.write_papers(C.papers(spark, mini), f"{tmp_path}/lines")
