@@ -27,3 +27,34 @@ def test_normalising_meets_a_vector_once(spark):
     assert {r.id: r.u for r in out.collect()} == {1: [0.6, 0.8], 2: None, 3: [0.0, 0.0]}
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("aggregate(") == 1 and plan.index("aggregate(") < plan.index("greatest(")  # the norm stands outside the loop over positions
+
+
+def test_term_vectors_make_no_row_a_term(spark):
+    from lanternrank.operators import encoders as E
+
+    words = ["ä", "b", "cc", "Zz", "e\tb"]
+    rows = [(f"{i % 40}_{i % 7}", " ".join(words[(i * j) % 5] for j in range(i % 9))) for i in range(400)] + [("x_0", None), ("x_1", " \t")]
+    df = spark.createDataFrame(rows, "docid string, text string")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)  # an item's rows stand in several batches
+    try:
+        out = E.term_vectors(df)
+        got = {r.docid: dict(zip(r.terms, np.round(r.weights, 9))) for r in out.collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = {}
+    for r in E.term_weights(df).collect():
+        want.setdefault(r.docid, {})[r.term] = round(r.weight, 9)
+    assert got == want
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Generate explode" not in plan and plan.count("Exchange hashpartitioning") == 1
+
+
+def test_hashed_vectors_move_texts_once(spark):
+    from lanternrank.operators import encoders as E
+
+    df = spark.createDataFrame([("a", "x y x"), ("b", " "), ("c", "z")], "docid string, text string")
+    out = E.hashed(df)
+    load = E.hashed_loader()()
+    got = {r.docid: r.vector for r in out.collect()}
+    assert set(got) == {"a", "c"} and all(np.allclose(got[d], load([t])[0]) for d, t in (("a", "x y x"), ("c", "z")))
+    assert out._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
