@@ -38,6 +38,7 @@ def test_term_vectors_make_no_row_a_term(spark):
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)  # an item's rows stand in several batches
     try:
         out = E.term_vectors(df)
+        plan = out._jdf.queryExecution().executedPlan().toString()
         got = {r.docid: dict(zip(r.terms, np.round(r.weights, 9))) for r in out.collect()}
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
@@ -45,7 +46,6 @@ def test_term_vectors_make_no_row_a_term(spark):
     for r in E.term_weights(df).collect():
         want.setdefault(r.docid, {})[r.term] = round(r.weight, 9)
     assert got == want
-    plan = out._jdf.queryExecution().executedPlan().toString()
     assert "Generate explode" not in plan and plan.count("Exchange hashpartitioning") == 1
 
 
@@ -54,7 +54,34 @@ def test_hashed_vectors_move_texts_once(spark):
 
     df = spark.createDataFrame([("a", "x y x"), ("b", " "), ("c", "z")], "docid string, text string")
     out = E.hashed(df)
+    plan = out._jdf.queryExecution().executedPlan().toString()
     load = E.hashed_loader()()
     got = {r.docid: r.vector for r in out.collect()}
     assert set(got) == {"a", "c"} and all(np.allclose(got[d], load([t])[0]) for d, t in (("a", "x y x"), ("c", "z")))
-    assert out._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_sparse_scores_exchange_nothing(spark, tmp_path):
+    from lanternrank.operators import encoders as E
+    from lanternrank.operators import ranking as R
+    from lanternrank.sources.indexes import build_sparse, update_sparse
+
+    rng = np.random.default_rng(3)
+    text = lambda: " ".join(f"w{int(x)}" for x in rng.zipf(1.6, 8) % 50)
+    rows = [(f"p{i // 4}_{i % 4}", text()) for i in range(300)]
+    topics = spark.createDataFrame([(f"q{i}", text()) for i in range(5)] + [("none", "absent")], "qid string, query string")
+    terms = E.term_weights(topics.withColumnRenamed("query", "text"), "qid")
+    build_sparse(spark.createDataFrame(rows, "docid string, text string"), f"file://{tmp_path}/i", "s")
+    now = spark.createDataFrame([(d, t if not d.startswith("p7_") else t + " w1 w2") for d, t in rows if not d.startswith("p9_")], "docid string, text string")
+    index = update_sparse(now, f"file://{tmp_path}/i", "s", whole=True)
+    found = index.scores(terms, "paragraph")
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    postings = E.term_weights(now)
+    want = {(r.qid, r.docid): round(r.score, 9) for r in R.sparse_cosine(terms, postings).collect()}
+    assert {(r.qid, r.docid): round(r.score, 9) for r in found.collect()} == want and want
+    assert {(r.qid, r.docid): round(r.score, 9) for r in index.scores(terms, "paragraph", body=True).collect()} == {k: v for k, v in want.items() if not k[1].endswith("_0")}
+    dots = {(r.qid, r.docid): round(r.dot, 9) for r in index.dots(terms, "paragraph").collect()}
+    assert dots == {(r.qid, r.docid): round(r.dot, 9) for r in R.sparse_dot(terms, postings).collect()}
+    ranked = lambda df, item: sorted((r.qid, r[item], round(r.score, 9), r["rank"]) for r in df.collect())
+    assert ranked(index.best(terms, "paragraph", k=7), "docid") == ranked(R.rank(index.scores(terms, "paragraph", body=True), k=7), "docid")
+    assert ranked(index.best(terms, "paper", k=7), "paper_id") == ranked(R.rank(R.maxp(found), "paper_id", k=7), "paper_id")
