@@ -85,3 +85,37 @@ def test_sparse_scores_exchange_nothing(spark, tmp_path):
     ranked = lambda df, item: sorted((r.qid, r[item], round(r.score, 9), r["rank"]) for r in df.collect())
     assert ranked(index.best(terms, "paragraph", k=7), "docid") == ranked(R.rank(index.scores(terms, "paragraph", body=True), k=7), "docid")
     assert ranked(index.best(terms, "paper", k=7), "paper_id") == ranked(R.rank(R.maxp(found), "paper_id", k=7), "paper_id")
+
+
+@pytest.mark.parametrize("batch", [3, 10_000])
+def test_dense_tasks_keep_the_best_of_all_their_rows(spark, monkeypatch, batch):
+    from lanternrank.operators import ranking as R
+
+    rng = np.random.default_rng(5)
+    vectors = rng.integers(-2, 3, (240, 4)).astype(float)  # scores with many ties
+    corpus = spark.createDataFrame([(f"p{i // 5}_{i % 5}", f"p{i // 5}", v.tolist()) for i, v in enumerate(vectors)] + [("null_0", "null", None)], "docid string, paper_id string, vector array<double>").repartition(3)
+    queries = spark.createDataFrame([(i, rng.integers(-2, 3, 4).astype(float).tolist()) for i in range(7)], "qid long, vector array<double>")
+    monkeypatch.setattr(R, "QUERY_BLOCK", 3)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        shown = lambda df, *c: sorted(tuple(r[x] for x in c) for r in df.collect())
+        every = R.dense_scores(queries, corpus, group="paper_id")
+        top = R.dense_scores(queries, corpus.repartition(4), k=6)
+        counts = {(r.p, r.qid): r.n for r in top.groupBy(F.spark_partition_id().alias("p"), "qid").agg(F.count("*").alias("n")).collect()}
+        assert set(counts.values()) == {6} and len(counts) == 4 * 7  # k rows a task and query, however many batches it met
+        assert shown(R.rank(top, k=6), "qid", "docid", "score", "rank") == shown(R.rank(every, k=6), "qid", "docid", "score", "rank")
+        best = R.dense_best_passages(queries, corpus)
+        assert shown(best, "qid", "paper_id", "docid", "score") == shown(R.best_passage(every), "qid", "paper_id", "docid", "score")
+        cut = R.rank(R.dense_best_passages(queries, corpus, 6), "paper_id", k=6)
+        assert shown(cut, "qid", "paper_id", "docid", "rank") == shown(R.rank(R.best_passage(every), "paper_id", k=6), "qid", "paper_id", "docid", "rank")
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_best_passages_move_vectors_alone(spark):
+    from lanternrank.operators import ranking as R
+
+    rows = spark.createDataFrame([("a_0", "a", [1.0, 0.0]), ("a_1", "a", [0.0, 1.0])], "docid string, paper_id string, vector array<double>")
+    queries = spark.createDataFrame([(1, [1.0, 0.5])], "qid long, vector array<double>")
+    plan = R.dense_best_passages(queries, rows)._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("MapInArrow") < plan.index("Exchange") and plan.count("Exchange") == 1 and "qid" not in plan[plan.index("Exchange"):]
