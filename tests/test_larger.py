@@ -119,3 +119,37 @@ def test_best_passages_move_vectors_alone(spark):
     queries = spark.createDataFrame([(1, [1.0, 0.5])], "qid long, vector array<double>")
     plan = R.dense_best_passages(queries, rows)._jdf.queryExecution().executedPlan().toString()
     assert plan.index("MapInArrow") < plan.index("Exchange") and plan.count("Exchange") == 1 and "qid" not in plan[plan.index("Exchange"):]
+
+
+def test_small_numbers_in_reports(spark):
+    import json
+
+    from lanternrank.sources import corpus as C
+
+    rows = [("full", 1, m, v) for m, v in (("a", 0.000123), ("b", 0.0005), ("c", 0.001), ("d", 0.000001), ("e", 0.25), ("f", 1.0), ("g", 0.0))]
+    df = spark.createDataFrame(rows, "run string, level int, metric string, value double")
+    assert C.report_json(df).first().report == '{"a":0.000123,"b":0.0005,"c":0.001,"d":0.000001,"e":0.25,"f":1.0,"g":0.0}'
+    name = 'x:1.5E-4,"\\ y'
+    values = df.withColumn("run", F.lit(name)).withColumn("qid", F.lit(7))
+    told = C.query_report(values, {"set": name}).first().report
+    assert "0.000123" in told and json.loads(told)["set"] == name
+    assert json.loads(told)["relevance_passes"]["relevant_or_partial"]["queries"]["7"][name]["b"] == 0.0005
+
+
+def test_sums_of_papers_move_a_row_a_batch(spark):
+    from lanternrank.sources.indexes import states
+
+    rng = np.random.default_rng(2)
+    rows = [(f"p{i % 11}", rng.normal(size=3).tolist()) for i in range(200)]
+    df = spark.createDataFrame(rows, "paper_id string, vector array<double>").repartition(3)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 9)
+    try:
+        out = states(df)
+        assert "Generate" not in out._jdf.queryExecution().executedPlan().toString()
+        got = {r.paper_id: (r.n, r.total) for r in out.collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert set(got) == {p for p, _ in rows}
+    for p, (n, total) in got.items():
+        mine = [v for q, v in rows if q == p]
+        assert n == len(mine) and np.allclose(total, np.sum(mine, axis=0))
