@@ -153,3 +153,51 @@ def test_sums_of_papers_move_a_row_a_batch(spark):
     for p, (n, total) in got.items():
         mine = [v for q, v in rows if q == p]
         assert n == len(mine) and np.allclose(total, np.sum(mine, axis=0))
+
+
+def test_judgments_are_counted_before_they_move(spark):
+    from lanternrank.operators import metrics as M
+
+    rng = np.random.default_rng(8)
+    rows = [(f"q{q}", f"d{i}", int(g)) for q in range(6) for i, g in enumerate(rng.integers(0, 4, 3 * q + 1))] + [("none", "d0", 0), ("one", "d0", None), ("one", "d1", 2)]
+    out = M.ideal(spark.createDataFrame(rows, "qid string, docid string, rel int"))
+    assert "docid" not in out._jdf.queryExecution().executedPlan().toString().split("== Initial")[0].split("Exchange", 1)[1].split("Scan")[0]
+    got = {r.qid: (r["all"], r.five) for r in out.collect()}
+    assert set(got) == {q for q, _, _ in rows}
+    for q, (every, five) in got.items():
+        gains = [g / math.log2(p + 2) for p, g in enumerate(sorted((g or 0 for x, _, g in rows if x == q), reverse=True))]
+        assert math.isclose(every, sum(gains), abs_tol=1e-12) and math.isclose(five, sum(gains[:5]), abs_tol=1e-12)
+
+
+def test_judgments_stream_past_ranked_rows(spark):
+    from lanternrank.operators import metrics as M
+
+    runs = spark.createDataFrame([("a", 1, "x", 1), ("a", 1, "y", 2), ("b", 1, "x", 1), ("a", 2, "x", 1)], "run string, qid long, docid string, rank int")
+    qrels = spark.createDataFrame([(1, "x", 2), (1, "z", 1), (3, "x", 1)], "qid long, docid string, rel int")
+    out = M.judged(runs, qrels)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "ShuffledHashJoin [qid" in plan and "BuildLeft" in plan
+    assert sorted((r.run, r.qid, r.docid, r.rel) for r in out.collect()) == [("a", 1, "x", 2), ("a", 1, "y", 0), ("b", 1, "x", 2)]
+
+
+@pytest.mark.parametrize("name", ["ndcg5", "metrics_graded", "pairwise_compare"])
+def test_metrics_search_once(spark, name):
+    import __spark_entry__
+
+    out = __spark_entry__.queries()[name](spark, "/root/testdata/sf0.001")
+    assert "MapInArrow" not in out._jdf.queryExecution().executedPlan().toString()  # the runs are a written table
+
+
+def test_what_a_dense_task_holds_is_bounded(spark):
+    import pyarrow as pa
+
+    from lanternrank.operators.ranking import _Top
+
+    rng, top = np.random.default_rng(4), _Top(5, 3, ["docid"])
+    every = [(rng.integers(-2, 3, (5, 40)).astype(float), [f"d{at}_{i:02}" for i in range(40)]) for at in range(60)]
+    for scores, names in every:
+        top.add(scores, [pa.array(names)])
+        assert top.rows <= 2 * 5 * 3  # however many rows a task has met, and however many tie
+    got = [tuple(x) for b in top.batches(pa.array(range(5))) for x in zip(*(c.to_pylist() for c in b.columns))]
+    want = [(q, n, s[q][i]) for q in range(5) for s, ns in every for i, n in enumerate(ns)]
+    assert sorted(got) == sorted(x for q in range(5) for x in sorted((w for w in want if w[0] == q), key=lambda w: (-w[2], w[1]))[:3])
