@@ -201,3 +201,23 @@ def test_what_a_dense_task_holds_is_bounded(spark):
     got = [tuple(x) for b in top.batches(pa.array(range(5))) for x in zip(*(c.to_pylist() for c in b.columns))]
     want = [(q, n, s[q][i]) for q in range(5) for s, ns in every for i, n in enumerate(ns)]
     assert sorted(got) == sorted(x for q in range(5) for x in sorted((w for w in want if w[0] == q), key=lambda w: (-w[2], w[1]))[:3])
+
+
+def test_many_dense_queries_share_a_reading_of_the_blocks(spark, monkeypatch):
+    from lanternrank.operators import blocks as B
+    from lanternrank.operators import ranking as R
+
+    rng = np.random.default_rng(6)
+    rows = [(f"p{i // 5}_{i % 5}", f"p{i // 5}", v.tolist()) for i, v in enumerate(rng.integers(-2, 3, (700, 4)).astype(float))]
+    corpus = spark.createDataFrame(rows, "docid string, paper_id string, vector array<double>").repartition(3).cache()
+    queries = spark.createDataFrame([(i, rng.integers(-2, 3, 4).astype(float).tolist()) for i in range(30)], "qid long, vector array<double>")
+    monkeypatch.setattr(B, "GROUP", 4)
+    monkeypatch.setattr(B, "STEP", 6)
+    monkeypatch.setattr(B, "DENSE_GROUP", 16)
+    monkeypatch.setattr(B, "DENSE_SIZE", 8)
+    packed = B.pack_dense(corpus, 8).cache()
+    found = B.dense_search(packed, queries, "docid", 7)
+    tops = [x for x in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if x.startswith((":- MapInArrow", "+- MapInArrow"))]
+    assert len(tops) == 2  # groups of 16 queries, not of 4
+    shown = lambda df: sorted((r.qid, r.docid, round(r.score, 9), r["rank"]) for r in df.collect())
+    assert shown(R.rank(found.drop("paper_id"), k=7)) == shown(R.rank(R.dense_scores(queries, corpus), k=7))
