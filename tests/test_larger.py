@@ -221,3 +221,54 @@ def test_many_dense_queries_share_a_reading_of_the_blocks(spark, monkeypatch):
     assert len(tops) == 2  # groups of 16 queries, not of 4
     shown = lambda df: sorted((r.qid, r.docid, round(r.score, 9), r["rank"]) for r in df.collect())
     assert shown(R.rank(found.drop("paper_id"), k=7)) == shown(R.rank(R.dense_scores(queries, corpus), k=7))
+
+
+@pytest.mark.parametrize("batch", [3, 10_000])
+def test_dense_tasks_keep_scores_that_are_no_numbers(spark, batch):
+    from lanternrank.operators import ranking as R
+
+    rng, nan, inf = np.random.default_rng(9), math.nan, math.inf
+    vectors = rng.integers(-2, 3, (60, 3)).astype(float)
+    for i, x in ((7, nan), (8, inf), (21, inf), (33, -inf), (41, nan)):
+        vectors[i, 1] = x
+    corpus = spark.createDataFrame([(f"p{i // 5}_{i % 5}", f"p{i // 5}", v.tolist()) for i, v in enumerate(vectors)], "docid string, paper_id string, vector array<double>").repartition(2)
+    queries = spark.createDataFrame([(0, [1.0, 2.0, -1.0]), (1, [nan, 1.0, 0.0]), (2, [1.0, 0.0, 1.0]), (3, [0.0, -1.0, inf]), (4, [2.0, -1.0, 0.0])], "qid long, vector array<double>")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        shown = lambda df, *c: sorted(tuple(str(r[x]) for x in c) for r in df.collect())
+        every = R.dense_scores(queries, corpus, group="paper_id")
+        top = R.rank(R.dense_scores(queries, corpus, k=6), k=6)
+        assert top.count() == 5 * 6  # queries of nothing but NaN too
+        assert shown(top, "qid", "docid", "score", "rank") == shown(R.rank(every, k=6), "qid", "docid", "score", "rank")
+        scores = {}
+        for r in every.collect():
+            scores.setdefault((r.qid, r.paper_id), []).append((r.docid, r.score))
+        best = {k: (min(v, key=lambda x: (math.isnan(x[1]), 0 if math.isnan(x[1]) else -round(x[1], 9), x[0]))[0], max(v, key=lambda x: (math.isnan(x[1]), x[1]))[1]) for k, v in scores.items()}
+        found = R.dense_best_passages(queries, corpus)
+        assert shown(found, "qid", "paper_id", "docid", "score") == sorted((str(q), p, d, str(x)) for (q, p), (d, x) in best.items())
+        cut = R.rank(R.dense_best_passages(queries, corpus, 6), "paper_id", k=6)
+        assert shown(cut, "qid", "paper_id", "docid", "score", "rank") == shown(R.rank(found, "paper_id", k=6), "qid", "paper_id", "docid", "score", "rank")
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_ties_add_no_more_than_k_rows_a_query():
+    import pyarrow as pa
+
+    from lanternrank.operators.ranking import _Top
+
+    met = []
+
+    class Told(_Top):
+        def cut(self):
+            met.append(self.rows)
+            super().cut()
+
+    top, scores = Told(5, 3, ["docid"]), np.zeros((5, 400))
+    scores[1, 399] = 1.0
+    for at in (1, 0, 2, 3):
+        top.add(scores, [pa.array([f"d{at}_{i:03}" for i in range(400)])])
+    got = sorted(tuple(x) for b in top.batches(pa.array(range(5))) for x in zip(*(c.to_pylist() for c in b.columns)))
+    assert max(met) <= 3 * 5 * 3
+    assert [d for q, d, _ in got if q != 1] == ["d0_000", "d0_001", "d0_002"] * 4
+    assert [d for q, d, _ in got if q == 1] == ["d0_399", "d1_399", "d2_399"]
