@@ -272,3 +272,16 @@ def test_ties_add_no_more_than_k_rows_a_query():
     assert max(met) <= 3 * 5 * 3
     assert [d for q, d, _ in got if q != 1] == ["d0_000", "d0_001", "d0_002"] * 4
     assert [d for q, d, _ in got if q == 1] == ["d0_399", "d1_399", "d2_399"]
+
+
+def test_a_written_run_keeps_scores_that_are_no_numbers(spark, tmp_path):
+    from lanternrank.operators import ranking as R
+    from lanternrank.sources import corpus as C
+
+    rows = [(f"p{i}", [float(i), math.nan if i in (2, 30) else 1.0]) for i in range(40)]
+    corpus = spark.createDataFrame(rows, "docid string, vector array<double>")
+    queries = spark.createDataFrame([(0, [1.0, 1.0]), (1, [math.nan, 0.0])], "qid long, vector array<double>")
+    run = R.rank(R.dense_scores(queries, corpus, k=3), k=3).select(F.lit("full").alias("run"), "qid", "docid", "score", "rank")
+    C.write_run(run, f"file://{tmp_path}/run")
+    got = sorted((r.qid, r["rank"], r.docid, str(r.score)) for r in C.read_run(spark, f"file://{tmp_path}/run").collect())
+    assert got == [("0", 1, "p2", "nan"), ("0", 2, "p30", "nan"), ("0", 3, "p39", "40.0"), ("1", 1, "p0", "nan"), ("1", 2, "p1", "nan"), ("1", 3, "p10", "nan")]
