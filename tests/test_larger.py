@@ -285,3 +285,47 @@ def test_a_written_run_keeps_scores_that_are_no_numbers(spark, tmp_path):
     C.write_run(run, f"file://{tmp_path}/run")
     got = sorted((r.qid, r["rank"], r.docid, str(r.score)) for r in C.read_run(spark, f"file://{tmp_path}/run").collect())
     assert got == [("0", 1, "p2", "nan"), ("0", 2, "p30", "nan"), ("0", 3, "p39", "40.0"), ("1", 1, "p0", "nan"), ("1", 2, "p1", "nan"), ("1", 3, "p10", "nan")]
+
+
+def test_a_written_run_rounds_as_its_sql(spark, tmp_path):
+    from lanternrank.sources import corpus as C
+
+    scores = [x / 128 for x in range(-9, 10)] + [-0.0, -1e-9, 1e-9, 0.0000015, 12345.6789, 1e15, -math.inf, math.nan]
+    run = spark.createDataFrame([("r", i, f"d{i}", i + 1, s) for i, s in enumerate(scores)], "run string, qid long, docid string, rank int, score double")
+    C.write_run(run, f"file://{tmp_path}/run")
+    got = {int(r.qid): str(r.score) for r in C.read_run(spark, f"file://{tmp_path}/run").collect()}
+    assert got == {i: str(float("%.6f" % s)) for i, s in enumerate(scores)}
+    assert {r.qid: r.line for r in C.run_lines(run).collect()} == {i: f"{i} Q0 d{i} {i + 1} {'%.6f' % s} r" for i, s in enumerate(scores)}
+
+
+@pytest.mark.parametrize("k", [2, 6, None])
+def test_pairs_without_a_vector_come_last(spark, tmp_path, k):
+    from lanternrank.operators import ranking as R
+    from lanternrank.sources import corpus as C
+
+    vectors = [[1.0], None, [3.0], [-1.0], None, [math.nan], None, [2.0]]
+    corpus = spark.createDataFrame([(f"d{i}", v) for i, v in enumerate(vectors)], "docid string, vector array<double>").repartition(3)
+    queries = spark.createDataFrame([(1, [1.0]), (2, None), (3, [-1.0])], "qid long, vector array<double>")
+    want = {1: ["d5", "d2", "d7", "d0", "d3", "d1", "d4", "d6"], 2: [f"d{i}" for i in range(8)], 3: ["d5", "d3", "d0", "d7", "d2", "d1", "d4", "d6"]}
+    top = R.dense_top(queries, corpus, k)
+    got = {(r.qid, r["rank"]): (r.docid, r.score is None) for r in top.collect()}
+    assert got == {(q, i + 1): (d, q == 2 or vectors[int(d[1])] is None) for q, ds in want.items() for i, d in enumerate(ds[:k])}
+    C.write_run(top.withColumn("run", F.lit("full")), f"file://{tmp_path}/run")
+    back = {(int(r.qid), r["rank"]): (r.docid, r.score is None) for r in C.read_run(spark, f"file://{tmp_path}/run").collect()}
+    assert back == got
+    assert C.run_lines(top.withColumn("run", F.lit("full"))).where("line is null").count() == sum(none for _, none in got.values())
+
+
+def test_run_roundtrip_keeps_rows_without_vectors(spark, tmp_path):
+    import __spark_entry__
+
+    rows = [(i, None if i in (25, 7, 51) else [((i * j) % 17 - 8) / 16 for j in range(64)], i % 3) for i in range(75)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = [tuple(r) for r in __spark_entry__.queries()["run_roundtrip"](spark, str(tmp_path)).collect()]
+    want, ids = [], {f"{i // 5}_{i % 5}": v for i, v, _ in rows if i % 25}
+    for run, n in (("full", 64), ("half", 32)):
+        for q in (0, 25, 50):
+            dots = {d: None if rows[q][1] is None or v is None else sum(a * b for a, b in zip(rows[q][1][:n], v[:n])) for d, v in ids.items()}
+            order = sorted(dots, key=lambda d: (dots[d] is None, -(dots[d] or 0), d))[:100]
+            want += [(run, str(q), d, i + 1, None if dots[d] is None else float("%.6f" % dots[d])) for i, d in enumerate(order)]
+    assert len(want) == 2 * 3 * 72 and sorted(got, key=str) == sorted(want, key=str)
