@@ -329,3 +329,28 @@ def test_run_roundtrip_keeps_rows_without_vectors(spark, tmp_path):
             order = sorted(dots, key=lambda d: (dots[d] is None, -(dots[d] or 0), d))[:100]
             want += [(run, str(q), d, i + 1, None if dots[d] is None else float("%.6f" % dots[d])) for i, d in enumerate(order)]
     assert len(want) == 2 * 3 * 72 and sorted(got, key=str) == sorted(want, key=str)
+
+
+def test_chunk_means_move_texts_once(spark):
+    from lanternrank.operators import encoders as E
+
+    words = ["ä", "b", "cc", "Zz", "e\tb"]
+    rows = [(f"{i % 150}_1", " ".join(words[(i * j) % 5] for j in range(i % 13))) for i in range(200)] + [("x_0", None), ("x_1", " \t"), (None, "b b cc")]
+    df = spark.createDataFrame(rows, "docid string, text string")
+    want = {(r.docid, r.term): round(r.weight, 9) for r in E.mean_pool(E.chunk_weights(df.where("docid is not null"), 3)).collect()}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)  # an item's rows stand in several batches
+    try:
+        out = E.chunk_means(df, 3)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        got = {(r.docid, r.term): round(r.weight, 9) for r in out.collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert {k: v for k, v in got.items() if k[0]} == want
+    assert plan.count("Exchange hashpartitioning") == 1 and "HashAggregate" not in plan
+
+
+def test_chunk_mean_pool_query_has_one_exchange(spark):
+    from lanternrank.plans import catalog
+
+    plan = catalog.QUERIES["chunk_mean_pool"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
