@@ -354,3 +354,38 @@ def test_chunk_mean_pool_query_has_one_exchange(spark):
 
     plan = catalog.QUERIES["chunk_mean_pool"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
+
+
+def test_an_index_has_the_levels_it_was_made_for(spark, tmp_path):
+    from lanternrank.operators import encoders as E
+    from lanternrank.sources import workspace
+    from lanternrank.sources.indexes import merge_sparse, update_sparse
+
+    folder, frame = f"file://{tmp_path}/i", lambda rows: spark.createDataFrame(rows, "docid string, text string")
+    rows = [(f"p{i // 3}_{i % 3}", f"w{i % 5} w{i % 7}") for i in range(30)]
+    update_sparse(frame(rows[:24]), folder, "s", levels=("paragraph",))
+    index = merge_sparse(update_sparse(frame([(d, f"{t} more" if d.startswith("p1_") else t) for d, t in rows]), folder, "s"))
+    assert index.levels == ("paragraph",) and index.papers() == 10 and index.items("paragraph").count() == 30
+    assert not workspace.exists(spark, f"{folder}/blocks/level=paper") and not workspace.exists(spark, f"{folder}/items/level=paper")
+    index.check("paragraph", papers=10)
+    topics = frame([("q", "w1 more")])
+    terms = E.term_weights(topics.withColumnRenamed("docid", "qid"), "qid")
+    assert index.search(topics.withColumnRenamed("docid", "qid"), terms, "paragraph", k=3).count() == 3
+    for ask in (lambda: index.check("paper"), lambda: index.search(topics, terms, "paper")):
+        with pytest.raises(ValueError, match="was made for"):
+            ask()
+    with pytest.raises(ValueError, match="levels"):
+        update_sparse(frame(rows), folder, "s", levels=("paper",))
+
+
+def test_followed_queries_build_no_other_index(spark, monkeypatch):
+    from lanternrank.plans import catalog
+    from lanternrank.plans.bindings import Tables
+
+    def other(*_):
+        raise AssertionError("another index")
+
+    monkeypatch.setattr(Tables, "index", other)
+    monkeypatch.setattr("lanternrank.sources.indexes._pool", other)
+    path = "/root/testdata/sf0.001"
+    assert catalog.QUERIES["q_followed_paragraph"](spark, path).count() == 100 * Tables(spark, path).topics().count()
