@@ -389,3 +389,4 @@ def test_followed_queries_build_no_other_index(spark, monkeypatch):
     monkeypatch.setattr("lanternrank.sources.indexes._pool", other)
     path = "/root/testdata/sf0.001"
     assert catalog.QUERIES["q_followed_paragraph"](spark, path).count() == 100 * Tables(spark, path).topics().count()
+    assert catalog.QUERIES["paper_prints"](spark, path).count() == Tables(spark, path).papers_with_passages()
