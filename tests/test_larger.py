@@ -390,3 +390,34 @@ def test_followed_queries_build_no_other_index(spark, monkeypatch):
     path = "/root/testdata/sf0.001"
     assert catalog.QUERIES["q_followed_paragraph"](spark, path).count() == 100 * Tables(spark, path).topics().count()
     assert catalog.QUERIES["paper_prints"](spark, path).count() == Tables(spark, path).papers_with_passages()
+
+
+def test_ranks_of_all_pairs_move_no_pair(spark, tmp_path, monkeypatch):
+    from lanternrank.operators import blocks as B
+    from lanternrank.operators import encoders as E
+    from lanternrank.operators import ranking as R
+    from lanternrank.sources.indexes import build_sparse, update_sparse
+
+    monkeypatch.setattr(B, "SLAB", 16)  # tasks get it with the function that packs
+    monkeypatch.setattr(B, "GROUP", 4)
+    rng = np.random.default_rng(5)
+    text = lambda: " ".join(f"w{int(x)}" for x in rng.zipf(1.6, 6) % 12)
+    rows = [(f"p{i // 4}_{i % 4}", text() if i % 3 else "w1 w2") for i in range(300)] + [("long_1", " ".join(f"w{i}" for i in range(12)))]
+    topics = spark.createDataFrame([(f"q{i}", text()) for i in range(6)] + [("none", "absent")], "qid string, text string")
+    terms = E.term_weights(topics, "qid")
+    build_sparse(spark.createDataFrame(rows, "docid string, text string"), f"file://{tmp_path}/i", "s")
+    index = update_sparse(spark.createDataFrame([(d, t if not d.startswith("p7_") else t + " w1") for d, t in rows if not d.startswith("p9_")], "docid string, text string"), f"file://{tmp_path}/i", "s", whole=True)
+    for body in (True, False):
+        found = index.ranked(terms, "paragraph", body)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "Window" not in plan and "hashpartitioning(qid" not in plan
+        got = {(r.qid, r.docid): (r["rank"], round(r.score, 9)) for r in found.collect()}
+        want = {(r.qid, r.docid): (r["rank"], round(r.score, 9)) for r in R.rank(index.scores(terms, "paragraph", body).select("qid", "docid", "score")).collect()}
+        assert got == want and len(got) > 500
+
+
+def test_packed_numbers_come_back():
+    from lanternrank.operators.blocks import _packed, _unpacked
+
+    for values in ([], [0], [3, 1 << 31, 7], [1 << 40, 0]):
+        assert _unpacked(_packed(np.array(values, np.int64)), len(values)).tolist() == values
